@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corvane.llm import quality
+from corvane.llm import quality, sharding
 
-MODULES = (quality,)
+MODULES = (quality, sharding)
 
 
 def queries() -> dict:
