@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corvane.llm import quality, sharding
+from corvane.llm import bpe, quality, sharding
 
-MODULES = (quality, sharding)
+MODULES = (sharding, bpe, quality)
 
 
 def queries() -> dict:
