@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corvane.llm import bpe, quality, sharding
+from corvane.llm import bpe, langid, quality, secrets, sharding
 
-MODULES = (sharding, bpe, quality)
+MODULES = (sharding, secrets, langid, bpe, quality)
 
 
 def queries() -> dict:
