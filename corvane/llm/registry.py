@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corvane.llm import bpe, langid, quality, secrets, sharding
+from corvane.llm import bpe, jaccard, langid, quality, secrets, sharding
 
-MODULES = (sharding, secrets, langid, bpe, quality)
+MODULES = (sharding, secrets, langid, jaccard, bpe, quality)
 
 
 def queries() -> dict:
