@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corvane.llm import bpe, jaccard, langid, quality, secrets, sharding
+from corvane.llm import bpe, jaccard, langid, mixing, quality, secrets, sharding, urlfilter
 
-MODULES = (sharding, secrets, langid, jaccard, bpe, quality)
+MODULES = (sharding, mixing, urlfilter, secrets, langid, jaccard, bpe, quality)
 
 
 def queries() -> dict:
