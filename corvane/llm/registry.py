@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
-from corvane.llm import bpe, jaccard, langid, mixing, quality, secrets, sharding, urlfilter
+from corvane.llm import ann, bpe, jaccard, langid, mixing, quality, secrets, sharding, toxicity, urlfilter
+from corvane.llm.common import importable
 
-MODULES = (sharding, mixing, urlfilter, secrets, langid, jaccard, bpe, quality)
+MODULES = (sharding, mixing, urlfilter, ann, secrets, langid, toxicity, jaccard, bpe, quality)
+
+
+def _ready(query):  # noqa: ANN001, ANN202
+    def run(spark, sf_dir: str):  # noqa: ANN001, ANN202
+        importable(spark)
+        return query(spark, sf_dir)
+
+    return run
 
 
 def queries() -> dict:
-    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
+    return {name: _ready(f) for m in MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
