@@ -8,7 +8,7 @@ each example left out. Neighbours, similarities and labels are the evidence.
 
 The examples are a bounded sample of the labelled rows outside the held-out fold: at most ``TOXIC`` and ``CLEAN`` of them
 (smallest id hashes), ``EXAMPLE_CHARS`` characters of each. The vocabulary is the terms found in at least
-``LEAST_EXAMPLES`` and at most ``MOST_SHARE`` percent of them, ``MOST_TERMS`` at most. Queries are whole texts.
+``LEAST_EXAMPLES`` of them and at most ``MOST_SHARE`` percent of the clean ones, ``MOST_TERMS`` at most. Queries are whole texts.
 
 Defined results: texts without a known term (null and empty ones too) get the score of no vote, below one half. Labels
 with nulls, and documents that are labelled both ways, teach nothing or by their least label. If either label is missing
@@ -35,7 +35,7 @@ CLEAN = 3_000
 #: Characters of an example that are learned from.
 EXAMPLE_CHARS = 20_000
 LEAST_EXAMPLES = 20
-#: Percentage of the examples beyond which a term says nothing.
+#: Percentage of the clean examples beyond which a term says nothing.
 MOST_SHARE = 15
 MOST_TERMS = 20_000
 NEIGHBOURS = 25
@@ -64,7 +64,8 @@ class Index:
     def __init__(self, texts: list[str], labels: list[int]):
         bags = [terms(t) for t in texts]
         found = Counter(t for b in bags for t in b)
-        kept = sorted((t for t, n in found.items() if n >= LEAST_EXAMPLES and 100 * n <= MOST_SHARE * len(texts)), key=lambda t: (-found[t], t))[:MOST_TERMS]
+        clean = Counter(t for b, y in zip(bags, labels, strict=True) if y == 0 for t in b)
+        kept = sorted((t for t, n in found.items() if n >= LEAST_EXAMPLES and 100 * clean[t] <= MOST_SHARE * labels.count(0)), key=lambda t: (-found[t], t))[:MOST_TERMS]
         self.number = {t: i for i, t in enumerate(kept)}
         self.idf = np.array([math.log((1 + len(texts)) / (1 + found[t])) for t in kept], np.float32)
         vectors = [self.vector(b) for b in bags]
