@@ -159,7 +159,7 @@ def test_nearest_odd_rows(spark):
 
 def test_toxicity_neighbours_are_exact_and_votes_tell(spark, documents):
     rng = np.random.default_rng(2)
-    plain = [f"plain{i}" for i in range(60)]
+    plain = [chr(97 + i % 26) + chr(97 + i // 26) + "q" for i in range(300)]
     docs = [(i, " ".join(rng.choice(plain, 30)) + (" vile nasty vile" if i % 4 == 0 else ""), "en", "s", 1) for i in range(400)]
     labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(300)], "doc_id long, quality int, toxic int")
     index = toxicity.fit(documents(docs), labels)
