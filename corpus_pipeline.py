@@ -18,11 +18,21 @@ from corvane.llm import bpe, jaccard, langid, mixing, secrets
 from corvane.llm.common import importable, shared_dir
 
 
+def _packed(docs: DataFrame, *needed: str) -> DataFrame:
+    """The columns that an operator needs, and all others in one, so that no name can clash with the operator's."""
+    return docs.select(*needed, F.struct(F.lit(0).alias("__none"), *[c for c in docs.columns if c not in needed]).alias("__rest"))
+
+
+def _unpacked(df: DataFrame, docs: DataFrame, *needed: str) -> DataFrame:
+    return df.select(*[F.col(c) if c in needed else F.col("__rest")[c].alias(c) for c in docs.columns])
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learn from the documents themselves; those of no language go."""
     importable(spark)
     model = langid.fit(docs)
-    return langid.identify(docs, model).filter(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
+    told = langid.identify(_packed(docs, "text"), model).filter(F.col("lang_pred") != langid.UNKNOWN)
+    return _unpacked(told, docs, "text")
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,11 +46,12 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans are replaced in the texts, and the lengths follow."""
     importable(spark)
-    cleaned = secrets.redact(secrets.classify(docs))
+    needed = ("doc_id", "source", "text")
+    cleaned = _unpacked(secrets.redact(secrets.classify(_packed(docs, *needed))), docs, *needed)
     if "n_chars" in docs.columns:
         changed = F.length("text").cast(docs.schema["n_chars"].dataType)
         cleaned = cleaned.withColumn("n_chars", F.when(F.col("n_chars").isNull() | F.col("text").isNull(), F.col("n_chars")).otherwise(changed))
-    return cleaned.select(*docs.columns)
+    return cleaned
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

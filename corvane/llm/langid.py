@@ -173,7 +173,8 @@ def fit(docs: DataFrame) -> Model:
 
 
 def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Add ``lang_pred`` and ``score``; all other columns pass through."""
+    """Add ``lang_pred`` and ``score``, in place of columns so named; all others pass through."""
+    df = df.drop("lang_pred", "score")
     shared = df.sparkSession.sparkContext.broadcast(model)  # at most MAX_LANGUAGES automata of 2 * BYTES_PER_LANGUAGE states
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -169,7 +169,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index:
 
 
 def score(df: DataFrame, index: Index, text: str = "text", evidence: bool = False) -> DataFrame:
-    """Add ``score``, and with ``evidence`` also ``neighbours``: (label, cosine) of the nearest examples, nearest first."""
+    """Add ``score``, and with ``evidence`` also ``neighbours``: (label, cosine) of the nearest examples, nearest first; columns so named are replaced."""
+    df = df.drop("score", "neighbours")
     shared = df.sparkSession.sparkContext.broadcast(index)  # at most EXAMPLE_CHARS * (TOXIC + CLEAN) characters went into it
     fields = [T.StructField("score", T.DoubleType())]
     kind = pa.list_(pa.struct([("label", pa.int32()), ("cosine", pa.float64())]))
