@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corvane.plans import retrieval
+from corvane.plans import evaluation, retrieval
 
-MODULES = (retrieval,)
+MODULES = (retrieval, evaluation)
 
 
 def queries() -> dict:
