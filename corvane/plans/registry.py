@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corvane.plans import evaluation, retrieval
+from corvane.plans import corpus, evaluation, retrieval
 
-MODULES = (retrieval, evaluation)
+MODULES = (retrieval, evaluation, corpus)
 
 
 def queries() -> dict:
