@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,14 +42,24 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
+        self.collect()
         return out
 
+    def collect(self) -> None:
+        """Spark removes the shuffle files of a finished plan when the driver's JVM collects it."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *tables: DataFrame) -> None:
         for table in tables:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(table._scratch_path)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-        gc.collect()
-        self.spark._jvm.System.gc()
+        self.collect()
+
+
+def importable(spark: SparkSession) -> None:
+    """Let Python workers on this machine find the package, wherever the driver was started; clusters ship it with --py-files."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:

@@ -6,9 +6,9 @@ candidate must then share prefix tokens under two more orders (by unrelated hash
 Size and position filters apply as well. Every filter is exact: it drops no pair that is similar.
 
 Documents with equal sets form one class and are joined as one. Within the postings of a token, a class is first paired
-with its neighbour in size and with the smallest class alone, which is linear; components of these links are found, and
-only then are pairs taken across different components. Links inside a component can't change it, so nothing is lost and
-a group of near copies is not expanded into all its pairs.
+with its neighbour and with the first class of a random order alone, which is linear; components of these links are
+found, and after some such rounds all pairs across different components are taken. Links inside a component can't change
+it, so nothing is lost and a group of near copies is not expanded into all its pairs.
 
 Defined results: a text of one to three words is one shingle; texts without words (or null) have an empty set and link
 with nothing. Rows that share an id are one document, with the links of all its rows. Rows with a null id link with
@@ -21,9 +21,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from corvane.llm.common import Scratch, in_batches, read
 from corvane.llm.components import connected_components
@@ -34,6 +33,11 @@ LEAST = 85
 #: Counters of the sketch (a power of two): 4 MB as broadcast, whatever the corpus.
 SKETCH_BITS = 22
 SLICE = 1 << 14
+#: Rounds of pivots before pairs are taken across components: the share of tokens that take part (one in so many), and the
+#: partners that a posting gets besides the first of its token. The first round links what is easily linked.
+ROUNDS = ((4, 1), (1, 8), (1, 4))
+#: Ids that may be broadcast (8 bytes each).
+BROADCAST_IDS = 500_000
 #: Characters that a worker hashes at once.
 CHARS = 400_000
 
@@ -205,14 +209,25 @@ def similar(x: np.ndarray, y: np.ndarray) -> bool:
     return 100 * common >= LEAST * (len(x) + len(y) - common)
 
 
-def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
-    """The similar ones among ``pairs`` (a, b) of nodes. Sets are made anew from the texts of the classes concerned."""
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    reps = scratch.cut(nodes.join(wanted, "node").select("node", F.col("rep").alias("doc_id"), "k1", "k2"))
-    texts = docs.select("doc_id", "text").join(reps.select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = token_sets(texts).join(reps, ["doc_id", "k1", "k2"]).dropDuplicates(["node"]).select("node", "tokens")
-    sets = scratch.cut(sets)
-    joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
+def _known_small(keys: DataFrame) -> DataFrame:
+    """A broadcast hint for a table of ids that was counted and found small; any other is left to a shuffle."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys
+
+
+def sets_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, tokens) of the classes named in ``wanted`` (node), made anew from the texts of their least documents."""
+    reps = scratch.cut(nodes.join(_known_small(wanted), "node", "left_semi").select("node", F.col("rep").alias("doc_id"), "k1", "k2"))
+    texts = docs.select("doc_id", "text").join(_known_small(reps.select("doc_id")), "doc_id", "left_semi")
+    out = scratch.cut(token_sets(texts).join(_known_small(reps), ["doc_id", "k1", "k2"]).dropDuplicates(["node"]).select("node", "tokens"))
+    scratch.drop(reps)
+    return out
+
+
+def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The similar ones among ``pairs`` (a, b) of nodes."""
+    wanted = scratch.cut(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
+    sets = sets_of(wanted, nodes, docs, scratch)
+    joined = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")).join(_known_small(pairs), "a").join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,15 +236,70 @@ def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, scratch: Scratch
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     out = scratch.cut(joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
-    scratch.drop(sets, reps)
+    scratch.drop(wanted, sets)
     return out
 
 
-def _possible(n: str, pos: str, m: str, qos: str):  # noqa: ANN202
-    """Size and position filters on two postings of one token: sizes n and m, places pos and qos (from 0) in their prefixes."""
-    sizes = (F.least(n, m) * 100 >= F.greatest(n, m) * LEAST)
-    rest = F.lit(1) + F.least(F.col(n) - F.col(pos) - 1, F.col(m) - F.col(qos) - 1)
-    return sizes & (rest * (100 + LEAST) >= (F.col(n) + F.col(m)) * LEAST)
+def _possible() -> Column:
+    """Size and position filters on two postings of one token: sizes n and n2, places pos and pos2 (from 0) in their prefixes."""
+    return _possible_with(F.col("n2"), F.col("pos2"))
+
+
+def _possible_with(n2: Column, pos2: Column) -> Column:
+    sizes = F.least("n", n2) * 100 >= F.greatest("n", n2) * LEAST
+    rest = F.least(F.col("n") - F.col("pos"), n2 - pos2)
+    return sizes & (rest * (100 + LEAST) >= (F.col("n") + n2) * LEAST)
+
+
+def _pairs(found: DataFrame) -> DataFrame:
+    return found.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
+
+
+def _labelled(postings: DataFrame, parts: DataFrame | None) -> DataFrame:
+    if parts is None:
+        return postings.withColumn("component", F.col("node"))
+    return postings.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def _front() -> Column:
+    """Whether a posting can be the smaller set's in a pair that passes the filters."""
+    return F.col("pos") * (100 + LEAST) <= F.col("n") * (100 - LEAST)
+
+
+def shared_postings(postings: DataFrame) -> DataFrame:
+    """Postings that may have a partner: the next one in size fits, some posting of the token is at a front, and of two both fit."""
+    by_size = Window.partitionBy("token").orderBy("n", "node")
+    every = Window.partitionBy("token")
+    fits = lambda side: F.coalesce(_possible_with(F.col(f"{side}.n"), F.col(f"{side}.pos")), F.lit(False))
+    sized = lambda side: F.coalesce(F.least("n", f"{side}.n") * 100 >= F.greatest("n", f"{side}.n") * LEAST, F.lit(False))
+    near = postings.withColumns(
+        {"prev": F.lag(F.struct("n", "pos")).over(by_size), "next": F.lead(F.struct("n", "pos")).over(by_size), "size": F.count("*").over(every), "fronts": F.max(_front()).over(every)}
+    ).filter((F.col("size") > 1) & F.col("fronts"))
+    return near.filter(F.when(F.col("size") == 2, fits("prev") | fits("next")).otherwise(sized("prev") | sized("next"))).select("token", "node", "n", "pos")
+
+
+def _pivots(postings: DataFrame, round_: int) -> DataFrame:
+    """Pairs with the first and with the next few of a token's postings in a random order, if of another component: linear in the postings."""
+    one_in, lags = ROUNDS[round_]
+    order = Window.partitionBy("token").orderBy(F.xxhash64(F.lit(round_), "token", "node"))
+    postings = postings.filter(F.pmod("token", F.lit(one_in)) == 0)
+    other = F.struct(*(F.col(c).alias(f"{c}2") for c in ("node", "n", "pos", "component")))
+    partners = [F.first(other).over(order), *(F.lag(other, i).over(order) for i in range(1, lags + 1))]
+    found = postings.select("node", "n", "pos", "component", F.array(*partners).alias("partners")).select("node", "n", "pos", "component", F.inline(F.filter("partners", lambda p: p.isNotNull() & (p["component2"] != F.col("component")))))
+    return _pairs(found.filter(_possible()))
+
+
+def _mixed(postings: DataFrame) -> DataFrame:
+    """Postings of tokens that still stand in more than one component."""
+    return postings.join(postings.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("token"), "token", "left_semi")
+
+
+def _across(postings: DataFrame) -> DataFrame:
+    """All pairs of postings of a token from different components that pass the filters; the smaller set's place must be near the front."""
+    right = postings.select(F.col("token").alias("token2"), *(F.col(c).alias(f"{c}2") for c in ("node", "n", "pos", "component")))
+    ordered = (F.col("n") < F.col("n2")) | ((F.col("n") == F.col("n2")) & ((F.col("node") < F.col("node2")) | (F.col("pos2") * (100 + LEAST) > F.col("n2") * (100 - LEAST))))
+    apart = (F.col("token") == F.col("token2")) & (F.col("component") != F.col("component2")) & ordered
+    return _pairs(postings.filter(_front()).join(right, apart & _possible()))
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -237,35 +307,22 @@ def join(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "jaccard")
     rows = scratch.cut(digests(docs, sketch(docs)).withColumn("row", F.monotonically_increasing_id()))
     linked = rows.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    nodes = linked.groupBy("k1", "k2").agg(F.min("row").alias("node"), F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    postings = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
-    by_size = Window.partitionBy("token").orderBy("n", "node")
-    near = postings.withColumns(
-        {
-            "size": F.count("*").over(Window.partitionBy("token")),
-            "prev": F.lag(F.struct("node", "n", "pos")).over(by_size),
-            "first": F.first(F.struct("node", "n", "pos")).over(by_size),
-        }
-    ).filter(F.col("size") > 1)
-    shared = scratch.cut(near.drop("size"))
-    nodes = scratch.cut(nodes.drop("prefix"))
-    flat = lambda other: shared.filter(F.col(f"{other}.node") != F.col("node")).select("node", "n", "pos", F.col(f"{other}.node").alias("node2"), F.col(f"{other}.n").alias("n2"), F.col(f"{other}.pos").alias("pos2"))
-    ordered = lambda df: df.filter(_possible("n", "pos", "n2", "pos2")).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
-    tried = scratch.cut(ordered(flat("prev").unionByName(flat("first"))))
-    links = verify(tried, docs, nodes, scratch)
-    same_id = linked.join(nodes.select("k1", "k2", "node"), ["k1", "k2"]).groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.collect_set("node").alias("all")).filter("a < b")
-    links = scratch.cut(links.unionByName(same_id.select("a", F.explode("all").alias("b")).filter("a < b")))
-    parts = connected_components(links, scratch)
-    labelled = shared.select("token", "node", "n", "pos").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("token")
-    left = labelled.join(mixed, "token", "left_semi")
-    right = left.select("token", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "pos", "component")))
-    across = ordered(left.join(right, "token").filter("component < component2").select("node", "n", "pos", "node2", "n2", "pos2"))
-    across = scratch.cut(across.join(tried, ["a", "b"], "left_anti"))
-    more = verify(across, docs, nodes, scratch)
-    if not more.isEmpty():
-        parts = connected_components(links.unionByName(more), scratch)
-    scratch.drop(shared, tried, across)
+    classes = linked.groupBy("k1", "k2").agg(F.min("row").alias("node"), F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    shared = scratch.cut(shared_postings(classes.select("node", "n", F.posexplode("prefix").alias("pos", "token"))))
+    nodes = scratch.cut(linked.groupBy("k1", "k2").agg(F.min("row").alias("node"), F.min("doc_id").alias("rep")))
+    same_id = linked.join(nodes.select("k1", "k2", "node"), ["k1", "k2"]).groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.collect_set("node").alias("all"))
+    links = scratch.cut(same_id.filter("a < z").select("a", F.explode("all").alias("b")).filter("a < b"))
+    tried, parts = None, None
+    for round_ in range(len(ROUNDS) + 1):
+        labelled = _mixed(_labelled(shared, parts)) if round_ else _labelled(shared, parts)
+        pairs = _pivots(labelled, round_) if round_ < len(ROUNDS) else _across(labelled)
+        pairs = scratch.cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        found = verify(pairs, nodes, docs, scratch)
+        links = scratch.cut(links.unionByName(found))
+        tried = pairs if tried is None else scratch.cut(tried.unionByName(pairs))
+        if parts is None or not found.isEmpty():
+            parts = connected_components(links, scratch)
+    scratch.drop(shared, tried, links)
     named = nodes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     label = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = named.join(label, "component").select("k1", "k2", "component_id")
