@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corvane.plans import corpus, evaluation, retrieval
+from corvane.plans import corpus, evaluation, retrieval, streams
 
-MODULES = (retrieval, evaluation, corpus)
+MODULES = (retrieval, evaluation, corpus, streams)
 
 
 def queries() -> dict:
