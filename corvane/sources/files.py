@@ -42,7 +42,8 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
 def whole_text(df: DataFrame, most_bytes: int | None = None) -> DataFrame:
     """Decode ``content`` to ``text``; beyond ``most_bytes`` it is cut, and a broken last character dropped."""
     content = F.col("content") if most_bytes is None else F.substring("content", 1, most_bytes)
-    text = F.make_valid_utf8(F.decode(content, "UTF-8")) if most_bytes is None else F.regexp_replace(F.decode(content, "UTF-8"), "�+$", "")
+    text = F.make_valid_utf8(content.cast("string"))
+    text = text if most_bytes is None else F.regexp_replace(text, "\ufffd+$", "")
     return df.withColumn("text", text).drop("content")
 
 
@@ -196,11 +197,12 @@ def chunked(df: DataFrame, text: str = "text", size: int = 1000, overlap: int =
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            pdf["chunk"] = [list(enumerate(pieces(t or ""))) for t in pdf[text]]
-            pdf = pdf.drop(columns=[text]).explode("chunk").dropna(subset=["chunk"])
-            pdf["chunk_index"] = [int(c[0]) for c in pdf["chunk"]]
-            pdf["chunk"] = [c[1] for c in pdf["chunk"]]
-            yield pdf
+            found = [pieces(t or "") for t in pdf[text]]
+            rows = pdf.drop(columns=[text]).loc[pdf.index.repeat([len(f) for f in found])].reset_index(drop=True)
+            rows["chunk"] = [c for f in found for c in f]
+            rows["chunk_index"] = [i for f in found for i in range(len(f))]
+            if len(rows):
+                yield rows
 
     from pyspark.sql import types as T
 
