@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corvane.plans import corpus, evaluation, retrieval, streams
+from corvane.plans import corpus, evaluation, more, retrieval, streams
 
-MODULES = (retrieval, evaluation, corpus, streams)
+MODULES = (retrieval, evaluation, corpus, more, streams)
 
 
 def queries() -> dict:
