@@ -13,7 +13,8 @@ OVERRIDES = (
     r"(?i)\bdisregard\s+the\s+system\s+prompt\b",
     r"(?i)\byou\s+are\s+now\s+(?:a|an)\s+[^.!?\n\r]{1,80}",
 )
-HIDDEN = (r"[\x{202A}-\x{202E}\x{2066}-\x{2069}]", r"[\x{200B}-\x{200D}\x{2060}\x{FEFF}]", r"[\x{E0000}-\x{E007F}]")
+# Code points that hide or reorder text.
+HIDDEN = {"unicode_bidi": r"[\x{202A}-\x{202E}\x{2066}-\x{2069}]", "zero_width": r"[\x{200B}-\x{200D}\x{FEFF}]", "unicode_tag": r"[\x{E0020}-\x{E007F}]"}
 # Rules of the shield with the parts of their names.
 SHIELD = {
     "RoleTakeover.IgnorePriorInstructions": r"(?i)(ignore|forget|disregard)\s+(all\s+)?(prior|previous|above)\s+instructions?",
@@ -23,6 +24,7 @@ SHIELD = {
     "RoleTakeover.PseudoRole": r"(?im)^[ \t]*(system|assistant|user)\s*:\s*",
     "IndirectExfil.JavascriptUrl": r"(?i)\bjavascript:",
     "IndirectExfil.UntilFurtherNotice": r"(?i)until\s+further\s+notice,\s+(the\s+)?(user|operator)",
+    "Markup.BeginEndPrompt": r"(BEGIN|END)\s+PROMPT",
 }
 # What is redacted, in order; group 1 stays.
 _KINDS = r"(?:api|access|refresh|auth|session)[_-]?token|api[_-]?key|client[_-]?secret|password|passwd|secret|cookie"
@@ -51,9 +53,9 @@ ABSTAINED = r"(?i)\b(do not have enough|not enough|insufficient|cannot answer|ca
 
 
 def injection_signals(text: Column) -> Column:
-    """Kinds of signals found, in order: role markers, overrides, hidden characters."""
+    """Kinds of signals found, in order: role markers, overrides, kinds of hidden characters."""
     hit = lambda patterns, kind: F.when(F.greatest(*[text.rlike(p).cast("int") for p in patterns]) == 1, kind)
-    return F.array_compact(F.array(hit(ROLE_MARKERS, "system_role_marker"), hit(OVERRIDES, "instruction_override"), hit(HIDDEN, "hidden_characters")))
+    return F.array_compact(F.array(hit(ROLE_MARKERS, "system_role_marker"), hit(OVERRIDES, "instruction_override"), *[F.when(text.rlike(p), kind) for kind, p in HIDDEN.items()]))
 
 
 def shield_counts(text: Column) -> dict[str, Column]:
