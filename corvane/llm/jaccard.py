@@ -30,12 +30,13 @@ from corvane.llm.components import connected_components
 WORDS = 4
 #: Similarity times 100.
 LEAST = 85
-#: Counters of the sketch (a power of two): 4 MB as broadcast, whatever the corpus.
-SKETCH_BITS = 22
-SLICE = 1 << 14
+#: The sketch counts each token by the counter of its leading 24 bits: 16 MB as broadcast, whatever the corpus.
+SHIFT = np.uint64(40)
+COUNTERS = 1 << 24
+SLICE = 1 << 16
 #: Rounds of pivots before pairs are taken across components: the share of tokens that take part (one in so many), and the
 #: partners that a posting gets besides the first of its token. The first round links what is easily linked.
-ROUNDS = ((4, 1), (1, 8), (1, 4))
+ROUNDS = ((4, 1), (1, 8))
 #: Ids that may be broadcast (8 bytes each).
 BROADCAST_IDS = 500_000
 #: Characters that a worker hashes at once.
@@ -123,53 +124,48 @@ def _each(batches: Iterable[pa.RecordBatch], text: str) -> Iterator[tuple[pa.Rec
 
 
 def sketch(docs: DataFrame) -> np.ndarray:
-    """How rare each counter's tokens are: 0 for those within the noise of the sketch, then a step for each doubling."""
-    bits = SKETCH_BITS
+    """How frequent the tokens of each counter are: 0 for those within the noise of the sketch, then a step for each doubling."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, any_rows = np.zeros(1 << bits, np.uint32), False
+        counts = np.zeros(COUNTERS, np.uint32)
         for _, sets in _each(batches, "text"):
-            any_rows = True
-            counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint32) if sum(map(len, sets)) > 1 << 16 else 0
-            if sum(map(len, sets)) <= 1 << 16:
-                np.add.at(counts, (np.concatenate(sets) >> np.uint64(64 - bits)).astype(np.int64), 1)
-        if any_rows:
-            for i in range(0, 1 << bits, SLICE):
-                part = counts[i : i + SLICE]
-                if part.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([i // SLICE], pa.int32()), pa.array([np.minimum(part, 65535).astype(np.uint16).tobytes()], pa.binary())], names=["slice", "counts"])
+            np.add.at(counts, (np.concatenate(sets) >> SHIFT).astype(np.int64), 1)
+        places = np.flatnonzero(counts)
+        for i, part in enumerate(np.split(places, np.searchsorted(places, np.arange(SLICE, COUNTERS, SLICE)))):
+            if len(part):
+                packed = [(part - i * SLICE).astype(np.uint16).tobytes(), np.minimum(counts[part], 255).astype(np.uint8).tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), *(pa.array([x], pa.binary()) for x in packed)], names=["slice", "places", "counts"])
 
     def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(SLICE, np.uint64)
-        for x in table.column("counts"):
-            total += np.frombuffer(x.as_buffer(), np.uint16)
-        return pa.table({"slice": table.column("slice")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+        total = np.zeros(SLICE, np.uint32)
+        for places, counts in zip(table.column("places"), table.column("counts"), strict=True):
+            total[np.frombuffer(places.as_buffer(), np.uint16)] += np.frombuffer(counts.as_buffer(), np.uint8)
+        return pa.table({"slice": table.column("slice")[:1], "counts": pa.array([np.minimum(total, 255).astype(np.uint8).tobytes()], pa.binary())})
 
-    parts = docs.select("text").mapInArrow(count, "slice int, counts binary").groupBy("slice").applyInArrow(add, "slice int, counts binary")
-    counts = np.zeros(1 << bits, np.float64)
-    for row in parts.toLocalIterator():  # 2 ** SKETCH_BITS counters in all
-        counts[row.slice * SLICE : (row.slice + 1) * SLICE] = np.frombuffer(bytes(row.counts), np.uint64)
-    mean = counts.mean()
-    return np.floor(np.log2(np.maximum(1, (counts - mean) / max(8.0, 4 * mean**0.5)))).astype(np.uint8)
+    parts = docs.select("text").mapInArrow(count, "slice int, places binary, counts binary").groupBy("slice").applyInArrow(add, "slice int, counts binary")
+    counts = np.zeros(-(-COUNTERS // SLICE) * SLICE, np.uint8)
+    for row in parts.toLocalIterator():  # COUNTERS bytes in all
+        counts[row.slice * SLICE : (row.slice + 1) * SLICE] = np.frombuffer(bytes(row.counts), np.uint8)
+    counts = counts[:COUNTERS]
+    mean = float(counts.mean())
+    level = np.array([0 if (x := (c - mean) / max(1.5, 2.5 * mean**0.5)) < 1 else 1 + int(np.log2(x)) for c in range(256)], np.uint8)
+    return level[counts]
 
 
 def digests(docs: DataFrame, levels: np.ndarray) -> DataFrame:
     """Per row: doc_id, n (size of its set), k1 and k2 (hash of the set), prefix (tokens of the rare-first prefix, in order)."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
-    shift = np.uint64(64 - SKETCH_BITS)
-
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = shared.value
         for batch, sets in _each(batches, "text"):
             prefixes, keys = [], [[], []]
             for s in sets:
                 p = prefix_length(len(s)) if len(s) else 0
-                rank = level[(s >> shift).astype(np.int64)]
+                rank = level[(s >> SHIFT).astype(np.int64)]
                 light = s[rank == 0]
-                if len(light) >= p:
-                    prefixes.append(light[:p].view(np.int64))
-                else:
-                    prefixes.append(s[np.lexsort((s, rank))][:p].view(np.int64))
+                if len(light) < p:
+                    light = s[np.lexsort((s, rank))]
+                prefixes.append(light[:p].view(np.int64))
                 mixed = _mix(s + np.uint64(len(s)))
                 keys[0].append(int(np.bitwise_xor.reduce(mixed).astype(np.uint64).view(np.int64)))
                 keys[1].append(int((mixed * _PLACE[0]).sum(dtype=np.uint64).view(np.int64)))
