@@ -59,7 +59,7 @@ class Lists:
         rng = np.random.default_rng(seed)
         self.norm = norm * (1 + 1e-9)
         sample = np.unique(self.lift(sample), axis=0) if len(sample) else np.zeros((0, 1))
-        n = int(min(MOST_LISTS, max(1, len(sample) // 8), max(4, round(rows**0.5 / 4))))
+        n = int(min(MOST_LISTS, max(1, len(sample) // 8), max(4, round(rows**0.5 / 8))))
         width = sample.shape[1]
         self.rotation = np.linalg.qr(rng.standard_normal((width, width)))[0]
         centroids = sample[rng.choice(len(sample), n, replace=False)] if len(sample) else np.zeros((1, width))
