@@ -32,7 +32,7 @@ from corvane.llm.common import fold_key, in_batches, read
 
 DOCS_PER_LANGUAGE = 100
 CHARS_PER_DOC = 2_000
-BYTES_PER_LANGUAGE = 32_000
+BYTES_PER_LANGUAGE = 24_000
 MAX_LANGUAGES = 32
 LANE = 512
 UNKNOWN = "und"
@@ -88,7 +88,12 @@ def suffix_automaton(data: bytes) -> list[dict[int, int]]:
 
 
 class Model:
-    """All languages' automata in one table: ``table[state * width + symbol]`` is the next state, -1 where the phrase ends."""
+    """All languages' automata in one table: ``table[(base + state) * width + symbol]`` is the next state, ``END`` where the phrase ends.
+
+    An automaton has fewer than 2 * BYTES_PER_LANGUAGE states, so that 16 bits hold one.
+    """
+
+    END = 0xFFFF
 
     def __init__(self, samples: dict[str, bytes]):
         self.languages = sorted(samples)
@@ -98,20 +103,20 @@ class Model:
         self.symbol = np.zeros(256, np.uint8)
         for i, b in enumerate(used):
             self.symbol[b] = i + 1
-        tables, self.roots, base = [], [], 0
+        tables, bases, base = [], [], 0
         for x in self.languages:
             step = suffix_automaton(samples[x])
-            table = np.full((len(step), self.width), -1, np.int32)
+            table = np.full((len(step), self.width), self.END, np.uint16)
             for s, edges in enumerate(step):
                 for b, t in edges.items():
-                    table[s, self.symbol[b]] = t + base
+                    table[s, self.symbol[b]] = t
             tables.append(table)
-            self.roots.append(base)
+            bases.append(base * self.width)
             base += len(step)
-        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
-        first = [t[0] for t in tables]
+        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.uint16)
+        self.bases = np.array(bases, np.int32)[:, None]
         #: From the start: next state, or the start itself for a symbol that the language lacks (a phrase of its own).
-        self.restart = np.array([np.where(f < 0, r, f) for f, r in zip(first, self.roots, strict=True)], np.int32)
+        self.restart = np.array([np.where(t[0] == self.END, 0, t[0]) for t in tables], np.int32)
 
     def phrases(self, texts: list[str]) -> np.ndarray:
         """Phrases needed by each text in each language."""
@@ -126,17 +131,16 @@ class Model:
         order = np.argsort(-length, kind="stable")
         start, length, owner = start[order], length[order], owner[order]
         counts = np.zeros((len(self.languages), len(start)), np.int32)
-        roots = np.array(self.roots, np.int32)[:, None]
-        state = np.repeat(roots, len(start), 1)
+        state = np.zeros((len(self.languages), len(start)), np.int32)
         active = np.searchsorted(-length, -np.arange(1, LANE + 1), side="right")
         for t in range(LANE):
             m = active[t]
             if m == 0:
                 break
             c = coded[start[:m] + t]
-            after = self.table.take(state[:, :m] * self.width + c)
-            ended = after < 0
-            counts[:, :m] += ended | (state[:, :m] == roots)  # a phrase begins where one ended, or after a symbol of no phrase
+            after = self.table.take(state[:, :m] * self.width + self.bases + c).astype(np.int32)
+            ended = after == self.END
+            counts[:, :m] += ended | (state[:, :m] == 0)  # a phrase begins where one ended, or after a symbol of no phrase
             np.copyto(after, self.restart[:, c], where=ended)
             state[:, :m] = after
         out = np.zeros((len(texts), len(self.languages)), np.int64)

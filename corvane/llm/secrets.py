@@ -100,9 +100,9 @@ def classify(df: DataFrame, owner: str = "source", repository: str = "doc_id", t
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
     """Replace the spans of ``secrets`` in ``text``: ``[SECRET]`` where live, ``[EXAMPLE]`` where widely copied; overlapping spans merge."""
 
-    @F.pandas_udf("string")
-    def cut(texts, spans):  # noqa: ANN001, ANN202
-        return texts.combine(spans, _redacted)
+    @F.arrow_udf("string")
+    def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        return pa.array([_redacted(t.as_py(), s.as_py()) for t, s in zip(texts, spans, strict=True)], pa.string())
 
     found = F.size("secrets") > 0
     return df.withColumn(text, F.when(found, cut(F.when(found, F.col(text)), F.when(found, F.col("secrets")))).otherwise(F.col(text))).drop("secrets")
