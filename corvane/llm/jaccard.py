@@ -127,14 +127,21 @@ def sketch(docs: DataFrame) -> np.ndarray:
     """How frequent the tokens of each counter are: 0 for those within the noise of the sketch, then a step for each doubling."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(COUNTERS, np.uint32)
+        counts, rows = np.zeros(COUNTERS, np.uint16), 0
         for _, sets in _each(batches, "text"):
+            if rows + len(sets) > 65_000:  # a row adds little more than one to a counter, so 16 bits hold it
+                yield from packed(counts)
+                counts[:], rows = 0, 0
             np.add.at(counts, (np.concatenate(sets) >> SHIFT).astype(np.int64), 1)
+            rows += len(sets)
+        yield from packed(counts)
+
+    def packed(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
         places = np.flatnonzero(counts)
         for i, part in enumerate(np.split(places, np.searchsorted(places, np.arange(SLICE, COUNTERS, SLICE)))):
             if len(part):
-                packed = [(part - i * SLICE).astype(np.uint16).tobytes(), np.minimum(counts[part], 255).astype(np.uint8).tobytes()]
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), *(pa.array([x], pa.binary()) for x in packed)], names=["slice", "places", "counts"])
+                columns = [(part - i * SLICE).astype(np.uint16).tobytes(), np.minimum(counts[part], 255).astype(np.uint8).tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), *(pa.array([x], pa.binary()) for x in columns)], names=["slice", "places", "counts"])
 
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(SLICE, np.uint32)
@@ -143,18 +150,18 @@ def sketch(docs: DataFrame) -> np.ndarray:
         return pa.table({"slice": table.column("slice")[:1], "counts": pa.array([np.minimum(total, 255).astype(np.uint8).tobytes()], pa.binary())})
 
     parts = docs.select("text").mapInArrow(count, "slice int, places binary, counts binary").groupBy("slice").applyInArrow(add, "slice int, counts binary")
-    counts = np.zeros(-(-COUNTERS // SLICE) * SLICE, np.uint8)
+    counts = np.zeros(COUNTERS, np.uint8)
     for row in parts.toLocalIterator():  # COUNTERS bytes in all
         counts[row.slice * SLICE : (row.slice + 1) * SLICE] = np.frombuffer(bytes(row.counts), np.uint8)
-    counts = counts[:COUNTERS]
     mean = float(counts.mean())
     level = np.array([0 if (x := (c - mean) / max(1.5, 2.5 * mean**0.5)) < 1 else 1 + int(np.log2(x)) for c in range(256)], np.uint8)
-    return level[counts]
+    return np.take(level, counts, out=counts)
 
 
 def digests(docs: DataFrame, levels: np.ndarray) -> DataFrame:
     """Per row: doc_id, n (size of its set), k1 and k2 (hash of the set), prefix (tokens of the rare-first prefix, in order)."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = shared.value
         for batch, sets in _each(batches, "text"):
