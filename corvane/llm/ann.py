@@ -35,9 +35,9 @@ MOST_LISTS = 1_024
 #: sphere, where lists say little: 0.25 finds 67 % of the true neighbours of 10,000, 0.7 finds 96 %. Clustered vectors need less.
 PROBE_SHARE = 0.8
 LEAST_PROBES = 12
-COLUMNS = 16
+COLUMNS = 32
 #: Width of the hypothesis test: a larger value abandons later.
-EPSILON = 2.1
+EPSILON = 1.0
 PART_ROWS = 8_192
 PART_QUERIES = 2_048
 ROUNDS = 12
@@ -100,20 +100,22 @@ def scan(ids: np.ndarray, x: np.ndarray, rotated: np.ndarray, query_id: int, q:
     best_s, best_i = np.zeros(0), np.zeros(0, np.int64)
     width, at, step = rotated.shape[1], 0, 256
     while at < len(ids):
-        alive = np.arange(at, min(at + step, len(ids)))
-        at, step = at + step, step * 2
+        end = min(at + step, len(ids))
+        alive: np.ndarray | slice = slice(at, end)
         if len(best_s) == k:
             limit = bound - 2 * best_s[-1]
-            seen = np.zeros(len(alive))
+            seen = np.zeros(end - at, np.float32)
             for c in range(0, width, COLUMNS):
                 d = min(c + COLUMNS, width)
                 part = rotated[alive, c:d] - q_rotated[c:d]
-                seen += (part * part).sum(1)
-                slack = (1 + EPSILON / d**0.5) ** 2 if d < width else 1 + 1e-9
-                keep = seen <= limit * (d / width) * slack + 1e-12
-                alive, seen = alive[keep], seen[keep]
+                seen += np.einsum("ij,ij->i", part, part)
+                slack = (1 + EPSILON / d**0.5) ** 2 if d < width else 1 + 1e-5
+                keep = np.flatnonzero(seen <= limit * (d / width) * slack + 1e-6)
+                alive, seen = keep + at if isinstance(alive, slice) else alive[keep], seen[keep]
                 if not len(alive):
                     break
+        at, step = end, step * 2
+        alive = np.arange(alive.start, alive.stop) if isinstance(alive, slice) else alive
         alive = alive[ids[alive] != query_id]
         if len(alive):
             s, i = np.concatenate([best_s, (x[alive] * q).sum(1)]), np.concatenate([best_i, ids[alive]])
@@ -169,10 +171,10 @@ def search(df: DataFrame, every: int = 20, k: int = K) -> DataFrame:
             model = shared.value
             rows_ = np.unique(np.hstack([np.asarray(left.column("vec_id").combine_chunks(), np.int64).view(np.float64)[:, None], _matrix(left.column("v"), width)]).view(np.int64), axis=0)
             ids, v = rows_[:, 0].copy(), np.ascontiguousarray(rows_[:, 1:]).view(np.float64)
-            rotated = model.lift(v) @ model.rotation
+            rotated = (model.lift(v) @ model.rotation).astype(np.float32)
             for query_id, vector in zip(right.column("query_id").to_pylist(), _matrix(right.column("q"), width), strict=True):
                 lifted = np.append(vector, 0.0)
-                found, scores = scan(ids, v, rotated, query_id, vector, lifted @ model.rotation, float(vector @ vector) + model.norm**2, k)
+                found, scores = scan(ids, v, rotated, query_id, vector, (lifted @ model.rotation).astype(np.float32), float(vector @ vector) + model.norm**2, k)
                 out_q.append(np.full(len(found), query_id))
                 out_i.append(found)
                 out_s.append(scores)
