@@ -7,8 +7,7 @@ similarity as weight; the vote is turned into a probability by a logistic curve
 each example left out. Neighbours, similarities and labels are the evidence.
 
 The examples are a bounded sample of the labelled rows outside the held-out fold: at most ``TOXIC`` and ``CLEAN`` of them
-(smallest id hashes), ``EXAMPLE_CHARS`` characters of each. The vocabulary is the terms found in at least
-``LEAST_EXAMPLES`` of them and at most ``MOST_SHARE`` percent of the clean ones, ``MOST_TERMS`` at most. Queries are whole texts.
+(smallest id hashes), ``EXAMPLE_CHARS`` characters of each. The vocabulary is all of their terms. Queries are whole texts.
 
 Defined results: texts without a known term (null and empty ones too) get the score of no vote, below one half. Labels
 with nulls, and documents that are labelled both ways, teach nothing or by their least label. If either label is missing
@@ -34,14 +33,12 @@ TOXIC = 1_000
 CLEAN = 3_000
 #: Characters of an example that are learned from.
 EXAMPLE_CHARS = 20_000
-LEAST_EXAMPLES = 20
-#: Percentage of the clean examples beyond which a term says nothing.
-MOST_SHARE = 15
-MOST_TERMS = 20_000
 NEIGHBOURS = 25
 BLOCK = 256
 #: Blocks that are scored before the bounds of the others are looked at.
 FIRST_BLOCKS = 2
+#: Terms in at least one of so many examples are kept as whole rows of weights, which are added faster than postings.
+ROW_SHARE = 4
 #: Letters of a word's start that count as a term.
 START = 4
 
@@ -64,8 +61,7 @@ class Index:
     def __init__(self, texts: list[str], labels: list[int]):
         bags = [terms(t) for t in texts]
         found = Counter(t for b in bags for t in b)
-        clean = Counter(t for b, y in zip(bags, labels, strict=True) if y == 0 for t in b)
-        kept = sorted((t for t, n in found.items() if n >= LEAST_EXAMPLES and 100 * clean[t] <= MOST_SHARE * labels.count(0)), key=lambda t: (-found[t], t))[:MOST_TERMS]
+        kept = sorted(found, key=lambda t: (-found[t], t))
         self.number = {t: i for i, t in enumerate(kept)}
         self.idf = np.array([math.log((1 + len(texts)) / (1 + found[t])) for t in kept], np.float32)
         vectors = [self.vector(b) for b in bags]
@@ -85,6 +81,12 @@ class Index:
         self.bounds = np.zeros(len(kept) * self.n_blocks, np.float32)
         np.maximum.at(self.bounds, cell, self.weights)
         self.bounds = self.bounds.reshape(len(kept), self.n_blocks)
+        #: Terms are numbered by falling frequency, so the first ones have rows.
+        self.n_rows = sum(ROW_SHARE * found[t] >= len(texts) for t in kept)
+        self.rows = np.zeros((self.n_rows, self.n_blocks * BLOCK), np.float32)
+        m = int(np.searchsorted(term[by_term], self.n_rows))
+        self.rows[term[by_term][:m], self.examples[:m]] = self.weights[:m]
+        self.rows = self.rows.reshape(self.n_rows, self.n_blocks, BLOCK)
         self.curve = (0.0, -20.0)
         if len(set(labels)) == 2:
             self.curve = self._calibrated([vectors[j] for j in order])
@@ -116,12 +118,19 @@ class Index:
 
     def _scored(self, blocks: np.ndarray, i: np.ndarray, w: np.ndarray, leave: int) -> tuple[np.ndarray, np.ndarray]:
         """The nearest examples within some blocks."""
+        common = i < self.n_rows
+        heavy, by = i[common], w[common]
+        i, w = i[~common], w[~common]
         cells = (i[:, None] * self.n_blocks + blocks[None, :]).ravel()
         start = self.cuts[cells]
         length = self.cuts[cells + 1] - start
         first = np.cumsum(length) - length
         at = np.repeat(start - first, length) + np.arange(length.sum())
         s = np.bincount(self.examples[at], self.weights[at] * np.repeat(np.repeat(w, len(blocks)), length), len(self.labels))
+        if len(heavy) and len(blocks):
+            whole = np.zeros((self.n_blocks, BLOCK))
+            whole[blocks] = np.tensordot(by, self.rows[heavy[:, None], blocks[None, :]], 1)
+            s = s + whole.ravel()[: len(s)]
         if leave >= 0:
             s[leave] = 0
         j = np.flatnonzero(s > 0)

@@ -176,6 +176,19 @@ def test_toxicity_neighbours_are_exact_and_votes_tell(spark, documents):
         assert np.allclose(index.nearest(i, w)[1], exact, atol=1e-5)
 
 
+def test_toxicity_of_few_examples_keeps_all_their_terms(spark, documents):
+    rng = np.random.default_rng(6)
+    plain = [f"q{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]
+    docs = [(i, " ".join(rng.choice(plain, 20)) + (f" vile nasty {'xyz'[i % 3] * 3}" if i % 6 == 0 else ""), "en", "s", 1) for i in range(90)]
+    labels = spark.createDataFrame([(i, 1, int(i % 6 == 0)) for i in range(90)], "doc_id long, quality int, toxic int")
+    index = toxicity.fit(documents(docs), labels)
+    rows = toxicity.training_rows(documents(docs), labels).collect()
+    assert set(index.number) == {t for r in rows for t in toxicity.terms(r.text)}
+    held = [(i, text) for i, text, *_ in docs if i not in {r.doc_id for r in rows}]
+    assert len({index.score(text)[0] for _, text in held}) > 1
+    assert all((index.score(text)[0] >= 0.5) == (i % 6 == 0) for i, text in held)
+
+
 def test_toxicity_without_labels(spark, documents):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     docs = documents([(1, "a text", "en", "s", 1)])
