@@ -223,7 +223,7 @@ def ret13_source_cap(spark, sf):  # noqa: ANN001, ANN201
 @query()
 def ret14_diverse(spark, sf):  # noqa: ANN001, ANN201
     n = min(max(4 * K, 20), 100)
-    hits = bm25_run(spark, sf, n).join(_sources(spark, sf), "id").select("query_id", "id", "source", (1.0 / F.col("rank")).alias("base"), text.mmr_tokens(F.substring("text", 1, 2000)).alias("tokens"))
+    hits = bm25_run(spark, sf, n).join(_sources(spark, sf), "id").select("query_id", "id", "source", (1.0 / F.col("rank")).alias("base"), text.mmr_tokens(F.col("text")).alias("tokens"))
     return fusion.diversify(hits, K)
 
 
@@ -287,18 +287,22 @@ def ret21_heuristic_rerank(spark, sf):  # noqa: ANN001, ANN201
 
 @query()
 def ret22_late_interaction(spark, sf):  # noqa: ANN001, ANN201
-    """MaxSim of token vectors (hashed counts of character trigrams), over the first hits of each query, at most 64 tokens a query."""
-    def vectors(df, i):  # noqa: ANN001, ANN202
-        words = df.select(i, F.posexplode(F.slice(F.array_distinct(text.bm25_tokens(F.col("text"))), 1, 64)).alias("at", "w"))
+    """MaxSim of token vectors (hashed presence of character trigrams), over the first hits of each query; whole texts and all queries.
+
+    A vector has 64 places, so it is one long, and words of equal vectors of a document count once.
+    """
+    def vectors(df, *keys):  # noqa: ANN001, ANN202
+        words = df.select(*keys, F.explode(F.array_distinct(text.bm25_tokens(F.col("text")))).alias("w"))
         grams = F.transform(F.sequence(F.lit(1), F.length("p") - 2), lambda k: F.pmod(F.xxhash64(F.substring("p", k, F.lit(3))), F.lit(64)).cast("int"))
-        return words.withColumn("p", F.concat(F.lit("^"), "w", F.lit("$"))).filter("length(p) >= 3").select(i, "w", F.array_distinct(grams).alias("g"))
+        bits = F.aggregate(grams, F.lit(0).cast("long"), lambda a, g: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), g)))
+        return words.withColumn("p", F.concat(F.lit("^"), "w", F.lit("$"))).select(*keys, "w", bits.alias("g"))
 
-    q = vectors(table(spark, sf, "benchmark").filter("item_id < 20").withColumnRenamed("item_id", "query_id"), "query_id").withColumnRenamed("g", "gq").withColumnRenamed("w", "wq")
+    q = vectors(table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text"), "query_id").groupBy("query_id", F.col("g").alias("gq")).agg(F.count("*").alias("n"))
     hits = bm25_run(spark, sf, 10).select("query_id", "id")
-    d = vectors(_sources(spark, sf).join(hits.select("id").distinct(), "id", "left_semi"), "id")
-    sim = F.size(F.array_intersect("g", "gq")) / F.sqrt(F.size("g") * F.size("gq"))
-    best = hits.join(q, "query_id").join(d, "id").groupBy("query_id", "id", "wq").agg(F.max(sim).alias("m"))
-    return lexical.top(best.groupBy("query_id", "id").agg(F.round(F.avg("m"), 6).alias("score")), 10)
+    d = vectors(_sources(spark, sf).join(hits.select("id").distinct(), "id", "left_semi"), "id").select("id", "g").distinct()
+    sim = F.bit_count(F.col("g").bitwiseAND(F.col("gq"))) / F.sqrt(F.bit_count("g") * F.bit_count("gq"))
+    best = hits.join(q, "query_id").join(d, "id").groupBy("query_id", "id", "gq", "n").agg(F.max(sim).alias("m"))
+    return lexical.top(best.groupBy("query_id", "id").agg(F.round(F.sum(F.col("m") * F.col("n")) / F.sum("n"), 6).alias("score")), 10)
 
 
 @query()
