@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.plans import corpus, retrieval
+from corvane.plans import corpus, evaluation, more, retrieval
 from corvane.runtime import importable
 
 WORD = re.compile(r"[^\W_]+")
@@ -72,3 +72,24 @@ def test_shelf_scores_by_brute_force(spark, tmp_path):
         score = {s: 2 * len(w & d) + 12 * (s in w) for s, d in shelves.items()}
         want += [(i, s, score[s], n + 1) for n, s in enumerate(sorted(score, key=lambda s: (-score[s], s is not None, s or "")))]
     assert sorted(map(tuple, corpus.cmd08_shelf_scores(spark, str(tmp_path)).collect()), key=lambda r: (r[0], r[3])) == want
+
+
+@pytest.mark.parametrize(
+    ("module", "name", "cut", "tables"),
+    [
+        (more, "jon08_met14_context_match", " WHERE turn < 4", ["conversations"]),
+        (evaluation, "met15_faithfulness", " WHERE turn < 3", ["conversations"]),
+        (retrieval, "ret11_auto_mode", " WHERE event_id < 50", ["benchmark", "pages", "events"]),
+        (corpus, "ext07_explode_gold", " WHERE l_linenumber <= 3", ["lineitem", "part"]),
+    ],
+)
+def test_query_agrees_with_its_sql_over_all_rows(spark, sf, module, name, cut, tables):
+    """The SQL still takes a part of the rows; over all of them it gives what the query gives."""
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for t in tables:
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    frame = module.QUERIES[name](spark, sf)
+    want = con.sql(f"SELECT {', '.join(frame.columns)} FROM ({module.SQL[name].replace(cut, '')})").fetchall()
+    plain = lambda rows: sorted(tuple(round(v, 5) if isinstance(v, float) else v for v in r) for r in rows)
+    assert plain(map(tuple, frame.collect())) == plain(want)
