@@ -2,14 +2,15 @@
 
 For each language a suffix automaton is built over labelled text. A text is parsed against it into the longest phrases
 that occur in that language's text; the language that needs the fewest phrases, each weighted by log2 of the length it
-was drawn from, wins. All lanes of a slice of texts walk all automata together through one dense transition table.
+was drawn from, wins. All lanes of a slice of texts walk the automata of up to ``GROUP`` languages together through one dense
+transition table; with more languages, one group after another, so that one such table is in memory at a time.
 
 Texts are lower-cased and mapped to bytes; ASCII characters other than letters collapse to one separator. A whole text
 is parsed, in lanes of ``LANE`` bytes that start a phrase of their own, so that long texts are worked on in parallel.
 
 The automata are fitted on a bounded sample: at most ``DOCS_PER_LANGUAGE`` documents of the training folds per language
-(those of smallest id hash), ``CHARS_PER_DOC`` characters of each, ``BYTES_PER_LANGUAGE`` in all, for the
-``MAX_LANGUAGES`` languages with most documents. Predictions see the text alone.
+(those of smallest id hash), ``CHARS_PER_DOC`` characters of each, ``BYTES_PER_LANGUAGE`` in all, for every label value.
+Predictions see the text alone.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; so is everything if nothing was learned.
 Ties go to the name first in order, with score 0. Rows are judged one by one; repeated rows, nulls elsewhere and extra
@@ -33,7 +34,8 @@ from corvane.llm.common import fold_key, in_batches, read
 DOCS_PER_LANGUAGE = 100
 CHARS_PER_DOC = 2_000
 BYTES_PER_LANGUAGE = 24_000
-MAX_LANGUAGES = 32
+#: Languages whose automata stand in one table.
+GROUP = 32
 LANE = 512
 UNKNOWN = "und"
 
@@ -88,7 +90,7 @@ def suffix_automaton(data: bytes) -> list[dict[int, int]]:
 
 
 class Model:
-    """All languages' automata in one table: ``table[(base + state) * width + symbol]`` is the next state, ``END`` where the phrase ends.
+    """The languages' automata, as edges; ``table[(base + state) * width + symbol]`` of a group's table is the next state, ``END`` where the phrase ends.
 
     An automaton has fewer than 2 * BYTES_PER_LANGUAGE states, so that 16 bits hold one.
     """
@@ -103,20 +105,33 @@ class Model:
         self.symbol = np.zeros(256, np.uint8)
         for i, b in enumerate(used):
             self.symbol[b] = i + 1
-        tables, bases, base = [], [], 0
+        #: Of each language: number of states, places of its edges in a table of its own, and where they lead.
+        self.automata = []
         for x in self.languages:
             step = suffix_automaton(samples[x])
-            table = np.full((len(step), self.width), self.END, np.uint16)
-            for s, edges in enumerate(step):
-                for b, t in edges.items():
-                    table[s, self.symbol[b]] = t
-            tables.append(table)
-            bases.append(base * self.width)
-            base += len(step)
-        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.uint16)
-        self.bases = np.array(bases, np.int32)[:, None]
+            at = np.array([s * self.width + int(self.symbol[b]) for s, edges in enumerate(step) for b in edges], np.int32)
+            self.automata.append((len(step), at, np.array([t for edges in step for t in edges.values()], np.uint16)))
         #: From the start: next state, or the start itself for a symbol that the language lacks (a phrase of its own).
-        self.restart = np.array([np.where(t[0] == self.END, 0, t[0]) for t in tables], np.int32)
+        self.restart = np.zeros((len(self.languages), self.width), np.int32)
+        for line, (_, at, to) in zip(self.restart, self.automata, strict=True):
+            first = at < self.width
+            line[at[first]] = to[first]
+        self._group: tuple | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_group": None}
+
+    def _table(self, first: int) -> tuple[np.ndarray, np.ndarray]:
+        """Dense table and bases of the group of languages from ``first`` on; the last one used is kept."""
+        if self._group is None or self._group[0] != first:
+            self._group = None
+            group = self.automata[first : first + GROUP]
+            bases = np.cumsum([0, *(n for n, _, _ in group)]) * self.width
+            table = np.full(bases[-1], self.END, np.uint16)
+            for base, (_, at, to) in zip(bases, group, strict=False):
+                table[base + at] = to
+            self._group = (first, table, bases[:-1].astype(np.int32)[:, None])
+        return self._group[1:]
 
     def phrases(self, texts: list[str]) -> np.ndarray:
         """Phrases needed by each text in each language."""
@@ -130,21 +145,24 @@ class Model:
         length = np.minimum(LANE, offsets[owner + 1] - start)
         order = np.argsort(-length, kind="stable")
         start, length, owner = start[order], length[order], owner[order]
-        counts = np.zeros((len(self.languages), len(start)), np.int32)
-        state = np.zeros((len(self.languages), len(start)), np.int32)
         active = np.searchsorted(-length, -np.arange(1, LANE + 1), side="right")
-        for t in range(LANE):
-            m = active[t]
-            if m == 0:
-                break
-            c = coded[start[:m] + t]
-            after = self.table.take(state[:, :m] * self.width + self.bases + c).astype(np.int32)
-            ended = after == self.END
-            counts[:, :m] += ended | (state[:, :m] == 0)  # a phrase begins where one ended, or after a symbol of no phrase
-            np.copyto(after, self.restart[:, c], where=ended)
-            state[:, :m] = after
         out = np.zeros((len(texts), len(self.languages)), np.int64)
-        np.add.at(out, owner, counts.T)
+        for first in range(0, len(self.languages), GROUP):
+            table, bases = self._table(first)
+            restart = self.restart[first : first + GROUP]
+            counts = np.zeros((len(bases), len(start)), np.int32)
+            state = np.zeros((len(bases), len(start)), np.int32)
+            for t in range(LANE):
+                m = active[t]
+                if m == 0:
+                    break
+                c = coded[start[:m] + t]
+                after = table.take(state[:, :m] * self.width + bases + c).astype(np.int32)
+                ended = after == self.END
+                counts[:, :m] += ended | (state[:, :m] == 0)  # a phrase begins where one ended, or after a symbol of no phrase
+                np.copyto(after, restart[:, c], where=ended)
+                state[:, :m] = after
+            np.add.at(out[:, first : first + GROUP], owner, counts.T)
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -164,9 +182,8 @@ def training_rows(docs: DataFrame, fold: int = 2, folds: int = 4) -> DataFrame:
     """The bounded sample: (lang, part) of documents outside the held-out fold."""
     rows = docs.filter((fold_key("doc_id") % folds != fold) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     rows = rows.select("lang", F.substring("text", 1, CHARS_PER_DOC).alias("part"), F.xxhash64("doc_id").alias("h"))
-    frequent = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).select("lang")
     ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "part"))).filter(F.col("r") <= DOCS_PER_LANGUAGE)
-    return ranked.join(frequent, "lang", "left_semi").select("lang", "r", "part")
+    return ranked.select("lang", "r", "part")
 
 
 def fit(docs: DataFrame) -> Model:
@@ -179,7 +196,7 @@ def fit(docs: DataFrame) -> Model:
 def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Add ``lang_pred`` and ``score``, in place of columns so named; all others pass through."""
     df = df.drop("lang_pred", "score")
-    shared = df.sparkSession.sparkContext.broadcast(model)  # at most MAX_LANGUAGES automata of 2 * BYTES_PER_LANGUAGE states
+    shared = df.sparkSession.sparkContext.broadcast(model)  # for each language, at most 3 * BYTES_PER_LANGUAGE edges of 6 bytes
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

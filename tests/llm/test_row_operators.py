@@ -88,6 +88,16 @@ def test_phrases_match_brute_force_cross_parsing():
             assert got[i, j] == n
 
 
+def test_languages_beyond_one_group_are_learned(spark, documents):
+    names = [f"l{i:02}" for i in range(70)]
+    text = lambda i: " ".join(chr(0x4E00 + 40 * i + k) * 3 for k in range(30))
+    docs = [(100 * i + k, text(i), names[i], "a", 1) for i in range(70) for k in range(3 if i == 69 else 4)]
+    model = langid.fit(documents(docs))
+    assert model.languages == names
+    got = langid.identify(documents([(i, text(i), None, "a", 1) for i in range(70)]), model).collect()
+    assert [r.lang_pred for r in sorted(got, key=lambda r: r.doc_id)] == names
+
+
 def test_language_odd_rows(spark, documents):
     model = langid.fit(documents([(i, "the cat sat", "en", "a", 1) for i in range(20)] + [(i, "der hund lief", "de", "a", 1) for i in range(20, 40)] + ODD))
     got = langid.identify(documents(ODD), model).collect()
