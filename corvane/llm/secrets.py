@@ -1,11 +1,12 @@
 """Secret scans by corpus-wide ownership frequency.
 
 Mappers find candidate spans in whole texts: three base kinds that are always reported, and generic tokens that look
-like credentials. The hash of each candidate's value is then counted over the corpus by distinct owners and distinct
-repositories. Values spread over many owners are copied examples; values that one owner or two hold in few repositories
-look live. A generic token becomes a span only if it looks live; base spans stay whatever their class.
+like credentials. The hash of each candidate's value is then counted over the corpus by distinct owners, and by distinct
+repositories where the caller names their column. Values spread over many owners are copied examples; values that one
+owner or two hold, in few repositories if these are known, look live. A generic token becomes a span only if it looks
+live; base spans stay whatever their class.
 
-``source`` is the owner. The corpus has no column for repositories, so each document counts as a snapshot of one.
+``source`` is the owner. The corpus has no column for repositories, so owners alone decide, however many documents repeat a value.
 
 Defined results: null and empty texts have no spans. Null owners count as one owner of their own. Repeated rows repeat
 their results. Offsets are code points, ends exclusive. Extra columns pass through; an empty table gives an empty result.
@@ -35,7 +36,7 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _GENERIC = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}")
 _MIXED = re.compile(r"(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])")
 
-#: A value that more owners or more repositories hold is a copied example.
+#: A value that more owners hold, or more repositories where these are known, is a copied example.
 LIVE_OWNERS = 2
 LIVE_REPOSITORIES = 12
 
@@ -76,15 +77,17 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("__found", SPANS)]))
 
 
-def ownership(found: DataFrame, owner: str, repository: str) -> DataFrame:
-    """For each candidate hash: ``n_owners``, ``n_repositories`` and ``live``. Counts are pre-aggregated, so a value in many rows is no hot key."""
-    spans = found.select(F.explode("__found.value").alias("value"), F.coalesce(F.col(owner).cast("string"), F.lit("\x00null")).alias("owner"), F.col(repository).alias("repository"))
+def ownership(found: DataFrame, owner: str, repository: str | None = None) -> DataFrame:
+    """For each candidate hash: ``n_owners``, ``n_repositories`` (with a column of them) and ``live``. Counts are pre-aggregated, so a value in many rows is no hot key."""
+    spans = found.select(F.explode("__found.value").alias("value"), F.coalesce(F.col(owner).cast("string"), F.lit("\x00null")).alias("owner"), *([F.col(repository).alias("repository")] if repository else []))
+    if not repository:
+        return spans.distinct().groupBy("value").agg(F.count("*").alias("n_owners")).withColumn("live", F.col("n_owners") <= LIVE_OWNERS)
     pairs = spans.distinct().groupBy("value", "owner").agg(F.count("*").alias("n"))
     counts = pairs.groupBy("value").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_repositories"))
     return counts.withColumn("live", (F.col("n_owners") <= LIVE_OWNERS) & (F.col("n_repositories") <= LIVE_REPOSITORIES))
 
 
-def classify(df: DataFrame, owner: str = "source", repository: str = "doc_id", text: str = "text", keep_text: bool = True) -> DataFrame:
+def classify(df: DataFrame, owner: str = "source", repository: str | None = None, text: str = "text", keep_text: bool = True) -> DataFrame:
     """Add ``secrets``: array of (start, kind, end, live) of base spans and live-looking generic tokens, in order."""
     scratch = Scratch(df.sparkSession, "secrets")
     found = scan(df, text)

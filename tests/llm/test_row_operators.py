@@ -53,6 +53,13 @@ def test_secret_ownership_separates_copies_from_live_ones(spark, documents):
     assert text[0] == rows[0][1] and text[100] == "key [SECRET] [SECRET] é"
 
 
+def test_secret_of_one_owner_is_live_in_however_many_documents(spark, documents):
+    token = "Ab3" * 8
+    rows = [(i, f"key {token} end", "en", "hot", 1) for i in range(40)]
+    assert {r.text for r in secrets.redact(secrets.classify(documents(rows))).collect()} == {"key [SECRET] end"}
+    assert all(r.secrets == [] for r in secrets.classify(documents(rows), repository="doc_id").collect())
+
+
 def test_secret_odd_rows(spark, documents):
     got = secrets.redact(secrets.classify(documents(ODD))).collect()
     assert sorted(map(str, got)) == sorted(map(str, documents(ODD).collect()))
