@@ -8,8 +8,9 @@ hash of the document, so that it doesn't depend on partitions or on retries.
 Targets default to the corpus' own shares raised to ``TEMPERATURE``, which lifts small categories. The topic is the form
 of a text (table, symbols, dialogue, note, article, book) unless the caller names a column.
 
-Cells are raked on the driver while there are at most ``DRIVER_CELLS`` of them, and as a table beyond that; the two
-agree. Null categories are a category of their own. Null and empty texts weigh nothing; a cell without tokens keeps its
+Cells are raked on the driver while there are at most ``DRIVER_CELLS`` of them, and as a table beyond that, by the same
+rule: until no marginal is off by more than ``TOLERANCE`` of its target. Targets that no weights of the cells can meet end
+where ``STALL`` rounds bring the largest error down by less than a tenth. Null categories are a category of their own. Null and empty texts weigh nothing; a cell without tokens keeps its
 documents with probability 1. Repeated rows share a draw. An empty table gives an empty result; extra columns stay.
 """
 
@@ -24,8 +25,9 @@ from corvane.llm.common import Scratch, read, words_of
 TEMPERATURE = 0.5
 #: Share of the corpus' tokens that a mix is expected to keep.
 BUDGET = 0.5
-ROUNDS = 60
-TABLE_ROUNDS = 12
+#: Largest error of a marginal, relative to its target.
+TOLERANCE = 1e-6
+STALL = 50
 DRIVER_CELLS = 200_000
 DIMENSIONS = ("source", "lang", "topic")
 _NONE = "\x00none"
@@ -54,13 +56,21 @@ def _targets(values: list[str], shares: np.ndarray, wanted: dict[str, float] | N
     return raw / raw.sum() if raw.sum() else raw
 
 
-def rake(codes: list[np.ndarray], weights: np.ndarray, targets: list[np.ndarray], rounds: int = ROUNDS) -> np.ndarray:
+def _settled(errors: list[float]) -> bool:
+    """Whether raking ends, from the largest error after each round."""
+    return errors[-1] <= TOLERANCE or (len(errors) > STALL and errors[-1] > 0.9 * errors[-1 - STALL])
+
+
+def rake(codes: list[np.ndarray], weights: np.ndarray, targets: list[np.ndarray]) -> np.ndarray:
     """Cell weights with the given marginals, from starting ``weights``; ``codes`` are the cells' categories by dimension."""
     fitted = weights / weights.sum()
-    for _ in range(rounds):
+    errors: list[float] = []
+    while not errors or not _settled(errors):
         for code, target in zip(codes, targets, strict=True):
             have = np.bincount(code, fitted, len(target))
             fitted = fitted * np.divide(target, have, out=np.zeros_like(target), where=have > 0)[code]
+        off = [np.abs(np.bincount(code, fitted, len(target))[target > 0] / target[target > 0] - 1) for code, target in zip(codes, targets, strict=True)]
+        errors.append(max((float(e.max()) for e in off if len(e)), default=0.0))
     return fitted
 
 
@@ -103,18 +113,28 @@ def _rake_as_table(cells: DataFrame, wanted: dict[str, dict[str, float]], budget
         else:
             shares = shares.withColumn("t", F.pow("t", F.lit(TEMPERATURE)))
         goals[d] = shares.crossJoin(shares.agg(F.sum("t").alias("all"))).select(f"__{d}", (F.col("t") / F.col("all")).alias("t"))
+        goals[d] = scratch.cut(goals[d])
     fitted = cells.withColumn("f", F.col("w") / total)
-    for _ in range(TABLE_ROUNDS):
+    errors: list[float] = []
+    while not errors or not _settled(errors):
+        before = fitted
         for d in DIMENSIONS:
             have = fitted.groupBy(f"__{d}").agg(F.sum("f").alias("have")).join(goals[d], f"__{d}")
             scale = have.select(f"__{d}", F.when(F.col("have") > 0, F.col("t") / F.col("have")).otherwise(0.0).alias("scale"))
             fitted = fitted.join(scale, f"__{d}").withColumn("f", F.col("f") * F.col("scale")).drop("scale")
         fitted = scratch.cut(fitted)
+        if errors:
+            scratch.drop(before)
+        off = [fitted.groupBy(f"__{d}").agg(F.sum("f").alias("have")).join(goals[d], f"__{d}").filter("t > 0").select(F.abs(F.col("have") / F.col("t") - 1).alias("e")) for d in DIMENSIONS]
+        errors.append(off[0].unionAll(off[1]).unionAll(off[2]).agg(F.max("e")).first()[0] or 0.0)
     ratio = fitted.withColumn("r", F.col("f") * total / F.col("w"))
-    low, high = 0.0, 64.0
+    kept = lambda c: F.sum(F.col("w") * F.least(F.lit(1.0), F.lit(c) * F.col("r")))
+    low, high = 0.0, 1.0
+    while ratio.agg(kept(high)).first()[0] < budget * total and high < 1e18:
+        high *= 2
     for _ in range(20):
         mids = [low + (high - low) * i / 9 for i in range(1, 9)]
-        sums = ratio.agg(*[F.sum(F.col("w") * F.least(F.lit(1.0), F.lit(m) * F.col("r"))) for m in mids]).first()
+        sums = ratio.agg(*map(kept, mids)).first()
         under = sum(s < budget * total for s in sums)
         low, high = (mids[under - 1] if under else low), (mids[under] if under < 8 else high)
         if high - low < 1e-9 * high:

@@ -112,6 +112,36 @@ def test_rake_reaches_marginals_both_ways(spark):
     assert abs(sum(kept.values()) - 0.2 * sum(weights.values())) < 1e-6
 
 
+def sparse_cells(n, sources, spread):
+    """Weights of sparse cells, and other weights of theirs, whose marginals can be met."""
+    rng = np.random.default_rng(4)
+    cells = sorted({(int(rng.integers(sources)), int(rng.integers(4)), int(rng.integers(3))) for _ in range(n)})
+    return cells, *(np.exp(spread * rng.standard_normal(len(cells))) for _ in range(2))
+
+
+def test_raking_goes_on_until_the_marginals_are_met():
+    cells, weights, goal = sparse_cells(90, 40, 3)
+    codes = [np.unique([c[d] for c in cells], return_inverse=True)[1] for d in range(3)]
+    targets = [np.bincount(c, goal) / goal.sum() for c in codes]
+    fitted = mixing.rake(codes, weights, targets)
+    assert max(abs(np.bincount(c, fitted) / t - 1).max() for c, t in zip(codes, targets, strict=True)) < 2e-6
+
+
+def test_raking_as_table_agrees_on_sparse_cells_and_large_scales(spark):
+    cells, weights, goal = sparse_cells(40, 8, 1.5)
+    weights = weights * np.array([1e4 if s == 0 else 1 for s, *_ in cells])
+    names = [tuple(f"{k}{v}" for k, v in zip("slt", c, strict=True)) for c in cells]
+    table = spark.createDataFrame([(*k, float(w)) for k, w in zip(names, weights, strict=True)], "__source string, __lang string, __topic string, w double")
+    wanted = {d: {} for d in mixing.DIMENSIONS}
+    for k, g in zip(names, goal, strict=True):
+        for d, v in zip(mixing.DIMENSIONS, k, strict=True):
+            wanted[d][v] = wanted[d].get(v, 0.0) + float(g)
+    on_driver = {tuple(r)[:3]: r["__prob"] for r in mixing._rake_on_driver(table, wanted, 0.99).collect()}
+    as_table = {tuple(r)[:3]: r["__prob"] for r in mixing._rake_as_table(table, wanted, 0.99, common.Scratch(spark, "t")).collect()}
+    assert max(abs(on_driver[k] - as_table[k]) for k in names) < 1e-3
+    assert sum(w * as_table[k] for k, w in zip(names, weights, strict=True)) == pytest.approx(0.99 * weights.sum(), rel=1e-6)
+
+
 def test_mixing_odd_rows(spark, documents):
     rows = [(i, "word " * 50, "en", "hot", 1) for i in range(50)] + [(100, None, None, None, 0), (101, "", "en", "a", 0)]
     got = mixing.mix(documents(rows)).collect()
