@@ -37,7 +37,7 @@ PROBE_SHARE = 0.8
 LEAST_PROBES = 12
 COLUMNS = 32
 #: Width of the hypothesis test: a larger value abandons later.
-EPSILON = 1.0
+EPSILON = 2.1
 PART_ROWS = 8_192
 PART_QUERIES = 2_048
 ROUNDS = 12

@@ -179,6 +179,20 @@ def test_nearest_recall_against_brute_force(spark, sf):
     assert hits / (20 * len(got)) > 0.9
 
 
+@pytest.mark.parametrize("width", [256, 768])
+def test_scan_of_wide_vectors_loses_next_to_nothing(width):
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((4_000, width))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    lists = ann.Lists(x[:500], len(x), 1.0)
+    ids, rotated = np.arange(len(x)), (lists.lift(x) @ lists.rotation).astype(np.float32)
+    hits = 0
+    for i in range(40):
+        found, _ = ann.scan(ids, x, rotated, i, x[i], (np.append(x[i], 0.0) @ lists.rotation).astype(np.float32), 1 + lists.norm**2, 20)
+        hits += len({*found} & {*np.argsort(-(x @ x[i]))[1:21]})
+    assert hits / (40 * 20) > 0.99
+
+
 def test_nearest_odd_rows(spark):
     nan = float("nan")
     rows = [(0, [1.0, 0.0]), (1, None), (2, [0.0, 0.0]), (3, [nan, 1.0]), (4, [None, 1.0]), (5, [2.0, 0.0]), (6, [2.0, 0.0]), (None, [1.0, 1.0]), (7, [1.0]), (5, [2.0, 0.0]), (8, [0.5, 9.0])]
