@@ -77,14 +77,18 @@ def fold_key(column: Column | str) -> Column:
     return F.crc32(F.col(column).cast("string") if isinstance(column, str) else column.cast("string"))
 
 
-def in_batches(texts, most_chars: int = 2_000_000):
-    """Cut a list of strings into slices of bounded total length: (start, end) pairs; a long text stands alone."""
+def in_lengths(lengths, most: int = 2_000_000):  # noqa: ANN001, ANN201
+    """Cut a list into slices of bounded total length: (start, end) pairs; a long member stands alone."""
     start, size = 0, 0
-    for i, text in enumerate(texts):
-        n = len(text) if text else 0
-        if i > start and size + n > most_chars:
+    for i, n in enumerate(lengths):
+        if i > start and size + n > most:
             yield start, i
             start, size = i, 0
         size += n
-    if start < len(texts):
-        yield start, len(texts)
+    if start < len(lengths):
+        yield start, len(lengths)
+
+
+def in_batches(texts, most_chars: int = 2_000_000):  # noqa: ANN001, ANN201
+    """The slices of a list of strings."""
+    return in_lengths([len(t) if t else 0 for t in texts], most_chars)

@@ -1,42 +1,57 @@
 """Self-join of documents whose sets of 4-word shingles have a Jaccard similarity of 0.85 at least, by prefix filters.
 
 Two similar sets share a token of their prefixes under any global order of the tokens. Three orders are used. The first
-puts rare tokens first, by a fixed-size sketch of shingle counts over all documents, and generates candidates; a
-candidate must then share prefix tokens under two more orders (by unrelated hashes) before its sets are intersected.
-Size and position filters apply as well. Every filter is exact: it drops no pair that is similar.
+puts rare tokens first, by a sketch of shingle counts over all documents, and generates candidates; of these, only pairs
+that also share prefix tokens under two more orders (by unrelated hashes) are left when the filters are intersected, and
+only for them whole sets are made and compared. Size and position filters apply as well. Every filter is exact: it drops
+no pair that is similar. A token whose counter stands at one is in one document alone and gets no posting.
 
-Documents with equal sets form one class and are joined as one. Within the postings of a token, a class is first paired
-with its neighbour and with the first class of a random order alone, which is linear; components of these links are
-found, and after some such rounds all pairs across different components are taken. Links inside a component can't change
-it, so nothing is lost and a group of near copies is not expanded into all its pairs.
+Documents with equal sets form one class and are joined as one. In each of ``ROUNDS`` a posting is paired with a few pivots
+of its token and size band, the same ones for a family of tokens, which is linear; components of the links are found, and
+tokens that stand in one component alone are done. Then postings outside their token's largest component are
+paired with all postings of other components. Links inside a component can't change it, so nothing is lost and a group
+of near copies is not expanded into all its pairs.
+
+The sketch has a counter for every shingle up to ``MOST_COUNTERS``. In a larger corpus counters hold several tokens each; a
+token then counts as frequent where its counter stands out of the noise, whose width is the root of the mean counter, so
+that the order grows coarser but never wrong.
 
 Defined results: a text of one to three words is one shingle; texts without words (or null) have an empty set and link
-with nothing. Rows that share an id are one document, with the links of all its rows. Rows with a null id link with
-nothing and have a null component. Extra columns don't matter. An empty table gives an empty result.
+with nothing. A text of any length is one set. Rows that share an id are one document, with the links of all its rows.
+Rows with a null id link with nothing and have a null component. Repeated rows repeat their results. Ties (tokens equally
+frequent, pivots) are broken by hashes and change no result. Extra columns don't matter, whatever their names. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import Scratch, in_batches, read
+from corvane.llm.common import Scratch, in_lengths, read
 from corvane.llm.components import connected_components
 
 WORDS = 4
 #: Similarity times 100.
 LEAST = 85
-#: The sketch counts each token by the counter of its leading 24 bits: 16 MB as broadcast, whatever the corpus.
-SHIFT = np.uint64(40)
-COUNTERS = 1 << 24
+#: Least and most counters of the sketch, as powers of two: a byte each on the driver and in workers.
+LEAST_COUNTERS = 16
+MOST_COUNTERS = 26
 SLICE = 1 << 16
-#: Rounds of pivots before pairs are taken across components: the share of tokens that take part (one in so many), and the
-#: partners that a posting gets besides the first of its token. The first round links what is easily linked.
-ROUNDS = ((4, 1), (1, 8))
+#: Tokens that a worker counts before it hands the counts on.
+COUNTED = 4_000_000
+#: Rounds of pivots before pairs are taken across components: the families that tokens fall into to choose their pivots, the
+#: pivots of a token and size band, and the least postings outside the largest component that a token must have to take part.
+#: The first links what is easily linked by few pivots; the last are for large groups at the border of the threshold.
+ROUNDS = ((1, 1, 0), (8, 1, 0), (1 << 20, 16, 32), (1 << 20, 48, 96))
+#: Sizes within a band differ by this factor at most; similar sets stand in the same band or in neighbouring ones.
+BAND = 1.2
 #: Ids that may be broadcast (8 bytes each).
 BROADCAST_IDS = 500_000
 #: Characters that a worker hashes at once.
@@ -115,101 +130,129 @@ def prefix_length(n: int) -> int:
     return n - (LEAST * n + 99) // 100 + 1
 
 
-def _each(batches: Iterable[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+def _each(batches: Iterable[pa.RecordBatch], *columns: str) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Slices of the batches with the sets of their texts, the last of the columns; only a slice's texts are made into strings."""
     shingler = Shingler()
     for batch in batches:
-        texts = batch.column(text).to_pylist()
-        for a, z in in_batches(texts, CHARS):
-            yield batch.slice(a, z - a), shingler.sets(texts[a:z])
+        lengths = pc.fill_null(pc.utf8_length(batch.column(columns[-1])), 0).to_numpy(zero_copy_only=False)
+        for a, z in in_lengths(lengths, CHARS):
+            part = batch.slice(a, z - a)
+            yield part, shingler.sets(part.column(columns[-1]).to_pylist())
+
+
+def counters_for(docs: DataFrame) -> int:
+    """Bits of a counter's number: a counter for every shingle, within the bounds, taking four bytes for a word."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return min(MOST_COUNTERS, max(LEAST_COUNTERS, math.ceil(math.log2(max(1, size / 4)))))
+
+
+def levels(mean: float) -> np.ndarray:
+    """For each code of a counter, how frequent its tokens are: 0 if there is one occurrence at most, 1 for the noise of the sketch, then a step for each doubling."""
+    count = np.exp2(np.arange(256) / 8) - 1
+    above = (count - mean) / max(1.5, 2.5 * mean**0.5)
+    return np.where(count < 1.5, 0, np.where(above < 1, 1, 2 + np.floor(np.log2(np.maximum(above, 1))))).astype(np.uint8)
 
 
-def sketch(docs: DataFrame) -> np.ndarray:
-    """How frequent the tokens of each counter are: 0 for those within the noise of the sketch, then a step for each doubling."""
+def coded(counts: np.ndarray) -> np.ndarray:
+    """Counts as bytes, eight steps for each doubling."""
+    return np.round(8 * np.log2(counts + 1.0)).astype(np.uint8)
+
+
+def sketch(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """The level of each counter, and the shift that takes a token to its counter."""
+    bits = counters_for(docs)
+    shift = np.uint64(64 - bits)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, rows = np.zeros(COUNTERS, np.uint16), 0
+        waiting, size = [], 0
         for _, sets in _each(batches, "text"):
-            if rows + len(sets) > 65_000:  # a row adds little more than one to a counter, so 16 bits hold it
-                yield from packed(counts)
-                counts[:], rows = 0, 0
-            np.add.at(counts, (np.concatenate(sets) >> SHIFT).astype(np.int64), 1)
-            rows += len(sets)
-        yield from packed(counts)
-
-    def packed(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        places = np.flatnonzero(counts)
-        for i, part in enumerate(np.split(places, np.searchsorted(places, np.arange(SLICE, COUNTERS, SLICE)))):
-            if len(part):
-                columns = [(part - i * SLICE).astype(np.uint16).tobytes(), np.minimum(counts[part], 255).astype(np.uint8).tobytes()]
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), *(pa.array([x], pa.binary()) for x in columns)], names=["slice", "places", "counts"])
-
-    def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(SLICE, np.uint32)
-        for places, counts in zip(table.column("places"), table.column("counts"), strict=True):
-            total[np.frombuffer(places.as_buffer(), np.uint16)] += np.frombuffer(counts.as_buffer(), np.uint8)
-        return pa.table({"slice": table.column("slice")[:1], "counts": pa.array([np.minimum(total, 255).astype(np.uint8).tobytes()], pa.binary())})
-
-    parts = docs.select("text").mapInArrow(count, "slice int, places binary, counts binary").groupBy("slice").applyInArrow(add, "slice int, counts binary")
-    counts = np.zeros(COUNTERS, np.uint8)
-    for row in parts.toLocalIterator():  # COUNTERS bytes in all
-        counts[row.slice * SLICE : (row.slice + 1) * SLICE] = np.frombuffer(bytes(row.counts), np.uint8)
-    mean = float(counts.mean())
-    level = np.array([0 if (x := (c - mean) / max(1.5, 2.5 * mean**0.5)) < 1 else 1 + int(np.log2(x)) for c in range(256)], np.uint8)
-    return np.take(level, counts, out=counts)
-
-
-def digests(docs: DataFrame, levels: np.ndarray) -> DataFrame:
-    """Per row: doc_id, n (size of its set), k1 and k2 (hash of the set), prefix (tokens of the rare-first prefix, in order)."""
-    shared = docs.sparkSession.sparkContext.broadcast(levels)
+            waiting += [(s >> shift).astype(np.uint32) for s in sets]
+            size += sum(map(len, sets))
+            if size > COUNTED:
+                yield from packed(np.concatenate(waiting))
+                waiting, size = [], 0
+        if size:
+            yield from packed(np.concatenate(waiting))
+
+    def packed(tokens: np.ndarray) -> Iterator[pa.RecordBatch]:
+        places, counts = np.unique(tokens, return_counts=True)
+        cuts = np.searchsorted(places, np.arange(0, (1 << bits) + SLICE, SLICE))
+        for i in np.flatnonzero(np.diff(cuts)):
+            a, z = cuts[i], cuts[i + 1]
+            columns = [(places[a:z] - i * SLICE).astype(np.uint16).tobytes(), counts[a:z].astype(np.uint32).tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), *(pa.array([x], pa.binary()) for x in columns)], names=["slice", "places", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLICE, np.int64)
+        for batch in batches:
+            for places, counts in zip(batch.column("places"), batch.column("counts"), strict=True):
+                total[np.frombuffer(places.as_buffer(), np.uint16)] += np.frombuffer(counts.as_buffer(), np.uint32)
+            number = batch.column("slice")[:1]
+        yield pa.RecordBatch.from_arrays([number, pa.array([coded(total).tobytes()], pa.binary()), pa.array([int(total.sum())], pa.int64())], names=["slice", "codes", "total"])
+
+    parts = docs.select("text").mapInArrow(count, "slice int, places binary, counts binary").groupBy("slice").applyInArrow(add, "slice int, codes binary, total long")
+    codes, total = np.zeros(1 << bits, np.uint8), 0
+    for row in parts.toLocalIterator():  # a byte for each of the counters, 1 << MOST_COUNTERS in all at most
+        codes[row.slice * SLICE : (row.slice + 1) * SLICE] = np.frombuffer(bytes(row.codes), np.uint8)
+        total += row.total
+    return np.take(levels(total / len(codes)), codes, out=codes), int(shift)
+
+
+def _keys(sets: list[np.ndarray]) -> list[list[int]]:
+    """Two hashes of each set."""
+    mixed = [_mix(s + np.uint64(len(s))) for s in sets]
+    return [[int(np.bitwise_xor.reduce(m).astype(np.uint64).view(np.int64)) for m in mixed], [int((m * _PLACE[0]).sum(dtype=np.uint64).view(np.int64)) for m in mixed]]
+
+
+def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    values = np.concatenate([*parts, np.zeros(0, kind.to_pandas_dtype())])
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]).astype(np.int32)), pa.array(values, kind))
+
+
+def rare_prefix(s: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, int]:
+    """Tokens of the prefix that another document may hold, in order, and how many stand before them; ``rank`` are the levels of the set ``s``."""
+    p = prefix_length(len(s))
+    order = np.argsort(rank, kind="stable")[:p]
+    skip = int((rank[order] == 0).sum())
+    return s[order[skip:]].view(np.int64), skip
+
+
+def signature(s: np.ndarray, order: np.uint64) -> np.ndarray:
+    """The prefix under another order, as short hashes: prefixes that share a token share a hash of it."""
+    p = prefix_length(len(s))
+    x = s * order
+    return np.unique((np.partition(x, p - 1)[:p] if p < len(x) else x) >> np.uint64(8)).astype(np.uint16)
+
+
+def digests(docs: DataFrame, levels_: np.ndarray, shift: int) -> DataFrame:
+    """Per row: doc_id, n (size of its set), k1 and k2 (hashes of the set), prefix and skip (the rare-first prefix), and its other prefixes as s1 and s2."""
+    shared = docs.sparkSession.sparkContext.broadcast(levels_)  # at most 1 << MOST_COUNTERS bytes
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = shared.value
-        for batch, sets in _each(batches, "text"):
-            prefixes, keys = [], [[], []]
-            for s in sets:
-                p = prefix_length(len(s)) if len(s) else 0
-                rank = level[(s >> SHIFT).astype(np.int64)]
-                light = s[rank == 0]
-                if len(light) < p:
-                    light = s[np.lexsort((s, rank))]
-                prefixes.append(light[:p].view(np.int64))
-                mixed = _mix(s + np.uint64(len(s)))
-                keys[0].append(int(np.bitwise_xor.reduce(mixed).astype(np.uint64).view(np.int64)))
-                keys[1].append(int((mixed * _PLACE[0]).sum(dtype=np.uint64).view(np.int64)))
-            ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes), pa.int64()))
+        level, by = shared.value, np.uint64(shift)
+        for batch, sets in _each(batches, "doc_id", "text"):
+            prefixes = [rare_prefix(s, level[(s >> by).astype(np.int64)]) if len(s) else (s.view(np.int64), 0) for s in sets]
+            short = [[signature(s, o).view(np.int16) if len(s) else np.zeros(0, np.int16) for s in sets] for o in _ORDERS]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int32()), pa.array(keys[0], pa.int64()), pa.array(keys[1], pa.int64()), lists],
-                names=["doc_id", "n", "k1", "k2", "prefix"],
-            )
+                [
+                    batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int32()), *(pa.array(k, pa.int64()) for k in _keys(sets)),
+                    _lists([p for p, _ in prefixes], pa.int64()), pa.array([k for _, k in prefixes], pa.int32()), *(_lists(x, pa.int16()) for x in short),
+                ],
+                names=["doc_id", "n", "k1", "k2", "prefix", "skip", "s1", "s2"],
+            )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, k1 long, k2 long, prefix array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, k1 long, k2 long, prefix array<bigint>, skip int, s1 array<smallint>, s2 array<smallint>")
 
 
 def token_sets(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, k1, k2 as in ``digests``, and the whole set."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, sets in _each(batches, "text"):
-            mixed = [_mix(s + np.uint64(len(s))) for s in sets]
-            k1 = [int(np.bitwise_xor.reduce(m).astype(np.uint64).view(np.int64)) for m in mixed]
-            k2 = [int((m * _PLACE[0]).sum(dtype=np.uint64).view(np.int64)) for m in mixed]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "k1", "k2", "tokens"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, k1 long, k2 long, tokens binary")
-
+        for batch, sets in _each(batches, "doc_id", "text"):
+            k1, k2 = _keys(sets)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), _lists([s.view(np.int64) for s in sets], pa.int64())], names=["doc_id", "k1", "k2", "tokens"])
 
-def similar(x: np.ndarray, y: np.ndarray) -> bool:
-    """Whether two sorted sets pass the filters of the other orders, and then the threshold itself."""
-    p, q = prefix_length(len(x)), prefix_length(len(y))
-    for order in _ORDERS:
-        a, b = x * order, y * order
-        a = np.partition(a, p - 1)[:p] if p < len(a) else a
-        b = np.partition(b, q - 1)[:q] if q < len(b) else b
-        if not np.isin(a, b).any():
-            return False
-    common = len(x) + len(y) - len(np.union1d(x, y))
-    return 100 * common >= LEAST * (len(x) + len(y) - common)
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, k1 long, k2 long, tokens array<bigint>")
 
 
 def _known_small(keys: DataFrame) -> DataFrame:
@@ -217,116 +260,127 @@ def _known_small(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys
 
 
-def sets_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+def sets_of(wanted: DataFrame, classes: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, tokens) of the classes named in ``wanted`` (node), made anew from the texts of their least documents."""
-    reps = scratch.cut(nodes.join(_known_small(wanted), "node", "left_semi").select("node", F.col("rep").alias("doc_id"), "k1", "k2"))
+    reps = scratch.cut(classes.join(_known_small(wanted), "node", "left_semi").select("node", F.col("rep").alias("doc_id"), "k1", "k2"))
     texts = docs.select("doc_id", "text").join(_known_small(reps.select("doc_id")), "doc_id", "left_semi")
     out = scratch.cut(token_sets(texts).join(_known_small(reps), ["doc_id", "k1", "k2"]).dropDuplicates(["node"]).select("node", "tokens"))
     scratch.drop(reps)
     return out
 
 
-def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """The similar ones among ``pairs`` (a, b) of nodes."""
-    wanted = scratch.cut(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
-    sets = sets_of(wanted, nodes, docs, scratch)
-    joined = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")).join(_known_small(pairs), "a").join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
+def _with(pairs: DataFrame, values: DataFrame, end: str, *columns: str) -> DataFrame:
+    """Columns of the node at one end of each pair, named after that end."""
+    return pairs.join(values.select(F.col("node").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in columns)), end)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = batch.column("x"), batch.column("y")
-            keep = [similar(np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(y[i].as_buffer(), np.uint64)) for i in range(batch.num_rows)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    out = scratch.cut(joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
+def agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes that share prefix tokens under the other orders too."""
+    both = _with(_with(pairs, classes, "a", "s1", "s2"), classes, "b", "s1", "s2")
+    return both.filter(F.arrays_overlap("a_s1", "b_s1") & F.arrays_overlap("a_s2", "b_s2")).select("a", "b")
+
+
+def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The similar ones among ``pairs`` (a, b) of nodes; a pivot stands at ``b``, so that its set is fetched where its pairs are."""
+    wanted = scratch.cut(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
+    sets = sets_of(wanted, classes, docs, scratch)
+    both = _with(_with(pairs, sets, "a", "tokens"), sets, "b", "tokens")
+    common = F.size(F.array_intersect("a_tokens", "b_tokens"))
+    out = scratch.cut(both.filter(100 * common >= LEAST * (F.size("a_tokens") + F.size("b_tokens") - common)).select("a", "b"))
     scratch.drop(wanted, sets)
     return out
 
 
 def _possible() -> Column:
     """Size and position filters on two postings of one token: sizes n and n2, places pos and pos2 (from 0) in their prefixes."""
-    return _possible_with(F.col("n2"), F.col("pos2"))
+    return _fits(F.col("n"), F.col("pos"), F.col("n2"), F.col("pos2"))
 
 
-def _possible_with(n2: Column, pos2: Column) -> Column:
-    sizes = F.least("n", n2) * 100 >= F.greatest("n", n2) * LEAST
-    rest = F.least(F.col("n") - F.col("pos"), n2 - pos2)
-    return sizes & (rest * (100 + LEAST) >= (F.col("n") + n2) * LEAST)
+def _fits(n: Column, pos: Column, n2: Column, pos2: Column) -> Column:
+    sizes = F.least(n, n2) * 100 >= F.greatest(n, n2) * LEAST
+    rest = F.least(n - pos, n2 - pos2)
+    return sizes & (rest * (100 + LEAST) >= (n + n2) * LEAST)
 
 
-def _pairs(found: DataFrame) -> DataFrame:
-    return found.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
+def shared_postings(postings: DataFrame) -> DataFrame:
+    """Postings of tokens that stand in several classes, and of two classes in a way that the filters let pass."""
+    at = F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")
+    tokens = postings.groupBy("token").agg(F.count("*").alias("c"), F.min(at).alias("lo"), F.max(at).alias("hi"))
+    part = lambda c: (F.shiftright(c, 32).cast("int"), F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)).cast("int"))
+    shared = tokens.filter((F.col("c") > 2) | ((F.col("c") == 2) & _fits(*part("lo"), *part("hi"))))
+    return postings.join(shared.select("token"), "token", "left_semi")
 
 
 def _labelled(postings: DataFrame, parts: DataFrame | None) -> DataFrame:
+    """Postings with their components, of tokens that stand in more than one."""
     if parts is None:
         return postings.withColumn("component", F.col("node"))
-    return postings.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = postings.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("token")
+    return named.join(mixed, "token", "left_semi")
 
 
-def _front() -> Column:
-    """Whether a posting can be the smaller set's in a pair that passes the filters."""
-    return F.col("pos") * (100 + LEAST) <= F.col("n") * (100 - LEAST)
+def _band() -> Column:
+    return F.floor(F.ln("n") / math.log(BAND)).cast("int")
 
 
-def shared_postings(postings: DataFrame) -> DataFrame:
-    """Postings that may have a partner: the next one in size fits, some posting of the token is at a front, and of two both fit."""
-    by_size = Window.partitionBy("token").orderBy("n", "node")
-    every = Window.partitionBy("token")
-    fits = lambda side: F.coalesce(_possible_with(F.col(f"{side}.n"), F.col(f"{side}.pos")), F.lit(False))
-    sized = lambda side: F.coalesce(F.least("n", f"{side}.n") * 100 >= F.greatest("n", f"{side}.n") * LEAST, F.lit(False))
-    near = postings.withColumns(
-        {"prev": F.lag(F.struct("n", "pos")).over(by_size), "next": F.lead(F.struct("n", "pos")).over(by_size), "size": F.count("*").over(every), "fronts": F.max(_front()).over(every)}
-    ).filter((F.col("size") > 1) & F.col("fronts"))
-    return near.filter(F.when(F.col("size") == 2, fits("prev") | fits("next")).otherwise(sized("prev") | sized("next"))).select("token", "node", "n", "pos")
+_OTHER = ("node", "n", "pos", "component")
 
 
-def _pivots(postings: DataFrame, round_: int) -> DataFrame:
-    """Pairs with the first and with the next few of a token's postings in a random order, if of another component: linear in the postings."""
-    one_in, lags = ROUNDS[round_]
-    order = Window.partitionBy("token").orderBy(F.xxhash64(F.lit(round_), "token", "node"))
-    postings = postings.filter(F.pmod("token", F.lit(one_in)) == 0)
-    other = F.struct(*(F.col(c).alias(f"{c}2") for c in ("node", "n", "pos", "component")))
-    partners = [F.first(other).over(order), *(F.lag(other, i).over(order) for i in range(1, lags + 1))]
-    found = postings.select("node", "n", "pos", "component", F.array(*partners).alias("partners")).select("node", "n", "pos", "component", F.inline(F.filter("partners", lambda p: p.isNotNull() & (p["component2"] != F.col("component")))))
-    return _pairs(found.filter(_possible()))
+def _outside(postings: DataFrame) -> DataFrame:
+    """For each token, its largest component, and how many postings stand outside it."""
+    sizes = postings.groupBy("token", "component").agg(F.count("*").alias("c"))
+    whole = sizes.groupBy("token").agg(F.max(F.struct("c", "component")).alias("m"), F.sum("c").alias("c"))
+    return whole.select("token", F.col("m.component").alias("largest"), (F.col("c") - F.col("m.c")).alias("outside"))
 
 
-def _mixed(postings: DataFrame) -> DataFrame:
-    """Postings of tokens that still stand in more than one component."""
-    return postings.join(postings.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("token"), "token", "left_semi")
+def _pivots(postings: DataFrame, round_: int) -> DataFrame:
+    """Pairs with the pivots of a token and size band, if of another component: a fixed number for each posting at most."""
+    families, pivots, least = ROUNDS[round_]
+    if least:
+        postings = postings.join(_outside(postings).filter(F.col("outside") >= least).select("token"), "token", "left_semi")
+    postings = postings.withColumn("band", _band())
+    order = Window.partitionBy("token", "band").orderBy(F.xxhash64(F.lit(round_), F.pmod("token", F.lit(families)), "node"), "node")
+    first = postings.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= pivots)
+    first = first.select("token", "band", *(F.col(c).alias(f"{c}2") for c in _OTHER))
+    found = postings.join(first, ["token", "band"]).filter((F.col("component") != F.col("component2")) & _possible())
+    return found.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
 
 
 def _across(postings: DataFrame) -> DataFrame:
-    """All pairs of postings of a token from different components that pass the filters; the smaller set's place must be near the front."""
-    right = postings.select(F.col("token").alias("token2"), *(F.col(c).alias(f"{c}2") for c in ("node", "n", "pos", "component")))
-    ordered = (F.col("n") < F.col("n2")) | ((F.col("n") == F.col("n2")) & ((F.col("node") < F.col("node2")) | (F.col("pos2") * (100 + LEAST) > F.col("n2") * (100 - LEAST))))
-    apart = (F.col("token") == F.col("token2")) & (F.col("component") != F.col("component2")) & ordered
-    return _pairs(postings.filter(_front()).join(right, apart & _possible()))
+    """All pairs of postings of a token from different components that pass the filters; one at least is outside the token's largest component."""
+    postings = postings.withColumn("band", _band()).join(_outside(postings).drop("outside"), "token")
+    inside = F.col("component") == F.col("largest")
+    left = postings.filter(~inside).drop("largest").withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    right = postings.select("token", "band", inside.alias("inside"), *(F.col(c).alias(f"{c}2") for c in _OTHER))
+    found = left.join(right, ["token", "band"]).filter((F.col("component") != F.col("component2")) & (F.col("inside") | (F.col("node") < F.col("node2"))) & _possible())
+    return found.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
 
 
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links) for each row of ``docs`` (doc_id, text)."""
     scratch = Scratch(docs.sparkSession, "jaccard")
-    rows = scratch.cut(digests(docs, sketch(docs)).withColumn("row", F.monotonically_increasing_id()))
+    rows = scratch.cut(digests(docs, *sketch(docs)).withColumn("row", F.monotonically_increasing_id()))
     linked = rows.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    classes = linked.groupBy("k1", "k2").agg(F.min("row").alias("node"), F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    shared = scratch.cut(shared_postings(classes.select("node", "n", F.posexplode("prefix").alias("pos", "token"))))
-    nodes = scratch.cut(linked.groupBy("k1", "k2").agg(F.min("row").alias("node"), F.min("doc_id").alias("rep")))
-    same_id = linked.join(nodes.select("k1", "k2", "node"), ["k1", "k2"]).groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.collect_set("node").alias("all"))
-    links = scratch.cut(same_id.filter("a < z").select("a", F.explode("all").alias("b")).filter("a < b"))
-    tried, parts = None, None
+    same = [F.first(c).alias(c) for c in ("n", "skip", "prefix", "s1", "s2")]
+    classes = scratch.cut(linked.groupBy("k1", "k2").agg(F.min("row").alias("node"), F.min("doc_id").alias("rep"), *same))
+    shared = scratch.cut(shared_postings(classes.select("node", "n", "skip", F.posexplode("prefix").alias("at", "token")).select("token", "node", "n", (F.col("skip") + F.col("at")).alias("pos"))))
+    of_row = linked.select("doc_id", "k1", "k2").join(classes.select("k1", "k2", "node"), ["k1", "k2"]).select("doc_id", "node")
+    least = of_row.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z").select("doc_id", "a")
+    links = scratch.cut(of_row.join(least, "doc_id").filter("a < node").select("a", F.col("node").alias("b")).distinct())
+    parts = None if links.isEmpty() else connected_components(links, scratch)
     for round_ in range(len(ROUNDS) + 1):
-        labelled = _mixed(_labelled(shared, parts)) if round_ else _labelled(shared, parts)
-        pairs = _pivots(labelled, round_) if round_ < len(ROUNDS) else _across(labelled)
-        pairs = scratch.cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        found = verify(pairs, nodes, docs, scratch)
-        links = scratch.cut(links.unionByName(found))
-        tried = pairs if tried is None else scratch.cut(tried.unionByName(pairs))
-        if parts is None or not found.isEmpty():
+        labelled = _labelled(shared, parts)
+        pairs = scratch.cut(_pivots(labelled, round_) if round_ < len(ROUNDS) else _across(labelled))
+        agreed = scratch.cut(agreeing(pairs, classes))
+        found = verify(agreed, classes, docs, scratch)
+        scratch.drop(pairs, agreed)
+        if not found.isEmpty():
+            links = scratch.cut(links.unionByName(found))
             parts = connected_components(links, scratch)
-    scratch.drop(shared, tried, links)
-    named = nodes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    scratch.drop(shared)
+    named = classes.select("k1", "k2", "node", "rep")
+    named = named.withColumn("component", F.col("node")) if parts is None else named.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     label = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = named.join(label, "component").select("k1", "k2", "component_id")
     out = rows.select("doc_id", "n", "k1", "k2").join(named, ["k1", "k2"], "left")
