@@ -536,12 +536,14 @@ def win02_stable_prefix(spark, sf):  # noqa: ANN001, ANN201
     return e.agg(F.min(F.when(F.col("value") != new, F.col("event_id"))).isNull().alias("append_only"), F.count("*").alias("n"))
 
 
-@query("WITH q AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM benchmark), k AS (SELECT source, list_distinct(regexp_extract_all(lower(string_agg(left(text, 200), ' ' ORDER BY doc_id)), '[a-z0-9]+')) AS d FROM documents WHERE doc_id % 50 = 0 GROUP BY source), s AS (SELECT item_id, source, 2 * len(list_intersect(w, d)) + CASE WHEN list_contains(w, source) THEN 12 ELSE 0 END AS score FROM q, k) SELECT item_id, source, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, source) AS rank FROM s) WHERE rank <= 5")
+@query("""WITH q AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM benchmark), a AS (SELECT item_id, unnest(w) AS x FROM q),
+f AS (SELECT DISTINCT source, x FROM (SELECT source, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS x FROM documents) WHERE x IN (SELECT x FROM a)), b AS (SELECT item_id, source, count(*) AS n FROM a JOIN f USING (x) GROUP BY ALL),
+s AS (SELECT q.item_id, k.source, (2 * coalesce(n, 0) + CASE WHEN list_contains(w, k.source) THEN 12 ELSE 0 END)::INT AS score FROM q CROSS JOIN (SELECT DISTINCT source FROM documents) k LEFT JOIN b ON b.item_id = q.item_id AND b.source IS NOT DISTINCT FROM k.source)
+SELECT item_id, source, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, source NULLS FIRST) AS rank FROM s) WHERE rank <= 5""")
 def cmd08_shelf_scores(spark, sf):  # noqa: ANN001, ANN201
     """Shelves by description matches and mentions of their name; a shelf's description is all texts of its notes.
 
-    Matches are counted by a join on words, so that no row holds the words of a whole shelf. The SQL beside it still describes
-    shelves by the first 200 characters of every fiftieth note, and so gives other scores.
+    Matches are counted by a join on words, so that no row holds the words of a whole shelf.
     """
     words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0)))
     q = table(spark, sf, "benchmark").select("item_id", words(F.col("text")).alias("w"))
@@ -553,9 +555,9 @@ def cmd08_shelf_scores(spark, sf):  # noqa: ANN001, ANN201
     return s.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "source"))).filter("rank <= 5")
 
 
-@query("WITH g AS (SELECT l_orderkey AS q, unnest(range(1, l_linenumber + 1)) AS gold FROM lineitem WHERE l_linenumber <= 3) SELECT q, gold, count(*) AS n, gold IN (SELECT p_partkey FROM part) AS present FROM g GROUP BY ALL")
+@query("WITH g AS (SELECT l_orderkey AS q, unnest(range(1, l_linenumber + 1)) AS gold FROM lineitem) SELECT q, gold, count(*) AS n, gold IN (SELECT p_partkey FROM part) AS present FROM g GROUP BY ALL")
 def ext07_explode_gold(spark, sf):  # noqa: ANN001, ANN201
-    """Gold ids exploded; dangling ones told apart. The SQL beside it takes lines 1 to 3 only."""
+    """Gold ids exploded; dangling ones told apart."""
     g = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("q"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("l_linenumber").cast("long"))).alias("gold"))
     known = table(spark, sf, "part").select(F.col("p_partkey").alias("gold"), F.lit(True).alias("present"))
     return g.groupBy("q", "gold").agg(F.count("*").alias("n")).join(known, "gold", "left").select("q", "gold", "n", F.coalesce("present", F.lit(False)).alias("present"))

@@ -299,10 +299,10 @@ def fn23_claims(spark, sf):  # noqa: ANN001, ANN201
     return table(spark, sf, "conversations").select("conv_id", "turn", F.size(text.claims(F.col("text"))).alias("claims"))
 
 
-@query(rf"""WITH t AS (SELECT conv_id, turn, {NORMAL.format('text')} AS w FROM conversations WHERE turn < 3), p AS (SELECT x.conv_id, y.turn, len(list_intersect(list_distinct(x.w), list_distinct(y.w)))::DOUBLE / greatest(1, len(list_distinct(x.w))) AS cover FROM t x JOIN t y ON x.conv_id = y.conv_id AND x.turn = 0 AND y.turn > 0)
+@query(rf"""WITH t AS (SELECT conv_id, turn, {NORMAL.format('text')} AS w FROM conversations), p AS (SELECT x.conv_id, y.turn, len(list_intersect(list_distinct(x.w), list_distinct(y.w)))::DOUBLE / greatest(1, len(list_distinct(x.w))) AS cover FROM t x JOIN t y ON x.conv_id = y.conv_id AND x.turn = 0 AND y.turn > 0)
 SELECT conv_id, round(max(cover), 6) AS support, max(cover) >= 0.1 AS entailed FROM p GROUP BY conv_id""")
 def met15_faithfulness(spark, sf):  # noqa: ANN001, ANN201
-    """Support of a first turn by the share of its tokens that later turns hold. The SQL beside it takes turns 1 and 2 only."""
+    """Support of a first turn by the share of its tokens that later turns hold."""
     w = F.array_distinct(F.filter(F.split(text.normal_answer(F.col("text")), " "), lambda x: x != ""))
     t = table(spark, sf, "conversations").select("conv_id", "turn", w.alias("w"))
     p = t.filter("turn = 0").select("conv_id", F.col("w").alias("a")).join(t.filter("turn > 0").select("conv_id", F.col("w").alias("b")), "conv_id")

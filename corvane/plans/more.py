@@ -51,15 +51,15 @@ def jon07_theta_judgments(spark, sf):  # noqa: ANN001, ANN201
     return equal.union(like).distinct()
 
 
-@query(r"""WITH t AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9\s]', ' ', 'g'), '\s+'), lambda w: w <> '' AND w NOT IN ('a', 'an', 'the')) AS w FROM conversations WHERE turn < 4),
+@query(r"""WITH t AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9\s]', ' ', 'g'), '\s+'), lambda w: w <> '' AND w NOT IN ('a', 'an', 'the')) AS w FROM conversations),
 p AS (SELECT x.conv_id, x.turn AS fact, y.turn AS context, CASE WHEN len(x.w) + len(y.w) = 0 THEN 1.0 ELSE 2.0 * coalesce(list_sum(list_transform(list_distinct(x.w), lambda v: least(len(list_filter(x.w, lambda a: a = v)), len(list_filter(y.w, lambda a: a = v))))), 0) / (len(x.w) + len(y.w)) END AS f1 FROM t x JOIN t y ON x.conv_id = y.conv_id AND x.turn % 2 = 0 AND y.turn % 2 = 1)
-SELECT conv_id, round(count(DISTINCT CASE WHEN f1 >= 0.2 THEN fact END)::DOUBLE / count(DISTINCT fact), 6) AS recall, round(count(DISTINCT CASE WHEN f1 >= 0.2 THEN context END)::DOUBLE / count(DISTINCT context), 6) AS precision FROM p GROUP BY conv_id""")
+SELECT conv_id, round(count(DISTINCT CASE WHEN f1 >= 0.5 THEN fact END)::DOUBLE / count(DISTINCT fact), 6) AS recall, round(count(DISTINCT CASE WHEN f1 >= 0.5 THEN context END)::DOUBLE / count(DISTINCT context), 6) AS precision FROM p GROUP BY conv_id""")
 def jon08_met14_context_match(spark, sf):  # noqa: ANN001, ANN201
-    """Facts and contexts of an item matched by token F1. The SQL beside it takes turns 0 to 3 only."""
+    """Facts and contexts of an item matched by token F1."""
     words = F.filter(F.split(text.normal_answer(F.col("text")), " "), lambda w: w != "")
     t = table(spark, sf, "conversations").select("conv_id", "turn", words.alias("w"))
     facts, contexts = t.filter("turn % 2 = 0").select("conv_id", F.col("turn").alias("fact"), F.col("w").alias("a")), t.filter("turn % 2 = 1").select("conv_id", F.col("turn").alias("context"), F.col("w").alias("b"))
-    p = facts.join(contexts, "conv_id").withColumn("hit", text.token_f1(F.col("a"), F.col("b")) >= 0.2)
+    p = facts.join(contexts, "conv_id").withColumn("hit", text.token_f1(F.col("a"), F.col("b")) >= 0.5)
     share = lambda c: F.round(F.countDistinct(F.when(F.col("hit"), F.col(c))) / F.countDistinct(c), 6)
     return p.groupBy("conv_id").agg(share("fact").alias("recall"), share("context").alias("precision"))
 

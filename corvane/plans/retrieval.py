@@ -181,12 +181,12 @@ def ret10_hybrid(spark, sf):  # noqa: ANN001, ANN201
     return fusion.fuse(runs, K).select("query_id", "id", "score", "rank")
 
 
-_PROBES = "SELECT item_id, text FROM benchmark UNION ALL SELECT page_id, url FROM pages UNION ALL SELECT event_id, props FROM events WHERE event_id < 50"
+_PROBES = "SELECT item_id, text FROM benchmark UNION ALL SELECT page_id, url FROM pages UNION ALL SELECT event_id, props FROM events"
 
 
 @query("SELECT item_id, CASE " + " ".join("WHEN regexp_matches(trim(text), '{}') THEN '{}'".format(p.replace("'", "''"), r) for p, r in safety.HYBRID_FORMS) + f" ELSE 'prose query' END AS reason FROM ({_PROBES})")
 def ret11_auto_mode(spark, sf):  # noqa: ANN001, ANN201
-    """Search mode of queries, urls and the props of all events. The SQL beside it takes events of an id below 50 only."""
+    """Search mode of queries, urls and the props of all events."""
     probes = table(spark, sf, "benchmark").select("item_id", "text").unionAll(table(spark, sf, "pages").select("page_id", "url")).unionAll(table(spark, sf, "events").select("event_id", "props"))
     return probes.select("item_id", safety.search_mode(F.col("text"))["reason"].alias("reason"))
 
