@@ -40,7 +40,7 @@ from corvane.llm.components import connected_components
 WORDS = 4
 #: Similarity times 100.
 LEAST = 85
-#: Least and most counters of the sketch, as powers of two: a byte each on the driver and in workers.
+#: Least and most counters of the sketch, as powers of two: half a byte each on the driver and in workers.
 LEAST_COUNTERS = 16
 MOST_COUNTERS = 26
 SLICE = 1 << 16
@@ -147,10 +147,17 @@ def counters_for(docs: DataFrame) -> int:
 
 
 def levels(mean: float) -> np.ndarray:
-    """For each code of a counter, how frequent its tokens are: 0 if there is one occurrence at most, 1 for the noise of the sketch, then a step for each doubling."""
+    """For each code of a counter, how frequent its tokens are: 0 if there is one occurrence at most, 1 for the noise of the sketch, then a step for each doubling, from 64 times the noise for each two, up to 15."""
     count = np.exp2(np.arange(256) / 8) - 1
-    above = (count - mean) / max(1.5, 2.5 * mean**0.5)
-    return np.where(count < 1.5, 0, np.where(above < 1, 1, 2 + np.floor(np.log2(np.maximum(above, 1))))).astype(np.uint8)
+    doublings = np.log2(np.maximum((count - mean) / max(1.5, 2.5 * mean**0.5), 0.5))
+    steps = np.where(doublings < 6, 2 + np.floor(doublings), 5 + np.floor(doublings / 2))
+    return np.where(count < 1.5, 0, np.clip(steps, 1, 15)).astype(np.uint8)
+
+
+def level_of(tokens: np.ndarray, packed: np.ndarray, shift: np.uint64) -> np.ndarray:
+    """Levels of tokens; two counters share a byte of the sketch, the even one in its low half."""
+    place = (tokens >> shift).astype(np.int64)
+    return packed[place >> 1] >> ((place & 1) * 4).astype(np.uint8) & 15
 
 
 def coded(counts: np.ndarray) -> np.ndarray:
@@ -158,8 +165,8 @@ def coded(counts: np.ndarray) -> np.ndarray:
     return np.round(8 * np.log2(counts + 1.0)).astype(np.uint8)
 
 
-def sketch(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """The level of each counter, and the shift that takes a token to its counter."""
+def sketch(docs: DataFrame, scratch: Scratch) -> tuple[np.ndarray, int]:
+    """The levels of the counters, two in a byte, and the shift that takes a token to its counter."""
     bits = counters_for(docs)
     shift = np.uint64(64 - bits)
 
@@ -178,24 +185,28 @@ def sketch(docs: DataFrame) -> tuple[np.ndarray, int]:
         places, counts = np.unique(tokens, return_counts=True)
         cuts = np.searchsorted(places, np.arange(0, (1 << bits) + SLICE, SLICE))
         for i in np.flatnonzero(np.diff(cuts)):
-            a, z = cuts[i], cuts[i + 1]
-            columns = [(places[a:z] - i * SLICE).astype(np.uint16).tobytes(), counts[a:z].astype(np.uint32).tobytes()]
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), *(pa.array([x], pa.binary()) for x in columns)], names=["slice", "places", "counts"])
+            at, n = (places[cuts[i] : cuts[i + 1]] - i * SLICE).astype(np.uint16), counts[cuts[i] : cuts[i + 1]].astype(np.uint32)
+            columns = [at[n == 1], at[n > 1], n[n > 1]]
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in columns)], names=["slice", "once", "places", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLICE, np.int64)
         for batch in batches:
-            for places, counts in zip(batch.column("places"), batch.column("counts"), strict=True):
+            for once, places, counts in zip(*map(batch.column, ("once", "places", "counts")), strict=True):
+                total[np.frombuffer(once.as_buffer(), np.uint16)] += 1
                 total[np.frombuffer(places.as_buffer(), np.uint16)] += np.frombuffer(counts.as_buffer(), np.uint32)
             number = batch.column("slice")[:1]
         yield pa.RecordBatch.from_arrays([number, pa.array([coded(total).tobytes()], pa.binary()), pa.array([int(total.sum())], pa.int64())], names=["slice", "codes", "total"])
 
-    parts = docs.select("text").mapInArrow(count, "slice int, places binary, counts binary").groupBy("slice").applyInArrow(add, "slice int, codes binary, total long")
-    codes, total = np.zeros(1 << bits, np.uint8), 0
-    for row in parts.toLocalIterator():  # a byte for each of the counters, 1 << MOST_COUNTERS in all at most
-        codes[row.slice * SLICE : (row.slice + 1) * SLICE] = np.frombuffer(bytes(row.codes), np.uint8)
-        total += row.total
-    return np.take(levels(total / len(codes)), codes, out=codes), int(shift)
+    parts = docs.select("text").mapInArrow(count, "slice int, once binary, places binary, counts binary").groupBy("slice").applyInArrow(add, "slice int, codes binary, total long")
+    parts = scratch.cut(parts)
+    level = levels((parts.agg(F.sum("total")).first()[0] or 0) / (1 << bits))
+    out = np.zeros(1 << (bits - 1), np.uint8)
+    for row in parts.select("slice", "codes").toLocalIterator():  # half a byte for each of the counters, 1 << MOST_COUNTERS at most
+        some = level[np.frombuffer(bytes(row.codes), np.uint8)]
+        out[row.slice * SLICE // 2 : (row.slice + 1) * SLICE // 2] = some[::2] | some[1::2] << 4
+    scratch.drop(parts)
+    return out, int(shift)
 
 
 def _keys(sets: list[np.ndarray]) -> list[list[int]]:
@@ -224,14 +235,14 @@ def signature(s: np.ndarray, order: np.uint64) -> np.ndarray:
     return np.unique((np.partition(x, p - 1)[:p] if p < len(x) else x) >> np.uint64(8)).astype(np.uint16)
 
 
-def digests(docs: DataFrame, levels_: np.ndarray, shift: int) -> DataFrame:
+def digests(docs: DataFrame, packed: np.ndarray, shift: int) -> DataFrame:
     """Per row: doc_id, n (size of its set), k1 and k2 (hashes of the set), prefix and skip (the rare-first prefix), and its other prefixes as s1 and s2."""
-    shared = docs.sparkSession.sparkContext.broadcast(levels_)  # at most 1 << MOST_COUNTERS bytes
+    shared = docs.sparkSession.sparkContext.broadcast(packed)  # at most 1 << MOST_COUNTERS - 1 bytes
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level, by = shared.value, np.uint64(shift)
         for batch, sets in _each(batches, "doc_id", "text"):
-            prefixes = [rare_prefix(s, level[(s >> by).astype(np.int64)]) if len(s) else (s.view(np.int64), 0) for s in sets]
+            prefixes = [rare_prefix(s, level_of(s, level, by)) if len(s) else (s.view(np.int64), 0) for s in sets]
             short = [[signature(s, o).view(np.int16) if len(s) else np.zeros(0, np.int16) for s in sets] for o in _ORDERS]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -360,7 +371,7 @@ def _across(postings: DataFrame) -> DataFrame:
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links) for each row of ``docs`` (doc_id, text)."""
     scratch = Scratch(docs.sparkSession, "jaccard")
-    rows = scratch.cut(digests(docs, *sketch(docs)).withColumn("row", F.monotonically_increasing_id()))
+    rows = scratch.cut(digests(docs, *sketch(docs, scratch)).withColumn("row", F.monotonically_increasing_id()))
     linked = rows.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
     same = [F.first(c).alias(c) for c in ("n", "skip", "prefix", "s1", "s2")]
     classes = scratch.cut(linked.groupBy("k1", "k2").agg(F.min("row").alias("node"), F.min("doc_id").alias("rep"), *same))
@@ -372,6 +383,8 @@ def join(docs: DataFrame) -> DataFrame:
     for round_ in range(len(ROUNDS) + 1):
         labelled = _labelled(shared, parts)
         pairs = scratch.cut(_pivots(labelled, round_) if round_ < len(ROUNDS) else _across(labelled))
+        if pairs.isEmpty():
+            continue
         agreed = scratch.cut(agreeing(pairs, classes))
         found = verify(agreed, classes, docs, scratch)
         scratch.drop(pairs, agreed)

@@ -6,7 +6,10 @@ was drawn from, wins. All lanes of a slice of texts walk the automata of up to `
 transition table; with more languages, one group after another, so that one such table is in memory at a time.
 
 Texts are lower-cased and mapped to bytes; ASCII characters other than letters collapse to one separator. A whole text
-is parsed, in lanes of ``LANE`` bytes that start a phrase of their own, so that long texts are worked on in parallel.
+is one parse, whatever its length. To walk a long text in parallel it is cut into lanes of ``LANE`` bytes, each first walked
+from the start state; then lanes whose predecessor ended in another state are walked again from that state, until both
+walks stand in the same state (after which they agree), and so on until no lane's end changes. Phrases are thus the same as
+in one walk from the text's first byte, and lanes are a matter of speed alone.
 
 The automata are fitted on a bounded sample: at most ``DOCS_PER_LANGUAGE`` documents of the training folds per language
 (those of smallest id hash), ``CHARS_PER_DOC`` characters of each, ``BYTES_PER_LANGUAGE`` in all, for every label value.
@@ -137,13 +140,14 @@ class Model:
         """Phrases needed by each text in each language."""
         flat, offsets = symbols(texts)
         coded = self.symbol[flat]
-        sizes = np.diff(offsets)
-        lanes = (sizes + LANE - 1) // LANE
+        lanes = (np.diff(offsets) + LANE - 1) // LANE
         owner = np.repeat(np.arange(len(texts)), lanes)
         number = np.arange(lanes.sum()) - np.repeat(np.cumsum(lanes) - lanes, lanes)
         start = offsets[owner] + number * LANE
         length = np.minimum(LANE, offsets[owner + 1] - start)
         order = np.argsort(-length, kind="stable")
+        place = np.argsort(order)
+        follows = np.where(number[order] > 0, place[order - 1], -1)  # the lane before, in the new order
         start, length, owner = start[order], length[order], owner[order]
         active = np.searchsorted(-length, -np.arange(1, LANE + 1), side="right")
         out = np.zeros((len(texts), len(self.languages)), np.int64)
@@ -162,9 +166,42 @@ class Model:
                 counts[:, :m] += ended | (state[:, :m] == 0)  # a phrase begins where one ended, or after a symbol of no phrase
                 np.copyto(after, restart[:, c], where=ended)
                 state[:, :m] = after
+            self._joined(coded, start, length, follows, table, bases[:, 0], restart, counts, state)
             np.add.at(out[:, first : first + GROUP], owner, counts.T)
         return out
 
+    def _joined(self, coded, start, length, follows, table, bases, restart, counts, state) -> None:  # noqa: ANN001
+        """Mend ``counts`` and the end states of lanes that go on from another state than the start, in place."""
+        entered = np.zeros_like(state)
+        later = np.flatnonzero(follows >= 0)
+        while True:
+            wanted = state[:, follows[later]]
+            language, at = np.nonzero(wanted != entered[:, later])
+            if not len(at):
+                return
+            lane = later[at]
+            old, new = entered[language, lane], wanted[language, at]
+            entered[language, lane] = new
+            for t in range(LANE):
+                here = t < length[lane]
+                if not here.all():  # the new walk reached the end of its lane
+                    done = ~here
+                    state[language[done], lane[done]] = new[done]
+                here &= old != new
+                language, lane, old, new = language[here], lane[here], old[here], new[here]
+                if not len(lane):
+                    break
+                c = coded[start[lane] + t]
+                after = []
+                for walk, sign in ((old, -1), (new, 1)):
+                    to = table.take(walk * self.width + bases[language] + c).astype(np.int32)
+                    ended = to == self.END
+                    np.add.at(counts, (language, lane), sign * (ended | (walk == 0)))
+                    after.append(np.where(ended, restart[language, c], to))
+                old, new = after
+            else:
+                state[language, lane] = new
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         told = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if self.languages else []
         names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
