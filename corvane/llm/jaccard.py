@@ -271,13 +271,8 @@ def _known_small(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys
 
 
-def sets_of(wanted: DataFrame, classes: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, tokens) of the classes named in ``wanted`` (node), made anew from the texts of their least documents."""
-    reps = scratch.cut(classes.join(_known_small(wanted), "node", "left_semi").select("node", F.col("rep").alias("doc_id"), "k1", "k2"))
-    texts = docs.select("doc_id", "text").join(_known_small(reps.select("doc_id")), "doc_id", "left_semi")
-    out = scratch.cut(token_sets(texts).join(_known_small(reps), ["doc_id", "k1", "k2"]).dropDuplicates(["node"]).select("node", "tokens"))
-    scratch.drop(reps)
-    return out
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
 
 
 def _with(pairs: DataFrame, values: DataFrame, end: str, *columns: str) -> DataFrame:
@@ -285,20 +280,28 @@ def _with(pairs: DataFrame, values: DataFrame, end: str, *columns: str) -> DataF
     return pairs.join(values.select(F.col("node").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in columns)), end)
 
 
-def agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def agreeing(pairs: DataFrame, named: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes that share prefix tokens under the other orders too."""
-    both = _with(_with(pairs, classes, "a", "s1", "s2"), classes, "b", "s1", "s2")
+    both = _with(_with(pairs, named, "a", "s1", "s2"), named, "b", "s1", "s2")
     return both.filter(F.arrays_overlap("a_s1", "b_s1") & F.arrays_overlap("a_s2", "b_s2")).select("a", "b")
 
 
 def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """The similar ones among ``pairs`` (a, b) of nodes; a pivot stands at ``b``, so that its set is fetched where its pairs are."""
-    wanted = scratch.cut(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
-    sets = sets_of(wanted, classes, docs, scratch)
-    both = _with(_with(pairs, sets, "a", "tokens"), sets, "b", "tokens")
+    """The similar ones among ``pairs`` (a, b) of nodes.
+
+    Of the classes only those that a pair names are read further, and sets are made anew from the texts of their least
+    documents for those pairs alone that all orders agree on. Sets go through one exchange, which both ends are joined from.
+    """
+    wanted = scratch.cut(_ends(pairs))
+    named = scratch.cut(classes.join(_known_small(wanted), "node", "left_semi").select("node", F.col("rep").alias("doc_id"), "k1", "k2", "s1", "s2"))
+    agreed = scratch.cut(agreeing(pairs, named))
+    reps = scratch.cut(named.join(_ends(agreed), "node", "left_semi").select("node", "doc_id", "k1", "k2"))
+    texts = docs.select("doc_id", "text").join(_known_small(reps.select("doc_id")), "doc_id", "left_semi")
+    sets = token_sets(texts).join(_known_small(reps), ["doc_id", "k1", "k2"]).dropDuplicates(["node"]).select("node", "tokens")
+    both = _with(_with(agreed, sets, "a", "tokens"), sets, "b", "tokens")
     common = F.size(F.array_intersect("a_tokens", "b_tokens"))
     out = scratch.cut(both.filter(100 * common >= LEAST * (F.size("a_tokens") + F.size("b_tokens") - common)).select("a", "b"))
-    scratch.drop(wanted, sets)
+    scratch.drop(wanted, named, agreed, reps)
     return out
 
 
@@ -385,9 +388,8 @@ def join(docs: DataFrame) -> DataFrame:
         pairs = scratch.cut(_pivots(labelled, round_) if round_ < len(ROUNDS) else _across(labelled))
         if pairs.isEmpty():
             continue
-        agreed = scratch.cut(agreeing(pairs, classes))
-        found = verify(agreed, classes, docs, scratch)
-        scratch.drop(pairs, agreed)
+        found = verify(pairs, classes, docs, scratch)
+        scratch.drop(pairs)
         if not found.isEmpty():
             links = scratch.cut(links.unionByName(found))
             parts = connected_components(links, scratch)
