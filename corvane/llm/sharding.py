@@ -3,7 +3,8 @@
 A uniform shuffle into shards of exact sizes, without a global sort: the matrix says how many rows of each partition go
 to each shard. Its cells are drawn from the multivariate hypergeometric distribution with the partitions' row counts and
 the shards' sizes as margins, which is the law they follow under a uniform permutation of all rows. Each partition
-permutes its rows and deals them out by its line of the matrix; each shard permutes what it received.
+permutes its rows where they are, by a local sort of random keys, and deals them out by its line of the matrix; after the
+exchange each shard permutes what it received.
 
 The matrix is drawn in two levels: first for blocks of about sqrt(P) of the P partitions (one line each), then, block by
 block in parallel, for the partitions of a block. No task sees more than O(sqrt(P) * shards) cells, and the second
@@ -11,7 +12,9 @@ permutation works on slices of the random keys, so no task holds a shard.
 
 Defined results: shard sizes differ by one row at most (law ``rows``), the first ``N mod S`` shards take the extra row;
 slots run from 0 without gaps in each shard. Repeated rows, equal texts and null ids are rows like any other. A null
-text has 0 bytes and crc 0. An empty table gives an empty result. Extra columns pass through untouched.
+text has 0 bytes and crc 0; a text of any length counts whole. Ties of random keys go to the earlier row. An empty table
+gives an empty result. Extra columns pass through untouched, but for those named ``shard`` or ``slot``, which are replaced;
+names that begin with ``__`` are the operator's own.
 """
 
 from __future__ import annotations
@@ -85,13 +88,15 @@ def shard(df: DataFrame, n_shards: int = N_SHARDS, seed: int = 17) -> DataFrame:
     The rows are staged once, so that partition numbers and row numbers can't change when a task is run again.
     """
     scratch = Scratch(df.sparkSession, "sharding")
-    staged = scratch.cut(df.withColumns({"__part": F.spark_partition_id().cast("long"), "__row": F.monotonically_increasing_id()}))
+    df = df.drop("shard", "slot")
+    numbered = df.withColumns({"__part": F.spark_partition_id().cast("long"), "__row": F.monotonically_increasing_id()})
+    permuted = numbered.sortWithinPartitions(F.xxhash64(F.lit(seed + 2), "__row"), "__row")
+    # the id of a sorted row holds its place within the partition in the lower bits
+    staged = scratch.cut(permuted.withColumn("__r", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
     cells, total = communication_matrix(staged.groupBy("__part").agg(F.count("*").alias("n")), n_shards, seed)
     ends = cells.select("__part", F.expr("transform(sequence(1, size(row)), i -> aggregate(slice(row, 1, i), 0L, (a, x) -> a + x))").alias("__ends"))
-    local = Window.partitionBy("__part").orderBy(F.xxhash64(F.lit(seed + 2), "__row"), "__row")
     dealt = (
-        staged.withColumn("__r", F.row_number().over(local) - 1)
-        .join(ends, "__part")
+        staged.join(ends, "__part")
         .withColumn("shard", F.expr("size(filter(__ends, e -> e <= __r))"))
         .drop("__ends", "__r", "__part")
     )
