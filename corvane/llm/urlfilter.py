@@ -5,11 +5,14 @@ rule's, and the longest rule wins (allow before block among equals). Urls that r
 links connect are aliases; their classes are connected components, found by distributed star steps. A url without a rule
 takes its class's decision: allow if any member is explicitly allowed, else block if any member is blocked, else allow.
 
-Nodes are urls without scheme and fragment. Rules are a short list and are compiled into one expression.
+Nodes are urls without scheme and fragment, as hashes of 128 bits. Rules are a short list and are compiled into one
+expression. Only pages without a rule of their own look up their class; the others get keys that are no node's, so that no
+key is hot because it is empty.
 
 Defined results: null urls, and urls without ``://``, have empty host and path, no rule, and are allowed. Null html has no
-links. Repeated rows repeat their results; pages that share a url share a node. Extra columns don't matter. An empty
-table gives an empty result.
+links. Urls and html of any length are read whole. Repeated rows repeat their results; pages that share a url share a node;
+of rules of equal length an allowing one comes first. Extra columns pass through, but for those named ``host``, ``path``,
+``rule`` or ``verdict``, which are replaced. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -59,7 +62,7 @@ def with_parts(df: DataFrame, url: str, rules=RULES, prefix: str = "") -> DataFr
     host, path, query = host_path(F.col(url))
     df = df.withColumns({f"{prefix}host": host, f"{prefix}path": path, f"{prefix}query": query})
     fit = rule_of(F.col(f"{prefix}host"), F.col(f"{prefix}path"), rules)
-    return df.withColumns({f"{prefix}fit": fit, f"{prefix}key": F.xxhash64(f"{prefix}host", f"{prefix}path", f"{prefix}query")})
+    return df.withColumns({f"{prefix}fit": fit, f"{prefix}key": F.md5(F.concat_ws("\0", f"{prefix}host", f"{prefix}path", f"{prefix}query").cast("binary"))})
 
 
 def page_links(pages: DataFrame) -> DataFrame:
@@ -95,6 +98,8 @@ def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) ->
     told = ends.join(parts, "node").groupBy("component").agg(F.max(F.col("v") == "allow").alias("allowed"), F.max(F.col("v") == "block").alias("blocked"))
     inherited = parts.join(told, "component").select(F.col("node").alias("__key"), (F.coalesce("blocked", F.lit(False)) & ~F.coalesce("allowed", F.lit(False))).alias("__blocked"))
     parted = with_parts(pages, "url", rules, "__")
+    needs = F.col("__fit.verdict").isNull() & (F.col("__host") != "")
+    parted = parted.withColumn("__key", F.when(needs, F.col("__key")).otherwise(F.concat(F.lit("-"), F.monotonically_increasing_id())))
     joined = parted.join(inherited, "__key", "left")
     method = F.when(F.col("__blocked"), F.lit("block")).otherwise(F.lit("allow"))
     return joined.withColumns({"host": F.col("__host"), "path": F.col("__path"), "rule": F.col("__fit.rule"), "verdict": F.coalesce(F.col("__fit.verdict"), method)}).drop(
