@@ -31,10 +31,11 @@ K = 20
 #: Rows of the sample that centroids are fitted on.
 SAMPLE = 20_000
 MOST_LISTS = 1_024
-#: Share of the lists that a query probes, and the least number of them. The vectors at hand are spread almost evenly over the
+#: Share of the lists that a query probes,. The vectors at hand are spread almost evenly over the
 #: sphere, where lists say little: 0.25 finds 67 % of the true neighbours of 10,000, 0.7 finds 96 %. Clustered vectors need less.
 PROBE_SHARE = 0.8
-LEAST_PROBES = 12
+#: Lists of a small table, if it has rows for so many.
+LEAST_LISTS = 20
 COLUMNS = 32
 #: Width of the hypothesis test: a larger value abandons later.
 EPSILON = 2.1
@@ -59,7 +60,7 @@ class Lists:
         rng = np.random.default_rng(seed)
         self.norm = norm * (1 + 1e-9)
         sample = np.unique(self.lift(sample), axis=0) if len(sample) else np.zeros((0, 1))
-        n = int(min(MOST_LISTS, max(1, len(sample) // 8), max(4, round(rows**0.5 / 8))))
+        n = int(min(MOST_LISTS, max(1, len(sample) // 8), max(LEAST_LISTS, round(rows**0.5 / 8))))
         width = sample.shape[1]
         self.rotation = np.linalg.qr(rng.standard_normal((width, width)))[0]
         centroids = sample[rng.choice(len(sample), n, replace=False)] if len(sample) else np.zeros((1, width))
@@ -70,7 +71,7 @@ class Lists:
             np.add.at(sums, near, sample)
             centroids = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], centroids)
         self.centroids = centroids
-        self.probes = max(LEAST_PROBES, round(n * PROBE_SHARE))
+        self.probes = max(1, round(n * PROBE_SHARE))
 
     def lift(self, x: np.ndarray) -> np.ndarray:
         rest = np.sqrt(np.maximum(0.0, self.norm**2 - (x * x).sum(1)))
