@@ -7,8 +7,9 @@ its pre-tokens' ids, so a pre-token is encoded once however often it occurs. Sli
 shuffled, and the ids of recent pre-tokens are kept from slice to slice in a bounded table.
 
 Defined results: null and empty texts have no ids and decode to no bytes. Repeated rows give repeated results; nulls in
-other columns, extra columns and their names don't matter; an empty table gives an empty result. A text of any length
-is encoded whole.
+other columns don't matter, and extra columns pass through, but for those named ``n_tokens``, ``ids`` or ``decoded``, which
+are replaced; an empty table gives an empty result. A text of any length is encoded whole. Of equal pairs in a word the
+leftmost merges first.
 """
 
 from __future__ import annotations
@@ -171,6 +172,7 @@ _ENCODERS: dict[tuple[int, str], Encoder] = {}
 def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text") -> DataFrame:
     """Replace ``text`` by ``n_tokens``, ``ids`` (binary, little-endian unsigned 32-bit) and ``decoded`` (binary); other columns stay."""
     shared = df.sparkSession.sparkContext.broadcast(ranks)  # as large as the vocabulary file, whatever the corpus
+    df = df.drop(*(c for c in ("n_tokens", "ids", "decoded") if c != text))
     rest = [c for c in df.columns if c != text]
     schema = T.StructType([df.schema[c] for c in rest] + [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())])
 

@@ -19,6 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; a local one is set only where the session names none."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir names no folder; executors need one that they share")
         path = LOCAL_CHECKPOINTS
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -28,7 +30,8 @@ class Scratch:
     """Tables written to the shared folder so that a lost executor costs no recomputation.
 
     ``cut`` writes a DataFrame as Parquet and reads it back, which cuts its lineage; ``drop`` removes tables that
-    nothing reads any more, and lets Spark remove the shuffle files of plans that are out of use.
+    nothing reads any more, and lets Spark remove the shuffle files of plans that are out of use. What is left when the
+    driver ends goes with it.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -40,11 +43,17 @@ class Scratch:
         self.count += 1
         path = f"{self.base}/{self.count}"
         df.write.option("compression", "zstd").parquet(path)
+        if self.count == 1:
+            self._path(self.base)[1].deleteOnExit(self._path(self.base)[0])
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         self.collect()
         return out
 
+    def _path(self, name: str):  # noqa: ANN202
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
     def collect(self) -> None:
         """Spark removes the shuffle files of a finished plan when the driver's JVM collects it."""
         gc.collect()
@@ -52,8 +61,8 @@ class Scratch:
 
     def drop(self, *tables: DataFrame) -> None:
         for table in tables:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(table._scratch_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            path, files = self._path(table._scratch_path)
+            files.delete(path, True)
         self.collect()
 
 

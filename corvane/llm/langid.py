@@ -16,8 +16,9 @@ The automata are fitted on a bounded sample: at most ``DOCS_PER_LANGUAGE`` docum
 Predictions see the text alone.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; so is everything if nothing was learned.
-Ties go to the name first in order, with score 0. Rows are judged one by one; repeated rows, nulls elsewhere and extra
-columns don't matter. An empty table gives an empty result.
+Ties go to the name first in order, with score 0. Texts of any length are parsed whole. Rows are judged one by one; repeated
+rows and nulls elsewhere don't matter. Extra columns pass through, but for those named ``lang_pred`` or ``score``, which are
+replaced. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -2,7 +2,9 @@
 
 Every measure is an integer count and every rule compares ``scale * numerator`` with ``bound * denominator``, so a
 verdict never depends on floating-point rounding. Null and empty texts have no words; they fail the length rule.
-Rows are judged one by one: ties, repeated rows and extra columns change nothing, and empty tables give empty results.
+Rows are judged one by one and whole texts of any length are read: ties and repeated rows change nothing, nulls elsewhere
+don't matter, and empty tables give empty results. Extra columns pass through, but for those named like the added ones, which
+are replaced.
 """
 
 from __future__ import annotations

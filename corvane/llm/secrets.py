@@ -8,8 +8,10 @@ live; base spans stay whatever their class.
 
 ``source`` is the owner. The corpus has no column for repositories, so owners alone decide, however many documents repeat a value.
 
-Defined results: null and empty texts have no spans. Null owners count as one owner of their own. Repeated rows repeat
-their results. Offsets are code points, ends exclusive. Extra columns pass through; an empty table gives an empty result.
+Defined results: null and empty texts have no spans; texts of any length are scanned whole. Null owners count as one owner
+of their own. Repeated rows repeat their results and add no owner. Spans of equal starts are ordered by kind. Offsets are
+code points, ends exclusive. Extra columns pass through, but for those named ``secrets``, ``__found`` or ``__row``, which are
+replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -90,7 +92,7 @@ def ownership(found: DataFrame, owner: str, repository: str | None = None) -> Da
 def classify(df: DataFrame, owner: str = "source", repository: str | None = None, text: str = "text", keep_text: bool = True) -> DataFrame:
     """Add ``secrets``: array of (start, kind, end, live) of base spans and live-looking generic tokens, in order."""
     scratch = Scratch(df.sparkSession, "secrets")
-    found = scan(df, text)
+    found = scan(df.drop("secrets", "__found", "__row"), text)
     found = scratch.cut((found if keep_text else found.drop(text)).withColumn("__row", F.monotonically_increasing_id()))
     single = found.select("__row", F.explode("__found").alias("s")).select("__row", "s.*")
     owners = ownership(found, owner, repository).select("value", "live")

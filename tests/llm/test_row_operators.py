@@ -84,17 +84,26 @@ def test_phrases_match_brute_force_cross_parsing():
     for i, t in enumerate(texts):
         flat = langid.symbols([t])[0].tobytes()
         for j, x in enumerate(model.languages):
-            n = 0
-            for lane in range(0, len(flat), langid.LANE):
-                part, p = flat[lane : lane + langid.LANE], 0
-                while p < len(part):
-                    e = p + 1
-                    while e < len(part) and part[p : e + 1] in samples[x]:
-                        e += 1
-                    p, n = e, n + 1
+            n = p = 0
+            while p < len(flat):
+                e = p + 1
+                while e < len(flat) and flat[p : e + 1] in samples[x]:
+                    e += 1
+                p, n = e, n + 1
             assert got[i, j] == n
 
 
+def test_lanes_of_any_length_give_the_same_phrases(monkeypatch):
+    rng = np.random.default_rng(9)
+    letters = lambda n: "".join(rng.choice(list("abc "), n))
+    model = langid.Model({"a": letters(400).encode(), "b": letters(400).encode(), "c": b"cab"})
+    texts = [letters(n) for n in (0, 1, 7, 40, 900, 5_000)]
+    whole = model.phrases(texts)
+    for lane in (1, 2, 3, 16, 10_000):
+        monkeypatch.setattr(langid, "LANE", lane)
+        assert (model.phrases(texts) == whole).all()
+
+
 def test_languages_beyond_one_group_are_learned(spark, documents):
     names = [f"l{i:02}" for i in range(70)]
     text = lambda i: " ".join(chr(0x4E00 + 40 * i + k) * 3 for k in range(30))

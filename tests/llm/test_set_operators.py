@@ -1,6 +1,7 @@
 """Operators over the whole corpus: sharding, mixing, urls, nearest neighbours, toxicity, Jaccard join, and the pipeline."""
 
 import collections
+import math
 import re
 
 import numpy as np
@@ -201,23 +202,59 @@ def test_nearest_odd_rows(spark):
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def brute_vectors(bags, idf):
+    """Term -> weight of unit length for each bag; written apart from the index."""
+    out = []
+    for bag in bags:
+        v = {t: (1 + math.log(n)) * idf[t] for t, n in bag.items() if t in idf}
+        size = math.sqrt(sum(w * w for w in v.values()))
+        out.append({t: w / size for t, w in v.items()} if size else {})
+    return out
+
+
+def brute_terms(text):
+    words = re.findall(r"[^\W\d_]+", (text or "").lower())
+    return collections.Counter(words + ["^" + w[:4] for w in words if len(w) > 4])
+
+
 def test_toxicity_neighbours_are_exact_and_votes_tell(spark, documents):
     rng = np.random.default_rng(2)
     plain = [chr(97 + i % 26) + chr(97 + i // 26) + "q" for i in range(300)]
-    docs = [(i, " ".join(rng.choice(plain, 30)) + (" vile nasty vile" if i % 4 == 0 else ""), "en", "s", 1) for i in range(400)]
+    docs = [(i, " ".join(rng.choice(plain, 30)) + (" vile nastyish vile" if i % 4 == 0 else ""), "en", "s", 1) for i in range(400)]
+    docs += [(900, None, "en", "s", 1), (901, "", "en", "s", 1), (902, docs[350][1], "en", "s", 1)]
     labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(300)], "doc_id long, quality int, toxic int")
     index = toxicity.fit(documents(docs), labels)
-    got = {r.doc_id: r.score for r in toxicity.score(documents(docs + [(900, None, "en", "s", 1), (901, "", "en", "s", 1)]), index).collect()}
-    assert np.mean([(got[i] >= 0.5) == (i % 4 == 0) for i in range(300, 400)]) > 0.9
-    assert got[900] == got[901] < 0.5
-    whole = np.zeros((len(index.number), len(index.labels)))
-    for t in range(len(index.number)):
-        a, z = index.cuts[t * index.n_blocks], index.cuts[(t + 1) * index.n_blocks]
-        whole[t, index.examples[a:z]] = index.weights[a:z]
-    for _, text, *_ in docs[300:330]:
-        i, w = index.vector(toxicity.terms(text))
-        exact = np.sort(w @ whole[i])[::-1][: toxicity.NEIGHBOURS]
-        assert np.allclose(index.nearest(i, w)[1], exact, atol=1e-5)
+    got = {r.doc_id: r for r in toxicity.score(documents(docs), index, evidence=True).collect()}
+    assert np.mean([(got[i].score >= 0.5) == (i % 4 == 0) for i in range(300, 400)]) > 0.9
+    assert got[900].score == got[901].score < 0.5 and got[902].score == got[350].score
+    rows = sorted(toxicity.training_rows(documents(docs), labels).collect())
+    bags = [brute_terms(r.text) for r in rows]
+    found = collections.Counter(t for b in bags for t in b)
+    idf = {t: math.log((1 + len(bags)) / (1 + n)) for t, n in found.items()}
+    examples = brute_vectors(bags, idf)
+    for i in range(300, 400):
+        (query,) = brute_vectors([brute_terms(docs[i][1])], idf)
+        exact = sorted((sum(w * e.get(t, 0) for t, w in query.items()) for e in examples), reverse=True)[: toxicity.NEIGHBOURS]
+        assert np.allclose([n.cosine for n in got[i].neighbours], exact, atol=1e-5)
+
+
+def test_toxicity_ties_go_to_the_smaller_id():
+    """Copies of one example tie; the smaller half, in the order of ids, is clean."""
+    n = 2 * toxicity.NEIGHBOURS
+    bags = [{"same": 1, "text": 1}] * n + [{"other": 1, f"w{i}": 1} for i in range(200)]
+    index = toxicity.Index(bags, [0] * toxicity.NEIGHBOURS + [1] * toxicity.NEIGHBOURS + [0] * 200)
+    ((j, s),) = index.nearest([index.vector({"same": 1, "text": 1})])
+    assert sorted(index.turn[j]) == list(range(toxicity.NEIGHBOURS)) and np.allclose(s, 1)
+
+
+def test_toxicity_skips_blocks_that_cannot_matter():
+    rng = np.random.default_rng(3)
+    themes = [[f"t{k}w{i}" for i in range(40)] for k in range(30)]
+    bags = [collections.Counter(rng.choice(themes[i % 30], 20).tolist()) for i in range(3000)]
+    index = toxicity.Index(bags, [i % 2 for i in range(3000)])
+    index.scored = index.blocks = 0
+    index.nearest([index.vector(b) for b in bags[:50]])
+    assert index.scored < 0.5 * index.blocks
 
 
 def test_toxicity_of_few_examples_keeps_all_their_terms(spark, documents):
@@ -229,8 +266,9 @@ def test_toxicity_of_few_examples_keeps_all_their_terms(spark, documents):
     rows = toxicity.training_rows(documents(docs), labels).collect()
     assert set(index.number) == {t for r in rows for t in toxicity.terms(r.text)}
     held = [(i, text) for i, text, *_ in docs if i not in {r.doc_id for r in rows}]
-    assert len({index.score(text)[0] for _, text in held}) > 1
-    assert all((index.score(text)[0] >= 0.5) == (i % 6 == 0) for i, text in held)
+    scores = [p for p, *_ in index.score([text for _, text in held])]
+    assert len(set(scores)) > 1
+    assert all((p >= 0.5) == (i % 6 == 0) for (i, _), p in zip(held, scores, strict=True))
 
 
 def test_toxicity_without_labels(spark, documents):
