@@ -1,16 +1,37 @@
-"""BM25 over inverted postings, for batches of queries."""
+"""BM25 for batches of queries: by scoring records where they are, or over inverted postings.
+
+``search`` sends the queries' terms to the records. One pass counts document frequencies and lengths, a second scores each
+record against all queries by one product of its term weights with the queries' term counts and keeps the k best in each
+task, so that neither postings nor scores of all pairs are exchanged. It needs the terms of a batch in memory; beyond
+``QUERY_CELLS`` numbers, or with statistics of too many scopes, postings are joined instead, with the same results.
+"""
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from collections import Counter
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import bm25_tokens
+from corvane.runtime import importable
 
 K1, B = 1.2, 0.75
 #: A title's tokens count so many times, in frequencies and lengths.
 TITLE_WEIGHT = 3
 DIGITS = 6
+#: Terms times queries (8 bytes each), and scopes times terms, that may be sent to every task.
+QUERY_CELLS = 8_000_000
+#: Hits that a task gathers before it keeps the best of them.
+GATHERED = 500_000
+
+_CAMEL = re.compile(r"([a-z0-9])([A-Z])")
+_WORD = re.compile(r"[^\W_]+")
 
 
 def tokenised(docs: DataFrame, unit: str, text: str, title: str | None = None, scope: Column | None = None) -> DataFrame:
@@ -45,3 +66,130 @@ def bm25(records: DataFrame, terms: DataFrame) -> DataFrame:
     idf = df.join(stats, "kb").select("kb", "term", "avgdl", F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return postings.join(idf, ["kb", "term"]).join(terms, "term").groupBy("query_id", "kb", "id").agg(F.round(F.sum(part), DIGITS).alias("score"))
+
+
+def tokens_of(text: str | None) -> list[str]:
+    """The tokens of ``bm25_tokens``, of the text's compatibility form."""
+    if not text:
+        return []
+    text = text if text.isascii() else unicodedata.normalize("NFKC", text)
+    return _WORD.findall(_CAMEL.sub(r"\1 \2", text).lower())
+
+
+def _asked(queries: DataFrame, query_id: str, text: str, most: int) -> list[tuple[int, Counter]] | None:
+    """(id, term counts) of the queries, or nothing if they hold more than ``most`` numbers; rows of one id are one query, and a query needs an id."""
+    out, known, rows = {}, set(), queries.select(F.col(query_id).cast("long").alias("q"), F.col(text).alias("t")).filter("q is not null")
+    for r in rows.toLocalIterator():
+        out.setdefault(r.q, Counter()).update(bag := Counter(tokens_of(r.t)))
+        known |= bag.keys()
+        if len(out) * len(known) > most:
+            return None
+    return sorted(out.items())
+
+
+def _records(docs: DataFrame, unit: str, text: str, title: str | None, scope: Column | None) -> DataFrame:
+    return docs.select(F.col(unit).cast("long").alias("id"), (scope if scope is not None else F.lit("all")).alias("kb"), F.col(text).alias("text"), (F.col(title) if title else F.lit("")).alias("title"))
+
+
+def _bags(batch: pa.RecordBatch) -> Iterator[tuple[str | None, Counter, int]]:
+    """Scope, term counts and length of each record; a title counts ``TITLE_WEIGHT`` times."""
+    for kb, text, title in zip(*(batch.column(c).to_pylist() for c in ("kb", "text", "title")), strict=True):
+        bag = Counter(tokens_of(text))
+        for t in tokens_of(title):
+            bag[t] += TITLE_WEIGHT
+        yield kb, bag, sum(bag.values())
+
+
+def search(docs: DataFrame, unit: str, text: str, queries: DataFrame, query_id: str, query_text: str, k: int, scope: Column | None = None, title: str | None = None, most: int = QUERY_CELLS) -> DataFrame:
+    """The k best records of each query, and of each scope if one is named: query_id, kb, id, score, rank. A record without a scope is in none."""
+    keys = ("query_id",) if scope is None else ("query_id", "kb")
+    docs = docs if scope is None else docs.filter(scope.isNotNull())
+    importable(docs.sparkSession)
+    asked = _asked(queries, query_id, query_text, most)
+    stats = None if asked is None else _statistics(docs, unit, text, title, scope, asked, most)
+    if stats is None:
+        records = tokenised(docs, unit, text, title, scope)
+        return top(bm25(records, query_terms(queries.filter(F.col(query_id).isNotNull()), query_id, query_text)), k, keys)
+    return top(_scored(_records(docs, unit, text, title, scope), asked, *stats, k), k, keys)
+
+
+def _statistics(docs: DataFrame, unit: str, text: str, title: str | None, scope: Column | None, asked: list, most: int) -> tuple[dict, dict] | None:
+    """Numbers of the asked terms, and for each scope its number of records, their mean length, and the terms' document frequencies."""
+    number = {t: i for i, t in enumerate(sorted({t for _, bag in asked for t in bag}))}
+    shared = docs.sparkSession.sparkContext.broadcast(number)
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, found = shared.value, {}
+        for batch in batches:
+            for kb, bag, dl in _bags(batch):
+                df = found.setdefault(kb, np.zeros(len(place) + 2, np.int64))
+                df[[i for t in bag if (i := place.get(t)) is not None]] += 1
+                df[-2:] += (1, dl)
+        for kb, df in found.items():
+            at = np.flatnonzero(df)
+            yield pa.RecordBatch.from_arrays([pa.array([kb] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(df[at], pa.int64())], names=["kb", "term", "c"])
+
+    sums = _records(docs, unit, text, title, scope).mapInArrow(count, "kb string, term int, c long").groupBy("kb", "term").agg(F.sum("c").alias("c"))
+    rows = sums.limit(most // 8 + 1).collect()  # at most a number for each asked term and scope
+    if len(rows) > most // 8:
+        return None
+    out: dict = {}
+    for r in rows:
+        out.setdefault(r.kb, np.zeros(len(number) + 2, np.int64))[r.term] = r.c
+    return number, {kb: (int(x[-2]), max(1.0, x[-1] / x[-2]), x[:-2]) for kb, x in out.items()}
+
+
+def _scored(records: DataFrame, asked: list, number: dict, stats: dict, k: int) -> DataFrame:
+    """(query_id, kb, id, score): the k best of each task."""
+    ids = np.array([q for q, _ in asked], np.int64)
+    weights = np.zeros((len(number), len(asked)))
+    for j, (_, bag) in enumerate(asked):
+        for t, n in bag.items():
+            weights[number[t], j] = n
+    idf = {kb: (mean, np.log1p((n - df + 0.5) / (df + 0.5))) for kb, (n, mean, df) in stats.items()}
+    shared = records.sparkSession.sparkContext.broadcast((number, ids, weights, idf))  # at most QUERY_CELLS numbers, and as many for the scopes
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, ids, weights, idf = shared.value
+        scopes = {kb: i for i, kb in enumerate(idf)}
+        names = np.array(list(idf), object)
+        best = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]  # group (scope and query), id, score
+        least = np.zeros(len(scopes) * len(ids))
+        waiting, size = [best], 0
+
+        def kept() -> list[np.ndarray]:
+            group, doc, score = (np.concatenate(x) for x in zip(*waiting, strict=True))
+            order = np.lexsort((doc, -score, group))
+            group, doc, score = group[order], doc[order], score[order]
+            turn = np.arange(len(group)) - np.searchsorted(group, group)
+            last = turn == k - 1
+            least[group[last]] = score[last]
+            return [x[turn < k] for x in (group, doc, score)]
+
+        for batch in batches:
+            docs = np.asarray(batch.column("id").fill_null(0), np.int64)
+            known = np.asarray(batch.column("id").is_valid())
+            for row, (kb, bag, dl) in enumerate(_bags(batch)):
+                hit = [(i, n) for t, n in bag.items() if (i := place.get(t)) is not None]
+                if not hit or not known[row]:
+                    continue
+                mean, value = idf[kb]
+                at, tf = np.array(hit).T
+                gain = value[at] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / mean))
+                score = gain @ weights[at]
+                first = scopes[kb] * len(ids)
+                some = np.flatnonzero(score > 0)
+                rounded = np.round(score[some], DIGITS)
+                fine = rounded >= least[first + some]
+                waiting.append([first + some[fine], np.full(int(fine.sum()), docs[row]), rounded[fine]])
+                size += int(fine.sum())
+                if size > GATHERED:
+                    waiting, size = [kept()], 0
+        group, doc, score = kept()
+        for a in range(0, len(group), 100_000):
+            part = slice(a, a + 100_000)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids[group[part] % len(ids)], pa.int64()), pa.array(names[group[part] // len(ids)].tolist(), pa.string()), pa.array(doc[part], pa.int64()), pa.array(score[part], pa.float64())], names=["query_id", "kb", "id", "score"]
+            )
+
+    return records.mapInArrow(run, "query_id long, kb string, id long, score double")

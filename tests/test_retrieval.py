@@ -121,3 +121,20 @@ def test_filters_never_add_results(spark, extra):
     whole = lexical.top(lexical.bm25(lexical.tokenised(docs, "id", "text"), terms), 30).orderBy("rank")
     narrowed = [r.id for r in whole.filter(F.col("id") % 3 == extra).collect()]
     assert set(narrowed) <= {r.id for r in whole.collect()} and narrowed == [r.id for r in whole.collect() if r.id % 3 == extra]
+
+
+def test_search_scores_where_records_are_as_postings_do(spark):
+    """Both ways of ``search``: with scopes, titles, null and empty texts, repeated query ids, more hits than k, and ties."""
+    words = "red blue green fox dog cat getUserName été v2".split()
+    docs = [(i, None if i == 3 else " ".join(words[(i * k) % 9] for k in range(1, 4 + i % 5)) if i % 11 else "", None if i % 13 == 12 else f"s{i % 3}", words[i % 9]) for i in range(80)]
+    docs = spark.createDataFrame(docs, "id long, text string, source string, title string")
+    queries = spark.createDataFrame([(1, "blue fox"), (1, "blue dog"), (2, "GetUserName"), (3, None), (4, "nothing known"), (None, "red")], "qid long, text string")
+    for scope in (None, F.col("source")):
+        for title in (None, "title"):
+            near, far = (lexical.search(docs, "id", "text", queries, "qid", "text", 5, scope, title, most).collect() for most in (lexical.QUERY_CELLS, 0))
+            assert near and sorted(map(str, near)) == sorted(map(str, far))
+
+
+def test_tokens_are_those_of_the_compatibility_form(spark):
+    assert lexical.tokens_of("ﬁne ①② ｘｙ getUserName") == ["fine", "12", "xy", "get", "user", "name"]
+    assert lexical.tokens_of(None) == lexical.tokens_of("") == []
