@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -16,15 +17,21 @@ from corvane.runtime import importable
 DIGITS = 6
 #: Numbers in a block of queries that is broadcast (8 bytes each); larger batches are searched block by block.
 QUERY_NUMBERS = 4_000_000
+#: Tokens whose place a worker remembers.
+KNOWN_TOKENS = 200_000
+
+_TOKEN = re.compile("[A-Za-z0-9_]+")
 
 
 def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a.cast("array<double>"), b.cast("array<double>"), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
 
 
-def knn(queries: DataFrame, vectors: DataFrame, k: int, same: Column | None = None) -> DataFrame:
+def knn(queries: DataFrame, vectors: DataFrame, k: int, same: bool = True) -> DataFrame:
     """The k nearest rows of ``vectors`` (id, v) for each of ``queries`` (query_id, q): query_id, id, score, rank; a row is no neighbour of its own id.
 
+    With ``same`` off, ids of queries and rows name different things, and equal ids are neighbours like others.
+
     Queries go to the vectors: each block of them is a broadcast of checked size, tasks keep their own k best, and only
     those are exchanged. Scores are squared distances, rounded; ties go to the smaller id.
     """
@@ -34,28 +41,40 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, same: Column | None = No
     step, found = max(1, QUERY_NUMBERS // width), None
     for start in range(0, max(1, len(rows)), step):
         block = rows[start : start + step]
-        part = _block(vectors, np.array([i for i, _ in block], np.int64), np.array([q for _, q in block], np.float64).reshape(-1, width), k)
+        part = _block(vectors, np.array([i for i, _ in block], np.int64), np.array([q for _, q in block], np.float64).reshape(-1, width), k, same)
         found = part if found is None else found.unionByName(part)
     return top(found, k, descending=False)
 
 
-def _block(vectors: DataFrame, ids: np.ndarray, q: np.ndarray, k: int) -> DataFrame:
+def _block(vectors: DataFrame, ids: np.ndarray, q: np.ndarray, k: int, same: bool) -> DataFrame:
     shared = vectors.sparkSession.sparkContext.broadcast((ids, q))
+    rows = max(1, min(4_096, QUERY_NUMBERS // max(1, len(ids))))  # vectors in one product
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = shared.value
-        best: list[list[tuple[float, int]]] = [[] for _ in ids]
+        norms = (q * q).sum(1)
+        limit = np.full(len(ids), np.inf)
+        line, found, scores = (np.zeros(0, t) for t in (np.int64, np.int64, np.float64))
         for batch in batches:
-            own = np.asarray(batch.column("id"))
-            x = np.asarray(batch.column("v").flatten(), np.float64).reshape(len(own), -1)
-            for j in range(len(ids)):
-                d = x - q[j]
-                s = np.round((d * d).sum(1), DIGITS)
-                s[own == ids[j]] = np.inf
-                near = np.flatnonzero(s <= np.partition(s, k - 1)[k - 1]) if len(s) > k else np.arange(len(s))
-                best[j] = sorted(best[j] + [(float(s[i]), int(own[i])) for i in near if s[i] < np.inf])[:k]
-        out = [(int(i), d, s) for i, b in zip(ids, best, strict=True) for s, d in b]
-        yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.float64())], names=["query_id", "id", "score"])
+            every = np.asarray(batch.column("id"))
+            vectors = np.asarray(batch.column("v").flatten(), np.float64).reshape(len(every), -1)
+            for at in range(0, len(every), rows):
+                own, x = every[at : at + rows], vectors[at : at + rows]
+                # one product gives all distances but for the last digits; what may be among the nearest is measured again
+                near = norms[:, None] + (x * x).sum(1) - 2 * q @ x.T
+                if same:
+                    near[ids[:, None] == own] = np.inf
+                most = np.partition(near, k, axis=1)[:, k] if len(own) > k else np.full(len(ids), np.inf)
+                j, i = np.nonzero((near <= np.minimum(limit, most)[:, None] + 1e-5) & (near < np.inf))
+                d = x[i] - q[j]
+                line, found = np.concatenate([line, j]), np.concatenate([found, own[i]])
+                scores = np.concatenate([scores, np.round((d * d).sum(1), DIGITS)])
+                order = np.lexsort((found, scores, line))
+                line, found, scores = line[order], found[order], scores[order]
+                turn = np.arange(len(line)) - np.searchsorted(line, line)
+                limit[line[turn == k - 1]] = scores[turn == k - 1]
+                line, found, scores = (z[turn < k] for z in (line, found, scores))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[line], pa.int64()), pa.array(found, pa.int64()), pa.array(scores, pa.float64())], names=["query_id", "id", "score"])
 
     return vectors.select("id", F.col("v").cast("array<double>").alias("v")).filter("v is not null").mapInArrow(run, "query_id long, id long, score double")
 
@@ -73,19 +92,24 @@ def hash_embedding(df: DataFrame, text: str, dim: int = 64) -> DataFrame:
     importable(df.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import re
+        place: dict[str, int] = {}
+
+        def placed(token: str) -> int:
+            h = 0x811C9DC5
+            for b in token.encode():
+                h = ((h ^ b) * 0x01000193) & 0xFFFFFFFF
+            if len(place) >= KNOWN_TOKENS:
+                place.clear()
+            place[token] = h % dim
+            return h % dim
 
         for batch in batches:
-            out = []
-            for t in batch.column(text):
-                v = np.zeros(dim)
-                for token in filter(None, re.split(r"[^A-Za-z0-9_]+", (t.as_py() or "").lower())):
-                    h = 0x811C9DC5
-                    for b in token.encode():
-                        h = ((h ^ b) * 0x01000193) & 0xFFFFFFFF
-                    v[h % dim] += 1
-                n = np.linalg.norm(v)
-                out.append(np.round(v / n if n else v, 6).tolist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.float64()))], names=[*batch.schema.names, "embedding"])
+            vectors = np.zeros((batch.num_rows, dim))
+            for line, t in zip(vectors, batch.column(text), strict=True):
+                found = [place[w] if w in place else placed(w) for w in _TOKEN.findall((t.as_py() or "").lower())]
+                line += np.bincount(found, minlength=dim) if found else 0
+            norm = np.sqrt((vectors * vectors).sum(1, keepdims=True))
+            out = np.round(vectors / np.where(norm > 0, norm, 1), 6)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(np.arange(batch.num_rows + 1, dtype=np.int32) * dim, out.ravel())], names=[*batch.schema.names, "embedding"])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("embedding", T.ArrayType(T.DoubleType()))]))

@@ -43,10 +43,10 @@ def collapse_views(hits: DataFrame, higher: bool = False) -> DataFrame:
 
 
 def neighbours(hits: DataFrame, chunks: DataFrame, before: int, after: int, cap: int = NEIGHBOUR_CAP) -> DataFrame:
-    """Chunks around each hit (query_id, source, idx, rank), claimed by the best hit, without hits themselves, at most ``cap`` a query."""
-    h, c = hits.alias("h"), chunks.alias("c")
-    near = h.join(c, (F.col("h.source") == F.col("c.source")) & F.col("c.idx").between(F.col("h.idx") - before, F.col("h.idx") + after)).select("h.query_id", "h.rank", "c.source", "c.idx")
-    near = near.join(hits.select("query_id", "source", "idx"), ["query_id", "source", "idx"], "left_anti")
+    """Chunks around each hit (query_id, source, idx, rank), claimed by the best hit, without hits themselves, at most ``cap`` a query; met by equal keys, one for each place around a hit."""
+    around = hits.select("query_id", "source", "rank", F.explode(F.sequence(F.col("idx") - before, F.col("idx") + after)).alias("idx"))
+    around = around.join(hits.select("query_id", "source", "idx"), ["query_id", "source", "idx"], "left_anti")
+    near = chunks.select("source", "idx").join(around, ["source", "idx"]).select("query_id", "rank", "source", "idx")
     claimed = near.groupBy("query_id", "source", "idx").agg(F.min("rank").alias("claimed_by"))
     order = Window.partitionBy("query_id").orderBy("claimed_by", "source", "idx")
     return claimed.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= cap).drop("n")

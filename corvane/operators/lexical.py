@@ -100,15 +100,21 @@ def _bags(batch: pa.RecordBatch) -> Iterator[tuple[str | None, Counter, int]]:
         yield kb, bag, sum(bag.values())
 
 
-def search(docs: DataFrame, unit: str, text: str, queries: DataFrame, query_id: str, query_text: str, k: int, scope: Column | None = None, title: str | None = None, most: int = QUERY_CELLS) -> DataFrame:
-    """The k best records of each query, and of each scope if one is named: query_id, kb, id, score, rank. A record without a scope is in none."""
+def search(docs: DataFrame, unit: str, text: str, queries: DataFrame, query_id: str, query_text: str, k: int, scope: Column | None = None, title: str | None = None, most: int = QUERY_CELLS, whole: bool = False) -> DataFrame:
+    """The k best records of each query, and of each scope if one is named: query_id, kb, id, score, rank. A record without a scope is in none.
+
+    Statistics are those of the scope, or with ``whole`` those of all scopes together.
+    """
     keys = ("query_id",) if scope is None else ("query_id", "kb")
     docs = docs if scope is None else docs.filter(scope.isNotNull())
     importable(docs.sparkSession)
     asked = _asked(queries, query_id, query_text, most)
-    stats = None if asked is None else _statistics(docs, unit, text, title, scope, asked, most)
+    stats = None if asked is None else _statistics(docs, unit, text, title, None if whole else scope, asked, most)
     if stats is None:
-        records = tokenised(docs, unit, text, title, scope)
+        records = tokenised(docs, unit, text, title, None if whole else scope)
+        if whole and scope is not None:
+            found = bm25(records, query_terms(queries.filter(F.col(query_id).isNotNull()), query_id, query_text)).drop("kb")
+            return top(found.join(docs.select(F.col(unit).alias("id"), scope.alias("kb")), "id").select("query_id", "kb", "id", "score"), k, keys)
         return top(bm25(records, query_terms(queries.filter(F.col(query_id).isNotNull()), query_id, query_text)), k, keys)
     return top(_scored(_records(docs, unit, text, title, scope), asked, *stats, k), k, keys)
 
@@ -151,10 +157,9 @@ def _scored(records: DataFrame, asked: list, number: dict, stats: dict, k: int)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, ids, weights, idf = shared.value
-        scopes = {kb: i for i, kb in enumerate(idf)}
-        names = np.array(list(idf), object)
+        scopes: dict[str, int] = {}
         best = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]  # group (scope and query), id, score
-        least = np.zeros(len(scopes) * len(ids))
+        least = np.zeros(0)
         waiting, size = [best], 0
 
         def kept() -> list[np.ndarray]:
@@ -173,10 +178,13 @@ def _scored(records: DataFrame, asked: list, number: dict, stats: dict, k: int)
                 hit = [(i, n) for t, n in bag.items() if (i := place.get(t)) is not None]
                 if not hit or not known[row]:
                     continue
-                mean, value = idf[kb]
+                mean, value = idf[kb] if kb in idf else idf["all"]
                 at, tf = np.array(hit).T
                 gain = value[at] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / mean))
                 score = gain @ weights[at]
+                if kb not in scopes:
+                    scopes[kb] = len(scopes)
+                    least = np.concatenate([least, np.zeros(len(ids))])
                 first = scopes[kb] * len(ids)
                 some = np.flatnonzero(score > 0)
                 rounded = np.round(score[some], DIGITS)
@@ -186,6 +194,7 @@ def _scored(records: DataFrame, asked: list, number: dict, stats: dict, k: int)
                 if size > GATHERED:
                     waiting, size = [kept()], 0
         group, doc, score = kept()
+        names = np.array(list(scopes), object)
         for a in range(0, len(group), 100_000):
             part = slice(a, a + 100_000)
             yield pa.RecordBatch.from_arrays(

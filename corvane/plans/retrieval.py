@@ -42,18 +42,18 @@ def bm25_run(spark, sf, k: int = K, kb: bool = False) -> DataFrame:  # noqa: ANN
 TOKENS = r"regexp_extract_all(lower(regexp_replace(text, '([a-z0-9])([A-Z])', '\1 \2', 'g')), '[\p{L}\p{N}]+')"
 
 
-def bm25_sql(k: int = K, kb: str = "'all'", unit: str = "doc_id", source: str = "documents", keys: str = "query_id") -> str:
-    """CTEs up to ``bm25`` (query_id, kb, id, score, rank)."""
-    return rf"""d AS (SELECT {kb} AS kb, {unit} AS id, {TOKENS} AS tokens FROM {source}),
-st AS (SELECT kb, count(*) AS n, greatest(avg(len(tokens)), 1) AS avgdl FROM d GROUP BY kb),
-tf AS (SELECT kb, id, len(tokens) AS dl, unnest(tokens) AS term FROM d),
-po AS (SELECT kb, id, dl, term, count(*) AS tf FROM tf GROUP BY ALL),
-df AS (SELECT kb, term, count(*) AS df FROM po GROUP BY ALL),
-qt AS (SELECT item_id AS query_id, unnest({TOKENS}) AS term FROM benchmark),
-qf AS (SELECT query_id, term, count(*) AS qtf FROM qt GROUP BY ALL),
-sc AS (SELECT query_id, po.kb, po.id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
-       FROM po JOIN df USING (kb, term) JOIN st USING (kb) JOIN qf USING (term) GROUP BY query_id, po.kb, po.id),
-bm25 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY score DESC, id) AS rank FROM sc) WHERE rank <= {k})"""
+def bm25_sql(k: int = K, kb: str = "'all'", unit: str = "doc_id", source: str = "documents", keys: str = "query_id", p: str = "", tokens: str = TOKENS) -> str:
+    """CTEs up to ``bm25`` (query_id, kb, id, score, rank), their names with a prefix ``p``."""
+    return rf"""{p}d AS (SELECT {kb} AS kb, {unit} AS id, {tokens} AS tokens FROM {source}),
+{p}st AS (SELECT kb, count(*) AS n, greatest(avg(len(tokens)), 1) AS avgdl FROM {p}d GROUP BY kb),
+{p}tf AS (SELECT kb, id, len(tokens) AS dl, unnest(tokens) AS term FROM {p}d),
+{p}po AS (SELECT kb, id, dl, term, count(*) AS tf FROM {p}tf GROUP BY ALL),
+{p}df AS (SELECT kb, term, count(*) AS df FROM {p}po GROUP BY ALL),
+{p}qt AS (SELECT item_id AS query_id, unnest({TOKENS}) AS term FROM benchmark),
+{p}qf AS (SELECT query_id, term, count(*) AS qtf FROM {p}qt GROUP BY ALL),
+{p}sc AS (SELECT query_id, po.kb, po.id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
+       FROM {p}po po JOIN {p}df USING (kb, term) JOIN {p}st USING (kb) JOIN {p}qf USING (term) GROUP BY query_id, po.kb, po.id),
+{p}bm25 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY score DESC, id) AS rank FROM {p}sc) WHERE rank <= {k})"""
 
 
 def knn_sql(name: str = "knn", k: int = K, dims: int = 64, where: str = "true") -> str:
@@ -84,10 +84,10 @@ def ret05_bm25(spark, sf):  # noqa: ANN001, ANN201
     return bm25_run(spark, sf).select("query_id", "id", "score", "rank")
 
 
-_TITLED = "(SELECT doc_id, source, text, list_concat(list_concat(list_concat(regexp_extract_all(lower(source), '[\\p{L}\\p{N}]+'), regexp_extract_all(lower(source), '[\\p{L}\\p{N}]+')), regexp_extract_all(lower(source), '[\\p{L}\\p{N}]+')), " + TOKENS + ") AS tokens FROM documents)"
+_TITLE = r"regexp_extract_all(lower(source), '[\p{L}\p{N}]+')"
 
 
-@query(f"WITH {bm25_sql(10, source=_TITLED).replace(TOKENS + ' AS tokens FROM (', 'tokens FROM (', 1)} SELECT query_id, id, score, rank FROM bm25")
+@query(f"WITH {bm25_sql(10, tokens=f'list_concat(list_concat(list_concat({_TITLE}, {_TITLE}), {_TITLE}), {TOKENS})')} SELECT query_id, id, score, rank FROM bm25")
 def ret05_titled(spark, sf):  # noqa: ANN001, ANN201
     """Field weights: a title (the shelf's name here) counts three times, in frequencies and lengths."""
     d = table(spark, sf, "documents")
@@ -99,9 +99,11 @@ def ret06_bm25_per_kb(spark, sf):  # noqa: ANN001, ANN201
     return bm25_run(spark, sf, 3, kb=True).select("query_id", "kb", "id", "score", "rank")
 
 
-@query(f"""WITH b AS (SELECT source AS doc_id, string_agg(text, chr(10) ORDER BY doc_id) AS text FROM documents GROUP BY source), {bm25_sql(5, source='b')} SELECT query_id, id AS source, score, rank FROM bm25""")
+@query(f"""WITH b AS (SELECT source AS doc_id, string_agg(text, chr(10) ORDER BY doc_id) AS text FROM documents GROUP BY source), {bm25_sql(5, source='b')},
+{bm25_sql(1, p='c_')}, best AS (SELECT query_id, source, arg_min(id, (-score, id)) AS chunk FROM c_sc JOIN documents ON doc_id = id GROUP BY ALL)
+SELECT bm25.query_id, bm25.id AS source, bm25.score, bm25.rank, best.chunk FROM bm25 JOIN best ON best.query_id = bm25.query_id AND best.source = bm25.id""")
 def ret07_bm25_by_source(spark, sf):  # noqa: ANN001, ANN201
-    """Unit source: token arrays of a source's chunks are joined in order, so whole texts are never concatenated."""
+    """Unit source: tokens of a source's chunks count together, so whole texts are never concatenated; a source comes with its best chunk of the chunks' own ranking."""
     chunks = table(spark, sf, "documents").select("source", "doc_id", text.bm25_tokens(F.col("text")).alias("t"))
     stats_tokens = chunks.select("source", F.explode("t").alias("term")).groupBy("source", "term").agg(F.count("*").alias("tf"))
     dl = chunks.groupBy("source").agg(F.sum(F.size("t")).alias("dl"))
@@ -111,7 +113,8 @@ def ret07_bm25_by_source(spark, sf):  # noqa: ANN001, ANN201
     df = hit.groupBy("term").agg(F.count("*").alias("df"))
     part = F.col("qtf") * F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("dl") / F.greatest("avgdl", F.lit(1.0))))
     scored = hit.join(df, "term").join(dl, "source").crossJoin(F.broadcast(whole)).join(terms, "term").groupBy("query_id", "source").agg(F.round(F.sum(part), 6).alias("score"))
-    return lexical.top(scored, 5, tie="source")
+    best = lexical.search(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "benchmark"), "item_id", "text", 1, F.col("source"), whole=True)
+    return lexical.top(scored, 5, tie="source").join(best.select("query_id", F.col("kb").alias("source"), F.col("id").alias("chunk")), ["query_id", "source"]).select("query_id", "source", "score", "rank", "chunk")
 
 
 @query(f"""WITH {bm25_sql(10, 'source', keys='query_id, kb')} SELECT query_id, kb, id, score, rank FROM (SELECT query_id, kb, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM bm25) WHERE rank <= 10""")
@@ -124,7 +127,10 @@ def ret01_dense_knn(spark, sf):  # noqa: ANN001, ANN201
     return dense_run(spark, sf)
 
 
-@query()
+@query("""WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS d FROM embeddings), m AS (SELECT d, min(x) AS lo, max(x) AS hi FROM x GROUP BY d),
+z AS (SELECT vec_id, list(CASE WHEN hi > lo THEN lo + round((x - lo) / (hi - lo) * 255) * (hi - lo) / 255 ELSE lo END ORDER BY d) AS v FROM x JOIN m USING (d) GROUP BY vec_id)
+SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, id) AS rank FROM (
+  SELECT q.vec_id AS query_id, z.vec_id AS id, round(list_sum(list_transform(range(1, 65), lambda i: (z.v[i] - q.embedding[i]::DOUBLE) ** 2)), 6) AS score FROM embeddings q, z WHERE q.vec_id % 25 = 0 AND z.vec_id <> q.vec_id)) WHERE rank <= 10""")
 def ret02_sq8_knn(spark, sf):  # noqa: ANN001, ANN201
     v = _vectors(spark, sf).select("id", "v")
     return dense.knn(_queries(spark, sf), dense.quantised(v), K)
@@ -173,21 +179,41 @@ def _fetch_k(k: int) -> int:
     return max(min(4 * k, 200), k)
 
 
-@query(f"""WITH {bm25_sql(40)}, l2 AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, id) AS rank FROM (
-  SELECT b.item_id AS query_id, d.doc_id AS id, len(list_intersect(list_distinct(regexp_extract_all(lower(b.text), '[a-z0-9]{{4,}}')), list_distinct(regexp_extract_all(lower(d.text), '[a-z0-9]{{4,}}')))) AS c FROM benchmark b, documents d) WHERE c > 0),
-runs AS (SELECT query_id, id, 1 AS list, rank FROM bm25 UNION ALL SELECT query_id, id, 2, rank FROM l2 WHERE rank <= 40),
-f AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, min(list * 100000 + rank) AS first FROM runs GROUP BY query_id, id)
-SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first, id) AS rank FROM f) WHERE rank <= 10""")
+def embed_sql(name: str, source: str, unit: str) -> str:
+    """CTEs up to ``name`` (i, v): the hash embedding of each text."""
+    return f"""{name}_w AS (SELECT {unit} AS i, unnest(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^A-Za-z0-9_]+'), lambda x: x <> '')) AS t FROM {source}),
+{name}_u AS (SELECT t, list_reduce(list_prepend(2166136261::BIGINT, list_transform(range(1, length(t) + 1), lambda k: ascii(substr(t, k, 1))::BIGINT)), lambda h, b: (xor(h, b) * 16777619) % 4294967296) % 64 AS d FROM (SELECT DISTINCT t FROM {name}_w)),
+{name}_c AS (SELECT i, d, count(*) AS n FROM {name}_w JOIN {name}_u USING (t) GROUP BY ALL), {name}_n AS (SELECT i, sqrt(sum(n * n)) AS norm FROM {name}_c GROUP BY i),
+{name}_e AS (SELECT {unit} AS i, unnest(range(64)) AS d FROM {source}),
+{name} AS (SELECT i, list(round(coalesce(n / norm, 0), 6) ORDER BY d) AS v FROM {name}_e LEFT JOIN {name}_c USING (i, d) LEFT JOIN {name}_n USING (i) GROUP BY i)"""
+
+
+#: The dense leg over texts: nearest documents of each item by their hash embeddings.
+TEXT_KNN_SQL = f"""{embed_sql('de', 'documents', 'doc_id')}, {embed_sql('qe', 'benchmark', 'item_id')},
+text_knn AS (SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, id) AS rank FROM (
+  SELECT qe.i AS query_id, de.i AS id, round(list_sum(list_transform(range(1, 65), lambda k: (de.v[k] - qe.v[k]) ** 2)), 6) AS score FROM qe, de)) WHERE rank <= 40)"""
+
+
+def text_run(spark, sf, k: int) -> DataFrame:  # noqa: ANN001
+    """The k nearest documents of each benchmark item by hash embeddings."""
+    d = dense.hash_embedding(table(spark, sf, "documents").select("doc_id", "text"), "text").select(F.col("doc_id").alias("id"), F.col("embedding").alias("v"))
+    q = dense.hash_embedding(table(spark, sf, "benchmark").select("item_id", "text"), "text").select(F.col("item_id").alias("query_id"), F.col("embedding").alias("q"))
+    return dense.knn(q, d, k, same=False)
+
+
+@query(f"""WITH {bm25_sql(40)}, {TEXT_KNN_SQL}, runs AS (SELECT query_id, id, 1 AS list, rank FROM text_knn UNION ALL SELECT query_id, id, 2, rank FROM bm25),
+f AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, min(list * 100000 + rank) AS first FROM runs GROUP BY query_id, id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first, id) AS rank FROM f)
+SELECT r.query_id, r.id, r.score, r.rank, t.score AS distance, b.id IS NOT NULL AS lexical FROM r LEFT JOIN text_knn t ON t.query_id = r.query_id AND t.id = r.id LEFT JOIN bm25 b ON b.query_id = r.query_id AND b.id = r.id WHERE r.rank <= 10""")
 def ret10_hybrid(spark, sf):  # noqa: ANN001, ANN201
-    """BM25 fused with a second leg. The corpus has no text embeddings, so the second leg counts distinct shared tokens, by postings."""
+    """The dense leg over hash embeddings and BM25, fused; each hit with its distance, if the dense leg found it, and whether BM25 did."""
     n = _fetch_k(K)
-    words = lambda df, i: df.select(F.col(i), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]{4,}"), F.lit(0)))).alias("w"))
-    q, d = words(table(spark, sf, "benchmark"), "item_id"), words(table(spark, sf, "documents"), "doc_id")
-    shared = d.join(q, "w").groupBy(F.col("item_id").alias("query_id"), F.col("doc_id").alias("id")).agg(F.count("*").alias("score"))
-    second = lexical.top(shared, n)
-    runs = bm25_run(spark, sf, n).select("query_id", F.lit(1).alias("list"), F.lit(1.0).alias("weight"), "id", "rank")
-    runs = runs.unionByName(second.select("query_id", F.lit(2).alias("list"), F.lit(1.0).alias("weight"), "id", "rank"))
-    return fusion.fuse(runs, K).select("query_id", "id", "score", "rank")
+    near, lexical_run = text_run(spark, sf, n), bm25_run(spark, sf, n)
+    runs = near.select("query_id", F.lit(1).alias("list"), F.lit(1.0).alias("weight"), "id", "rank")
+    runs = runs.unionByName(lexical_run.select("query_id", F.lit(2).alias("list"), F.lit(1.0).alias("weight"), "id", "rank"))
+    fused = fusion.fuse(runs, K).select("query_id", "id", "score", "rank")
+    found = lexical_run.select("query_id", "id", F.lit(True).alias("lexical"))
+    return fused.join(near.select("query_id", "id", F.col("score").alias("distance")), ["query_id", "id"], "left").join(found, ["query_id", "id"], "left").fillna(False, ["lexical"])
 
 
 _PROBES = "SELECT item_id, text FROM benchmark UNION ALL SELECT page_id, url FROM pages UNION ALL SELECT event_id, props FROM events"
@@ -222,9 +248,14 @@ def ret13_duplicate_collapse(spark, sf):  # noqa: ANN001, ANN201
     return kept.select("query_id", "id", "source", "score", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")).alias("rank"))
 
 
-@query()
+@query(f"""WITH {bm25_sql(40)}, n AS (SELECT query_id, id, source, b.rank, row_number() OVER (PARTITION BY query_id, source ORDER BY b.rank) AS nth FROM bm25 b JOIN documents ON doc_id = id)
+SELECT query_id, id, source, rank FROM n WHERE nth <= 3 OR rank <= 10""")
 def ret13_source_cap(spark, sf):  # noqa: ANN001, ANN201
-    """High-recall filter, second rule: three of a source, further ones only while fewer than k stand before them."""
+    """High-recall filter, second rule: three of a source, further ones only while fewer than k are kept.
+
+    A fold in rank order keeps the first k hits whatever their source; after them a hit is kept if fewer than three of its
+    source were, which is the case exactly if it is among the source's first three.
+    """
     hits = bm25_run(spark, sf, 40).join(_sources(spark, sf).drop("text"), "id")
     nth = F.row_number().over(Window.partitionBy("query_id", "source").orderBy("rank"))
     return hits.withColumn("nth", nth).filter((F.col("nth") <= 3) | (F.col("rank") <= K)).select("query_id", "id", "source", "rank")
@@ -315,9 +346,9 @@ def ret22_late_interaction(spark, sf):  # noqa: ANN001, ANN201
     return lexical.top(best.groupBy("query_id", "id").agg(F.round(F.sum(F.col("m") * F.col("n")) / F.sum("n"), 6).alias("score")), 10)
 
 
-@query()
+@query(f"WITH {embed_sql('e', 'benchmark', 'item_id')} SELECT i AS item_id, generate_subscripts(v, 1)::INT - 1 AS dim, unnest(v) AS value FROM e")
 def ret23_hash_embedding(spark, sf):  # noqa: ANN001, ANN201
-    return dense.hash_embedding(table(spark, sf, "benchmark").select("item_id", "text"), "text").select("item_id", "embedding")
+    return dense.hash_embedding(table(spark, sf, "benchmark").select("item_id", "text"), "text").select("item_id", F.posexplode("embedding").alias("dim", "value"))
 
 
 @query("SELECT doc_id, 'search_document: ' || text AS prefixed FROM documents")
