@@ -52,6 +52,8 @@ def _block(vectors: DataFrame, ids: np.ndarray, q: np.ndarray, k: int, same: boo
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = shared.value
+        if not len(ids):
+            return
         norms = (q * q).sum(1)
         limit = np.full(len(ids), np.inf)
         line, found, scores = (np.zeros(0, t) for t in (np.int64, np.int64, np.float64))
