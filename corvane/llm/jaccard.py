@@ -12,9 +12,10 @@ tokens that stand in one component alone are done. Then postings outside their t
 paired with all postings of other components. Links inside a component can't change it, so nothing is lost and a group
 of near copies is not expanded into all its pairs.
 
-The sketch has a counter for every shingle up to ``MOST_COUNTERS``. In a larger corpus counters hold several tokens each; a
-token then counts as frequent where its counter stands out of the noise, whose width is the root of the mean counter, so
-that the order grows coarser but never wrong.
+The sketch has a counter for every shingle up to ``MOST_COUNTERS``. Shingles are counted ``FINE`` bits more finely, slice by
+slice, and a counter holds the greatest of its counts, so that a token is taken for frequent only if a frequent one shares its
+counter. In a corpus so large that even the fine counts hold several tokens each, a count must stand out of the noise, whose
+width is the root of the mean, so that the order grows coarser but never wrong.
 
 Defined results: a text of one to three words is one shingle; texts without words (or null) have an empty set and link
 with nothing. A text of any length is one set. Rows that share an id are one document, with the links of all its rows.
@@ -44,6 +45,8 @@ LEAST = 85
 LEAST_COUNTERS = 16
 MOST_COUNTERS = 26
 SLICE = 1 << 16
+#: Bits by which shingles are told apart more finely where they are counted: a counter stands for the greatest of so many counts.
+FINE = 6
 #: Tokens that a worker counts before it hands the counts on.
 COUNTED = 4_000_000
 #: Rounds of pivots before pairs are taken across components: the families that tokens fall into to choose their pivots, the
@@ -140,6 +143,21 @@ def _each(batches: Iterable[pa.RecordBatch], *columns: str) -> Iterator[tuple[pa
             yield part, shingler.sets(part.column(columns[-1]).to_pylist())
 
 
+def gaps(places: np.ndarray) -> np.ndarray:
+    """Ascending places as 16-bit gaps; 0xFFFF adds as much and stands for no place."""
+    step = np.diff(places, prepend=0)
+    fill = step // 0xFFFF
+    out = np.full(len(step) + int(fill.sum()), 0xFFFF, np.uint16)
+    out[np.cumsum(fill + 1) - 1] = step % 0xFFFF
+    return out
+
+
+def places_of(packed: pa.BinaryScalar) -> np.ndarray:
+    """The places that ``gaps`` packed."""
+    step = np.frombuffer(packed.as_buffer(), np.uint16)
+    return np.cumsum(step, dtype=np.int64)[step != 0xFFFF]
+
+
 def counters_for(docs: DataFrame) -> int:
     """Bits of a counter's number: a counter for every shingle, within the bounds, taking four bytes for a word."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -168,12 +186,13 @@ def coded(counts: np.ndarray) -> np.ndarray:
 def sketch(docs: DataFrame, scratch: Scratch) -> tuple[np.ndarray, int]:
     """The levels of the counters, two in a byte, and the shift that takes a token to its counter."""
     bits = counters_for(docs)
-    shift = np.uint64(64 - bits)
+    shift, fine = np.uint64(64 - bits), np.uint64(64 - bits - FINE)
+    size_of_slice = SLICE << FINE
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting, size = [], 0
         for _, sets in _each(batches, "text"):
-            waiting += [(s >> shift).astype(np.uint32) for s in sets]
+            waiting += [(s >> fine).astype(np.uint32) for s in sets]
             size += sum(map(len, sets))
             if size > COUNTED:
                 yield from packed(np.concatenate(waiting))
@@ -183,24 +202,24 @@ def sketch(docs: DataFrame, scratch: Scratch) -> tuple[np.ndarray, int]:
 
     def packed(tokens: np.ndarray) -> Iterator[pa.RecordBatch]:
         places, counts = np.unique(tokens, return_counts=True)
-        cuts = np.searchsorted(places, np.arange(0, (1 << bits) + SLICE, SLICE))
+        cuts = np.searchsorted(places, np.arange(0, (1 << bits + FINE) + 1, size_of_slice))
         for i in np.flatnonzero(np.diff(cuts)):
-            at, n = (places[cuts[i] : cuts[i + 1]] - i * SLICE).astype(np.uint16), counts[cuts[i] : cuts[i + 1]].astype(np.uint32)
-            columns = [at[n == 1], at[n > 1], n[n > 1]]
+            at, n = places[cuts[i] : cuts[i + 1]].astype(np.int64) - i * size_of_slice, counts[cuts[i] : cuts[i + 1]].astype(np.uint32)
+            columns = [gaps(at[n == 1]), gaps(at[n > 1]), n[n > 1]]
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in columns)], names=["slice", "once", "places", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLICE, np.int64)
+        total = np.zeros(size_of_slice, np.uint32)
         for batch in batches:
             for once, places, counts in zip(*map(batch.column, ("once", "places", "counts")), strict=True):
-                total[np.frombuffer(once.as_buffer(), np.uint16)] += 1
-                total[np.frombuffer(places.as_buffer(), np.uint16)] += np.frombuffer(counts.as_buffer(), np.uint32)
+                total[places_of(once)] += np.uint32(1)
+                total[places_of(places)] += np.frombuffer(counts.as_buffer(), np.uint32)
             number = batch.column("slice")[:1]
-        yield pa.RecordBatch.from_arrays([number, pa.array([coded(total).tobytes()], pa.binary()), pa.array([int(total.sum())], pa.int64())], names=["slice", "codes", "total"])
+        yield pa.RecordBatch.from_arrays([number, pa.array([coded(total.reshape(SLICE, -1).max(1)).tobytes()], pa.binary()), pa.array([int(total.sum(dtype=np.int64))], pa.int64())], names=["slice", "codes", "total"])
 
     parts = docs.select("text").mapInArrow(count, "slice int, once binary, places binary, counts binary").groupBy("slice").applyInArrow(add, "slice int, codes binary, total long")
     parts = scratch.cut(parts)
-    level = levels((parts.agg(F.sum("total")).first()[0] or 0) / (1 << bits))
+    level = levels((parts.agg(F.sum("total")).first()[0] or 0) / (1 << bits + FINE))
     out = np.zeros(1 << (bits - 1), np.uint8)
     for row in parts.select("slice", "codes").toLocalIterator():  # half a byte for each of the counters, 1 << MOST_COUNTERS at most
         some = level[np.frombuffer(bytes(row.codes), np.uint8)]
