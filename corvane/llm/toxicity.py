@@ -37,11 +37,11 @@ from corvane.llm.common import fold_key, read
 TOXIC = 1_000
 CLEAN = 3_000
 NEIGHBOURS = 25
-BLOCK = 32
+BLOCK = 64
 #: Blocks that are scored in the first step; each further step takes four times as many.
-FIRST_BLOCKS = 8
+FIRST_BLOCKS = 16
 #: Terms in at least one of so many examples are kept as whole rows of weights, for the product with a batch of queries.
-ROW_SHARE = 12
+ROW_SHARE = 48
 #: Queries of a batch.
 BATCH = 64
 #: Letters of a word's start that count as a term.
@@ -101,14 +101,32 @@ class Index:
 
     def vector(self, bag: Counter) -> tuple[np.ndarray, np.ndarray]:
         """Term numbers and weights of unit length; repeated occurrences count by their logarithm."""
-        known = [(i, n) for t, n in bag.items() if (i := self.number.get(t)) is not None]
-        if not known:
+        return self._weighed({i: n for t, n in bag.items() if (i := self.number.get(t)) is not None})
+
+    def _weighed(self, found: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        if not found:
             return np.zeros(0, np.int64), np.zeros(0, np.float32)
-        i = np.array([a for a, _ in known])
-        w = (1 + np.log(np.array([n for _, n in known], np.float32))) * self.idf[i]
+        i = np.fromiter(found, np.int64, len(found))
+        w = (1 + np.log(np.fromiter(found.values(), np.float32, len(found)))) * self.idf[i]
         length = float(np.sqrt((w * w).sum()))
         return (i, w / length) if length > 0 else (i[:0], w[:0])
 
+    def vector_of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """``vector`` of a text's terms, without a table of those that the index lacks."""
+        found: dict[int, int] = {}
+        starts: dict[str, int] = {}
+        number = self.number.get
+        for w, n in Counter(_WORD.findall(text.lower())).items() if text else ():
+            if len(w) > START:
+                s = w[:START]
+                starts[s] = starts.get(s, 0) + n
+            if (i := number(w)) is not None:
+                found[i] = n
+        for s, n in starts.items():
+            if (i := number("^" + s)) is not None:
+                found[i] = n
+        return self._weighed(found)
+
     def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], leave: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query vector the places of its nearest examples and their cosines, exactly; ``leave`` names an example of each query to leave out."""
         common = np.zeros((len(queries), self.n_rows), np.float32)
@@ -185,7 +203,7 @@ class Index:
         a, b = self.curve
         out = []
         for first in range(0, len(texts), BATCH):
-            for j, s in self.nearest([self.vector(terms(t)) for t in texts[first : first + BATCH]]):
+            for j, s in self.nearest([self.vector_of(t) for t in texts[first : first + BATCH]]):
                 out.append((1 / (1 + math.exp(-max(-500.0, min(500.0, a * self.vote(j, s) + b)))), j, s))
         return out
 
