@@ -16,7 +16,8 @@ NEIGHBOUR_CAP = 50
 
 def fuse(runs: DataFrame, k: int | None = None, c: int = RRF_C) -> DataFrame:
     """Reciprocal-rank fusion of (query_id, list, weight, id, rank): best rank in each list; ties by list, rank and id."""
-    best = runs.filter("weight > 0").groupBy("query_id", "list", "weight", "id").agg(F.min("rank").alias("rank"))
+    # an exchange of its own: a union of lists that are partitioned alike must not stand for one, as its parts may be coalesced apart
+    best = runs.filter("weight > 0").repartition("query_id").groupBy("query_id", "list", "weight", "id").agg(F.min("rank").alias("rank"))
     fused = best.groupBy("query_id", "id").agg(F.round(F.sum(F.col("weight") / (c + F.col("rank"))), DIGITS).alias("score"), F.min(F.struct("list", "rank")).alias("first"), F.count("*").alias("lists"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "first", "id")
     ranked = fused.withColumn("rank", F.row_number().over(order)).drop("first")

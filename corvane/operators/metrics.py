@@ -30,6 +30,30 @@ def beir(run: DataFrame, qrels: DataFrame) -> DataFrame:
     )
 
 
+def once(run: DataFrame, judgments: DataFrame, k: int) -> DataFrame:
+    """Per judged query: metrics of (query_id, source, rank) where a judgment (query_id, source, relevance) matches once, at the source's first rank."""
+    first = run.groupBy("query_id", "source").agg(F.min("rank").alias("rank")).join(judgments, ["query_id", "source"])
+    hits = first.withColumn("nth", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
+    gain = lambda place: (F.pow(F.lit(2.0), "relevance") - 1) / F.log2(F.col(place) + 1)
+    inside = F.col("rank") <= k
+    precision = F.col("nth") / F.col("rank")
+    got = hits.groupBy("query_id").agg(F.sum(F.when(inside, gain("rank"))).alias("dcg"), F.min("rank").alias("first"), F.count_if(inside).alias("found"), F.sum(precision).alias("ap"), F.sum(F.when(inside, precision)).alias("ap_k"))
+    by_worth = Window.partitionBy("query_id").orderBy(F.desc("relevance"), "source")
+    ideal = judgments.withColumn("p", F.row_number().over(by_worth)).groupBy("query_id").agg(F.sum(F.when(F.col("p") <= k, gain("p"))).alias("ideal"), F.count("*").alias("judged"))
+    r6 = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 6)
+    return ideal.join(got, "query_id", "left").select(
+        "query_id", r6(F.col("dcg") / F.col("ideal")).alias(f"ndcg_{k}"), r6(F.when(F.col("first") <= k, 1 / F.col("first"))).alias(f"mrr_{k}"), r6(F.col("found") / F.col("judged")).alias(f"recall_{k}"),
+        r6(F.col("found") / F.lit(k)).alias(f"precision_{k}"), r6(F.col("ap") / F.col("judged")).alias("map"), r6(F.col("ap_k") / F.least("judged", F.lit(k))).alias(f"map_{k}"), (F.coalesce("found", F.lit(0)) > 0).alias("hit"),
+    )
+
+
+def nearest_ranks(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Nearest-rank percentiles of each group, from running counts of its distinct values; no group is held in a buffer."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__n"))
+    running = counts.withColumns({"__up": F.sum("__n").over(Window.partitionBy(*keys).orderBy(value)), "__all": F.sum("__n").over(Window.partitionBy(*keys))})
+    return running.groupBy(*keys).agg(*[F.min(F.when(F.col("__up") >= F.ceil(F.col("__all") * p), F.col(value))).alias(name) for name, p in shares.items()])
+
+
 def compare_runs(before: DataFrame, after: DataFrame, k: int) -> DataFrame:
     """Full outer join of two runs: ranks, their delta, and whether a row is new, dropped, moved or stable."""
     a, b = before.select("query_id", "id", F.col("rank").alias("before_rank")), after.select("query_id", "id", F.col("rank").alias("after_rank"))

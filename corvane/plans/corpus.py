@@ -6,6 +6,7 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import safety, text
+from corvane.operators import metrics
 from corvane.runtime import table
 from corvane.sources import files
 
@@ -450,8 +451,9 @@ def agg02_facets(spark, sf):  # noqa: ANN001, ANN201
 
 @query("SELECT event_type, count(*) AS n, min(value) AS least, max(value) AS most, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM events GROUP BY event_type")
 def agg03_log_summary(spark, sf):  # noqa: ANN001, ANN201
-    d = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY value)")
-    return table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"), d(0.5).alias("p50"), d(0.95).alias("p95"), d(0.99).alias("p99"))
+    e = table(spark, sf, "events")
+    whole = e.groupBy("event_type").agg(F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"))
+    return whole.join(metrics.nearest_ranks(e, ["event_type"], "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99}), "event_type")
 
 
 # Upper bounds of the latency buckets, in milliseconds.
@@ -483,8 +485,9 @@ def agg05_latency_by_stage(spark, sf):  # noqa: ANN001, ANN201
 
 @query("SELECT user_id % 5 AS model, count(*) AS calls, count(*) FILTER (event_type = 'error') AS errors, sum(json_extract_string(props, '$.k')::BIGINT)::BIGINT AS tokens, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.99) AS p99 FROM events GROUP BY ALL")
 def agg06_provider_calls(spark, sf):  # noqa: ANN001, ANN201
-    d = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY value)")
-    return table(spark, sf, "events").groupBy((F.col("user_id") % 5).alias("model")).agg(F.count("*").alias("calls"), F.count_if(F.col("event_type") == "error").alias("errors"), F.sum(F.get_json_object("props", "$.k").cast("long")).alias("tokens"), d(0.5).alias("p50"), d(0.99).alias("p99"))
+    e = table(spark, sf, "events").withColumn("model", F.col("user_id") % 5)
+    whole = e.groupBy("model").agg(F.count("*").alias("calls"), F.count_if(F.col("event_type") == "error").alias("errors"), F.sum(F.get_json_object("props", "$.k").cast("long")).alias("tokens"))
+    return whole.join(metrics.nearest_ranks(e, ["model"], "value", {"p50": 0.5, "p99": 0.99}), "model")
 
 
 @query("SELECT event_id, user_id, round(avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 6) AS rate FROM events")

@@ -109,14 +109,15 @@ def ext05_rollout(spark, sf):  # noqa: ANN001, ANN201
     return d.select("domain", F.round("delta", 6).alias("delta"), F.when(F.col("delta") - 1.96 * F.col("se") > 0.5, "enable").otherwise("skip").alias("decision"))
 
 
-@query()
+@query(f"""WITH {knn_sql('r', 40)}, v AS (SELECT size, query_id, id, rank, round(score + (('0x' || left(md5(query_id || ':' || id), 8))::BIGINT / 4294967296.0::DOUBLE - 0.5) * size, 9) AS s FROM r, (VALUES (0.0::DOUBLE), (0.1), (0.4)) z(size)),
+w AS (SELECT *, row_number() OVER (PARTITION BY size, query_id ORDER BY s, id) AS again FROM v) SELECT size, round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0 END), 6) AS recall FROM w WHERE again <= 10 GROUP BY size""")
 def ext10_noise_sweep(spark, sf):  # noqa: ANN001, ANN201
     """Recall at ten of distances with deterministic noise, by its size."""
     exact = dense_run(spark, sf, 40)
-    noise = F.shiftrightunsigned(F.xxhash64("query_id", "id", "size"), 11) * 2.0**-53 - 0.5
-    noisy = exact.select("query_id", "id", "rank", F.explode(F.array(*map(F.lit, (0.0, 0.1, 0.4)))).alias("size"), "score").withColumn("s", F.col("score") + noise * F.col("size"))
+    noise = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("query_id").cast("string"), F.col("id").cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0 - 0.5
+    noisy = exact.select("query_id", "id", "rank", F.explode(F.array(*map(F.lit, (0.0, 0.1, 0.4)))).alias("size"), "score").withColumn("s", F.round(F.col("score") + noise * F.col("size"), 9))
     again = noisy.withColumn("r", F.row_number().over(Window.partitionBy("size", "query_id").orderBy("s", "id"))).filter("r <= 10")
-    return again.groupBy("size").agg(F.round(F.avg((F.col("rank") <= 10).cast("int")), 6).alias("recall"))
+    return again.groupBy("size").agg(F.round(F.avg((F.col("rank") <= 10).cast("double")), 6).alias("recall"))
 
 
 # What a search error is called, by what its message says.

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corvane.plans import corpus, evaluation, more, retrieval, streams
+from corvane.plans import corpus, evaluation, more, ranking, retrieval, streams
 
-MODULES = (retrieval, evaluation, corpus, more, streams)
+MODULES = (retrieval, evaluation, corpus, more, ranking, streams)
 
 
 def queries() -> dict:
