@@ -27,14 +27,13 @@ SHIELD = {
     "Markup.BeginEndPrompt": r"(BEGIN|END)\s+PROMPT",
 }
 # What is redacted, in order; group 1 stays.
-_KINDS = r"(?:api|access|refresh|auth|session)[_-]?token|api[_-]?key|client[_-]?secret|password|passwd|secret|cookie"
 REDACTIONS = (
     ("credential_url", r"(?i)\b([a-z][a-z0-9+.-]*://)([^/\s:@]+):([^/\s@]+)@", "$1[REDACTED]@"),
     ("authorization_header", r"(?i)\b(Authorization\s*:\s*(?:Bearer|Basic)\s+)([^\s\"'`,;]+)", "$1[REDACTED]"),
     ("cookie_header", r"(?im)^([ \t]*(?:Cookie|Set-Cookie)\s*:\s*)[^\r\n]+", "$1[REDACTED]"),
-    ("json_secret", rf'(?i)("[A-Za-z0-9_-]*(?:{_KINDS}|authorization)[A-Za-z0-9_-]*"\s*:\s*")([^"]+)(")', "$1[REDACTED]$3"),
+    ("json_secret", r'(?i)("[A-Za-z0-9_-]*(?:(?:api|access|refresh|auth|session)[_-]?token|api[_-]?key|client[_-]?secret|password|passwd|secret|cookie|authorization)[A-Za-z0-9_-]*"\s*:\s*")([^"]+)(")', "$1[REDACTED]$3"),
     ("dotenv_secret", r"(?im)^([ \t]*(?:export\s+)?[A-Za-z_][A-Za-z0-9_]*(?:API_KEY|ACCESS_TOKEN|AUTH_TOKEN|REFRESH_TOKEN|SESSION_TOKEN|PRIVATE_KEY|CLIENT_SECRET|SECRET|PASSWORD|PASSWD|COOKIE)[A-Za-z0-9_]*\s*=\s*)(['\"]?)([^\r\n'\"]+)(\2)", "$1$2[REDACTED]$4"),
-    ("key_value_secret", rf"(?i)\b([A-Za-z_][A-Za-z0-9_]*(?:{_KINDS})[A-Za-z0-9_]*\s*[:=]\s*)(['\"]?)(?!\[REDACTED\])([^\s'\",}}]+)(\2)", "$1$2[REDACTED]$4"),
+    ("key_value_secret", r"(?i)\b([A-Za-z_][A-Za-z0-9_]*(?:(?:api|access|refresh|auth|session)[_-]?token|api[_-]?key|client[_-]?secret|password|passwd|secret|cookie)[A-Za-z0-9_]*\s*[:=]\s*)(['\"]?)(?!\[REDACTED\])([^\s'\",}]+)(\2)", "$1$2[REDACTED]$4"),
     ("bearer_token", r"\b(Bearer\s+)([A-Za-z0-9._~+/-]{12,})\b", "$1[REDACTED]"),
     ("provider_token", r"\b(?:sk-(?:proj-)?[A-Za-z0-9_-]{20,}|gh[pousr]_[A-Za-z0-9_]{20,}|github_pat_[A-Za-z0-9_]{20,}|AKIA[0-9A-Z]{16}|xox[abprs]-[A-Za-z0-9-]{10,})\b", "[REDACTED]"),
 )

@@ -6,10 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words that are no anchors, and articles that answers are compared without.
-ANCHOR_STOP_WORDS = tuple(
-    "about after again against also and are because before between but can could does for from has have how into not our that the "
-    "their then there this through was what when where which with would".split()
-)
+ANCHOR_STOP_WORDS = (
+    "about", "after", "again", "against", "also", "and", "are", "because", "before", "between", "but", "can", "could", "does", "for", "from", "has",
+    "have", "how", "into", "not", "our", "that", "the", "their", "then", "there", "this", "through", "was", "what", "when", "where", "which", "with",
+    "would",
+)
 ARTICLES = ("a", "an", "the")
 
 

@@ -30,28 +30,32 @@ def squared_distance(a: Column, b: Column) -> Column:
 def knn(queries: DataFrame, vectors: DataFrame, k: int, same: bool = True) -> DataFrame:
     """The k nearest rows of ``vectors`` (id, v) for each of ``queries`` (query_id, q): query_id, id, score, rank; a row is no neighbour of its own id.
 
-    With ``same`` off, ids of queries and rows name different things, and equal ids are neighbours like others.
+    With ``same`` off, ids of queries and rows name different things, and equal ids are neighbours like others. Where both have
+    a column ``scope``, a query meets the rows of its own scope alone.
 
     Queries go to the vectors: each block of them is a broadcast of checked size, tasks keep their own k best, and only
     those are exchanged. Scores are squared distances, rounded; ties go to the smaller id.
     """
     importable(vectors.sparkSession)
-    rows = [(r.query_id, r.q) for r in queries.select("query_id", F.col("q").cast("array<double>").alias("q")).toLocalIterator()]
-    width = max((len(q) for _, q in rows), default=1)
+    scoped = "scope" in queries.columns and "scope" in vectors.columns
+    scope = F.col("scope").cast("string") if scoped else F.lit("")
+    vectors = vectors.select("id", "v", scope.alias("scope")).filter("scope is not null")
+    rows = [(r.query_id, r.q, r.scope) for r in queries.select("query_id", F.col("q").cast("array<double>").alias("q"), scope.alias("scope")).toLocalIterator()]
+    width = max((len(q) for _, q, _ in rows), default=1)
     step, found = max(1, QUERY_NUMBERS // width), None
     for start in range(0, max(1, len(rows)), step):
         block = rows[start : start + step]
-        part = _block(vectors, np.array([i for i, _ in block], np.int64), np.array([q for _, q in block], np.float64).reshape(-1, width), k, same)
+        part = _block(vectors, np.array([i for i, *_ in block], np.int64), np.array([q for _, q, _ in block], np.float64).reshape(-1, width), np.array([z for *_, z in block], object) if scoped else None, k, same)
         found = part if found is None else found.unionByName(part)
     return top(found, k, descending=False)
 
 
-def _block(vectors: DataFrame, ids: np.ndarray, q: np.ndarray, k: int, same: bool) -> DataFrame:
-    shared = vectors.sparkSession.sparkContext.broadcast((ids, q))
+def _block(vectors: DataFrame, ids: np.ndarray, q: np.ndarray, scopes: np.ndarray | None, k: int, same: bool) -> DataFrame:
+    shared = vectors.sparkSession.sparkContext.broadcast((ids, q, scopes))
     rows = max(1, min(4_096, QUERY_NUMBERS // max(1, len(ids))))  # vectors in one product
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q = shared.value
+        ids, q, scopes = shared.value
         if not len(ids):
             return
         norms = (q * q).sum(1)
@@ -64,6 +68,8 @@ def _block(vectors: DataFrame, ids: np.ndarray, q: np.ndarray, k: int, same: boo
                 own, x = every[at : at + rows], vectors[at : at + rows]
                 # one product gives all distances but for the last digits; what may be among the nearest is measured again
                 near = norms[:, None] + (x * x).sum(1) - 2 * q @ x.T
+                if scopes is not None:
+                    near[scopes[:, None] != np.array(batch.column("scope").slice(at, rows).to_pylist(), object)] = np.inf
                 if same:
                     near[ids[:, None] == own] = np.inf
                 most = np.partition(near, k, axis=1)[:, k] if len(own) > k else np.full(len(ids), np.inf)
@@ -78,7 +84,7 @@ def _block(vectors: DataFrame, ids: np.ndarray, q: np.ndarray, k: int, same: boo
                 line, found, scores = (z[turn < k] for z in (line, found, scores))
         yield pa.RecordBatch.from_arrays([pa.array(ids[line], pa.int64()), pa.array(found, pa.int64()), pa.array(scores, pa.float64())], names=["query_id", "id", "score"])
 
-    return vectors.select("id", F.col("v").cast("array<double>").alias("v")).filter("v is not null").mapInArrow(run, "query_id long, id long, score double")
+    return vectors.select("id", F.col("v").cast("array<double>").alias("v"), "scope").filter("v is not null").mapInArrow(run, "query_id long, id long, score double")
 
 
 def quantised(vectors: DataFrame) -> DataFrame:

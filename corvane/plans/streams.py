@@ -41,5 +41,10 @@ def str07_breaker(spark, sf):  # noqa: ANN001, ANN201
 QUERIES |= {f.__name__: f for f in (str06_log_tail, str02_debounced_changes, str07_breaker)}
 SQL |= {
     "str06_log_tail": "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY ALL",
+    "str07_breaker": """WITH RECURSIVE e AS (SELECT user_id % 50 AS provider, event_id, epoch(ts) AS sec, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id % 50 ORDER BY ts, event_id) AS n FROM events),
+f(provider, n, event_id, state, bad, opened) AS (SELECT DISTINCT provider, 0::BIGINT, NULL::BIGINT, '', 0, NULL::DOUBLE FROM e UNION ALL
+  SELECT provider, n, event_id, state, CASE WHEN state = 'open' THEN bad WHEN ok THEN 0 ELSE bad + 1 END, CASE WHEN state = 'open' THEN opened WHEN ok THEN NULL WHEN bad + 1 >= 2 OR state = 'half_open' THEN sec ELSE opened END
+  FROM (SELECT e.provider, e.n, e.event_id, e.sec, e.ok, f.bad, f.opened, CASE WHEN f.opened IS NULL THEN 'closed' WHEN e.sec - f.opened < 7200 THEN 'open' ELSE 'half_open' END AS state FROM f JOIN e ON e.provider = f.provider AND e.n = f.n + 1))
+SELECT provider, event_id, state FROM f WHERE n > 0""",
     "str02_debounced_changes": "WITH g AS (SELECT event_type AS kb, user_id AS path, CASE WHEN ts - lag(ts) OVER (PARTITION BY event_type, user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS first FROM events) SELECT kb, path, sum(first)::BIGINT AS bursts, count(*) AS events FROM g GROUP BY ALL",
 }

@@ -17,7 +17,7 @@ EXTENSIONS = (".md", ".markdown", ".txt", ".rst", ".html", ".htm")
 EXCLUDED_SEGMENTS = ("_seen.jsonl", "_seen.json", "_index.jsonl")
 EXCLUDED_FIRST_SEGMENTS = ("logs", "tmp", "_tmp")
 EXCLUDED_BASENAMES = (".DS_Store", "Thumbs.db", "desktop.ini")
-SKIPPED_NAMES = r"(?i):Zone\.Identifier$|^\._|^Thumbs\.db$|^\.DS_Store$"
+SKIPPED_NAMES = (r"(?i):Zone\.Identifier$", r"^\._", r"(?i)^Thumbs\.db$", r"^\.DS_Store$")
 
 
 def ingestible(path: Column, extensions: tuple[str, ...] = EXTENSIONS) -> Column:
@@ -27,7 +27,7 @@ def ingestible(path: Column, extensions: tuple[str, ...] = EXTENSIONS) -> Column
     extension = F.lower(F.regexp_extract(name, r"(\.[^.]+)$", 1))
     hidden = F.exists(parts, lambda p: p.startswith("."))
     excluded = F.exists(parts, lambda p: p.isin(*EXCLUDED_SEGMENTS)) | ((F.size(parts) > 1) & F.get(parts, F.lit(0)).isin(*EXCLUDED_FIRST_SEGMENTS))
-    return extension.isin(*extensions) & ~hidden & ~excluded & ~name.isin(*EXCLUDED_BASENAMES) & ~name.rlike(SKIPPED_NAMES)
+    return extension.isin(*extensions) & ~hidden & ~excluded & ~name.isin(*EXCLUDED_BASENAMES) & ~F.greatest(*[name.rlike(p) for p in SKIPPED_NAMES])
 
 
 def scan(spark: SparkSession, root: str) -> DataFrame:

@@ -51,15 +51,18 @@ BREAKER_SCHEMA = "provider long, event_id long, state string"
 def breaker(events: DataFrame, failures: int = 3, cooldown: float = 30.0) -> DataFrame:
     """Circuit breaker over ordered calls (provider, event_id, at, ok): the state in which each call meets the provider.
 
-    A provider's calls depend on each other in order; they are streamed through one group in sorted batches.
+    A provider's calls depend on each other in order: they are sorted within its partition and folded batch by batch, so that
+    memory holds one batch and the state of one provider, however long its history is.
     """
     importable(events.sparkSession)
 
-    def run(key, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:  # noqa: ANN001
-        bad, opened = 0, None
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        provider, bad, opened = None, 0, None
         for pdf in frames:
             out = []
             for r in pdf.itertuples(index=False):
+                if r.provider != provider:
+                    provider, bad, opened = r.provider, 0, None
                 state = "closed" if opened is None else "open" if r.at - opened < cooldown else "half_open"
                 out.append((r.provider, r.event_id, state))
                 if state == "open":
@@ -72,7 +75,5 @@ def breaker(events: DataFrame, failures: int = 3, cooldown: float = 30.0) -> Dat
                         opened = r.at
             yield pd.DataFrame(out, columns=["provider", "event_id", "state"])
 
-    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-        return next(run(None, iter([pdf.sort_values(["at", "event_id"])])))
-
-    return events.groupBy("provider").applyInPandas(lambda pdf: whole(pdf), BREAKER_SCHEMA)
+    calls = events.filter("provider is not null").select("provider", "event_id", "at", "ok")
+    return calls.repartition("provider").sortWithinPartitions("provider", "at", "event_id").mapInPandas(run, BREAKER_SCHEMA)
