@@ -18,11 +18,12 @@ from corvane.llm.common import SPACE, read, words_of
 
 # Common function words of the four languages of the corpus.
 STOP_WORDS = (
-    "the of and to in that it for was on are as with is at by this from or be an a he she you not have had which "
-    "le la les de des du un une et en que qui est dans pour par sur au aux il elle avec ce ne pas se plus "
-    "der die das den dem ein eine und ist von zu mit nicht auf für im als auch es an werden aus er hat sich sie "
-    "el los las del una y es por con para como se su al lo más o pero sus"
-).split()
+    "the", "of", "and", "to", "in", "that", "it", "for", "was", "on", "are", "as", "with", "is", "at", "by", "this", "from", "or", "be", "an", "a",
+    "he", "she", "you", "not", "have", "had", "which", "le", "la", "les", "de", "des", "du", "un", "une", "et", "en", "que", "qui", "est", "dans",
+    "pour", "par", "sur", "au", "aux", "il", "elle", "avec", "ce", "ne", "pas", "se", "plus", "der", "die", "das", "den", "dem", "ein", "eine", "und",
+    "ist", "von", "zu", "mit", "nicht", "auf", "für", "im", "als", "auch", "es", "an", "werden", "aus", "er", "hat", "sich", "sie", "el", "los",
+    "las", "del", "una", "y", "es", "por", "con", "para", "como", "se", "su", "al", "lo", "más", "o", "pero", "sus",
+)
 
 #: Windows of so many words count as repeats when found twice in a text.
 WINDOW = 8
