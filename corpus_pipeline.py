@@ -4,18 +4,18 @@ Every stage takes (spark, docs, sf_dir) and works on all that its predecessor ke
 language; the Jaccard join keeps one document of each group of near copies; the secret scan redacts what it finds; mixing
 keeps a sample by calibrated probabilities; the last stage encodes what is left.
 
-Documents are rows: nulls, repeated rows and extra columns are carried as each operator's docstring says.
+Documents are rows: nulls, repeated rows and texts of any length are carried as each operator's docstring says, ties go as
+the operators break them, and extra columns pass all stages but the last under their own names, whatever these are. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm import bpe, jaccard, langid, mixing, secrets
-from corvane.llm.common import importable, shared_dir
+from corvane.llm.common import Scratch, importable
 
 
 def _packed(docs: DataFrame, *needed: str) -> DataFrame:
@@ -80,10 +80,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each is written as Parquet to the shared folder and read again as the next one's input."""
-    base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
-        docs = spark.read.parquet(f"{base}/{name}")
+    """All stages over ``documents``; each is written as Parquet to the shared folder and read again as the next one's input.
+
+    A stage's table goes when its successor's stands; the last one goes with the driver, as the result still reads it.
+    """
+    scratch = Scratch(spark, "pipeline")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for _, stage in STAGES[:-1]:
+        docs = scratch.cut(stage(spark, docs, sf_dir))
+        if before is not None:
+            scratch.drop(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
