@@ -122,12 +122,13 @@ def ext10_noise_sweep(spark, sf):  # noqa: ANN001, ANN201
 
 # What a search error is called, by what its message says.
 ERROR_FORMS = (("(?i)not found|no such", "KB_NOT_FOUND"), ("(?i)permission|denied", "PERMISSION_DENIED"), ("(?i)timed? ?out|timeout", "PROVIDER_TIMEOUT"), ("(?i)refused|unavailable", "PROVIDER_UNAVAILABLE"), ("(?i)401|unauthori[sz]ed|api key", "PROVIDER_AUTH"))
-_MESSAGES = ("request timed out", "connection refused", "No such shelf", "permission denied", "401 Unauthorized", "odd")
+#: Messages as both engines build them from an event.
+_MESSAGE = "event_type || CASE user_id % 8 WHEN 0 THEN ': request timed out' WHEN 1 THEN ': connection REFUSED' WHEN 2 THEN ': No such shelf' WHEN 3 THEN ' permission denied, not found' WHEN 4 THEN ' code ' || (400 + event_id % 3) WHEN 5 THEN ' Unauthorised' WHEN 6 THEN ' api keys ' || event_id ELSE ' odd' END"
 
 
-@query("SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'PROVIDER_TIMEOUT' WHEN 1 THEN 'PROVIDER_UNAVAILABLE' WHEN 2 THEN 'KB_NOT_FOUND' WHEN 3 THEN 'PERMISSION_DENIED' WHEN 4 THEN 'PROVIDER_AUTH' ELSE 'INTERNAL' END AS code FROM events")
+@query(f"SELECT event_id, CASE {' '.join(f"WHEN regexp_matches(m, '{p}') THEN '{c}'" for p, c in ERROR_FORMS)} ELSE 'INTERNAL' END AS code FROM (SELECT event_id, {_MESSAGE} AS m FROM events)")
 def ext15_error_class(spark, sf):  # noqa: ANN001, ANN201
-    message, code = F.get(F.array(*map(F.lit, _MESSAGES)), (F.col("event_id") % 6).cast("int")), F.lit("INTERNAL")
+    message, code = F.expr(_MESSAGE), F.lit("INTERNAL")
     for pattern, name in reversed(ERROR_FORMS):
         code = F.when(message.rlike(pattern), name).otherwise(code)
     return table(spark, sf, "events").select("event_id", code.alias("code"))
@@ -140,35 +141,53 @@ def src10_extraction_cache_misses(spark, sf):  # noqa: ANN001, ANN201
     return d.join(d.filter("doc_id % 3 = 0").select("key"), "key", "left_anti").select("doc_id")
 
 
-@query("SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'missing_close' WHEN 1 THEN 'not_a_map' ELSE 'ok' END AS verdict FROM supplier")
+#: Notes as both engines build them: an open block, words in a block, a list and a comment, no block, an odd line, a good block.
+_STRICT = """CASE s_suppkey % 6 WHEN 0 THEN '---' || chr(10) || 'title: ' || s_name || chr(10) || 'body' WHEN 1 THEN '---' || chr(10) || 'just words' || chr(10) || '---' || chr(10) || 'body'
+WHEN 2 THEN '---' || chr(10) || '# note' || chr(10) || '- item' || chr(10) || 'title: x' || chr(10) || '---' || chr(10) || 'body' WHEN 3 THEN s_name
+WHEN 4 THEN '---' || chr(10) || 'title: ' || s_name || chr(10) || 'odd ' || s_nationkey || chr(10) || '---' ELSE '---' || chr(10) || 'title: ' || s_name || chr(10) || '---' || chr(10) || 'a --- body' END"""
+
+
+@query(f"""WITH n AS (SELECT s_suppkey, {_STRICT} AS note FROM supplier), b AS (SELECT *, regexp_extract(note, '(?s)^---\n(.*?)\n---(?:\n|$)', 1) AS block FROM n)
+SELECT s_suppkey, CASE WHEN starts_with(note, '---') AND NOT regexp_matches(note, '(?s)^---\n(.*?)\n---(?:\n|$)') THEN 'missing_close' WHEN len(list_filter(string_split(block, chr(10)), lambda x: trim(x) <> '' AND NOT regexp_matches(x, '^\s*(#|-|[^:]+:)'))) > 0 THEN 'not_a_map' ELSE 'ok' END AS verdict FROM b""")
 def prj02_strict_frontmatter(spark, sf):  # noqa: ANN001, ANN201
     """Strict parse as a flag: an opened block must close and hold keys."""
-    m = F.col("s_suppkey") % 3
-    note = F.when(m == 0, F.concat(F.lit("---\ntitle: "), "s_name", F.lit("\nbody"))).when(m == 1, F.lit("---\njust words\n---\nbody")).otherwise(F.concat(F.lit("---\ntitle: "), "s_name", F.lit("\n---\nbody")))
-    df = table(spark, sf, "supplier").select("s_suppkey", note.alias("note"))
+    df = table(spark, sf, "supplier").select("s_suppkey", F.expr(_STRICT).alias("note"))
     block, _ = frontmatter(F.col("note"))
     broken = F.col("note").startswith("---") & (block == "")
     lines = F.filter(F.split(block, "\n"), lambda x: F.trim(x) != "")
     return df.select("s_suppkey", F.when(broken, "missing_close").when(F.exists(lines, lambda x: ~x.rlike(r"^\s*(#|-|[^:]+:)")), "not_a_map").otherwise("ok").alias("verdict"))
 
 
-@query("SELECT p_partkey, '---' || chr(10) || 'title: ' || p_name || chr(10) || 'status: archived' || chr(10) || '---' || chr(10) || 'Body of ' || p_name AS note FROM part")
+#: Notes with a status, without one, and with one in the body too.
+_STATUS = "'---' || chr(10) || 'title: ' || p_name || CASE WHEN p_partkey % 4 = 0 THEN '' ELSE chr(10) || 'status: ' || p_type END || chr(10) || 'size: ' || p_size || chr(10) || '---' || chr(10) || 'status: of the body' || chr(10) || p_brand"
+
+
+@query(f"""WITH n AS (SELECT p_partkey, {_STATUS} AS note FROM part), l AS (SELECT p_partkey, string_split(note, chr(10)) AS l FROM n), c AS (SELECT p_partkey, l, list_position(l[2:], '---') AS last FROM l), d AS (SELECT p_partkey, l[2:last] AS block, l[last + 2:] AS body FROM c)
+SELECT p_partkey, '---' || chr(10) || array_to_string(CASE WHEN len(list_filter(block, lambda x: starts_with(x, 'status: '))) > 0 THEN list_transform(block, lambda x: CASE WHEN starts_with(x, 'status: ') THEN 'status: archived' ELSE x END) ELSE list_append(block, 'status: archived') END, chr(10)) || chr(10) || '---' || chr(10) || array_to_string(body, chr(10)) AS note FROM d""")
 def prj04_rewrite_frontmatter(spark, sf):  # noqa: ANN001, ANN201
-    """Set a key of the block; the body stays byte for byte."""
-    n = table(spark, sf, "part").select("p_partkey", F.concat(F.lit("---\ntitle: "), "p_name", F.lit("\nstatus: live\n---\nBody of "), "p_name").alias("note"))
+    """Set a key of the block, or add it; the body stays byte for byte."""
+    n = table(spark, sf, "part").select("p_partkey", F.expr(_STATUS).alias("note"))
     block, body = frontmatter(F.col("note"))
-    return n.select("p_partkey", F.concat(F.lit("---\n"), F.regexp_replace(block, r"(?m)^status: .*$", "status: archived"), F.lit("\n---\n"), body).alias("note"))
+    line = r"(?m)^status: .*$"
+    changed = F.when(block.rlike(line), F.regexp_replace(block, line, "status: archived")).otherwise(F.concat(block, F.lit("\nstatus: archived")))
+    return n.select("p_partkey", F.concat(F.lit("---\n"), changed, F.lit("\n---\n"), body).alias("note"))
+
+
+#: Notes whose section B has parts of its own, stands last, or is missing.
+_SECTIONS = "CASE p_partkey % 3 WHEN 0 THEN '# A' || chr(10) || p_name || chr(10) || '## B' || chr(10) || p_brand || chr(10) || '### B1' || chr(10) || 'y' || chr(10) || '# C' || chr(10) || 'x' WHEN 1 THEN '# A' || chr(10) || '## C' || chr(10) || '## B' || chr(10) || p_type ELSE '# A' || chr(10) || p_name || chr(10) || '# C' END"
 
 
-@query("SELECT p_partkey, '# A' || chr(10) || p_name || chr(10) || '## B' || chr(10) || p_brand || chr(10) || 'added' || chr(10) || '# C' || chr(10) || 'x' AS note FROM part")
+@query(f"""WITH l AS (SELECT p_partkey, string_split({_SECTIONS}, chr(10)) AS l FROM part), s AS (SELECT p_partkey, l, list_position(l, '## B') AS start FROM l),
+e AS (SELECT *, coalesce(list_min(list_filter(range(start + 1, len(l) + 1), lambda i: regexp_matches(l[i], '^#{{1,2}} '))), len(l) + 1) AS stop FROM s)
+SELECT p_partkey, CASE WHEN coalesce(start, 0) = 0 THEN array_to_string(l, chr(10)) ELSE array_to_string(list_concat(list_append(l[:stop - 1], 'added'), l[stop:]), chr(10)) END AS note FROM e""")
 def prj14_append_to_section(spark, sf):  # noqa: ANN001, ANN201
-    """Append a line to the section under a heading, before the next heading of its level or above."""
-    n = table(spark, sf, "part").select("p_partkey", F.concat(F.lit("# A\n"), "p_name", F.lit("\n## B\n"), "p_brand", F.lit("\n# C\nx")).alias("note"))
-    lines = n.select("p_partkey", F.split("note", "\n").alias("l"))
+    """Append a line to the section under a heading, before the next heading of its level or above; a note without it stays."""
+    lines = table(spark, sf, "part").select("p_partkey", F.split(F.expr(_SECTIONS), "\n").alias("l"))
     start = F.array_position("l", F.lit("## B"))
     after = F.filter(F.transform("l", lambda x, i: F.when((i >= start) & x.rlike(r"^#{1,2} "), i)), lambda i: i.isNotNull())
     cut = F.coalesce(F.get(after, F.lit(0)), F.size("l"))
-    return lines.select("p_partkey", F.array_join(F.concat(F.slice("l", F.lit(1), cut), F.array(F.lit("added")), F.slice("l", cut + 1, F.size("l"))), "\n").alias("note"))
+    added = F.concat(F.slice("l", F.lit(1), cut), F.array(F.lit("added")), F.slice("l", cut + 1, F.size("l")))
+    return lines.select("p_partkey", F.array_join(F.when(start == 0, F.col("l")).otherwise(added), "\n").alias("note"))
 
 
 @query(f"""WITH {knn_sql('a', 20)}, {knn_sql('b', 20, 32)}, s AS (SELECT a.query_id, a.id, round(1.0 / a.rank + coalesce(1.0 / b.rank, 0), 6) AS score, a.rank AS first, a.score AS best FROM a LEFT JOIN b ON a.query_id = b.query_id AND a.id = b.id)
