@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterable, Iterator
 
@@ -121,3 +122,31 @@ def hash_embedding(df: DataFrame, text: str, dim: int = 64) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(np.arange(batch.num_rows + 1, dtype=np.int32) * dim, out.ravel())], names=[*batch.schema.names, "embedding"])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("embedding", T.ArrayType(T.DoubleType()))]))
+
+
+#: Tables and bits of a key of the hashed search.
+TABLES, BITS = 16, 5
+
+
+def signs(table: int, bit: int, width: int) -> list[int]:
+    """A direction of random signs, the same wherever it is computed."""
+    return [1 if int(hashlib.md5(f"{table}:{bit}:{i}".encode()).hexdigest()[0], 16) < 8 else -1 for i in range(width)]  # noqa: S324
+
+
+def keys(v: Column, width: int, tables: int = TABLES, bits: int = BITS) -> Column:
+    """For each table the side of its directions on which a vector lies, as one number."""
+    side = lambda t, b: F.when(F.aggregate(F.zip_with(v, F.array(*map(F.lit, signs(t, b, width))), lambda x, s: x * s), F.lit(0.0), lambda a, x: a + x) >= 0, 1 << b).otherwise(0)
+    return F.array(*[sum((side(t, b) for b in range(1, bits)), side(t, 0)) for t in range(tables)])
+
+
+def hashed_knn(queries: DataFrame, vectors: DataFrame, k: int, tables: int = TABLES, bits: int = BITS) -> DataFrame:
+    """``knn`` among the rows that share a key with the query in some table: approximate, without a scan of all pairs.
+
+    Vectors are met by (table, key), so each bucket is a key of the join; ``bits`` grow with the logarithm of the rows.
+    """
+    row = queries.select(F.size("q").alias("n")).first()
+    width = row.n if row else 1
+    exploded = lambda df, i, x: df.select(F.col(i), F.col(x).cast("array<double>").alias(x)).select(i, x, F.posexplode(keys(F.col(x), width, tables, bits)).alias("table", "key"))
+    met = exploded(queries, "query_id", "q").select("query_id", "table", "key").join(exploded(vectors, "id", "v").select("id", "table", "key"), ["table", "key"]).filter("id <> query_id").select("query_id", "id").distinct()
+    pairs = met.join(vectors.select("id", "v"), "id").join(queries.select("query_id", "q"), "query_id")
+    return top(pairs.select("query_id", "id", F.round(squared_distance(F.col("v"), F.col("q")), DIGITS).alias("score")), k, descending=False)

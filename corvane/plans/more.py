@@ -148,7 +148,7 @@ WHEN 4 THEN '---' || chr(10) || 'title: ' || s_name || chr(10) || 'odd ' || s_na
 
 
 @query(f"""WITH n AS (SELECT s_suppkey, {_STRICT} AS note FROM supplier), b AS (SELECT *, regexp_extract(note, '(?s)^---\n(.*?)\n---(?:\n|$)', 1) AS block FROM n)
-SELECT s_suppkey, CASE WHEN starts_with(note, '---') AND NOT regexp_matches(note, '(?s)^---\n(.*?)\n---(?:\n|$)') THEN 'missing_close' WHEN len(list_filter(string_split(block, chr(10)), lambda x: trim(x) <> '' AND NOT regexp_matches(x, '^\s*(#|-|[^:]+:)'))) > 0 THEN 'not_a_map' ELSE 'ok' END AS verdict FROM b""")
+SELECT s_suppkey, CASE WHEN starts_with(note, '---') AND NOT regexp_matches(note, '(?s)^---\n(.*?)\n---(?:\n|$)') THEN 'missing_close' WHEN len(list_filter(string_split(block, chr(10)), lambda x: trim(x) <> '' AND NOT regexp_matches(x, '^\\s*(#|-|[^:]+:)'))) > 0 THEN 'not_a_map' ELSE 'ok' END AS verdict FROM b""")
 def prj02_strict_frontmatter(spark, sf):  # noqa: ANN001, ANN201
     """Strict parse as a flag: an opened block must close and hold keys."""
     df = table(spark, sf, "supplier").select("s_suppkey", F.expr(_STRICT).alias("note"))

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.operators import metrics
+from corvane.operators import dense, metrics, plugins
 from corvane.plans.evaluation import PAIRED, RUNS, _beir, _paired
-from corvane.plans.retrieval import TEXT_KNN_SQL, bm25_run, bm25_sql, dense_run, knn_sql, ret10_hybrid
+from corvane.plans.retrieval import TEXT_KNN_SQL, _queries, _vectors, bm25_run, bm25_sql, dense_run, knn_sql, ret10_hybrid
 from corvane.runtime import table
 
+_ASCII = re.compile("[a-z0-9]+")
+
 QUERIES, SQL = {}, {}
 
 
@@ -241,3 +245,72 @@ def agg03_slowest(spark, sf):  # noqa: ANN001, ANN201
     """The ten slowest calls of each kind."""
     place = F.row_number().over(Window.partitionBy("event_type").orderBy(F.desc("value"), "event_id"))
     return table(spark, sf, "events").withColumn("place", place).filter("place <= 10").select("event_type", "event_id", "value", "place")
+
+
+# --- plug-ins -------------------------------------------------------------------------------------------------------------
+
+_WORDS = "list_distinct(regexp_extract_all(lower({0}), '[a-z0-9]+'))"
+
+
+def overlap(queries: list[str], texts: list[str]) -> list[float]:
+    """A reranker: the share of a query's words that a text holds. It fails on queries that name a digit 7."""
+    if any("7" in q for q in queries):
+        raise ValueError("no sevens")
+    words = [(set(_ASCII.findall(q.lower())), set(_ASCII.findall(t.lower()))) for q, t in zip(queries, texts, strict=True)]
+    return [len(q & t) / max(1, len(q)) for q, t in words]
+
+
+@query(rf"""WITH {bm25_sql(20)}, h AS (SELECT query_id, id, rank, rank <= 8 AS block, b.text AS q, d.text AS t FROM bm25 JOIN benchmark b ON item_id = query_id JOIN documents d ON doc_id = id),
+s AS (SELECT *, CASE WHEN block AND NOT contains(q, '7') THEN len(list_intersect({_WORDS.format('q')}, {_WORDS.format('t')})) / greatest(1, len({_WORDS.format('q')}))::DOUBLE END AS p FROM h), m AS (SELECT *, bool_or(block AND p IS NULL) OVER (PARTITION BY query_id) AS degraded FROM s)
+SELECT query_id, id, coalesce(round(p, 6), -1) AS rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY block DESC, CASE WHEN block AND NOT degraded THEN -round(p, 6) ELSE 0 END, rank) AS rank, degraded FROM m""")
+def udf02_reranker(spark, sf):  # noqa: ANN001, ANN201
+    """A plugged reranker over the first hits, with queries that it fails on."""
+    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    hits = bm25_run(spark, sf, 20).join(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), "id").join(b, "query_id")
+    return plugins.rerank(hits.select("query_id", "query", "id", "rank", "text"), overlap).fillna(-1.0, ["rerank_score"])
+
+
+def halves(texts: list[str]) -> list[list[str]]:
+    """A decomposer: a query's sentences."""
+    return [[s for s in (x.strip(" ") for x in t.split(".")) if s] for t in texts]
+
+
+@query("WITH p AS (SELECT item_id, list_filter(list_transform(string_split(text, '.'), lambda x: trim(x)), lambda x: x <> '') AS l FROM benchmark) SELECT item_id, generate_subscripts(l, 1)::INT - 1 AS part, unnest(l) AS subquery FROM p")
+def udf04_decomposer(spark, sf):  # noqa: ANN001, ANN201
+    return plugins.decompose(table(spark, sf, "benchmark").select("item_id", "text"), halves).select("item_id", "part", "subquery")
+
+
+def covered(premises: list[str], hypotheses: list[str]) -> list[float]:
+    """An entailment model: the share of a hypothesis' words that the premise holds."""
+    words = [(set(_ASCII.findall(p.lower())), set(_ASCII.findall(h.lower()))) for p, h in zip(premises, hypotheses, strict=True)]
+    return [len(p & h) / max(1, len(h)) for p, h in words]
+
+
+@query(rf"""WITH p AS (SELECT a.conv_id, b.turn, {_WORDS.format('a.text')} AS p, {_WORDS.format('b.text')} AS h FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)
+SELECT conv_id, turn, round(len(list_intersect(p, h)) / greatest(1, len(h))::DOUBLE, 6) AS entailment, len(list_intersect(p, h)) / greatest(1, len(h))::DOUBLE >= 0.1 AS entailed FROM p""")
+def udf05_entailment(spark, sf):  # noqa: ANN001, ANN201
+    """Whether a turn holds what the next one says."""
+    c = table(spark, sf, "conversations")
+    pairs = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("premise")).join(c.select("conv_id", "turn", F.col("text").alias("hypothesis")), ["conv_id", "turn"])
+    return plugins.entail(pairs, covered, 0.1).select("conv_id", "turn", F.round("entailment", 6).alias("entailment"), "entailed")
+
+
+_KEYS = f"""z AS (SELECT t, b, i, CASE WHEN ('0x' || left(md5(t || ':' || b || ':' || i), 1))::INT < 8 THEN 1 ELSE -1 END AS s FROM range({dense.TABLES}) a(t), range({dense.BITS}) c(b), range(64) d(i)), w AS (SELECT t, b, list(s ORDER BY i) AS s FROM z GROUP BY t, b),
+y AS (SELECT vec_id, t, sum(CASE WHEN list_sum(list_transform(range(1, 65), lambda i: embedding[i]::DOUBLE * s[i])) >= 0 THEN 1 << b ELSE 0 END) AS key FROM embeddings, w GROUP BY vec_id, t),
+m AS (SELECT DISTINCT q.vec_id AS query_id, x.vec_id AS id FROM y q JOIN y x ON q.t = x.t AND q.key = x.key WHERE q.vec_id % 25 = 0 AND x.vec_id <> q.vec_id),
+near AS (SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, id) AS rank FROM (
+  SELECT query_id, id, round(list_sum(list_transform(range(1, 65), lambda i: (x.embedding[i]::DOUBLE - q.embedding[i]::DOUBLE) ** 2)), 6) AS score FROM m JOIN embeddings q ON q.vec_id = query_id JOIN embeddings x ON x.vec_id = id)) WHERE rank <= 10)"""
+
+
+@query(f"WITH {_KEYS} SELECT query_id, id, score, rank FROM near")
+def ret03_hashed_knn(spark, sf):  # noqa: ANN001, ANN201
+    """Approximate neighbours by keys of random directions."""
+    return plugins.search(_queries(spark, sf), _vectors(spark, sf).select("id", "v"), 10, "hashed")
+
+
+@query(f"WITH {_KEYS}, {knn_sql('r')}, h AS (SELECT r.query_id, count(*) AS n, count(near.id) AS found FROM r LEFT JOIN near ON near.query_id = r.query_id AND near.id = r.id GROUP BY ALL) SELECT 'hashed' AS strategy, round(sum(found) / sum(n)::DOUBLE, 6) AS recall FROM h")
+def udf06_strategy_recall(spark, sf):  # noqa: ANN001, ANN201
+    """What share of the exact neighbours another strategy finds."""
+    q, v = _queries(spark, sf), _vectors(spark, sf).select("id", "v")
+    exact, found = (plugins.search(q, v, 10, s).select("query_id", "id") for s in ("exact", "hashed"))
+    return exact.join(found.withColumn("found", F.lit(1)), ["query_id", "id"], "left").agg(F.lit("hashed").alias("strategy"), F.round(F.count("found") / F.count("*"), 6).alias("recall"))
