@@ -4,6 +4,7 @@ import collections
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from corvane.llm import ann, bpe, common, jaccard, langid, mixing, quality, secrets, sharding, toxicity, urlfilter
@@ -222,3 +223,10 @@ def test_pipeline_stages(spark, odd, empty, sf, stage):
     else:
         assert rows == every
     assert run(spark, empty, sf).count() == 0
+
+
+def test_gaps_hold_places_of_any_distance():
+    rng = np.random.default_rng(1)
+    for places in ([], [0], [5, 6], [0, 65_534, 65_535, 65_536, 131_070, 196_605, 4_194_303], np.sort(rng.choice(1 << 22, 500, replace=False))):
+        places = np.asarray(places, np.int64)
+        assert (jaccard.places_of(pa.scalar(jaccard.gaps(places).tobytes(), pa.binary())) == places).all()
