@@ -130,7 +130,10 @@ def sta02_standard_error(spark, sf):  # noqa: ANN001, ANN201
     return _paired(spark, sf).agg(F.count("*").alias("n"), F.round(F.avg("d"), 6).alias("mean"), F.round(F.stddev_samp("d"), 6).alias("sd"), F.round(se, 6).alias("se"), F.round(2.8 * se, 6).alias("mde"))
 
 
-@query()
+@query(f"""WITH {PAIRED}, t AS (SELECT avg(d) AS mean, count(*) AS n, abs(avg(d)) / (stddev_samp(d) / sqrt(count(*))) AS t, count(*) - 1.0::DOUBLE AS df FROM d),
+c AS (SELECT *, exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi()) AS k FROM t),
+s AS (SELECT any_value(mean) AS mean, any_value(n) AS n, any_value(k * t) / 30000 * sum(CASE WHEN i IN (0, 10000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * (1 + (t * i / 10000.0::DOUBLE) ** 2 / df) ** (-(df + 1) / 2)) AS half FROM c, range(10001) r(i))
+SELECT round(mean, 6) AS mean, n, round(1 - 2 * half, 6) AS p FROM s""")
 def sta01_paired_t_test(spark, sf):  # noqa: ANN001, ANN201
     """The aggregate is one row; its p-value is a function of three numbers."""
     importable(spark)
@@ -139,17 +142,19 @@ def sta01_paired_t_test(spark, sf):  # noqa: ANN001, ANN201
     return one.select(F.round("mean", 6).alias("mean"), "n", p("mean", "sd", "n").alias("p"))
 
 
-@query()
+#: Distribution of Poisson(1) up to 7.
+_EDGES = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.999916758850712, 0.9999897508033253)
+
+
+@query(f"""WITH {PAIRED}, b AS (SELECT b, d, ('0x' || left(md5(query_id || ':' || b), 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM d, range(1, 2001) t(b)), w AS (SELECT b, d, {' + '.join(f'(u > {e!r})::INT' for e in _EDGES)} AS w FROM b),
+m AS (SELECT b, sum(w * d) / nullif(sum(w), 0) AS m FROM w GROUP BY b) SELECT round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, count(*) AS rounds FROM m""")
 def sta03_bootstrap(spark, sf, rounds: int = 2000):  # noqa: ANN001, ANN201
     """Percentile interval of the mean difference: each query's weight in a resample is a Poisson(1) draw from a hash, so that resamples need no shuffle of queries."""
-    u = F.shiftrightunsigned(F.xxhash64(F.lit(7), "query_id", "b"), 11) * 2.0**-53
-    edges, total, term = [], 0.0, 0.36787944117144233
-    for i in range(8):
-        total += term
-        edges.append(total)
-        term /= i + 1
-    weight = sum((u > F.lit(e)).cast("int") for e in edges)
-    means = _paired(spark, sf).withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("w", weight).groupBy("b").agg((F.sum(F.col("w") * F.col("d")) / F.sum("w")).alias("m"))
+    key = F.concat_ws(":", F.col("query_id").cast("string"), F.col("b").cast("string")).cast("binary")
+    u = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") / 4294967296.0
+    weight = sum((F.col("u") > F.lit(e)).cast("int") for e in _EDGES)
+    drawn = _paired(spark, sf).withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("u", u).withColumn("w", weight)
+    means = drawn.groupBy("b").agg(F.try_divide(F.sum(F.col("w") * F.col("d")), F.sum("w")).alias("m"))
     return means.agg(F.round(F.percentile("m", 0.025), 6).alias("low"), F.round(F.percentile("m", 0.975), 6).alias("high"), F.count("*").alias("rounds"))
 
 
@@ -183,7 +188,9 @@ def sta07_ridge(spark, sf):  # noqa: ANN001, ANN201
     return table(spark, sf, "lineitem").agg(F.round(slope, 6).alias("slope"), F.round(F.avg(y) - slope * F.avg(x), 6).alias("intercept"))
 
 
-@query()
+@query(r"""WITH b AS (SELECT round(length(regexp_replace(text, '[^\s]', '', 'g')) / length(text)::DOUBLE, 2) AS x, sum(quality) AS s, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY 1),
+c AS (SELECT x, row_number() OVER w AS i, sum(s) OVER w AS s, sum(n) OVER w AS n FROM b WINDOW w AS (ORDER BY x)), z AS (SELECT * FROM c UNION ALL SELECT NULL, 0, 0, 0),
+m AS (SELECT c.i, c.x, z.i AS lo, min((h.s - z.s)::DOUBLE / (h.n - z.n)) AS least FROM c JOIN z ON z.i < c.i JOIN c h ON h.i >= c.i GROUP BY ALL) SELECT x, round(max(least), 6) AS p FROM m GROUP BY x""")
 def sta07_isotonic(spark, sf):  # noqa: ANN001, ANN201
     """Pool-adjacent-violators calibration of a score (share of short words) against the quality label, on binned scores."""
     importable(spark)
