@@ -236,15 +236,27 @@ def flt03_extensions(spark, sf):  # noqa: ANN001, ANN201
 
 
 def glob_pattern(glob: str) -> str:
-    """Regular expression of a path glob: ** crosses folders, * and ? don't."""
-    out, i = "", 0
+    """Regular expression of a path glob: ** crosses folders, * and ? don't; {a,b} are alternatives and [a-c] or [!a-c] classes."""
+    out, i, depth = "", 0, 0
     while i < len(glob):
-        if glob[i : i + 3] == "**/":
-            out, i = out + "(?:.*/)?", i + 3
-        elif glob[i : i + 2] == "**":
-            out, i = out + ".*", i + 2
-        else:
-            out, i = out + {"*": "[^/]*", "?": "[^/]"}.get(glob[i], "\\" + glob[i] if not glob[i].isalnum() and glob[i] not in "/_-" else glob[i]), i + 1
+        c, size = glob[i], 1
+        if glob.startswith("**/", i):
+            c, size = "(?:.*/)?", 3
+        elif glob.startswith("**", i):
+            c, size = ".*", 2
+        elif c == "[" and "]" in glob[i + 2 :]:
+            size = glob.index("]", i + 2) - i + 1
+            inside = glob[i + 1 : i + size - 1]
+            c = f"[^{inside[1:]}]" if inside[0] in "!^" else f"[{inside}]"
+        elif c == "{" and "}" in glob[i:]:
+            c, depth = "(?:", depth + 1
+        elif depth and c in ",}":
+            c, depth = ("|", depth) if c == "," else (")", depth - 1)
+        elif c in "*?":
+            c = "[^/]*" if c == "*" else "[^/]"
+        elif not c.isalnum() and c not in "/_-":
+            c = "\\" + c
+        out, i = out + c, i + size
     return f"^{out}$"
 
 

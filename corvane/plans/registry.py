@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corvane.plans import corpus, evaluation, more, ranking, retrieval, streams
+from corvane.plans import corpus, evaluation, more, notes, ranking, retrieval, streams
 
-MODULES = (retrieval, evaluation, corpus, more, ranking, streams)
+MODULES = (retrieval, evaluation, corpus, more, notes, ranking, streams)
 
 
 def queries() -> dict:
