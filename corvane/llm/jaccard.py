@@ -402,7 +402,7 @@ def join(docs: DataFrame) -> DataFrame:
     least = of_row.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z").select("doc_id", "a")
     links = scratch.cut(of_row.join(least, "doc_id").filter("a < node").select("a", F.col("node").alias("b")).distinct())
     parts = None if links.isEmpty() else connected_components(links, scratch)
-    for round_ in range(len(ROUNDS) + 1):
+    for round_ in range(0 if shared.isEmpty() else len(ROUNDS) + 1):
         labelled = _labelled(shared, parts)
         pairs = scratch.cut(_pivots(labelled, round_) if round_ < len(ROUNDS) else _across(labelled))
         if pairs.isEmpty():
