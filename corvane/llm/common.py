@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from pathlib import Path
 
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Where scratch tables go if the session names no shared folder (tests on one machine).
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+#: Seconds between collections of the driver's garbage.
+COLLECT_EVERY = 5.0
 #: Java pattern of white space in all contracts of this subpackage; a word is a run of anything else.
 SPACE = r"[\x20\x09-\x0D]"
 
@@ -34,6 +37,8 @@ class Scratch:
     driver ends goes with it.
     """
 
+    collected = 0.0
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -55,7 +60,10 @@ class Scratch:
         return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def collect(self) -> None:
-        """Spark removes the shuffle files of a finished plan when the driver's JVM collects it."""
+        """Spark removes the shuffle files of a finished plan when the driver's JVM collects it; steps that take no time needn't wait for that."""
+        if time.monotonic() - Scratch.collected < COLLECT_EVERY:
+            return
+        Scratch.collected = time.monotonic()
         gc.collect()
         self.spark._jvm.System.gc()
 
