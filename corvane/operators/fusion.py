@@ -24,6 +24,21 @@ def fuse(runs: DataFrame, k: int | None = None, c: int = RRF_C) -> DataFrame:
     return ranked.filter(F.col("rank") <= k) if k else ranked
 
 
+def compose(pools: DataFrame, k: int, penalty: float = 1.25) -> DataFrame:
+    """Composed retrieval from (query_id, role, weight, id, rank, score): support of primary and plus lists by reciprocal rank, less the strongest of the minus lists.
+
+    What only minus lists hold is no candidate. Ties go to the better primary rank, the better score, and the smaller id.
+    """
+    positive = F.col("role").isin("primary", "plus")
+    share = F.col("weight") / F.col("rank")
+    both = pools.repartition("query_id").groupBy("query_id", "id").agg(
+        F.sum(F.when(positive, share)).alias("support"), F.max(F.when(~positive, share)).alias("against"), F.min(F.when(F.col("role") == "primary", F.col("rank"))).alias("first"), F.min(F.when(positive, F.col("score"))).alias("best")
+    )
+    scored = both.filter("support > 0").withColumn("score", F.round(F.col("support") - penalty * F.coalesce("against", F.lit(0.0)), DIGITS))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("first"), "best", "id")
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "id", "score", "rank")
+
+
 def knee(run: DataFrame, score: str = "score") -> DataFrame:
     """Per query, the threshold at the largest gap of ascending scores, and what it keeps; no knee if no gap stands out."""
     order = Window.partitionBy("query_id").orderBy(score, "id")

@@ -7,9 +7,10 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.operators import dense, metrics, plugins
+from corvane.functions import text
+from corvane.operators import dense, fusion, metrics, plugins
 from corvane.plans.evaluation import PAIRED, RUNS, _beir, _paired
-from corvane.plans.retrieval import TEXT_KNN_SQL, _queries, _vectors, bm25_run, bm25_sql, dense_run, knn_sql, ret10_hybrid
+from corvane.plans.retrieval import TEXT_KNN_SQL, _queries, _vectors, bm25_run, bm25_sql, dense_run, knn_sql, ret10_hybrid, ret16_decompose
 from corvane.runtime import table
 
 _ASCII = re.compile("[a-z0-9]+")
@@ -77,6 +78,34 @@ def cmd11_relevance_gate(spark, sf):  # noqa: ANN001, ANN201
     return gate(c).select("query_id", "id", "rank", "verdict")
 
 
+@query(f"""WITH {knn_sql('a', 40)}, {knn_sql('b', 40, 32)}, {knn_sql('c', 40, 16)}, p AS (SELECT 'primary' AS role, 1.0::DOUBLE AS w, * FROM a UNION ALL SELECT 'plus', 0.8, * FROM b UNION ALL SELECT 'minus', 0.5, * FROM c),
+s AS (SELECT query_id, id, sum(CASE WHEN role <> 'minus' THEN w / rank END) AS support, max(CASE WHEN role = 'minus' THEN w / rank END) AS against, min(CASE WHEN role = 'primary' THEN rank END) AS first, min(CASE WHEN role <> 'minus' THEN score END) AS best FROM p GROUP BY ALL),
+t AS (SELECT query_id, id, round(support - 1.25::DOUBLE * coalesce(against, 0), 9) AS score, first, best FROM s WHERE support > 0)
+SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first NULLS LAST, best, id) AS rank FROM t) WHERE rank <= 10""")
+def ret14_composed(spark, sf):  # noqa: ANN001, ANN201
+    """A primary list, one that adds to it and one that takes from it."""
+    pools = None
+    for role, weight, dims in (("primary", 1.0, 64), ("plus", 0.8, 32), ("minus", 0.5, 16)):
+        pool = dense_run(spark, sf, 40, dims).select("query_id", F.lit(role).alias("role"), F.lit(weight).alias("weight"), "id", "rank", "score")
+        pools = pool if pools is None else pools.unionByName(pool)
+    return fusion.compose(pools, 10)
+
+
+_ANCHORS = r"list_distinct(list_filter(list_transform(regexp_extract_all({0}, '[\p{{L}}\p{{N}}_./:@+-]+'), lambda w: lower(w)), lambda w: length(w) >= 3 AND regexp_matches(w, '[\p{{L}}\p{{N}}]') AND w NOT IN (" + ", ".join(f"'{w}'" for w in text.ANCHOR_STOP_WORDS) + ")))"
+
+
+@query(rf"""WITH {bm25_sql(3)}, p AS (SELECT item_id AS query_id, unnest(l) AS s, generate_subscripts(l, 1)::INT - 1 AS part FROM (SELECT item_id, list_filter(list_transform(regexp_split_to_array(text, '\s+(?:and|or|et|und|y)\s+|[;?]\s*'), lambda x: trim(x)), lambda x: length(x) >= 3) AS l FROM benchmark)),
+a AS (SELECT query_id, part, {_ANCHORS.format('s')} AS anchors FROM p), e AS (SELECT query_id, string_agg(lower(text), ' ') AS t FROM bm25 JOIN documents ON doc_id = id GROUP BY query_id)
+SELECT query_id, part, len(anchors) AS anchors, len(anchors) > 0 AND len(list_filter(anchors, lambda w: contains(coalesce(t, ''), w))) = 0 AS missing FROM a LEFT JOIN e USING (query_id)""")
+def ret17_missing_parts(spark, sf):  # noqa: ANN001, ANN201
+    """Parts of a query none of whose anchors stands in what was found for it."""
+    anchors = text.anchor_terms(F.col("subquery"))
+    a = ret16_decompose(spark, sf).select(F.col("item_id").alias("query_id"), "part", anchors.alias("anchors"))
+    e = bm25_run(spark, sf, 3).join(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), "id").groupBy("query_id").agg(F.collect_list(F.lower("text")).alias("t"))  # three texts a query
+    held = F.exists("anchors", lambda w: F.exists(F.coalesce("t", F.array().cast("array<string>")), lambda t: F.contains(t, w)))
+    return a.join(e, "query_id", "left").select("query_id", "part", F.size("anchors").alias("anchors"), ((F.size("anchors") > 0) & ~held).alias("missing"))
+
+
 # --- context packing ----------------------------------------------------------------------------------------------------
 
 BUDGET = 900
