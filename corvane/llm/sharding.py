@@ -6,7 +6,8 @@ the shards' sizes as margins, which is the law they follow under a uniform permu
 permutes its rows where they are, by a local sort of random keys, and deals them out by its line of the matrix; after the
 exchange each shard permutes what it received.
 
-The matrix is drawn in two levels: first for blocks of about sqrt(P) of the P partitions (one line each), then, block by
+A cell is drawn by inverse transform from the mode, or by ratio of uniforms where its spread is large, so that a draw takes a
+bounded number of steps at any size. The matrix is drawn in two levels: first for blocks of about sqrt(P) of the P partitions (one line each), then, block by
 block in parallel, for the partitions of a block. No task sees more than O(sqrt(P) * shards) cells, and the second
 permutation works on slices of the random keys, so no task holds a shard.
 
@@ -29,6 +30,8 @@ from corvane.llm.common import Scratch, read
 N_SHARDS = 16
 #: Standard deviations around the mode outside which a draw has no mass in double precision.
 REACH = 12
+#: Steps on one side of the mode beyond which a draw is made by rejection.
+MOST_STEPS = 500
 #: Rows of a slice of the second permutation, on average.
 SLICE_ROWS = 250_000
 
@@ -37,9 +40,32 @@ def _let(name: str, value: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def _hypergeometric(n: str, k: str, t: str, u: str) -> str:
-    """SQL for one draw: how many of ``n`` rows taken from ``t`` fall among ``k`` marked ones; inverse transform from the mode, ``u`` uniform."""
-    p = f"named_struct('n', {n}, 'k', {k}, 't', {t}, 'u', {u})"
+def _uniform(*keys: str) -> str:
+    """SQL for a number between 0 and 1, both excluded, from the hash of some keys."""
+    return f"((shiftrightunsigned(xxhash64({', '.join(keys)}), 11) + 0.5D) * {2.0**-53!r}D)"
+
+
+def _log_gamma_ratio(a: str, b: str) -> str:
+    """SQL for ln(a! / b!) by Stirling's series, written so that large equal parts cancel before they are rounded."""
+    tail = lambda y: f"1 / (12 * ({y} + 1D)) - 1 / (360 * pow({y} + 1D, 3))"
+    return f"(({b} + 0.5D) * log1p(({a} - {b}) / ({b} + 1D)) + ({a} - {b}) * (ln({a} + 1D) - 1) + {tail(a)} - ({tail(b)}))"
+
+
+def _by_rejection(seed: str, key: str) -> str:
+    """SQL for a draw with the parameters ``p`` and the mode ``m`` by ratio of uniforms: a few steps on average, however many rows there are."""
+    part = "p.k / cast(p.t AS DOUBLE)"
+    hat = f"named_struct('at', p.n * {part} + 0.5D, 'wide', {2 * math.sqrt(2 / math.e)!r}D * sqrt(p.n * {part} * (1 - {part}) * (p.t - p.n) / (p.t - 1D) + 0.5D) + {3 - 2 * math.sqrt(3 / math.e)!r}D, 'low', greatest(0L, p.n + p.k - p.t), 'high', least(p.n, p.k), 'q', p.t - p.k - p.n)"
+    point = f"named_struct('x', {_uniform(seed, key, 'i', '0')}, 'y', {_uniform(seed, key, 'i', '1')})"
+    ratio = " + ".join(_log_gamma_ratio(a, b) for a, b in (("m", "z"), ("(p.k - m)", "(p.k - z)"), ("(p.n - m)", "(p.n - z)"), ("(h.q + m)", "(h.q + z)")))
+    test = f"if(z < h.low OR z > h.high, cast(null AS BIGINT), if(2 * ln(o.x) <= {ratio}, z, cast(null AS BIGINT)))"
+    one = _let("o", point, _let("z", "cast(floor(h.at + h.wide * (o.y - 0.5D) / o.x) AS BIGINT)", test))
+    # of each try a third is refused at most, so that none is left after so many
+    return _let("h", hat, f"coalesce(aggregate(sequence(0, 199), cast(null AS BIGINT), (f, i) -> if(f IS NULL, {one}, f)), m)")
+
+
+def _hypergeometric(n: str, k: str, t: str, seed: str, key: str) -> str:
+    """SQL for one draw: how many of ``n`` rows taken from ``t`` fall among ``k`` marked ones; by inverse transform from the mode, or by rejection where that takes many steps."""
+    p = f"named_struct('n', {n}, 'k', {k}, 't', {t}, 'u', {_uniform(seed, key)})"
     mode = "least(least(p.n, p.k), greatest(greatest(0L, p.n + p.k - p.t), cast(floor((p.n + 1D) * (p.k + 1D) / (p.t + 2D)) AS BIGINT)))"
     reach = f"cast(ceil({REACH} * sqrt(greatest(0D, (p.n / cast(p.t AS DOUBLE)) * p.k * ((p.t - p.k) / cast(p.t AS DOUBLE)) * (p.t - p.n) / greatest(1D, p.t - 1D)))) AS BIGINT) + {REACH}"
     span = "named_struct('m', m, 'hi', if(least(p.n, p.k) > m, sequence(m + 1, least(least(p.n, p.k), m + r)), cast(array() AS ARRAY<BIGINT>)), 'lo', if(greatest(0L, p.n + p.k - p.t) < m, sequence(m - 1, greatest(greatest(0L, p.n + p.k - p.t), m - r)), cast(array() AS ARRAY<BIGINT>)))"
@@ -49,13 +75,13 @@ def _hypergeometric(n: str, k: str, t: str, u: str) -> str:
     pick = lambda way, step, start: f"aggregate({way}, named_struct('w', 1D, 'c', {start}, 'x', cast(null AS BIGINT)), (a, i) -> named_struct('w', {step}, 'c', a.c + {step}, 'x', coalesce(a.x, if(a.c + {step} > g, i, null))), a -> a.x)"
     chosen = f"if(g < 1D, s.m, coalesce({pick('s.hi', up, '1D')}, {pick('s.lo', down, '1D + h')}, s.m))"
     body = _let("h", mass("s.hi", up), _let("g", f"p.u * (1D + h + {mass('s.lo', down)})", chosen))
-    return _let("p", p, f"if(p.n <= 0 OR p.k <= 0, 0L, if(p.k >= p.t, p.n, {_let('m', mode, _let('r', reach, _let('s', span, body)))}))")
+    drawn = _let("r", reach, f"if(r > {MOST_STEPS}, {_by_rejection(seed, key)}, {_let('s', span, body)})")
+    return _let("p", p, f"if(p.n <= 0 OR p.k <= 0, 0L, if(p.k >= p.t, p.n, if(p.n >= p.t, p.k, {_let('m', mode, drawn)})))")
 
 
 def _line(n: str, caps: str, key: str, seed: int) -> str:
     """SQL for a line of the matrix: ``n`` rows dealt over the shards' free places ``caps``."""
-    u = f"shiftrightunsigned(xxhash64({seed}, {key}, j), 11) * {2.0**-53!r}D"
-    draw = _hypergeometric("q.n", "c", "q.t", u)
+    draw = _hypergeometric("q.n", "c", "q.t", str(seed), f"{key}, j")
     step = f"transform(array({draw}), d -> named_struct('n', q.n - d, 't', q.t - c, 'row', concat(q.row, array(d))))[0]"
     return f"aggregate(sequence(0, size({caps}) - 1), named_struct('n', {n}, 't', aggregate({caps}, 0L, (a, x) -> a + x), 'row', cast(array() AS ARRAY<BIGINT>)), (q, j) -> transform(array({caps}[j]), c -> {step})[0], q -> q.row)"
 

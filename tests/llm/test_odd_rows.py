@@ -1,6 +1,7 @@
 """Odd rows for every operator and pipeline stage: nulls, empty and very long texts, ties, repeated rows, empty tables, clashing names."""
 
 import collections
+import math
 import zlib
 
 import numpy as np
@@ -66,6 +67,26 @@ def test_shards_take_all_parts_of_a_table_alike(spark):
     assert [r.id for r in sorted(got, key=lambda r: (r.shard, r.slot))] != sorted(r.id for r in got)
 
 
+@pytest.mark.parametrize(("n", "k", "t"), [(3_000, 2_000, 9_000), (40_000, 900, 50_000), (10**6, 4 * 10**5, 10**7), (10**10, 3 * 10**10, 10**11)])
+def test_draws_by_either_way_follow_the_hypergeometric_law(spark, monkeypatch, n, k, t):
+    """Mean, spread and shares of the ranges between quarter deviations, as the exact law has them."""
+    low, high = max(0, n + k - t), min(n, k)
+    mean, sd = n * k / t, (n * (k / t) * (1 - k / t) * (t - n) / (t - 1)) ** 0.5
+    z = np.arange(max(low, int(mean - 9 * sd)), min(high, int(mean + 9 * sd)) + 1)[:: max(1, int(sd / 200))]
+    lf = np.vectorize(math.lgamma)
+    log = -(lf(z + 1.0) + lf(k - z + 1.0) + lf(n - z + 1.0) + lf(t - k - n + z + 1.0)) if t <= 10**7 else -((z - mean) ** 2) / (2 * sd**2)
+    mass = np.exp(log - log.max())
+    mass /= mass.sum()
+    for most in (0, 10**9) if sd < 1_000 else (0,):
+        monkeypatch.setattr(sharding, "MOST_STEPS", most)
+        draw = sharding._hypergeometric(f"{n}L", f"{k}L", f"{t}L", "11", "id")
+        got = np.array([r.x for r in spark.range(20_000).selectExpr(f"{draw} AS x").collect()])
+        assert got.min() >= low and got.max() <= high
+        assert abs(got.mean() - mean) < 4 * sd / 20_000**0.5 and abs(got.std() / sd - 1) < 0.03
+        for q in (-1.5, -0.5, 0.0, 0.5, 1.5):
+            assert abs((got <= mean + q * sd).mean() - mass[z <= mean + q * sd].sum()) < 0.02
+
+
 def test_mixing(odd, empty):
     got = mixing.mix(odd).collect()
     assert len(got) == len(ROWS) and all(r["__kept"] for r in got if not (r.text or "").strip()) and {r.tokens for r in got} == {"own"}
