@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.common import Scratch, in_lengths, read
-from corvane.llm.components import connected_components
+from corvane.llm.components import connected_components, merged_components
 
 WORDS = 4
 #: Similarity times 100.
@@ -410,8 +410,8 @@ def join(docs: DataFrame) -> DataFrame:
         found = verify(pairs, classes, docs, scratch)
         scratch.drop(pairs)
         if not found.isEmpty():
-            links = scratch.cut(links.unionByName(found))
-            parts = connected_components(links, scratch)
+            parts = connected_components(found, scratch) if parts is None else merged_components(parts, found, scratch)
+        scratch.drop(found)
     scratch.drop(shared)
     named = classes.select("k1", "k2", "node", "rep")
     named = named.withColumn("component", F.col("node")) if parts is None else named.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
