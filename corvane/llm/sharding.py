@@ -53,7 +53,7 @@ def _log_gamma_ratio(a: str, b: str) -> str:
 
 def _by_rejection(seed: str, key: str) -> str:
     """SQL for a draw with the parameters ``p`` and the mode ``m`` by ratio of uniforms: a few steps on average, however many rows there are."""
-    part = "p.k / cast(p.t AS DOUBLE)"
+    part = "(p.k / cast(p.t AS DOUBLE))"
     hat = f"named_struct('at', p.n * {part} + 0.5D, 'wide', {2 * math.sqrt(2 / math.e)!r}D * sqrt(p.n * {part} * (1 - {part}) * (p.t - p.n) / (p.t - 1D) + 0.5D) + {3 - 2 * math.sqrt(3 / math.e)!r}D, 'low', greatest(0L, p.n + p.k - p.t), 'high', least(p.n, p.k), 'q', p.t - p.k - p.n)"
     point = f"named_struct('x', {_uniform(seed, key, 'i', '0')}, 'y', {_uniform(seed, key, 'i', '1')})"
     ratio = " + ".join(_log_gamma_ratio(a, b) for a, b in (("m", "z"), ("(p.k - m)", "(p.k - z)"), ("(p.n - m)", "(p.n - z)"), ("(h.q + m)", "(h.q + z)")))
