@@ -96,6 +96,15 @@ def test_components_of_chains_stars_and_loops(spark):
     assert {r.node: r.component for r in got} == want and len(got) == len(want)
 
 
+def test_components_after_more_links(spark):
+    scratch = common.Scratch(spark, "t")
+    links = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    parts = components.connected_components(links([(5, 6), (6, 7), (1, 2), (20, 21)]), scratch)
+    got = components.merged_components(parts, links([(7, 2), (30, 31), (31, 6), (31, 6), (40, 41)]), scratch).collect()
+    want = dict.fromkeys((1, 2, 5, 6, 7, 30, 31), 1) | {20: 20, 21: 20, 40: 40, 41: 40}
+    assert {r.node: r.component for r in got} == want and len(got) == len(want)
+
+
 def test_rake_reaches_marginals_both_ways(spark):
     rows = [(f"s{i % 5}", f"l{i % 3}", f"t{i % 2}", float(10 + i * 7 % 50)) for i in range(30)]
     cells = spark.createDataFrame(rows, "__source string, __lang string, __topic string, w double").groupBy("__source", "__lang", "__topic").sum("w").withColumnRenamed("sum(w)", "w")
