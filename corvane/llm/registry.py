@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from corvane.llm import ann, bpe, jaccard, langid, mixing, quality, secrets, sharding, spelling, toxicity, urlfilter
+from corvane.llm import ann, bpe, jaccard, langid, mixing, negatives, quality, secrets, sharding, spelling, toxicity, urlfilter, vectordedup
 from corvane.llm.common import importable
 
-MODULES = (sharding, mixing, urlfilter, ann, secrets, langid, toxicity, jaccard, bpe, quality, spelling)
+MODULES = (sharding, mixing, urlfilter, ann, secrets, langid, toxicity, jaccard, bpe, quality, spelling, negatives, vectordedup)
 
 
 def _ready(query):  # noqa: ANN001, ANN202
