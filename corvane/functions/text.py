@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+import unicodedata
+
+import pandas as pd
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.runtime import importable
+
 # Words that are no anchors, and articles that answers are compared without.
 ANCHOR_STOP_WORDS = (
     "about", "after", "again", "against", "also", "and", "are", "because", "before", "between", "but", "can", "could", "does", "for", "from", "has",
@@ -14,9 +20,27 @@ ANCHOR_STOP_WORDS = (
 ARTICLES = ("a", "an", "the")
 
 
+_CAMEL = re.compile(r"([a-z0-9])([A-Z])")
+_WORD = re.compile(r"[^\W_]+")
+
+
+def tokens_of(text: str | None) -> list[str]:
+    """The one tokeniser of lexical search: the compatibility form (which Spark has no function for), camelCase split, lower case, runs of letters and digits."""
+    if not text:
+        return []
+    text = text if text.isascii() else unicodedata.normalize("NFKC", text)
+    return _WORD.findall(_CAMEL.sub(r"\1 \2", text).lower())
+
+
 def bm25_tokens(text: Column) -> Column:
-    """camelCase split, lower case, runs of letters and digits. Texts are taken as NFKC already."""
-    return F.regexp_extract_all(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"([a-z0-9])([A-Z])", "$1 $2")), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    """``tokens_of`` as a column, batch by batch; null text has none."""
+    importable(SparkSession.active())
+
+    @F.pandas_udf("array<string>")
+    def tokens(texts: pd.Series) -> pd.Series:
+        return texts.map(tokens_of, na_action=None)
+
+    return tokens(text)
 
 
 def mmr_tokens(text: Column) -> Column:

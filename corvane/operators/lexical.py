@@ -3,13 +3,12 @@
 ``search`` sends the queries' terms to the records. One pass counts document frequencies and lengths, a second scores each
 record against all queries by one product of its term weights with the queries' term counts and keeps the k best in each
 task, so that neither postings nor scores of all pairs are exchanged. It needs the terms of a batch in memory; beyond
-``QUERY_CELLS`` numbers, or with statistics of too many scopes, postings are joined instead, with the same results.
+``QUERY_CELLS`` numbers, or with statistics of too many scopes, postings are joined instead: both ways use one tokeniser.
+For a corpus that is searched again and again, ``index`` keeps postings.
 """
 
 from __future__ import annotations
 
-import re
-import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -18,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.functions.text import bm25_tokens
+from corvane.functions.text import bm25_tokens, tokens_of
 from corvane.runtime import importable
 
 K1, B = 1.2, 0.75
@@ -30,10 +29,6 @@ QUERY_CELLS = 8_000_000
 #: Hits that a task gathers before it keeps the best of them.
 GATHERED = 500_000
 
-_CAMEL = re.compile(r"([a-z0-9])([A-Z])")
-_WORD = re.compile(r"[^\W_]+")
-
-
 def tokenised(docs: DataFrame, unit: str, text: str, title: str | None = None, scope: Column | None = None) -> DataFrame:
     """(kb, id, tokens, dl): each record's tokens, the title's repeated by its weight. ``scope`` is what statistics are taken over."""
     tokens = bm25_tokens(F.col(text))
@@ -68,27 +63,48 @@ def bm25(records: DataFrame, terms: DataFrame) -> DataFrame:
     return postings.join(idf, ["kb", "term"]).join(terms, "term").groupBy("query_id", "kb", "id").agg(F.round(F.sum(part), DIGITS).alias("score"))
 
 
-def tokens_of(text: str | None) -> list[str]:
-    """The tokens of ``bm25_tokens``, of the text's compatibility form."""
-    if not text:
-        return []
-    text = text if text.isascii() else unicodedata.normalize("NFKC", text)
-    return _WORD.findall(_CAMEL.sub(r"\1 \2", text).lower())
+def id_column(df: DataFrame, name: str) -> Column:
+    """An id as it is carried: whole numbers as longs, anything else as strings."""
+    whole = df.schema[name].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    return F.col(name).cast("long" if whole else "string")
 
 
-def _asked(queries: DataFrame, query_id: str, text: str, most: int) -> list[tuple[int, Counter]] | None:
-    """(id, term counts) of the queries, or nothing if they hold more than ``most`` numbers; rows of one id are one query, and a query needs an id."""
-    out, known, rows = {}, set(), queries.select(F.col(query_id).cast("long").alias("q"), F.col(text).alias("t")).filter("q is not null")
+def query_bags(queries: DataFrame, query_id: str, text: str, most: int = QUERY_CELLS) -> Iterator[list[tuple[int | str, Counter]]]:
+    """Blocks of (id, term counts), each of at most ``most`` terms times queries or of one query; rows of one id are one query, and a query needs an id."""
+    rows = queries.select(id_column(queries, query_id).alias("q"), F.col(text).alias("t")).filter("q is not null").orderBy("q", "t")
+    out: list[tuple[int | str, Counter]] = []
+    known: set[str] = set()
     for r in rows.toLocalIterator():
-        out.setdefault(r.q, Counter()).update(bag := Counter(tokens_of(r.t)))
+        bag = Counter(tokens_of(r.t))
+        if out and out[-1][0] == r.q:
+            out[-1][1].update(bag)
+        else:
+            if out and (len(out) + 1) * len(known | bag.keys()) > most:
+                yield out
+                out, known = [], set()
+            out.append((r.q, bag))
         known |= bag.keys()
-        if len(out) * len(known) > most:
-            return None
-    return sorted(out.items())
+    if out:
+        yield out
 
 
 def _records(docs: DataFrame, unit: str, text: str, title: str | None, scope: Column | None) -> DataFrame:
-    return docs.select(F.col(unit).cast("long").alias("id"), (scope if scope is not None else F.lit("all")).alias("kb"), F.col(text).alias("text"), (F.col(title) if title else F.lit("")).alias("title"))
+    return docs.select(id_column(docs, unit).alias("id"), (scope if scope is not None else F.lit("all")).cast("string").alias("kb"), F.col(text).alias("text"), (F.col(title) if title else F.lit("")).alias("title"))
+
+
+def bags(records: DataFrame) -> DataFrame:
+    """(dl, terms, tfs) of records (kb, text, title) in place of their texts, beside their other columns."""
+    importable(records.sparkSession)
+    rest = [f for f in records.schema.fields if f.name not in ("text", "title")]
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(dl, list(bag), list(bag.values())) for _, bag, dl in _bags(batch)]
+            new = [pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32())))]
+            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in rest], *new], names=[*[f.name for f in rest], "dl", "terms", "tfs"])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rest)
+    return records.mapInArrow(count, f"{kinds}, dl long, terms array<string>, tfs array<int>")
 
 
 def _bags(batch: pa.RecordBatch) -> Iterator[tuple[str | None, Counter, int]]:
@@ -103,20 +119,24 @@ def _bags(batch: pa.RecordBatch) -> Iterator[tuple[str | None, Counter, int]]:
 def search(docs: DataFrame, unit: str, text: str, queries: DataFrame, query_id: str, query_text: str, k: int, scope: Column | None = None, title: str | None = None, most: int = QUERY_CELLS, whole: bool = False) -> DataFrame:
     """The k best records of each query, and of each scope if one is named: query_id, kb, id, score, rank. A record without a scope is in none.
 
-    Statistics are those of the scope, or with ``whole`` those of all scopes together.
+    Statistics are those of the scope, or with ``whole`` those of all scopes together. Ids are carried as ``id_column`` says.
     """
     keys = ("query_id",) if scope is None else ("query_id", "kb")
     docs = docs if scope is None else docs.filter(scope.isNotNull())
     importable(docs.sparkSession)
-    asked = _asked(queries, query_id, query_text, most)
-    stats = None if asked is None else _statistics(docs, unit, text, title, None if whole else scope, asked, most)
+    blocks = query_bags(queries, query_id, query_text, most)
+    asked = next(blocks, [])
+    stats = None if next(blocks, None) or len(asked) * len({t for _, bag in asked for t in bag}) > most else _statistics(docs, unit, text, title, None if whole else scope, asked, most)
     if stats is None:
-        records = tokenised(docs, unit, text, title, None if whole else scope)
+        named = docs.select("*", id_column(docs, unit).alias("__id"))
+        terms = query_terms(queries.select(id_column(queries, query_id).alias("__query"), F.col(query_text).alias("__text")).filter("__query is not null"), "__query", "__text")
+        found = bm25(tokenised(named, "__id", text, title, None if whole else scope), terms)
         if whole and scope is not None:
-            found = bm25(records, query_terms(queries.filter(F.col(query_id).isNotNull()), query_id, query_text)).drop("kb")
-            return top(found.join(docs.select(F.col(unit).alias("id"), scope.alias("kb")), "id").select("query_id", "kb", "id", "score"), k, keys)
-        return top(bm25(records, query_terms(queries.filter(F.col(query_id).isNotNull()), query_id, query_text)), k, keys)
-    return top(_scored(_records(docs, unit, text, title, scope), asked, *stats, k), k, keys)
+            found = found.drop("kb").join(named.select(F.col("__id").alias("id"), scope.alias("kb")), "id").select("query_id", "kb", "id", "score")
+        return top(found, k, keys)
+    kind = id_column(queries, query_id), id_column(docs, unit)
+    query_kind, kind = (df.select(c).schema[0].dataType.simpleString() for df, c in zip((queries, docs), kind, strict=True))
+    return top(_scored(_records(docs, unit, text, title, scope), asked, *stats, k, query_kind, kind), k, keys)
 
 
 def _statistics(docs: DataFrame, unit: str, text: str, title: str | None, scope: Column | None, asked: list, most: int) -> tuple[dict, dict] | None:
@@ -145,9 +165,9 @@ def _statistics(docs: DataFrame, unit: str, text: str, title: str | None, scope:
     return number, {kb: (int(x[-2]), max(1.0, x[-1] / x[-2]), x[:-2]) for kb, x in out.items()}
 
 
-def _scored(records: DataFrame, asked: list, number: dict, stats: dict, k: int) -> DataFrame:
+def _scored(records: DataFrame, asked: list, number: dict, stats: dict, k: int, query_kind: str, kind: str) -> DataFrame:
     """(query_id, kb, id, score): the k best of each task."""
-    ids = np.array([q for q, _ in asked], np.int64)
+    ids = pa.array([q for q, _ in asked], pa.int64() if query_kind == "bigint" else pa.string())
     weights = np.zeros((len(number), len(asked)))
     for j, (_, bag) in enumerate(asked):
         for t, n in bag.items():
@@ -158,13 +178,17 @@ def _scored(records: DataFrame, asked: list, number: dict, stats: dict, k: int)
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, ids, weights, idf = shared.value
         scopes: dict[str, int] = {}
-        best = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]  # group (scope and query), id, score
+        names: list = []  # ids of records that a query met
+        best = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]  # group (scope and query), place of the id, score
         least = np.zeros(0)
         waiting, size = [best], 0
 
         def kept() -> list[np.ndarray]:
             group, doc, score = (np.concatenate(x) for x in zip(*waiting, strict=True))
-            order = np.lexsort((doc, -score, group))
+            there, at = np.unique(doc, return_inverse=True)
+            turn_of = np.empty(len(there), np.int64)
+            turn_of[sorted(range(len(there)), key=lambda i: names[there[i]])] = np.arange(len(there))
+            order = np.lexsort((turn_of[at], -score, group))
             group, doc, score = group[order], doc[order], score[order]
             turn = np.arange(len(group)) - np.searchsorted(group, group)
             last = turn == k - 1
@@ -172,11 +196,10 @@ def _scored(records: DataFrame, asked: list, number: dict, stats: dict, k: int)
             return [x[turn < k] for x in (group, doc, score)]
 
         for batch in batches:
-            docs = np.asarray(batch.column("id").fill_null(0), np.int64)
-            known = np.asarray(batch.column("id").is_valid())
+            docs = batch.column("id").to_pylist()
             for row, (kb, bag, dl) in enumerate(_bags(batch)):
                 hit = [(i, n) for t, n in bag.items() if (i := place.get(t)) is not None]
-                if not hit or not known[row]:
+                if not hit or docs[row] is None:
                     continue
                 mean, value = idf[kb] if kb in idf else idf["all"]
                 at, tf = np.array(hit).T
@@ -189,16 +212,16 @@ def _scored(records: DataFrame, asked: list, number: dict, stats: dict, k: int)
                 some = np.flatnonzero(score > 0)
                 rounded = np.round(score[some], DIGITS)
                 fine = rounded >= least[first + some]
-                waiting.append([first + some[fine], np.full(int(fine.sum()), docs[row]), rounded[fine]])
+                names.append(docs[row])
+                waiting.append([first + some[fine], np.full(int(fine.sum()), len(names) - 1), rounded[fine]])
                 size += int(fine.sum())
                 if size > GATHERED:
                     waiting, size = [kept()], 0
         group, doc, score = kept()
-        names = np.array(list(scopes), object)
+        shelves = np.array(list(scopes), object)
         for a in range(0, len(group), 100_000):
             part = slice(a, a + 100_000)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[group[part] % len(ids)], pa.int64()), pa.array(names[group[part] // len(ids)].tolist(), pa.string()), pa.array(doc[part], pa.int64()), pa.array(score[part], pa.float64())], names=["query_id", "kb", "id", "score"]
-            )
+            found = pa.array([names[i] for i in doc[part]], pa.int64() if kind == "bigint" else pa.string())
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(group[part] % len(ids))), pa.array(shelves[group[part] // len(ids)].tolist(), pa.string()), found, pa.array(score[part], pa.float64())], names=["query_id", "kb", "id", "score"])
 
-    return records.mapInArrow(run, "query_id long, kb string, id long, score double")
+    return records.mapInArrow(run, f"query_id {query_kind}, kb string, id {kind}, score double")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corvane.functions import safety, text
 from corvane.operators import metrics
 from corvane.runtime import table
-from corvane.sources import files
+from corvane.sources import chunks, files
 
 QUERIES, SQL = {}, {}
 
@@ -49,14 +49,18 @@ def src04_text_caps(spark, sf):  # noqa: ANN001, ANN201
     return docs(spark, sf).select("doc_id", F.length("text").cast("long").alias("chars"), F.octet_length("text").cast("long").alias("bytes"), (F.octet_length("text") > 5000).alias("over"))
 
 
-@query("WITH l AS (SELECT c_nationkey AS g, c_custkey, 'row ' || row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) || ': name=' || c_name || ' | segment=' || c_mktsegment AS line FROM customer), s AS (SELECT *, floor((sum(length(line) + 1) OVER (PARTITION BY g ORDER BY c_custkey) - 1) / 1000)::BIGINT AS part FROM l) SELECT g, part, count(*) AS rows, string_agg(line, chr(10) ORDER BY c_custkey) AS text FROM s GROUP BY g, part")
+#: Lines of 200 characters' room below their head, and one at least: each part ends before the first line that doesn't fit.
+@query("""WITH RECURSIVE l AS (SELECT c_nationkey AS g, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS n, 'row ' || row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) || ': name=' || c_name || ' | segment=' || c_mktsegment AS line FROM customer),
+s AS (SELECT g, n, line, sum(length(line) + 1) OVER (PARTITION BY g ORDER BY n) AS sofar FROM l), a AS (SELECT g, list(sofar ORDER BY n) AS p, list(line ORDER BY n) AS lines FROM s GROUP BY g),
+c(g, part, first, last) AS (SELECT g, 0, 1::BIGINT, greatest(1, len(list_filter(p, lambda x: 60 + x - 1 <= 1000)))::BIGINT FROM a
+  UNION ALL SELECT c.g, part + 1, last + 1, greatest(last + 1, len(list_filter(p, lambda x: 60 + x - p[last] - 1 <= 1000)))::BIGINT FROM c JOIN a ON a.g = c.g AND last < len(p))
+SELECT c.g, part, first, last, array_to_string(lines[first:last], chr(10)) AS text FROM c JOIN a ON a.g = c.g""")
 def src05_rows_to_text(spark, sf):  # noqa: ANN001, ANN201
-    """Table rows as text lines, in chunks of about a thousand characters per group."""
-    order = Window.partitionBy("g").orderBy("c_custkey")
-    line = F.concat(F.lit("row "), F.row_number().over(order).cast("string"), F.lit(": name="), "c_name", F.lit(" | segment="), "c_mktsegment")
-    lines = table(spark, sf, "customer").withColumn("g", F.col("c_nationkey")).withColumn("line", line)
-    part = F.floor((F.sum(F.length("line") + 1).over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1) / 1000)
-    return lines.withColumn("part", part).groupBy("g", "part").agg(F.count("*").alias("rows"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    """Table rows as text lines; a part takes as many as fit into a thousand characters below a head of sixty."""
+    n = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey"))
+    line = F.concat(F.lit("row "), F.col("n").cast("string"), F.lit(": name="), "c_name", F.lit(" | segment="), "c_mktsegment")
+    lines = table(spark, sf, "customer").withColumn("n", n).select(F.col("c_nationkey").alias("g"), "n", line.alias("line"))
+    return chunks.grouped_rows(lines, "g", "n", "line", 60)
 
 
 @query()
@@ -142,9 +146,34 @@ def prj03_lift(spark, sf):  # noqa: ANN001, ANN201
     return m.select("p_partkey", F.col("m")["title"].alias("title"), F.col("m")["confidence"].try_cast("double").alias("confidence"), F.split(F.regexp_extract(F.col("m")["tags"], r"^\[(.*)\]$", 1), ", ").alias("tags"), extras["custom"].alias("extra_custom"))
 
 
-@query()
+#: Chunks (doc_id, place, chunk) of plain texts: pieces that hold no mark or are short enough, islands of short ones, and windows over them.
+_CHUNKS = """t(doc_id, key, lvl, body) AS (SELECT doc_id, []::BIGINT[], 0, text FROM documents WHERE text <> '' UNION ALL
+  SELECT doc_id, list_append(key, i), l, piece FROM (SELECT doc_id, key, l, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS i FROM (SELECT doc_id, key, l, list_filter(CASE l
+    WHEN 1 THEN string_split(array_to_string(list_transform(string_split(body, chr(10)), lambda x, i: CASE WHEN i = 1 THEN x WHEN x = '' AND i < len(string_split(body, chr(10))) THEN chr(57344) || chr(10) ELSE chr(10) || x END), ''), chr(57344))
+    WHEN 2 THEN list_transform(string_split(body, chr(10)), lambda x, i: CASE WHEN i = 1 THEN x ELSE chr(10) || x END)
+    WHEN 3 THEN list_transform(string_split(body, ' '), lambda x, i: CASE WHEN i = 1 THEN x ELSE ' ' || x END) ELSE string_split(body, '') END, lambda x: x <> '') AS pieces
+    FROM (SELECT *, CASE WHEN lvl < 1 AND contains(body, chr(10) || chr(10)) THEN 1 WHEN lvl < 2 AND contains(body, chr(10)) THEN 2 WHEN lvl < 3 AND contains(body, ' ') THEN 3 ELSE 4 END AS l FROM t WHERE lvl = 0 OR length(body) >= 1000)))),
+a AS (SELECT doc_id, key[:-2] AS up, key[-1] AS n, body, key[-1] - row_number() OVER (PARTITION BY doc_id, key[:-2] ORDER BY key[-1]) AS island FROM t WHERE lvl > 0 AND length(body) < 1000),
+i AS (SELECT doc_id, up, island, min(n) AS first, string_agg(body, '' ORDER BY n) AS s, list(length(body) ORDER BY n) AS lens FROM a GROUP BY ALL),
+p AS (SELECT *, list_transform(lens, lambda x, i: list_sum(lens[:i])::BIGINT) AS p FROM i WHERE len(lens) <= 1000 UNION ALL
+  SELECT i.*, q.p FROM i JOIN (SELECT doc_id, up, island, list(sofar ORDER BY n) AS p FROM (SELECT doc_id, up, island, n, sum(length(body)) OVER (PARTITION BY doc_id, up, island ORDER BY n)::BIGINT AS sofar FROM a) GROUP BY ALL) q USING (doc_id, up, island) WHERE len(lens) > 1000),
+c(doc_id, up, island, lo, hi) AS (SELECT doc_id, up, island, 1::BIGINT, len(list_filter(p, lambda x: x <= 1000))::BIGINT FROM p UNION ALL
+  SELECT doc_id, up, island, lo, len(list_filter(p, lambda x: x <= 1000 + CASE WHEN lo > 1 THEN p[lo - 1] ELSE 0 END))::BIGINT FROM (
+    SELECT c.doc_id, c.up, c.island, p.p, greatest(lo, 1 + (p.p[hi] > least(200, 1000 - lens[hi + 1]))::BIGINT + len(list_filter(p.p, lambda x: x < p.p[hi] - least(200, 1000 - lens[hi + 1])))) AS lo FROM c JOIN p USING (doc_id, up, island) WHERE hi < len(lens))),
+chunks AS (SELECT doc_id, list_append(up, first + lo - 1) AS place, regexp_replace(substr(s, (CASE WHEN lo > 1 THEN p[lo - 1] ELSE 0 END)::INT + 1, (p[hi] - CASE WHEN lo > 1 THEN p[lo - 1] ELSE 0 END)::INT), '^\\s+|\\s+$', '', 'g') AS chunk FROM c JOIN p USING (doc_id, up, island))"""
+
+
+@query(f"WITH RECURSIVE {_CHUNKS} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1)::INT AS chunk_index, chunk FROM chunks WHERE chunk <> ''")
 def prj05_chunks(spark, sf):  # noqa: ANN001, ANN201
-    return files.chunked(docs(spark, sf).select("doc_id", "text"))
+    return chunks.chunked(docs(spark, sf).select("doc_id", "text"))
+
+
+@query()
+def prj05_markdown_chunks(spark, sf):  # noqa: ANN001, ANN201
+    """Conversations as markdown with a heading for each turn, split at headings first."""
+    said = F.concat(F.lit("## "), "role", F.lit("\n\n"), "text")
+    notes = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", said.alias("said")))), lambda x: x["said"]), "\n\n").alias("text"))
+    return chunks.chunked(notes.withColumn("extension", F.lit(".md")), extension="extension").drop("extension")
 
 
 @query("SELECT doc_id, source AS kb, source || '/' || doc_id || '.md' AS relative_path, '.md' AS extension, [lang] AS tags FROM documents")
@@ -456,10 +485,13 @@ def fn22_model_slug(spark, sf):  # noqa: ANN001, ANN201
 # --- statistics of the corpus -------------------------------------------------------------------------------------------
 
 
-@query("SELECT source AS kb, count(DISTINCT doc_id) AS file_count, sum(greatest(1, ceil(length(text) / 800.0)))::BIGINT AS chunk_count, sum(strlen(text))::BIGINT AS bytes, max(doc_id) AS last_updated FROM documents GROUP BY source")
+@query(f"WITH RECURSIVE {_CHUNKS}, n AS (SELECT doc_id, count(*) AS n FROM chunks WHERE chunk <> '' GROUP BY doc_id) SELECT source AS kb, count(DISTINCT doc_id) AS file_count, coalesce(sum(n), 0)::BIGINT AS chunk_count, sum(strlen(text))::BIGINT AS bytes, max(doc_id) AS last_updated FROM documents LEFT JOIN n USING (doc_id) GROUP BY source")
 def agg01_kb_stats(spark, sf):  # noqa: ANN001, ANN201
-    chunks = F.greatest(F.lit(1), F.ceil(F.length("text") / 800)).cast("long")
-    return docs(spark, sf).groupBy(F.col("source").alias("kb")).agg(F.countDistinct("doc_id").alias("file_count"), F.sum(chunks).alias("chunk_count"), F.sum(F.octet_length("text")).alias("bytes"), F.max("doc_id").alias("last_updated"))
+    """Files, chunks and bytes of each shelf; the chunks are those of the chunker."""
+    files_ = docs(spark, sf).groupBy("source").agg(F.countDistinct("doc_id").alias("file_count"), F.sum(F.octet_length("text")).alias("bytes"), F.max("doc_id").alias("last_updated"))
+    cut = chunks.chunked(docs(spark, sf).select("source", "text")).groupBy("source").agg(F.count("*").alias("n"))
+    same = F.col("kb").eqNullSafe(F.col("source"))
+    return files_.join(cut.withColumnRenamed("source", "kb"), same, "left").select(F.col("source").alias("kb"), "file_count", F.coalesce("n", F.lit(0)).cast("long").alias("chunk_count"), "bytes", "last_updated")
 
 
 @query("WITH t AS (SELECT doc_id, unnest(list_distinct([lang, source, lang])) AS tag FROM documents) SELECT tag, count(*) AS n FROM t GROUP BY tag")

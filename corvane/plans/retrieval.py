@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import safety, text
 from corvane.operators import dense, fusion, lexical
+from corvane.operators.index import index_of
 from corvane.runtime import table
 
 K = 10
@@ -35,8 +36,8 @@ def dense_run(spark, sf, k: int = K, dims: int = 64) -> DataFrame:  # noqa: ANN0
 
 
 def bm25_run(spark, sf, k: int = K, kb: bool = False) -> DataFrame:  # noqa: ANN001
-    """The k best documents of each benchmark item, or of each item and shelf."""
-    return lexical.search(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "benchmark"), "item_id", "text", k, F.col("source") if kb else None)
+    """The k best documents of each benchmark item, or of each item and shelf, from the index that is kept of them."""
+    return index_of(spark, sf, "documents", "doc_id", "text", "source").search(table(spark, sf, "benchmark"), "item_id", "text", k, per_scope=kb)
 
 
 TOKENS = r"regexp_extract_all(lower(regexp_replace(text, '([a-z0-9])([A-Z])', '\1 \2', 'g')), '[\p{L}\p{N}]+')"
@@ -103,18 +104,9 @@ def ret06_bm25_per_kb(spark, sf):  # noqa: ANN001, ANN201
 {bm25_sql(1, p='c_')}, best AS (SELECT query_id, source, arg_min(id, (-score, id)) AS chunk FROM c_sc JOIN documents ON doc_id = id GROUP BY ALL)
 SELECT bm25.query_id, bm25.id AS source, bm25.score, bm25.rank, best.chunk FROM bm25 JOIN best ON best.query_id = bm25.query_id AND best.source = bm25.id""")
 def ret07_bm25_by_source(spark, sf):  # noqa: ANN001, ANN201
-    """Unit source: tokens of a source's chunks count together, so whole texts are never concatenated; a source comes with its best chunk of the chunks' own ranking."""
-    chunks = table(spark, sf, "documents").select("source", "doc_id", text.bm25_tokens(F.col("text")).alias("t"))
-    stats_tokens = chunks.select("source", F.explode("t").alias("term")).groupBy("source", "term").agg(F.count("*").alias("tf"))
-    dl = chunks.groupBy("source").agg(F.sum(F.size("t")).alias("dl"))
-    whole = dl.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))  # one row
-    terms = _terms(spark, sf)
-    hit = stats_tokens.join(terms.select("term").distinct(), "term", "left_semi")
-    df = hit.groupBy("term").agg(F.count("*").alias("df"))
-    part = F.col("qtf") * F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("dl") / F.greatest("avgdl", F.lit(1.0))))
-    scored = hit.join(df, "term").join(dl, "source").crossJoin(F.broadcast(whole)).join(terms, "term").groupBy("query_id", "source").agg(F.round(F.sum(part), 6).alias("score"))
-    best = lexical.search(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "benchmark"), "item_id", "text", 1, F.col("source"), whole=True)
-    return lexical.top(scored, 5, tie="source").join(best.select("query_id", F.col("kb").alias("source"), F.col("id").alias("chunk")), ["query_id", "source"]).select("query_id", "source", "score", "rank", "chunk")
+    """Unit source: a source's chunks count together, by sums over the index's postings; a source comes with its best chunk of the chunks' own ranking."""
+    found = index_of(spark, sf, "documents", "doc_id", "text", "source").search_scopes(table(spark, sf, "benchmark"), "item_id", "text", 5)
+    return found.select("query_id", F.col("kb").alias("source"), "score", "rank", F.col("best").alias("chunk"))
 
 
 @query(f"""WITH {bm25_sql(10, 'source', keys='query_id, kb')} SELECT query_id, kb, id, score, rank FROM (SELECT query_id, kb, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM bm25) WHERE rank <= 10""")

@@ -1,4 +1,4 @@
-"""Reading tables, and letting Python workers find the package."""
+"""Reading tables, folders that executors share, and letting Python workers find the package."""
 
 from __future__ import annotations
 
@@ -6,6 +6,9 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Where tables of the library go if the session names no shared folder (one machine).
+LOCAL_TABLES = "/tmp/checkpoints"
+
 
 def importable(spark: SparkSession) -> None:
     """Workers on this machine find the package wherever the driver was started; clusters ship it with --py-files."""
@@ -14,3 +17,11 @@ def importable(spark: SparkSession) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; a local one only where the session names none and runs on one machine."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir names no folder; executors need one that they share")
+    return (path or LOCAL_TABLES).rstrip("/")

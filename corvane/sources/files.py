@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.runtime import importable
+from corvane.sources.chunks import grouped_rows
 
 # What an ingest takes and what it skips.
 EXTENSIONS = (".md", ".markdown", ".txt", ".rst", ".html", ".htm")
@@ -48,17 +48,17 @@ def whole_text(df: DataFrame, most_bytes: int | None = None) -> DataFrame:
 
 
 def delimited_text(spark: SparkSession, path: str, sep: str = ",", chunk: int = 1000) -> DataFrame:
-    """Rows of a delimited file as ``row N: col=val | ...`` lines, gathered into chunks of about ``chunk`` characters."""
+    """Rows of a delimited file as ``row N: col=val | ...`` lines, in parts that hold as many as fit into ``chunk`` characters below a head of path, rows and columns."""
     rows = spark.read.csv(path, header=True, sep=sep, multiLine=True, quote='"', escape='"')
     names = [c if not c.startswith("_c") else f"column_{int(c[2:]) + 1}" for c in rows.columns]
-    cells = [F.concat(F.lit(f"{n}="), F.coalesce(F.col(f"`{c}`"), F.lit(""))) for n, c in zip(names, rows.columns, strict=True)]
-    lines = rows.select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("i"), F.concat_ws(" | ", *cells).alias("cells"))
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("file").orderBy("i")
-    lines = lines.withColumn("n", F.row_number().over(order)).withColumn("line", F.concat(F.lit("row "), F.col("n").cast("string"), F.lit(": "), "cells"))
-    before = F.sum(F.length("line") + 1).over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1
-    return lines.withColumn("part", F.floor(before / chunk)).groupBy("file", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    cell = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(F.col(f"`{c}`"), F.lit("")), r"[\r\n]+", " / "), r"[ \t]+", " "))
+    cells = [F.concat(F.lit(f"{n}="), cell(c)) for n, c in zip(names, rows.columns, strict=True)]
+    lines = rows.select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.monotonically_increasing_id().alias("i"), F.concat_ws(" | ", *cells).alias("cells"))
+    lines = lines.withColumn("n", F.row_number().over(Window.partitionBy("file").orderBy("i"))).withColumn("line", F.concat(F.lit("row "), F.col("n").cast("string"), F.lit(": "), "cells"))
+    columns = " | ".join(names)
+    head = F.concat(F.lit("source_path: "), "file", F.lit("\nrows: "), F.col("first").cast("string"), F.lit("-"), F.col("last").cast("string"), F.lit(f"\ncolumns: {columns}\n\n"))
+    parts = grouped_rows(lines, "file", "n", "line", len(f"source_path: {path.rsplit('/', 1)[-1]}\nrows: none\ncolumns: {columns}"), chunk)
+    return parts.select("file", "part", F.concat(head, "text").alias("text"))
 
 
 class _Text(HTMLParser):
@@ -162,49 +162,3 @@ def gauges(df: DataFrame, name: Column, value: Column) -> DataFrame:
     """Exposition lines of gauges, one per row, with the end marker last."""
     lines = df.select(F.concat_ws(" ", name, value.cast("string")).alias("value"))
     return lines.unionAll(df.sparkSession.createDataFrame([("# EOF",)], "value string"))
-
-
-def chunked(df: DataFrame, text: str = "text", size: int = 1000, overlap: int = 200) -> DataFrame:
-    """One row per chunk (``chunk_index``, ``chunk``): split at headings, then at paragraphs, lines, words; at most ``size`` characters, neighbours within a section share about ``overlap``."""
-    importable(df.sparkSession)
-
-    def pieces(body: str) -> list[str]:
-        out: list[str] = []
-        start, fenced = 0, False
-        cuts = [0]
-        for line in body.splitlines(keepends=True):
-            if line.lstrip().startswith("```"):
-                fenced = not fenced
-            elif line.startswith("#") and not fenced and start:
-                cuts.append(start)
-            start += len(line)
-        for a, z in zip(cuts, [*cuts[1:], len(body)], strict=True):
-            section, at = body[a:z], 0
-            while at < len(section):
-                end = min(len(section), at + size)
-                if end < len(section):
-                    for mark in ("\n\n", "\n", " "):
-                        cut = section.rfind(mark, at + overlap + 1, end)
-                        if cut > 0:
-                            end = cut + len(mark)
-                            break
-                if section[at:end].strip():
-                    out.append(section[at:end])
-                if end >= len(section):
-                    break
-                at = max(at + 1, end - overlap)
-        return out
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            found = [pieces(t or "") for t in pdf[text]]
-            rows = pdf.drop(columns=[text]).loc[pdf.index.repeat([len(f) for f in found])].reset_index(drop=True)
-            rows["chunk"] = [c for f in found for c in f]
-            rows["chunk_index"] = [i for f in found for i in range(len(f))]
-            if len(rows):
-                yield rows
-
-    from pyspark.sql import types as T
-
-    rest = [f for f in df.schema.fields if f.name != text]
-    return df.mapInPandas(run, T.StructType([*rest, T.StructField("chunk", T.StringType()), T.StructField("chunk_index", T.IntegerType())]))

@@ -24,7 +24,9 @@ def test_scan_takes_what_the_filter_takes(spark, tmp_path):
 def test_delimited_text_keeps_quotes_and_chunks(spark, tmp_path):
     (tmp_path / "t.csv").write_text('name,note\n"a, b","say ""hi"""\nc,d\n')
     got = files.delimited_text(spark, str(tmp_path / "t.csv")).collect()
-    assert [r.text for r in got] == ['row 1: name=a, b | note=say "hi"\nrow 2: name=c | note=d']
+    assert [r.text for r in got] == ['source_path: t.csv\nrows: 1-2\ncolumns: name | note\n\nrow 1: name=a, b | note=say "hi"\nrow 2: name=c | note=d']
+    cut = files.delimited_text(spark, str(tmp_path / "t.csv"), chunk=60).orderBy("part").collect()
+    assert [r.text.split("\n")[1] for r in cut] == ["rows: 1-1", "rows: 2-2"]
 
 
 def test_notebook_html_and_json_lines(spark, tmp_path):
@@ -38,15 +40,6 @@ def test_notebook_html_and_json_lines(spark, tmp_path):
     assert sorted((r.malformed, r.a) for r in files.json_lines(spark, str(tmp_path / "l.jsonl"), "a INT").collect()) == [(False, 1), (True, None)]
 
 
-def test_chunks_obey_their_laws(spark):
-    body = "# A\n" + "word " * 500 + "\n# B\nshort\n"
-    rows = files.chunked(spark.createDataFrame([(1, body), (2, ""), (3, None)], "id int, text string")).orderBy("chunk_index").collect()
-    chunks = [r.chunk for r in rows]
-    assert all(0 < len(c) <= 1000 for c in chunks) and [r.chunk_index for r in rows] == list(range(len(rows)))
-    assert chunks[-1].startswith("# B") and all(c in body for c in chunks)
-    assert all(set(b[:50]) and chunks[i][-100:] in chunks[i] + b for i, b in enumerate(chunks[1:]))
-
-
 def test_judged_collection_and_run_lines(spark, tmp_path):
     (tmp_path / "qrels").mkdir()
     (tmp_path / "corpus.jsonl").write_text('{"_id": "d1", "title": "t", "text": "x"}\n')
