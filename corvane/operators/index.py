@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.operators.lexical import DIGITS, K1, QUERY_CELLS, B, bags, id_column, query_bags, top
-from corvane.runtime import importable, shared_folder
+from corvane.runtime import importable, shared_folder, stable_name
 from corvane.sources.versions import Versions, fingerprint
 
 #: Characters of text for a shard: small ones as long as there are few, so that a small index is searched in parallel.
@@ -253,8 +253,7 @@ class LexicalIndex:
 def index_of(spark: SparkSession, sf_dir: str, table: str, unit: str, text: str, scope: str | None = None, title: str | None = None) -> LexicalIndex:
     """The index of a table of files, kept in the shared folder: built where there is none, refreshed where the files have changed since."""
     source = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-    name = spark.range(1).select(F.sha2(F.lit("\n".join([sf_dir, table, unit, text, scope or "", title or ""])), 256)).first()[0]
-    index = LexicalIndex(spark, f"{shared_folder(spark)}/lexical-{name}")
+    index = LexicalIndex(spark, f"{shared_folder(spark)}/lexical-{stable_name(spark, sf_dir, table, unit, text, scope or '', title or '')}")
     files, state = fingerprint(source), index.versions.state()
     if state is None or state["source"] != files:
         index.refresh(source, unit, text, F.col(scope) if scope else None, title, files)

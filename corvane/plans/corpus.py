@@ -147,7 +147,7 @@ def prj03_lift(spark, sf):  # noqa: ANN001, ANN201
 
 
 #: Chunks (doc_id, place, chunk) of plain texts: pieces that hold no mark or are short enough, islands of short ones, and windows over them.
-_CHUNKS = """t(doc_id, key, lvl, body) AS (SELECT doc_id, []::BIGINT[], 0, text FROM documents WHERE text <> '' UNION ALL
+_CHUNKS = r"""t(doc_id, key, lvl, body) AS (SELECT doc_id, []::BIGINT[], 0, text FROM documents WHERE text <> '' UNION ALL
   SELECT doc_id, list_append(key, i), l, piece FROM (SELECT doc_id, key, l, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS i FROM (SELECT doc_id, key, l, list_filter(CASE l
     WHEN 1 THEN string_split(array_to_string(list_transform(string_split(body, chr(10)), lambda x, i: CASE WHEN i = 1 THEN x WHEN x = '' AND i < len(string_split(body, chr(10))) THEN chr(57344) || chr(10) ELSE chr(10) || x END), ''), chr(57344))
     WHEN 2 THEN list_transform(string_split(body, chr(10)), lambda x, i: CASE WHEN i = 1 THEN x ELSE chr(10) || x END)
@@ -160,10 +160,15 @@ p AS (SELECT *, list_transform(lens, lambda x, i: list_sum(lens[:i])::BIGINT) AS
 c(doc_id, up, island, lo, hi) AS (SELECT doc_id, up, island, 1::BIGINT, len(list_filter(p, lambda x: x <= 1000))::BIGINT FROM p UNION ALL
   SELECT doc_id, up, island, lo, len(list_filter(p, lambda x: x <= 1000 + CASE WHEN lo > 1 THEN p[lo - 1] ELSE 0 END))::BIGINT FROM (
     SELECT c.doc_id, c.up, c.island, p.p, greatest(lo, 1 + (p.p[hi] > least(200, 1000 - lens[hi + 1]))::BIGINT + len(list_filter(p.p, lambda x: x < p.p[hi] - least(200, 1000 - lens[hi + 1])))) AS lo FROM c JOIN p USING (doc_id, up, island) WHERE hi < len(lens))),
-chunks AS (SELECT doc_id, list_append(up, first + lo - 1) AS place, regexp_replace(substr(s, (CASE WHEN lo > 1 THEN p[lo - 1] ELSE 0 END)::INT + 1, (p[hi] - CASE WHEN lo > 1 THEN p[lo - 1] ELSE 0 END)::INT), '^\\s+|\\s+$', '', 'g') AS chunk FROM c JOIN p USING (doc_id, up, island))"""
+chunks AS (SELECT doc_id, list_append(up, first + lo - 1) AS place, regexp_replace(substr(s, (CASE WHEN lo > 1 THEN p[lo - 1] ELSE 0 END)::INT + 1, (p[hi] - CASE WHEN lo > 1 THEN p[lo - 1] ELSE 0 END)::INT), '^\s+|\s+$', '', 'g') AS chunk FROM c JOIN p USING (doc_id, up, island))"""
 
 
-@query(f"WITH RECURSIVE {_CHUNKS} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1)::INT AS chunk_index, chunk FROM chunks WHERE chunk <> ''")
+def chunks_sql(source: str = "documents") -> str:
+    """CTEs up to ``chunks`` of a table (doc_id, text)."""
+    return _CHUNKS.replace("FROM documents", f"FROM {source}", 1)
+
+
+@query(f"WITH RECURSIVE {chunks_sql()} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1)::INT AS chunk_index, chunk FROM chunks WHERE chunk <> ''")
 def prj05_chunks(spark, sf):  # noqa: ANN001, ANN201
     return chunks.chunked(docs(spark, sf).select("doc_id", "text"))
 
@@ -485,7 +490,7 @@ def fn22_model_slug(spark, sf):  # noqa: ANN001, ANN201
 # --- statistics of the corpus -------------------------------------------------------------------------------------------
 
 
-@query(f"WITH RECURSIVE {_CHUNKS}, n AS (SELECT doc_id, count(*) AS n FROM chunks WHERE chunk <> '' GROUP BY doc_id) SELECT source AS kb, count(DISTINCT doc_id) AS file_count, coalesce(sum(n), 0)::BIGINT AS chunk_count, sum(strlen(text))::BIGINT AS bytes, max(doc_id) AS last_updated FROM documents LEFT JOIN n USING (doc_id) GROUP BY source")
+@query(f"WITH RECURSIVE {chunks_sql()}, n AS (SELECT doc_id, count(*) AS n FROM chunks WHERE chunk <> '' GROUP BY doc_id) SELECT source AS kb, count(DISTINCT doc_id) AS file_count, coalesce(sum(n), 0)::BIGINT AS chunk_count, sum(strlen(text))::BIGINT AS bytes, max(doc_id) AS last_updated FROM documents LEFT JOIN n USING (doc_id) GROUP BY source")
 def agg01_kb_stats(spark, sf):  # noqa: ANN001, ANN201
     """Files, chunks and bytes of each shelf; the chunks are those of the chunker."""
     files_ = docs(spark, sf).groupBy("source").agg(F.countDistinct("doc_id").alias("file_count"), F.sum(F.octet_length("text")).alias("bytes"), F.max("doc_id").alias("last_updated"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Where tables of the library go if the session names no shared folder (one machine).
 LOCAL_TABLES = "/tmp/checkpoints"
@@ -25,3 +26,8 @@ def shared_folder(spark: SparkSession) -> str:
     if not path and spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("spark.checkpoint.dir names no folder; executors need one that they share")
     return (path or LOCAL_TABLES).rstrip("/")
+
+
+def stable_name(spark: SparkSession, *parts: str) -> str:
+    """A name for a folder that stands for ``parts``."""
+    return spark.range(1).select(F.sha2(F.lit("\n".join(parts)), 256)).first()[0]
