@@ -43,6 +43,16 @@ def bm25_tokens(text: Column) -> Column:
     return tokens(text)
 
 
+def compatible(text: Column) -> Column:
+    """The compatibility form (NFKC) of a text; rows that are ASCII are passed on."""
+
+    @F.pandas_udf("string")
+    def form(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t), na_action=None)
+
+    return F.when(text.rlike(r"^[\x00-\x7F]*$"), text).otherwise(form(text))
+
+
 def mmr_tokens(text: Column) -> Column:
     """Distinct lower-case ASCII tokens of three characters or more."""
     return F.array_distinct(F.filter(F.split(F.lower(text), r"[^a-z0-9_]+"), lambda w: F.length(w) >= 3))

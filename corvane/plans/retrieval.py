@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import safety, text
-from corvane.operators import dense, fusion, lexical
+from corvane.operators import dense, fusion, lexical, recall
 from corvane.operators.index import index_of
 from corvane.runtime import table
 
@@ -43,14 +43,14 @@ def bm25_run(spark, sf, k: int = K, kb: bool = False) -> DataFrame:  # noqa: ANN
 TOKENS = r"regexp_extract_all(lower(regexp_replace(text, '([a-z0-9])([A-Z])', '\1 \2', 'g')), '[\p{L}\p{N}]+')"
 
 
-def bm25_sql(k: int = K, kb: str = "'all'", unit: str = "doc_id", source: str = "documents", keys: str = "query_id", p: str = "", tokens: str = TOKENS) -> str:
+def bm25_sql(k: int = K, kb: str = "'all'", unit: str = "doc_id", source: str = "documents", keys: str = "query_id", p: str = "", tokens: str = TOKENS, asked: str = "benchmark") -> str:
     """CTEs up to ``bm25`` (query_id, kb, id, score, rank), their names with a prefix ``p``."""
     return rf"""{p}d AS (SELECT {kb} AS kb, {unit} AS id, {tokens} AS tokens FROM {source}),
 {p}st AS (SELECT kb, count(*) AS n, greatest(avg(len(tokens)), 1) AS avgdl FROM {p}d GROUP BY kb),
 {p}tf AS (SELECT kb, id, len(tokens) AS dl, unnest(tokens) AS term FROM {p}d),
 {p}po AS (SELECT kb, id, dl, term, count(*) AS tf FROM {p}tf GROUP BY ALL),
 {p}df AS (SELECT kb, term, count(*) AS df FROM {p}po GROUP BY ALL),
-{p}qt AS (SELECT item_id AS query_id, unnest({TOKENS}) AS term FROM benchmark),
+{p}qt AS (SELECT item_id AS query_id, unnest({TOKENS}) AS term FROM {asked}),
 {p}qf AS (SELECT query_id, term, count(*) AS qtf FROM {p}qt GROUP BY ALL),
 {p}sc AS (SELECT query_id, po.kb, po.id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
        FROM {p}po po JOIN {p}df USING (kb, term) JOIN {p}st USING (kb) JOIN {p}qf USING (term) GROUP BY query_id, po.kb, po.id),
@@ -228,12 +228,12 @@ def _sources(spark, sf):  # noqa: ANN001, ANN202
     return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "source", "text")
 
 
-@query(f"""WITH {bm25_sql(40)}, c AS (SELECT b.*, source, substr(lower(text), 1, 800) AS f FROM bm25 b JOIN documents ON doc_id = id),
+@query(f"""WITH {bm25_sql(40)}, c AS (SELECT b.*, source, substr(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), 1, 800) AS f FROM bm25 b JOIN documents ON doc_id = id),
 u AS (SELECT *, row_number() OVER (PARTITION BY query_id, source, f ORDER BY rank) AS copy FROM c)
 SELECT query_id, id, source, score, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM u WHERE copy = 1""")
 def ret13_duplicate_collapse(spark, sf):  # noqa: ANN001, ANN201
     """High-recall filter, first rule: of equal fingerprints (source and start of the text) the best-ranked stays."""
-    hits = bm25_run(spark, sf, 40).join(_sources(spark, sf), "id").withColumn("f", F.sha1(F.substring(F.lower("text"), 1, 800).cast("binary")))
+    hits = bm25_run(spark, sf, 40).join(_sources(spark, sf), "id").withColumn("f", F.sha1(F.substring(text.one_line(F.lower(text.compatible(F.col("text")))), 1, 800).cast("binary")))
     copy = F.row_number().over(Window.partitionBy("query_id", "source", "f").orderBy("rank"))
     kept = hits.withColumn("copy", copy).filter("copy = 1")
     return kept.select("query_id", "id", "source", "score", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")).alias("rank"))
@@ -252,6 +252,70 @@ def ret13_source_cap(spark, sf):  # noqa: ANN001, ANN201
     return hits.withColumn("nth", nth).filter((F.col("nth") <= 3) | (F.col("rank") <= K)).select("query_id", "id", "source", "rank")
 
 
+_ANCHORS = r"list_distinct(list_filter(list_transform(regexp_extract_all({0}, '[\p{{L}}\p{{N}}_./:@+-]+'), lambda w: lower(w)), lambda w: length(w) >= 3 AND regexp_matches(w, '[\p{{L}}\p{{N}}]') AND w NOT IN (" + ", ".join(f"'{w}'" for w in text.ANCHOR_STOP_WORDS) + ")))"
+
+
+@query(rf"""WITH turns AS (SELECT conv_id || '#' || turn AS id, conv_id::VARCHAR AS source, turn, text FROM conversations), {bm25_sql(40, unit='id', source='turns')},
+h AS (SELECT b.query_id, b.id, b.rank, t.source, t.turn, t.text, b.rank <= 4 AS lexical, array_to_string(string_split(q.text, ' ')[3:4], ' ') AS query FROM bm25 b JOIN turns t ON t.id = b.id JOIN benchmark q ON q.item_id = b.query_id),
+u AS (SELECT *, row_number() OVER (PARTITION BY query_id, source, substr(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), 1, 800) ORDER BY rank) > 1 AS copy FROM h),
+p AS (SELECT *, sum((NOT copy)::INT) OVER (PARTITION BY query_id ORDER BY rank) AS place, sum((NOT copy)::INT) OVER (PARTITION BY query_id, source ORDER BY rank) AS nth, {_ANCHORS.format('query')} AS anchors FROM u),
+s AS (SELECT *, NOT copy AND (place <= 10 OR nth <= 3) AS stays FROM p), a AS (SELECT *, stays AND (lexical OR len(list_filter(anchors, lambda x: contains(lower(text || ' ' || source), x))) > 0) AS anchored FROM s),
+n AS (SELECT *, len(anchors) > 0 AND stays AND NOT anchored AND EXISTS (SELECT 1 FROM a b WHERE b.query_id = a.query_id AND b.source = a.source AND b.anchored AND abs(b.turn - a.turn) = 1) AS near FROM a),
+r AS (SELECT *, len(anchors) > 0 AND count(*) FILTER (anchored OR near) OVER (PARTITION BY query_id) < least(10, count(*) FILTER (stays) OVER (PARTITION BY query_id)) AS relaxed FROM n)
+SELECT query_id, id, rank, CASE WHEN copy THEN 'duplicate_collapse' WHEN NOT stays THEN 'source_diversity_cap' WHEN len(anchors) > 0 AND NOT relaxed AND NOT anchored AND NOT near THEN 'anchor_filter' END AS reason, near AND NOT relaxed AS neighbour, relaxed FROM r""")
+def ret13_high_recall(spark, sf):  # noqa: ANN001, ANN201
+    """All three rules over turns of conversations: a pool of forty recalled by an item's whole text, of which four count as lexical hits; two of its words are what is asked."""
+    turns = table(spark, sf, "conversations").select(F.concat_ws("#", "conv_id", "turn").alias("id"), F.col("conv_id").cast("string").alias("source"), F.col("turn").alias("chunk_index"), "text")
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 3, 2), " ").alias("query"))
+    pool = lexical.search(turns, "id", "text", table(spark, sf, "benchmark"), "item_id", "text", 40).select("query_id", "id", "rank", (F.col("rank") <= 4).alias("lexical"))
+    return recall.high_recall(pool.join(turns, "id").join(asked, "query_id"), K)
+
+
+_ASPECTS = r"""list_filter(list_transform(regexp_split_to_array(plain, '(?i)\s+(?:and|then|while|where|which|who|that|because|before|after)\s+'), lambda x: regexp_replace(trim(x), '^[,;: -]+|[,;: -]+$', '', 'g')), lambda x: x <> '')"""
+_ONCE = "list_filter({0}, lambda x, i: x <> '' AND list_position(list_transform({0}, lambda y: lower(y)), lower(x)) = i)"
+_PLANNED = rf"""asks AS (SELECT item_id, text, trim(regexp_replace(text, '\s+', ' ', 'g')) AS plain FROM questions), asp0 AS (SELECT *, regexp_replace(plain, '^[,;: -]+|[,;: -]+$', '', 'g') AS whole, {_ASPECTS} AS parts FROM asks),
+asp AS (SELECT *, list_concat(CASE WHEN len(parts) > 1 THEN parts ELSE [whole] END, CASE WHEN regexp_matches(plain, '(?i)\bbetween\s+(.+?)\s+and\s+(.+?)(?:[?.]|$)') THEN list_transform([1, 2], lambda g: regexp_replace(trim(CASE g WHEN 1 THEN regexp_extract(plain, '(?i)\bbetween\s+(.+?)\s+and\s+(.+?)(?:[?.]|$)', 1) ELSE regexp_extract(plain, '(?i)\bbetween\s+(.+?)\s+and\s+(.+?)(?:[?.]|$)', 2) END), '^[,;: -]+|[,;: -]+$', '', 'g')) ELSE [] END) AS raw FROM asp0),
+planned AS (SELECT item_id, {_ONCE.format('raw')} AS aspects, {_ONCE.format('list_concat([whole], raw)')} AS every FROM asp), subs AS (SELECT item_id AS query_id, i - 1 AS part, every[i] AS subquery, least(4, len(every)) AS parts, len(aspects) AS asked FROM planned, range(1, 5) r(i) WHERE i <= len(every))"""
+#: Questions: every third item asks for what lies between two of its words, too.
+_QUESTIONS = r"questions AS (SELECT item_id, CASE WHEN length(text) % 3 = 0 THEN text || ' between ' || string_split(text, ' ')[2] || ' and ' || string_split(text, ' ')[5] || '?' WHEN length(text) % 7 = 0 THEN text || ' and ' || 'unheardofword' ELSE text END AS text FROM benchmark)"
+
+
+def _questions(spark, sf):  # noqa: ANN001, ANN202
+    words = F.split("text", " ")
+    between = F.concat(F.lit(" between "), F.get(words, F.lit(1)), F.lit(" and "), F.get(words, F.lit(4)), F.lit("?"))
+    asked = F.when(F.length("text") % 3 == 0, F.concat("text", between)).when(F.length("text") % 7 == 0, F.concat("text", F.lit(" and unheardofword"))).otherwise(F.col("text"))
+    return table(spark, sf, "benchmark").select("item_id", asked.alias("text"))
+
+
+@query(f"WITH {_QUESTIONS}, {_PLANNED} SELECT query_id, part, subquery, parts, asked FROM subs")
+def ret16_subqueries(spark, sf):  # noqa: ANN001, ANN201
+    """A question and its aspects, each once, four at most."""
+    return recall.subqueries(_questions(spark, sf), "item_id", "text")
+
+
+@query(f"""WITH {_QUESTIONS}, {_PLANNED}, asked AS (SELECT query_id * 10 + part AS item_id, subquery AS text FROM subs), {bm25_sql(24, asked='asked')},
+hits AS (SELECT query_id // 10 AS query_id, query_id % 10 AS part, b.rank, b.id, lower(text) AS text FROM bm25 b JOIN documents ON doc_id = b.id),
+found AS (SELECT s.*, coalesce(n, 0) AS n, ceil(24 / s.parts)::INT AS share FROM subs s LEFT JOIN (SELECT query_id, part, count(*) AS n FROM hits GROUP BY ALL) USING (query_id, part)),
+spent AS (SELECT *, coalesce(sum(least(n, share)) OVER (PARTITION BY query_id ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM found),
+budget AS (SELECT *, least(share, 24 - before) AS room, before + least(n, share) >= 24 AS is_full FROM spent WHERE before < 24),
+evidence AS (SELECT h.* FROM hits h JOIN budget b ON b.query_id = h.query_id AND b.part = h.part AND h.rank <= b.room),
+wanted AS (SELECT item_id AS query_id, i AS aspect, {_ANCHORS.format('aspects[i]')} AS anchors FROM planned, range(1, 200) r(i) WHERE i <= len(aspects)),
+met AS (SELECT w.query_id, aspect, min(CASE WHEN text IS NOT NULL AND (len(anchors) = 0 OR len(list_filter(anchors, lambda x: contains(text, x))) > 0) THEN part END) AS first FROM wanted w LEFT JOIN evidence e ON e.query_id = w.query_id GROUP BY ALL),
+enough AS (SELECT query_id, CASE WHEN count(first) = count(*) THEN max(first) END AS enough FROM met GROUP BY query_id),
+ended AS (SELECT query_id, coalesce(enough, last) AS until, CASE WHEN enough IS NOT NULL THEN 'sufficient' WHEN is_full THEN 'max_total_candidates' WHEN parts >= 4 AND last < asked THEN 'max_subqueries' ELSE 'exhausted_subqueries' END AS stop
+  FROM (SELECT query_id, max(part) AS last, bool_or(is_full) AS is_full, max(parts) AS parts, max(asked) AS asked FROM budget GROUP BY query_id) LEFT JOIN enough USING (query_id)),
+pieces AS (SELECT e.query_id, id, until, stop, count(*) AS times, min((part, rank)) AS first FROM evidence e JOIN ended USING (query_id) WHERE part <= until GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY (first[1] = 0 AND times = 1), times DESC, first[1], first[2]) AS rank FROM pieces)
+SELECT query_id, id, times, first[1] AS first_part, rank, until + 1 AS iterations, stop FROM ranked WHERE rank <= 10""")
+def ret16_gathered(spark, sf):  # noqa: ANN001, ANN201
+    """Questions asked part by part, 24 candidates for all parts of one: evidence that several parts found first."""
+    asked = _questions(spark, sf)
+    parts = recall.subqueries(asked, "item_id", "text")
+    found = index_of(spark, sf, "documents", "doc_id", "text", "source").search(parts.withColumn("asks", F.col("query_id") * 10 + F.col("part")), "asks", "subquery", 24)
+    hits = found.select(F.floor(F.col("query_id") / 10).alias("query_id"), (F.col("query_id") % 10).cast("int").alias("part"), "rank", "id").join(_sources(spark, sf).select("id", "text"), "id")
+    return recall.gathered(asked, "item_id", "text", parts, hits, K, 24)
+
+
 @query()
 def ret14_diverse(spark, sf):  # noqa: ANN001, ANN201
     n = min(max(4 * K, 20), 100)
