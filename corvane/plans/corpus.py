@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import safety, text
@@ -621,10 +623,15 @@ def ext07_explode_gold(spark, sf):  # noqa: ANN001, ANN201
     return g.groupBy("q", "gold").agg(F.count("*").alias("n")).join(known, "gold", "left").select("q", "gold", "n", F.coalesce("present", F.lit(False)).alias("present"))
 
 
-@query("SELECT size, overlap, mode FROM (VALUES (500), (1000), (2000)) s(size), (VALUES (5), (10)) o(overlap), (VALUES ('lexical'), ('dense')) m(mode)")
+GRID = ((500, 100), (1000, 200), (2000, 0))
+
+
+@query(" UNION ALL ".join(f"SELECT {size} AS size, {overlap} AS overlap, count(*) AS chunks, sum(length(chunk))::BIGINT AS chars, max(length(chunk)) AS longest FROM (WITH RECURSIVE {chunks_sql().replace('1000', str(size)).replace('200,', f'{overlap},')} SELECT chunk FROM chunks WHERE chunk <> '')" for size, overlap in GRID))
 def ext09_grid(spark, sf):  # noqa: ANN001, ANN201
-    one = lambda xs, c: F.explode(F.array(*map(F.lit, xs))).alias(c)
-    return spark.range(1).select(one((500, 1000, 2000), "size")).select("size", one((5, 10), "overlap")).select("size", "overlap", one(("lexical", "dense"), "mode"))
+    """A sweep of chunk sizes and overlaps: what each cell of the grid makes of the documents."""
+    sizes = F.count("*").alias("chunks"), F.sum(F.length("chunk")).alias("chars"), F.max(F.length("chunk")).cast("long").alias("longest")
+    cells = [chunks.chunked(docs(spark, sf).select("text"), size=size, overlap=overlap).agg(*sizes).select(F.lit(size).alias("size"), F.lit(overlap).alias("overlap"), "chunks", "chars", "longest") for size, overlap in GRID]
+    return reduce(DataFrame.unionByName, cells)
 
 
 @query("WITH c AS (SELECT conv_id, turn, role || '/' || (turn % 3) AS path FROM conversations) SELECT conv_id, path, string_agg(turn::VARCHAR, ',' ORDER BY turn) AS chunks FROM c GROUP BY ALL")

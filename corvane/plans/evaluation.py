@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -158,11 +160,19 @@ def sta03_bootstrap(spark, sf, rounds: int = 2000):  # noqa: ANN001, ANN201
     return means.agg(F.round(F.percentile("m", 0.025), 6).alias("low"), F.round(F.percentile("m", 0.975), 6).alias("high"), F.count("*").alias("rounds"))
 
 
-@query(f"WITH {PAIRED}, c AS (SELECT query_id % 5 AS cluster, sum(d - (SELECT avg(d) FROM d)) AS s FROM d GROUP BY ALL) SELECT count(*) AS clusters, round(sqrt(sum(s * s)) / (SELECT count(*) FROM d), 6) AS se FROM c")
+#: Pairs with the label of their query, which stands for its domain: queries of one label share their relevant rows.
+CLUSTERED = f"{PAIRED}, k AS (SELECT query_id, d, label AS cluster FROM d JOIN embeddings ON vec_id = query_id)"
+
+
+def clustered(spark, sf) -> DataFrame:  # noqa: ANN001
+    return _paired(spark, sf).join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("label").alias("cluster")), "query_id")
+
+
+@query(f"WITH {CLUSTERED}, c AS (SELECT cluster, sum(d - (SELECT avg(d) FROM d)) AS s FROM k GROUP BY ALL) SELECT count(*) AS clusters, round(sqrt(sum(s * s)) / (SELECT count(*) FROM d), 6) AS se FROM c")
 def sta04_cluster_se(spark, sf):  # noqa: ANN001, ANN201
-    d = _paired(spark, sf)
-    whole = d.agg(F.avg("d").alias("mean"), F.count("*").alias("n"))
-    c = d.crossJoin(F.broadcast(whole)).groupBy((F.col("query_id") % 5).alias("cluster"), "n").agg(F.sum(F.col("d") - F.col("mean")).alias("s"))
+    d = clustered(spark, sf)
+    whole = d.agg(F.avg("d").alias("mean"), F.count("*").alias("n"))  # one row
+    c = d.crossJoin(F.broadcast(whole)).groupBy("cluster", "n").agg(F.sum(F.col("d") - F.col("mean")).alias("s"))
     return c.groupBy("n").agg(F.count("*").alias("clusters"), F.sum(F.col("s") * F.col("s")).alias("ss")).select("clusters", F.round(F.sqrt("ss") / F.col("n"), 6).alias("se"))
 
 
@@ -280,10 +290,26 @@ def agg21_budget_diff(spark, sf):  # noqa: ANN001, ANN201
     return d.select("id", F.when((F.col("a") > 0.3) & (F.col("r") > 0.3), "fail").when((F.col("a") > 0.2) & (F.col("r") > 0.2), "warn").otherwise("pass").alias("verdict"))
 
 
-@query(f"WITH {RUNS}, d AS (SELECT query_id % 5 AS id, avg(mb.ndcg_10 - ma.ndcg_10) AS delta, min(mb.r_10) AS worst FROM ma JOIN mb USING (query_id) GROUP BY ALL) SELECT id, round(delta, 6) AS delta, worst >= 0.02 AND delta >= -0.05 AS promoted, row_number() OVER (ORDER BY round(delta, 6) DESC, id) AS place FROM d")
+#: Candidates are models of fewer dimensions; a domain that loses more than the budget fails, and so many may.
+ARMS, DOMAIN_LOSS, MOST_FAILS, LEAST_GAIN = (48, 40, 32, 24, 16, 8), 0.04, 2, -0.005
+_ARMS_SQL = ", ".join(f"{knn_sql(f'r{d}', 100, d)}, {beir_sql(f'r{d}', f'm{d}')}" for d in ARMS)
+
+
+@query(f"""WITH {QRELS}, {knn_sql('ra', 100)}, {beir_sql('ra', 'ma')}, {_ARMS_SQL}, x AS ({' UNION ALL '.join(f"SELECT {d} AS arm, query_id, ndcg_10 AS c FROM m{d}" for d in ARMS)}),
+g AS (SELECT arm, label, sum(c - ndcg_10) AS s, count(*) AS n FROM x JOIN ma USING (query_id) JOIN embeddings ON vec_id = query_id GROUP BY ALL),
+c AS (SELECT arm, round(sum(s) / sum(n), 6) AS improvement, count(*) FILTER (round(s / n, 9) < {-DOMAIN_LOSS}) AS fails FROM g GROUP BY arm), q AS (SELECT *, fails <= {MOST_FAILS} AND improvement >= {LEAST_GAIN} AS qualifies FROM c)
+SELECT arm, improvement, fails, qualifies, CASE WHEN fails > {MOST_FAILS} THEN 'budget' WHEN improvement < {LEAST_GAIN} THEN 'objective' END AS reason, qualifies AND row_number() OVER (PARTITION BY qualifies ORDER BY improvement DESC, arm) = 1 AS promoted FROM q""")
 def ext06_promotion(spark, sf):  # noqa: ANN001, ANN201
-    d = _beir(spark, sf).join(_beir(spark, sf, 32).select("query_id", F.col("ndcg_10").alias("c"), F.col("r_10").alias("rc")), "query_id").groupBy((F.col("query_id") % 5).alias("id")).agg(F.avg(F.col("c") - F.col("ndcg_10")).alias("delta"), F.min("rc").alias("worst"))
-    return d.select("id", F.round("delta", 6).alias("delta"), ((F.col("worst") >= 0.02) & (F.col("delta") >= -0.05)).alias("promoted")).withColumn("place", F.row_number().over(Window.orderBy(F.desc("delta"), "id")))
+    """The candidate that gains most among those that keep their domains within budget is promoted; where none qualifies the champion stays."""
+    champion = _beir(spark, sf).select("query_id", "ndcg_10").join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), "label"), "query_id")
+    runs = [_beir(spark, sf, d).select("query_id", F.col("ndcg_10").alias("c"), F.lit(d).alias("arm")) for d in ARMS]
+    both = reduce(DataFrame.unionByName, runs).join(champion, "query_id")
+    domains = both.groupBy("arm", "label").agg(F.sum(F.col("c") - F.col("ndcg_10")).alias("s"), F.count("*").alias("n"))
+    arms = domains.groupBy("arm").agg(F.round(F.sum("s") / F.sum("n"), 6).alias("improvement"), F.count_if(F.round(F.col("s") / F.col("n"), 9) < -DOMAIN_LOSS).alias("fails"))
+    arms = arms.withColumn("qualifies", (F.col("fails") <= MOST_FAILS) & (F.col("improvement") >= LEAST_GAIN))
+    reason = F.when(F.col("fails") > MOST_FAILS, "budget").when(F.col("improvement") < LEAST_GAIN, "objective")
+    first = F.row_number().over(Window.partitionBy("qualifies").orderBy(F.desc("improvement"), "arm")) == 1
+    return arms.select("arm", "improvement", "fails", "qualifies", reason.alias("reason"), (F.col("qualifies") & first).alias("promoted"))
 
 
 # --- answers ----------------------------------------------------------------------------------------------------------
@@ -291,14 +317,15 @@ def ext06_promotion(spark, sf):  # noqa: ANN001, ANN201
 NORMAL = r"list_filter(regexp_split_to_array(regexp_replace(lower({0}), '[^a-z0-9\s]', ' ', 'g'), '\s+'), lambda w: w <> '' AND w NOT IN ('a', 'an', 'the'))"
 
 
-@query(rf"""WITH a AS (SELECT conv_id, turn, {NORMAL.format('text')} AS t FROM conversations WHERE turn < 2), p AS (SELECT x.conv_id, x.t AS a, y.t AS b FROM a x JOIN a y ON x.conv_id = y.conv_id AND x.turn = 0 AND y.turn = 1),
-c AS (SELECT conv_id, a, b, list_sum(list_transform(list_distinct(a), lambda w: least(len(list_filter(a, lambda x: x = w)), len(list_filter(b, lambda x: x = w))))) AS common FROM p)
-SELECT conv_id, array_to_string(a, ' ') = array_to_string(b, ' ') AS exact, round(CASE WHEN len(a) = 0 AND len(b) = 0 THEN 1 WHEN coalesce(common, 0) = 0 THEN 0 ELSE 2.0 * common / (len(a) + len(b)) END, 6) AS f1 FROM c""")
+@query(rf"""WITH a AS (SELECT conv_id, turn, {NORMAL.format('text')} AS t FROM conversations), p AS (SELECT x.conv_id, x.turn, x.t AS a, y.t AS b FROM a x JOIN a y ON x.conv_id = y.conv_id AND y.turn = x.turn + 1),
+c AS (SELECT conv_id, turn, a, b, list_sum(list_transform(list_distinct(a), lambda w: least(len(list_filter(a, lambda x: x = w)), len(list_filter(b, lambda x: x = w))))) AS common FROM p)
+SELECT conv_id, turn, array_to_string(a, ' ') = array_to_string(b, ' ') AS exact, round(CASE WHEN len(a) = 0 AND len(b) = 0 THEN 1 WHEN coalesce(common, 0) = 0 THEN 0 ELSE 2.0 * common / (len(a) + len(b)) END, 6) AS f1 FROM c""")
 def met13_exact_and_f1(spark, sf):  # noqa: ANN001, ANN201
-    t = table(spark, sf, "conversations").filter("turn < 2").select("conv_id", "turn", text.normal_answer(F.col("text")).alias("t"))
-    p = t.filter("turn = 0").select("conv_id", F.col("t").alias("a")).join(t.filter("turn = 1").select("conv_id", F.col("t").alias("b")), "conv_id")
+    """Every turn against the one after it, as gold and prediction."""
+    t = table(spark, sf, "conversations").select("conv_id", "turn", text.normal_answer(F.col("text")).alias("t"))
+    p = t.withColumnRenamed("t", "a").join(t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("t").alias("b")), ["conv_id", "turn"])
     words = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
-    return p.select("conv_id", (F.col("a") == F.col("b")).alias("exact"), F.round(text.token_f1(words("a"), words("b")), 6).alias("f1"))
+    return p.select("conv_id", "turn", (F.col("a") == F.col("b")).alias("exact"), F.round(text.token_f1(words("a"), words("b")), 6).alias("f1"))
 
 
 @query(r"SELECT conv_id, turn, len(list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.!?])\s+', '\1' || chr(10), 'g'), '\n+'), lambda c: trim(c)), lambda c: c <> '')) AS claims FROM conversations")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corvane.functions import text
 from corvane.operators import lexical, metrics
 from corvane.plans.corpus import frontmatter
-from corvane.plans.evaluation import QRELS, beir_sql, qrels
+from corvane.plans.evaluation import CLUSTERED, QRELS, beir_sql, clustered, qrels
 from corvane.plans.retrieval import TOKENS, bm25_run, bm25_sql, dense_run, knn_sql
 from corvane.runtime import table
 
@@ -101,12 +101,14 @@ def met12_case_checks(spark, sf):  # noqa: ANN001, ANN201
     return c.select("query_id", F.col("required").alias("has_required"), (~F.col("forbidden")).alias("no_forbidden"), within.alias("within_budget"), (F.col("required") & ~F.col("forbidden") & within).alias("passed"))
 
 
-@query("WITH d AS (SELECT o_orderpriority AS domain, avg(o_totalprice) / 300000 AS delta, count(*) AS n, stddev_samp(o_totalprice) / 300000 / sqrt(count(*)) AS se FROM orders GROUP BY ALL) SELECT domain, round(delta, 6) AS delta, CASE WHEN delta - 1.96 * se > 0.5 THEN 'enable' ELSE 'skip' END AS decision FROM d")
+@query(f"""WITH {CLUSTERED}, g AS (SELECT cluster AS domain, avg(d) AS delta, count(*) AS n, 1.96::DOUBLE * stddev_samp(d) / sqrt(count(*)) AS half FROM k GROUP BY ALL)
+SELECT domain, n, round(delta, 6) AS delta, CASE WHEN round(delta - half, 9) > 0 THEN 'enable' WHEN round(delta + half, 9) < 0 THEN 'disable' ELSE 'hold' END AS decision FROM g""")
 def ext05_rollout(spark, sf):  # noqa: ANN001, ANN201
-    """Enable a domain where the lower end of its interval is beyond the bar."""
-    p = F.col("o_totalprice") / 300000
-    d = table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("domain")).agg(F.avg(p).alias("delta"), (F.stddev_samp(p) / F.sqrt(F.count("*"))).alias("se"))
-    return d.select("domain", F.round("delta", 6).alias("delta"), F.when(F.col("delta") - 1.96 * F.col("se") > 0.5, "enable").otherwise("skip").alias("decision"))
+    """A model is enabled in a domain where its whole interval is a gain, disabled where it is a loss; all else, and a domain of one query, waits."""
+    half = 1.96 * F.stddev_samp("d") / F.sqrt(F.count("*"))
+    g = clustered(spark, sf).groupBy(F.col("cluster").alias("domain")).agg(F.count("*").alias("n"), F.avg("d").alias("delta"), half.alias("half"))
+    decision = F.when(F.round(F.col("delta") - F.col("half"), 9) > 0, "enable").when(F.round(F.col("delta") + F.col("half"), 9) < 0, "disable").otherwise("hold")
+    return g.select("domain", "n", F.round("delta", 6).alias("delta"), decision.alias("decision"))
 
 
 @query(f"""WITH {knn_sql('r', 40)}, v AS (SELECT size, query_id, id, rank, round(score + (('0x' || left(md5(query_id || ':' || id), 8))::BIGINT / 4294967296.0::DOUBLE - 0.5) * size, 9) AS s FROM r, (VALUES (0.0::DOUBLE), (0.1), (0.4)) z(size)),
@@ -224,9 +226,12 @@ def str03_incremental_plan(spark, sf):  # noqa: ANN001, ANN201
     return j.filter("action is not null").select("doc_id", "action")
 
 
-@query(f"""WITH {knn_sql('r')}, e AS (SELECT query_id, count(*) AS n, count(*) FILTER (score <= 1.6) AS near FROM r GROUP BY query_id) SELECT query_id, n, near, CASE WHEN near = 0 THEN 'clear' WHEN near < n THEN 'trim' ELSE 'keep' END AS action FROM e""")
+@query(f"""WITH {knn_sql('r')}, f AS (SELECT quantile_disc(score, 0.3) AS floor FROM r), e AS (SELECT query_id, count(*) AS n, count(*) FILTER (score <= floor) AS near FROM r, f GROUP BY query_id) SELECT query_id, n, near, CASE WHEN near = 0 THEN 'clear' WHEN near < n THEN 'trim' ELSE 'keep' END AS action FROM e""")
 def cmd11_gate_actions(spark, sf):  # noqa: ANN001, ANN201
-    e = dense_run(spark, sf).groupBy("query_id").agg(F.count("*").alias("n"), F.count_if(F.col("score") <= 1.6).alias("near"))
+    """What the gate does to each list: the floor is the distance that three in ten of all hits come below."""
+    run = dense_run(spark, sf)
+    floor = run.agg(F.expr("percentile_disc(0.3) WITHIN GROUP (ORDER BY score)").alias("floor"))  # one row; of ten hits a query
+    e = run.crossJoin(F.broadcast(floor)).groupBy("query_id").agg(F.count("*").alias("n"), F.count_if(F.col("score") <= F.col("floor")).alias("near"))
     return e.withColumn("action", F.when(F.col("near") == 0, "clear").when(F.col("near") < F.col("n"), "trim").otherwise("keep"))
 
 

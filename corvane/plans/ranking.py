@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text
 from corvane.operators import dense, fusion, metrics, plugins
-from corvane.plans.evaluation import PAIRED, RUNS, _beir, _paired
+from corvane.plans.evaluation import CLUSTERED, RUNS, _beir, clustered
 from corvane.plans.retrieval import TEXT_KNN_SQL, _queries, _vectors, bm25_run, bm25_sql, dense_run, knn_sql, ret10_hybrid, ret16_decompose
 from corvane.runtime import table
 
@@ -245,14 +245,14 @@ def sta09_noise_floor(spark, sf):  # noqa: ANN001, ANN201
 RESAMPLES = 999
 
 
-@query(f"""WITH {PAIRED}, c AS (SELECT query_id % 5 AS cluster, count(*) AS m, sum(d - (SELECT avg(d) FROM d)) AS r FROM d GROUP BY ALL), w AS (SELECT (SELECT avg(d) FROM d) AS mean, (SELECT count(*) FROM d) AS n),
+@query(f"""WITH {CLUSTERED}, c AS (SELECT cluster, count(*) AS m, sum(d - (SELECT avg(d) FROM d)) AS r FROM k GROUP BY ALL), w AS (SELECT (SELECT avg(d) FROM d) AS mean, (SELECT count(*) FROM d) AS n),
 o AS (SELECT mean, n, (SELECT sqrt(sum(r * r)) FROM c) / n AS se FROM w), b AS (SELECT b, cluster, m, CASE WHEN left(md5(b || ':' || cluster), 1) < '8' THEN -r ELSE r END AS r FROM c, range(1, {RESAMPLES + 1}) t(b)),
 s AS (SELECT b, sum(r) / (SELECT n FROM w) AS delta FROM b GROUP BY b), t AS (SELECT b, any_value(delta) AS delta, sqrt(sum((r - m * delta) ** 2)) / (SELECT n FROM w) AS se FROM b JOIN s USING (b) GROUP BY b),
 x AS (SELECT count(*) FILTER (round(abs(CASE WHEN t.se < 1e-12 THEN 0 ELSE t.delta / t.se END), 9) >= round(abs(CASE WHEN o.se < 1e-12 THEN 0 ELSE o.mean / o.se END), 9)) AS extreme FROM t, o)
 SELECT (SELECT count(*) FROM c) AS clusters, round(mean, 6) AS mean, round(se, 6) AS se, round(extreme / {RESAMPLES}.0, 6) AS p FROM o, x""")
 def sta04_wild_bootstrap(spark, sf):  # noqa: ANN001, ANN201
     """Wild cluster bootstrap: residuals of whole clusters change sign by a hash; from the clusters' sums alone."""
-    d = _paired(spark, sf).withColumn("cluster", F.col("query_id") % 5)
+    d = clustered(spark, sf)
     whole = d.agg(F.avg("d").alias("mean"), F.count("*").alias("n"))
     c = d.crossJoin(F.broadcast(whole)).groupBy("cluster", "mean", "n").agg(F.count("*").alias("m"), F.sum(F.col("d") - F.col("mean")).alias("r"))
     flipped = F.substring(F.md5(F.concat_ws(":", F.col("b").cast("string"), F.col("cluster").cast("string")).cast("binary")), 1, 1) < "8"
