@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,16 +41,31 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, same: bool = True) -> Da
     scoped = "scope" in queries.columns and "scope" in vectors.columns
     scope = F.col("scope").cast("string") if scoped else F.lit("")
     vectors = vectors.select("id", "v", scope.alias("scope")).filter("scope is not null")
-    rows = [(r.query_id, r.q, r.scope) for r in queries.select("query_id", F.col("q").cast("array<double>").alias("q"), scope.alias("scope")).toLocalIterator()]
-    width = max((len(q) for _, q, _ in rows), default=1)
-    step, found = max(1, QUERY_NUMBERS // width), None
-    for start in range(0, max(1, len(rows)), step):
-        block = rows[start : start + step]
-        part = _block(vectors, np.array([i for i, *_ in block], np.int64), np.array([q for _, q, _ in block], np.float64).reshape(-1, width), np.array([z for *_, z in block], object) if scoped else None, k, same)
+    found = None
+    for ids, q, scopes in _query_blocks(queries.select("query_id", F.col("q").cast("array<double>").alias("q"), scope.alias("scope"))):
+        part = _block(vectors, ids, q, scopes if scoped else None, k, same)
         found = part if found is None else found.unionByName(part)
     return top(found, k, descending=False)
 
 
+def _query_blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids, vectors and scopes of queries, in blocks of ``QUERY_NUMBERS`` numbers at most; an empty one if there are no queries."""
+    held: list = []
+
+    def block() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        width = len(held[0].q) if held else 1
+        return np.array([r.query_id for r in held], np.int64), np.array([r.q for r in held], np.float64).reshape(-1, width), np.array([r.scope for r in held], object)
+
+    some = False
+    for r in queries.toLocalIterator():
+        held.append(r)
+        if len(held) * len(r.q) >= QUERY_NUMBERS:
+            yield block()
+            held, some = [], True
+    if held or not some:
+        yield block()
+
+
 def _block(vectors: DataFrame, ids: np.ndarray, q: np.ndarray, scopes: np.ndarray | None, k: int, same: bool) -> DataFrame:
     shared = vectors.sparkSession.sparkContext.broadcast((ids, q, scopes))
     rows = max(1, min(4_096, QUERY_NUMBERS // max(1, len(ids))))  # vectors in one product
@@ -124,29 +139,77 @@ def hash_embedding(df: DataFrame, text: str, dim: int = 64) -> DataFrame:
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("embedding", T.ArrayType(T.DoubleType()))]))
 
 
-#: Tables and bits of a key of the hashed search.
-TABLES, BITS = 16, 5
+#: Bits of a sketch, the share of the rows that are measured, and how many times k at least.
+BITS, SHARE, LEAST = 512, 0.08, 4
 
 
-def signs(table: int, bit: int, width: int) -> list[int]:
-    """A direction of random signs, the same wherever it is computed."""
-    return [1 if int(hashlib.md5(f"{table}:{bit}:{i}".encode()).hexdigest()[0], 16) < 8 else -1 for i in range(width)]  # noqa: S324
+def directions(bits: int, width: int) -> np.ndarray:
+    """Directions of random signs, the same wherever they are computed."""
+    return np.array([[1 if hashlib.md5(f"{b}:{i}".encode()).hexdigest()[0] < "8" else -1 for i in range(width)] for b in range(bits)], np.float64).reshape(bits, width)  # noqa: S324
 
 
-def keys(v: Column, width: int, tables: int = TABLES, bits: int = BITS) -> Column:
-    """For each table the side of its directions on which a vector lies, as one number."""
-    side = lambda t, b: F.when(F.aggregate(F.zip_with(v, F.array(*map(F.lit, signs(t, b, width))), lambda x, s: x * s), F.lit(0.0), lambda a, x: a + x) >= 0, 1 << b).otherwise(0)
-    return F.array(*[sum((side(t, b) for b in range(1, bits)), side(t, 0)) for t in range(tables)])
+def _sketches(x: np.ndarray, towards: np.ndarray) -> np.ndarray:
+    return np.packbits(x @ towards.T >= 0, axis=1).view(np.uint64)
 
 
-def hashed_knn(queries: DataFrame, vectors: DataFrame, k: int, tables: int = TABLES, bits: int = BITS) -> DataFrame:
-    """``knn`` among the rows that share a key with the query in some table: approximate, without a scan of all pairs.
+def sketched_knn(queries: DataFrame, vectors: DataFrame, k: int, bits: int = BITS, share: float = SHARE) -> DataFrame:
+    """``knn`` among the rows whose sketches (the sides of random directions on which they lie) differ least from the query's: approximate.
 
-    Vectors are met by (table, key), so each bucket is a key of the join; ``bits`` grow with the logarithm of the rows.
+    A first pass counts for each query how many rows differ by how many bits; the second measures the rows up to the number of bits
+    within which ``share`` of all rows lie, where they are. No pairs are exchanged, and results don't depend on partitions.
     """
-    row = queries.select(F.size("q").alias("n")).first()
-    width = row.n if row else 1
-    exploded = lambda df, i, x: df.select(F.col(i), F.col(x).cast("array<double>").alias(x)).select(i, x, F.posexplode(keys(F.col(x), width, tables, bits)).alias("table", "key"))
-    met = exploded(queries, "query_id", "q").select("query_id", "table", "key").join(exploded(vectors, "id", "v").select("id", "table", "key"), ["table", "key"]).filter("id <> query_id").select("query_id", "id").distinct()
-    pairs = met.join(vectors.select("id", "v"), "id").join(queries.select("query_id", "q"), "query_id")
-    return top(pairs.select("query_id", "id", F.round(squared_distance(F.col("v"), F.col("q")), DIGITS).alias("score")), k, descending=False)
+    importable(vectors.sparkSession)
+    spark, rows, found = vectors.sparkSession, vectors.select("id", F.col("v").cast("array<double>").alias("v")).filter("v is not null"), None
+    wanted = max(int(np.ceil(rows.count() * share)), LEAST * k)
+    for ids, q, _ in _query_blocks(queries.select("query_id", F.col("q").cast("array<double>").alias("q"), F.lit("").alias("scope"))):
+        part = _sketch_block(spark, rows, ids, q, k, bits, wanted)
+        found = part if found is None else found.unionByName(part)
+    return top(found, k, descending=False)
+
+
+def _sketch_block(spark, rows: DataFrame, ids: np.ndarray, q: np.ndarray, k: int, bits: int, wanted: int) -> DataFrame:  # noqa: ANN001
+    towards = directions(bits, q.shape[1])
+    shared = spark.sparkContext.broadcast((ids, q, towards, _sketches(q, towards)))  # a block of queries
+
+    def batches_of(batches: Iterable[pa.RecordBatch]):  # noqa: ANN202
+        """Ids and vectors of slices of rows, and how many bits each query's sketch differs by from theirs."""
+        ids, q, towards, own = shared.value
+        step = max(1, min(4_096, QUERY_NUMBERS // max(1, len(ids))))
+        for batch in batches:
+            every = np.asarray(batch.column("id"))
+            vectors = np.asarray(batch.column("v").flatten(), np.float64).reshape(len(every), -1)
+            for at in range(0, len(every), step):
+                x = vectors[at : at + step]
+                sketch = _sketches(x, towards)
+                yield every[at : at + step], x, sum(np.bitwise_count(own[:, None, w] ^ sketch[None, :, w]).astype(np.int32) for w in range(own.shape[1]))
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = len(shared.value[0])
+        sums = np.zeros((n, bits + 1), np.int64)
+        for every, _, apart in batches_of(batches) if n else ():
+            apart = np.where(shared.value[0][:, None] == every, bits, apart)
+            sums += np.bincount((np.arange(n)[:, None] * (bits + 1) + apart).ravel(), minlength=sums.size).reshape(sums.shape)
+        at = np.nonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at[0], pa.int32()), pa.array(at[1], pa.int32()), pa.array(sums[at], pa.int64())], names=["q", "apart", "n"])
+
+    sums = rows.mapInArrow(count, "q int, apart int, n long").groupBy("q", "apart").agg(F.sum("n").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("q").orderBy("apart").rowsBetween(Window.unboundedPreceding, -1))
+    limits = np.full(len(ids), -1)
+    for r in sums.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < wanted).groupBy("q").agg(F.max("apart").alias("apart")).collect():  # a number for each query of the block
+        limits[r.q] = r.apart
+    limits_shared = spark.sparkContext.broadcast(limits)
+
+    def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q, *_ = shared.value
+        line, found, scores = (np.zeros(0, t) for t in (np.int64, np.int64, np.float64))
+        for every, x, apart in batches_of(batches) if len(ids) else ():
+            j, i = np.nonzero((apart <= limits_shared.value[:, None]) & (ids[:, None] != every))
+            d = x[i] - q[j]
+            line, found, scores = np.concatenate([line, j]), np.concatenate([found, every[i]]), np.concatenate([scores, np.round((d * d).sum(1), DIGITS)])
+            order = np.lexsort((found, scores, line))
+            line, found, scores = line[order], found[order], scores[order]
+            turn = np.arange(len(line)) - np.searchsorted(line, line)
+            line, found, scores = (z[turn < k] for z in (line, found, scores))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[line], pa.int64()), pa.array(found, pa.int64()), pa.array(scores, pa.float64())], names=["query_id", "id", "score"])
+
+    return rows.mapInArrow(measure, "query_id long, id long, score double")

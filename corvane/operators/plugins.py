@@ -72,7 +72,7 @@ def entail(pairs: DataFrame, model: Callable[[list[str], list[str]], list[float]
 STRATEGIES: dict[str, Callable[[DataFrame, DataFrame, int], DataFrame]] = {
     "exact": dense.knn,
     "quantised": lambda queries, vectors, k: dense.knn(queries, dense.quantised(vectors), k),
-    "hashed": dense.hashed_knn,
+    "sketched": dense.sketched_knn,
 }
 
 
