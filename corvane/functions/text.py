@@ -129,3 +129,28 @@ def duration_seconds(text: Column) -> Column:
     unit = F.regexp_extract(text, r"^(\d+)(ms|s|m|h|d|w)$", 2)
     scale = F.when(unit == "ms", 0.001).when(unit == "s", 1.0).when(unit == "m", 60.0).when(unit == "h", 3600.0).when(unit == "d", 86400.0).when(unit == "w", 604800.0)
     return F.regexp_extract(text, r"^(\d+)(ms|s|m|h|d|w)$", 1).try_cast("double") * scale
+
+
+def glob_pattern(glob: str) -> str:
+    """Regular expression of a path glob: ** crosses folders, * and ? don't; {a,b} are alternatives and [a-c] or [!a-c] classes."""
+    out, i, depth = "", 0, 0
+    while i < len(glob):
+        c, size = glob[i], 1
+        if glob.startswith("**/", i):
+            c, size = "(?:.*/)?", 3
+        elif glob.startswith("**", i):
+            c, size = ".*", 2
+        elif c == "[" and "]" in glob[i + 2 :]:
+            size = glob.index("]", i + 2) - i + 1
+            inside = glob[i + 1 : i + size - 1]
+            c = f"[^{inside[1:]}]" if inside[0] in "!^" else f"[{inside}]"
+        elif c == "{" and "}" in glob[i:]:
+            c, depth = "(?:", depth + 1
+        elif depth and c in ",}":
+            c, depth = ("|", depth) if c == "," else (")", depth - 1)
+        elif c in "*?":
+            c = "[^/]*" if c == "*" else "[^/]"
+        elif not c.isalnum() and c not in "/_-":
+            c = "\\" + c
+        out, i = out + c, i + size
+    return f"^{out}$"

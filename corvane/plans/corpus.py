@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import safety, text
-from corvane.operators import metrics
+from corvane.functions.text import glob_pattern
+from corvane.operators import judgments, metrics
 from corvane.runtime import table
 from corvane.sources import chunks, files
 
@@ -271,31 +272,6 @@ def flt03_extensions(spark, sf):  # noqa: ANN001, ANN201
     return table(spark, sf, "pages").filter(F.lower(F.regexp_extract("url", r"\.([a-zA-Z]+)(?:$|[?#])", 1)).isin("html", "htm")).select("page_id")
 
 
-def glob_pattern(glob: str) -> str:
-    """Regular expression of a path glob: ** crosses folders, * and ? don't; {a,b} are alternatives and [a-c] or [!a-c] classes."""
-    out, i, depth = "", 0, 0
-    while i < len(glob):
-        c, size = glob[i], 1
-        if glob.startswith("**/", i):
-            c, size = "(?:.*/)?", 3
-        elif glob.startswith("**", i):
-            c, size = ".*", 2
-        elif c == "[" and "]" in glob[i + 2 :]:
-            size = glob.index("]", i + 2) - i + 1
-            inside = glob[i + 1 : i + size - 1]
-            c = f"[^{inside[1:]}]" if inside[0] in "!^" else f"[{inside}]"
-        elif c == "{" and "}" in glob[i:]:
-            c, depth = "(?:", depth + 1
-        elif depth and c in ",}":
-            c, depth = ("|", depth) if c == "," else (")", depth - 1)
-        elif c in "*?":
-            c = "[^/]*" if c == "*" else "[^/]"
-        elif not c.isalnum() and c not in "/_-":
-            c = "\\" + c
-        out, i = out + c, i + size
-    return f"^{out}$"
-
-
 @query("SELECT doc_id FROM documents WHERE regexp_matches(source || '/notes/' || doc_id || '.md', '^(?:.*/)?[^/]*7\\.md$')")
 def flt04_glob(spark, sf):  # noqa: ANN001, ANN201
     """Match the whole relative path, or the path without its shelf."""
@@ -575,12 +551,19 @@ def agg18_content_addresses(spark, sf):  # noqa: ANN001, ANN201
     return docs(spark, sf).groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("address")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first"))
 
 
-@query("WITH f AS (SELECT user_id AS source, arg_max(value, value * 1000000 + event_id) FILTER (event_type = 'purchase') AS positive, arg_max(value, event_id) FILTER (event_type = 'error') AS negative FROM events GROUP BY user_id) SELECT source, coalesce(positive, -negative) AS relevance FROM f WHERE positive IS NOT NULL OR negative IS NOT NULL")
+_FEEDBACK = """f AS (SELECT event_id, user_id AS query, json_extract_string(props, '$.k')::BIGINT % 8 AS source, CASE event_type WHEN 'view' THEN 'stale' WHEN 'error' THEN 'irrelevant' WHEN 'signup' THEN 'misleading' ELSE 'relevant' END AS verdict,
+  least(3, floor(value / 10))::INT AS relevance, ts::DATE AS created, [event_type, 'week ' || weekofyear(ts)] AS groups FROM events)"""
+
+
+@query(f"""WITH {_FEEDBACK}, p AS (SELECT *, relevance > 0 AND verdict = 'relevant' AS positive FROM f), s AS (SELECT query, source, bool_or(positive) AS required, max((relevance, created, event_id)) FILTER (positive) AS best, max((created, event_id)) AS latest,
+  list_sort(list_distinct(flatten(list(groups) FILTER (positive)))) AS groups FROM p GROUP BY ALL)
+SELECT query, source, required, CASE WHEN required THEN best[1] END AS relevance, CASE WHEN required THEN best[3] ELSE latest[2] END AS decided_by, CASE WHEN required THEN groups END AS groups FROM s""")
 def agg19_promote_feedback(spark, sf):  # noqa: ANN001, ANN201
-    """Strongest positive verdict of a source, or else its latest negative one."""
-    e = table(spark, sf, "events")
-    f = e.groupBy(F.col("user_id").alias("source")).agg(F.max(F.when(F.col("event_type") == "purchase", F.col("value"))).alias("positive"), F.max_by("value", F.when(F.col("event_type") == "error", F.col("event_id"))).alias("negative"))
-    return f.filter("positive is not null or negative is not null").select("source", F.coalesce("positive", -F.col("negative")).alias("relevance"))
+    """Verdicts on sources of a query (a user's events here) as a fixture: sources that a search must find, with relevance and merged groups, and those it must not."""
+    verdict = F.when(F.col("event_type") == "view", "stale").when(F.col("event_type") == "error", "irrelevant").when(F.col("event_type") == "signup", "misleading").otherwise("relevant")
+    groups = F.array("event_type", F.concat(F.lit("week "), F.weekofyear("ts").cast("string")))
+    e = table(spark, sf, "events").select("event_id", F.col("user_id").alias("query"), (F.get_json_object("props", "$.k").cast("long") % 8).alias("source"), verdict.alias("verdict"), F.least(F.lit(3), F.floor(F.col("value") / 10)).cast("int").alias("relevance"), F.col("ts").cast("date").alias("created"), groups.alias("groups"))
+    return judgments.promoted(e, ["query", "source"], "created", "event_id")
 
 
 @query("SELECT role, round(avg(CASE WHEN length(text) > 400 THEN length(text) END), 6) AS mean_long, count(*) AS n FROM conversations GROUP BY role")

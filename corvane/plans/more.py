@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text
-from corvane.operators import lexical, metrics
+from corvane.operators import judgments, lexical, metrics
 from corvane.plans.corpus import frontmatter
 from corvane.plans.evaluation import CLUSTERED, QRELS, beir_sql, clustered, qrels
 from corvane.plans.retrieval import TOKENS, bm25_run, bm25_sql, dense_run, knn_sql
@@ -39,16 +41,23 @@ def jon05_run_with_judgments(spark, sf):  # noqa: ANN001, ANN201
     return dense_run(spark, sf, 20).join(qrels(spark, sf), ["query_id", "id"], "left").select("query_id", "rank", F.coalesce("relevance", F.lit(0)).alias("relevance"))
 
 
-@query("WITH j AS (SELECT DISTINCT source AS s, CASE WHEN source LIKE '%1' THEN '%/' || source || '/%' ELSE NULL END AS pat FROM documents) SELECT d.doc_id, j.s FROM documents d JOIN j ON d.source = j.s OR ('x/' || d.source || '/' || d.doc_id) LIKE j.pat")
+_PATH = "source || '/' || lang || '/' || doc_id || '.md'"
+#: Patterns of judgments as both engines build them: whole paths, their ends, and globs with a fixed head, a fixed name, a fixed suffix, or nothing fixed.
+_PATTERNS = (
+    (f"SELECT {_PATH} FROM documents WHERE doc_id % 50 = 0", None), ("SELECT lang || '/' || doc_id || '.md' FROM documents WHERE doc_id % 40 = 1", None), ("SELECT doc_id || '.md' FROM documents WHERE doc_id % 30 = 2", None),
+    ("SELECT DISTINCT source || '/**/*7.md' FROM documents WHERE source LIKE '%1'", "'^' || source || '/(?:.*/)?[^/]*7[.]md$'"), ("SELECT '**/' || doc_id || '.md' FROM documents WHERE doc_id % 60 = 3", "'^(?:.*/)?' || doc_id || '[.]md$'"),
+    ("SELECT DISTINCT '*/' || lang || '/*[0-2].md' FROM documents WHERE source = 'src3'", "'^[^/]*/' || lang || '/[^/]*[0-2][.]md$'"), ("SELECT DISTINCT '*/' || lang || '/?' || '{1,3}*' FROM documents WHERE source = 'src5'", "'^[^/]*/' || lang || '/[^/](?:1|3)[^/]*$'"),
+)
+
+
+@query(f"""WITH d AS (SELECT doc_id, {_PATH} AS path FROM documents), p AS ({' UNION ALL '.join(q if r is None else q for q, r in _PATTERNS)}), x AS ({' UNION ALL '.join(q.replace('SELECT DISTINCT ', 'SELECT ').replace(' FROM documents', f' AS pattern, {r} AS form FROM documents', 1) for q, r in _PATTERNS if r)}),
+plain AS ({' UNION ALL '.join(q.replace(' FROM documents', ' AS pattern FROM documents', 1) for q, r in _PATTERNS if not r)})
+SELECT DISTINCT doc_id, pattern FROM (SELECT doc_id, pattern FROM d JOIN plain ON path = pattern OR ends_with(path, '/' || pattern) UNION ALL SELECT doc_id, pattern FROM d JOIN (SELECT DISTINCT * FROM x) ON regexp_matches(path, form))""".replace(f"p AS ({' UNION ALL '.join(q for q, _ in _PATTERNS)}), ", ""))
 def jon07_theta_judgments(spark, sf):  # noqa: ANN001, ANN201
-    """Judgments met by equality or by pattern: equality goes through a hash join, the few patterns apart."""
-    d = table(spark, sf, "documents").select("doc_id", "source")
-    j = d.select(F.col("source").alias("s")).distinct()
-    equal = d.join(j, F.col("source") == F.col("s")).select("doc_id", "s")
-    patterns = j.filter(F.col("s").endswith("1"))
-    path = F.concat(F.lit("x/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"))
-    like = d.join(patterns, path.contains(F.concat(F.lit("/"), "s", F.lit("/")))).select("doc_id", "s")
-    return equal.union(like).distinct()
+    """Judgments met by a path, its end, or a glob; every way is a join on equal keys, and globs are verified after."""
+    d = table(spark, sf, "documents")
+    patterns = reduce(DataFrame.unionByName, [spark.sql(q.replace("{", "{{").replace("}", "}}").replace(" FROM documents", " AS pattern FROM {documents}", 1), documents=d) for q, _ in _PATTERNS]).distinct()
+    return judgments.matched(d.selectExpr("doc_id", f"{_PATH} AS path"), patterns, "path", "pattern").select("doc_id", "pattern")
 
 
 @query(r"""WITH t AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9\s]', ' ', 'g'), '\s+'), lambda w: w <> '' AND w NOT IN ('a', 'an', 'the')) AS w FROM conversations),
