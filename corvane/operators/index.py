@@ -32,6 +32,8 @@ SMALL_SHARD, SHARD, MANY_SHARDS = 4_000_000, 64_000_000, 4_096
 #: Characters of text for a bucket of terms.
 BUCKET, LEAST_BUCKETS = 1_000_000_000, 16
 MOST_VERSIONS = 8
+#: Terms that are pushed to the files one by one. More are broadcast, bounded by ``QUERY_CELLS``.
+FEW_TERMS = 64
 #: Numbers that a shard holds at once while it scores.
 CELLS = 4_000_000
 
@@ -148,9 +150,12 @@ class LexicalIndex:
     def postings(self, terms: list[str], state: dict | None = None) -> DataFrame:
         """(shard, kb, term, ids, tfs, dls) of some terms; files of other buckets are not opened."""
         state = state or self.versions.state()
-        numbers = self.spark.createDataFrame([(t,) for t in terms], "term string").select(F.pmod(F.xxhash64("term"), F.lit(state["buckets"])).cast("int").alias("b")).distinct()
-        rows = self.versions.read("postings", *state["live"])
-        rows = rows.filter(F.col("bucket").isin([r.b for r in numbers.collect()]) & F.col("term").isin(terms)).select("version", "shard", "kb", "term", "ids", "tfs", "dls")
+        asked = self.spark.createDataFrame(pa.table({"term": pa.array(terms, pa.string())}))
+        numbers = {r.b for r in asked.select(F.pmod(F.xxhash64("term"), F.lit(state["buckets"])).cast("int").alias("b")).collect()}
+        rows = self.versions.read("postings", *state["live"]).filter(F.col("bucket").isin(*sorted(numbers)))
+        # few terms reach the files' own statistics; many are sent to the rows instead, as a list of them is slow to plan
+        rows = rows.filter(F.col("term").isin(terms)) if len(terms) <= FEW_TERMS else rows.join(F.broadcast(asked), "term", "left_semi")
+        rows = rows.select("version", "shard", "kb", "term", "ids", "tfs", "dls")
         if state["gone"]:
             gone = self._gone(state).select("version", "shard", "id")
             rows = rows.groupBy("shard").cogroup(gone.groupBy("shard")).applyInArrow(_without, rows.schema)
@@ -195,23 +200,27 @@ class LexicalIndex:
             known = pc.unique(flat)
             known = known.take(pc.array_sort_indices(known))
             doc = np.asarray(pc.index_in(flat, known))
-            offsets = np.r_[0, np.cumsum(sizes)]
             scopes = table.column("kb").combine_chunks().dictionary_encode()
             kb_of = np.zeros(len(known), np.int64)
             kb_of[doc] = np.repeat(np.asarray(scopes.indices.fill_null(-1)), sizes)
             tf, dl = (np.asarray(table.column(c).combine_chunks().flatten(), np.float64) for c in ("tfs", "dls"))
             idf, mean = (np.repeat(np.asarray(table.column(c)), sizes) for c in ("idf", "mean"))
             gain = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / mean))
-            rows = sorted((place[t], i) for i, t in enumerate(table.column("term").to_pylist()))
+            # all of a term's postings next to each other, whatever their scopes and versions
+            term = np.repeat(np.array([place[t] for t in table.column("term").to_pylist()], np.int64), sizes)
+            order = np.argsort(term, kind="stable")
+            doc, gain, term = doc[order], gain[order], term[order]
+            there, starts = np.unique(term, return_index=True)
+            spans = list(zip(there.tolist(), starts.tolist(), [*starts.tolist()[1:], len(term)], strict=True))
             group = kb_of if per_scope else np.zeros(len(known), np.int64)
             step, out = max(1, CELLS // len(known)), []
             for low in range(0, len(names), step):
                 sums = np.zeros((min(step, len(names) - low), len(known)))
-                for t, i in rows:
+                for t, begin, end in spans:
                     a, z = at[t] + np.searchsorted(who[at[t] : at[t + 1]], [low, low + step])
-                    span = slice(offsets[i], offsets[i + 1])
-                    for j, n in zip(who[a:z] - low, times[a:z], strict=True):
-                        sums[j, doc[span]] += n * gain[span]
+                    ids_, gains = doc[begin:end], gain[begin:end]
+                    for j, n in zip((who[a:z] - low).tolist(), times[a:z].tolist(), strict=True):
+                        sums[j, ids_] += n * gains
                 for j, line in enumerate(sums):
                     hit = np.flatnonzero(line > 0)
                     rounded = np.round(line[hit], DIGITS)

@@ -71,18 +71,15 @@ def id_column(df: DataFrame, name: str) -> Column:
 
 def query_bags(queries: DataFrame, query_id: str, text: str, most: int = QUERY_CELLS) -> Iterator[list[tuple[int | str, Counter]]]:
     """Blocks of (id, term counts), each of at most ``most`` terms times queries or of one query; rows of one id are one query, and a query needs an id."""
-    rows = queries.select(id_column(queries, query_id).alias("q"), F.col(text).alias("t")).filter("q is not null").orderBy("q", "t")
+    rows = queries.select(id_column(queries, query_id).alias("q"), F.col(text).alias("t")).filter("q is not null").groupBy("q").agg(F.collect_list("t").alias("texts"))
     out: list[tuple[int | str, Counter]] = []
     known: set[str] = set()
     for r in rows.toLocalIterator():
-        bag = Counter(tokens_of(r.t))
-        if out and out[-1][0] == r.q:
-            out[-1][1].update(bag)
-        else:
-            if out and (len(out) + 1) * len(known | bag.keys()) > most:
-                yield out
-                out, known = [], set()
-            out.append((r.q, bag))
+        bag = Counter(t for text in r.texts for t in tokens_of(text))
+        if out and (len(out) + 1) * len(known | bag.keys()) > most:
+            yield out
+            out, known = [], set()
+        out.append((r.q, bag))
         known |= bag.keys()
     if out:
         yield out
