@@ -48,6 +48,7 @@ HYBRID_FORMS = (
     (r"(?i)\b(?:PR|issue)\s*#?\d+\b", "issue or PR reference"),
     (r"#\d+\b", "numbered reference"),
 )
+# Fixed value: what an answer says that abstains.
 ABSTAINED = r"(?i)\b(do not have enough|not enough|insufficient|cannot answer|can't answer|not contain|not in the provided context)\b"
 
 
