@@ -31,7 +31,7 @@ K = 20
 #: Rows of the sample that centroids are fitted on.
 SAMPLE = 20_000
 MOST_LISTS = 1_024
-#: Share of the lists that a query probes,. The vectors at hand are spread almost evenly over the
+#: Share of the lists that a query probes. The vectors at hand are spread almost evenly over the
 #: sphere, where lists say little: 0.25 finds 67 % of the true neighbours of 10,000, 0.7 finds 96 %. Clustered vectors need less.
 PROBE_SHARE = 0.8
 #: Lists of a small table, if it has rows for so many.
