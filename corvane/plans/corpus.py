@@ -258,10 +258,14 @@ def prj18_sanitise(spark, sf):  # noqa: ANN001, ANN201
     return table(spark, sf, "part").select("p_partkey", F.to_json(meta.dropFields("extras", "internal")).alias("metadata"))
 
 
-@query("SELECT doc_id, length(left(text, 500)) - length(replace(left(text, 500), chr(10), '')) + 1 AS line_of_500 FROM documents")
+@query("""WITH s AS (SELECT doc_id, i, substr(text, (i * 500 + 1)::INT, 500) AS span FROM documents, unnest(range(0, (length(text) + 499) // 500)) r(i))
+SELECT doc_id, i::INT AS span, (1 + sum(length(span) - length(replace(span, chr(10), ''))) OVER (PARTITION BY doc_id ORDER BY i))::BIGINT AS last_line FROM s""")
 def prj19_boundary_lines(spark, sf):  # noqa: ANN001, ANN201
-    head = F.substring("text", 1, 500)
-    return docs(spark, sf).select("doc_id", (F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("line_of_500"))
+    """The line on which each span of 500 characters ends: newlines are counted span by span and summed, so a long text is read once."""
+    spans = docs(spark, sf).filter(F.length("text") > 0).select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 500).cast("int"))).alias("span"))
+    part = F.substring(F.col("text"), F.col("span") * 500 + 1, F.lit(500))
+    breaks = spans.select("doc_id", "span", (F.length(part) - F.length(F.replace(part, F.lit("\n"), F.lit("")))).alias("n"))
+    return breaks.select("doc_id", "span", (1 + F.sum("n").over(Window.partitionBy("doc_id").orderBy("span"))).alias("last_line"))
 
 
 # --- filters ----------------------------------------------------------------------------------------------------------
