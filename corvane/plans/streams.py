@@ -16,11 +16,23 @@ from corvane.streaming import jobs, manifest, quarantine
 QUERIES, SQL = {}, {}
 
 
-def _memory(spark, stream, mode: str = "complete"):  # noqa: ANN001, ANN202
-    name = f"s{uuid.uuid4().hex}"
-    run = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    run.awaitTermination(600)
-    return spark.table(name)
+def _written(spark, stream, mode: str = "complete"):  # noqa: ANN001, ANN202
+    """What a stream gives until its input ends: each batch is written to the shared folder by the executors, and the last one holds all in ``complete`` mode.
+
+    The folder holds the stream's state as well, and goes with the driver.
+    """
+    base, paths = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}", []
+
+    def put(batch, number: int) -> None:  # noqa: ANN001
+        path = f"{base}/rows/batch={number}"
+        batch.write.mode("overwrite").parquet(path)
+        paths[:] = [path] if mode == "complete" else [*(x for x in paths if x != path), path]
+
+    folder = spark._jvm.org.apache.hadoop.fs.Path(base)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    run = stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(*paths) if paths else spark.createDataFrame([], stream.schema)
 
 
 def _events(spark, sf):  # noqa: ANN001, ANN202
@@ -28,13 +40,13 @@ def _events(spark, sf):  # noqa: ANN001, ANN202
 
 
 def str06_log_tail(spark, sf):  # noqa: ANN001, ANN201
-    tail = _memory(spark, jobs.log_tail(_events(spark, sf), "1 day"))
+    tail = _written(spark, jobs.log_tail(_events(spark, sf), "1 day"))
     return tail.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("mean", 6).alias("mean"))
 
 
 def str02_debounced_changes(spark, sf):  # noqa: ANN001, ANN201
     changes = _events(spark, sf).select(F.col("event_type").alias("kb"), F.col("user_id").alias("path"), "ts")
-    return _memory(spark, jobs.coalesced_changes(changes, "6 hours")).groupBy("kb", "path").agg(F.count("*").alias("bursts"), F.sum("events").alias("events"))
+    return _written(spark, jobs.coalesced_changes(changes, "6 hours")).groupBy("kb", "path").agg(F.count("*").alias("bursts"), F.sum("events").alias("events"))
 
 
 def str07_breaker(spark, sf):  # noqa: ANN001, ANN201
@@ -52,7 +64,7 @@ def str04_quarantine(spark, sf):  # noqa: ANN001, ANN201
     """The stream of attempts replayed to its end: every decision, and every wait that ended within the log. A wait is an hour times a power of two here."""
     store, before = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set(store, quarantine.STORE)
-    found = _memory(spark, quarantine.decisions(_attempts(_events(spark, sf)), wait=3_600), "append")
+    found = _written(spark, quarantine.decisions(_attempts(_events(spark, sf)), wait=3_600), "append")
     spark.conf.set(store, before)
     return found.select("path", F.timestamp_millis("at").cast("timestamp_ntz").alias("decided_at"), "event_id", "decision", "tries")
 
