@@ -64,8 +64,10 @@ def str04_quarantine(spark, sf):  # noqa: ANN001, ANN201
     """The stream of attempts replayed to its end: every decision, and every wait that ended within the log. A wait is an hour times a power of two here."""
     store, before = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set(store, quarantine.STORE)
-    found = _written(spark, quarantine.decisions(_attempts(_events(spark, sf)), wait=3_600), "append")
-    spark.conf.set(store, before)
+    try:
+        found = _written(spark, quarantine.decisions(_attempts(_events(spark, sf)), wait=3_600), "append")
+    finally:
+        spark.conf.set(store, before)
     return found.select("path", F.timestamp_millis("at").cast("timestamp_ntz").alias("decided_at"), "event_id", "decision", "tries")
 
 

@@ -2,37 +2,38 @@
 
 A file that fails waits twice as long after every try, up to a day, and is a dead letter after ``TRIES`` of them. Other content, or an
 operator's word, lets it be tried at once; a success ends its quarantine. The state of a file is one small record; a timer tells when its
-wait is over. Files don't share state, so any number of them is dealt over the executors.
+wait is over. Files don't share records and are dealt to groups by their path, so any number of them is spread over the executors; a group
+has one timer, for the wait that ends first.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corvane.runtime import importable
 
 # Tries before a file is a dead letter, the unit of its wait and the longest wait in seconds, files listed of a shelf.
 TRIES, WAIT, LONGEST, LISTED = 5, 60, 86_400, 1_000
-STATE = "sha string, tries int, next long, ack boolean, told boolean, last long"
+#: Groups that files are dealt to: the records of one are kept, read and written together.
+GROUPS = 2_048
+FIELDS = ("sha", "tries", "next", "ack", "told", "last")
+STATE = "records array<struct<path: string, sha: string, tries: int, next: long, ack: boolean, told: boolean, last: long>>"
 DECISIONS = "path string, at long, event_id long, decision string, tries int, next long"
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-class Quarantine(StatefulProcessor):
-    """Decides on the attempts and words of one file in order of time; times are milliseconds."""
+class Quarantine:
+    """Decides on the attempts and words of the files of one group, each in order of time; times are milliseconds."""
 
     def __init__(self, tries: int = TRIES, wait: int = WAIT, longest: int = LONGEST):
         self.most, self.wait, self.longest = tries, wait, longest
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.record = handle.getValueState("record", STATE)
-
     def decide(self, record: dict | None, at: int, sha: str) -> str:
         if record is None:
             return "no_record"
@@ -47,54 +48,55 @@ class Quarantine(StatefulProcessor):
     def waits(self, record: dict | None) -> bool:
         return record is not None and not record["ack"] and not record["told"] and record["tries"] < self.most
 
-    def step(self, record: dict | None, row) -> tuple[dict | None, str]:  # noqa: ANN001
+    def step(self, record: dict | None, at: int, kind: str, sha: str) -> tuple[dict | None, str]:
         """The record after an event, and what was decided."""
-        if row.kind == "ack":
+        if kind == "ack":
             return ({**record, "ack": True, "next": 0}, "ack") if record else (None, "nothing_to_ack")
-        decision = self.decide(record, row.at, row.sha)
+        decision = self.decide(record, at, sha)
         if decision in ("dead_lettered", "backoff_active"):
             return record, decision
-        if row.kind == "success":
+        if kind == "success":
             return None, decision
         tries = 1 if decision in ("no_record", "content_changed") else record["tries"] + 1
         wait = min(self.longest, 2**tries * self.wait) * 1000
-        return {"sha": row.sha, "tries": tries, "next": row.at + wait, "ack": False, "told": False, "last": row.at}, decision
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        stored = self.record.get() if self.record.exists() else None
-        record = dict(zip(("sha", "tries", "next", "ack", "told", "last"), stored, strict=True)) if stored is not None else None
-        before, out = record, []
-        events = pd.concat(list(rows)).sort_values(["at", "event_id"])  # one file's, of one batch
-        for row in events.itertuples(index=False):
-            if self.waits(record) and record["next"] <= row.at:
-                out.append((key[0], record["next"], None, "due", record["tries"], record["next"]))
-                record = {**record, "told": True}
-            record, decision = self.step(record, row)
-            out.append((key[0], row.at, row.event_id, decision, record["tries"] if record else 0, record["next"] if record else None))
-        if before is not None:
-            self.handle.deleteTimer(before["next"])
-        if record is None:
-            self.record.clear()
-        else:
-            self.record.update(tuple(record.values()))
-            if self.waits(record):
-                self.handle.registerTimer(record["next"])
-        yield _frame(out)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        stored = self.record.get() if self.record.exists() else None
-        record = dict(zip(("sha", "tries", "next", "ack", "told", "last"), stored, strict=True)) if stored is not None else None
-        if self.waits(record) and record["next"] <= expiredTimerInfo.getExpiryTimeInMs():
-            self.record.update(tuple({**record, "told": True}.values()))
-            yield _frame([(key[0], record["next"], None, "due", record["tries"], record["next"])])
-
-    def close(self) -> None:
-        pass
+        return {"sha": sha, "tries": tries, "next": at + wait, "ack": False, "told": False, "last": at}, decision
+
+    def __call__(self, key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """A group's events of a batch, or the end of a wait; calls cost more than rows, so that one is made for many files."""
+        records = {r[0]: dict(zip(FIELDS, r[1:], strict=True)) for r in state.get[0]} if state.exists else {}
+        out = []
+
+        def due(path: str, by: int) -> None:
+            record = records.get(path)
+            if self.waits(record) and record["next"] <= by:
+                out.append((path, record["next"], None, "due", record["tries"], record["next"]))
+                records[path] = {**record, "told": True}
+
+        events = [] if state.hasTimedOut else [e for f in frames for e in zip(*(f[c].tolist() for c in ("at", "event_id", "path", "kind", "sha")), strict=True)]
+        for at, event_id, path, kind, sha in sorted(events, key=lambda e: (e[0], pd.isna(e[1]), e[1])):
+            due(path, at)
+            record, decision = self.step(records.pop(path, None), at, kind, sha)
+            if record is not None:
+                records[path] = record
+            out.append((path, at, event_id, decision, record["tries"] if record else 0, record["next"] if record else None))
+        for path in list(records):
+            due(path, state.getCurrentWatermarkMs())
+        if records:
+            state.update(([(path, *r.values()) for path, r in records.items()],))
+            waits = [r["next"] for r in records.values() if self.waits(r)]
+            if waits:
+                # a timeout ends when the watermark is beyond it, a wait when it is reached
+                state.setTimeoutTimestamp(max(min(waits) - 1, 1))
+        elif state.exists:
+            state.remove()
+        if out:
+            yield _frame(out)
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["path", "at", "event_id", "decision", "tries", "next"])
-    return out.astype({"at": "int64", "event_id": "Int64", "tries": "int32", "next": "Int64"})
+    names = ("path", "at", "event_id", "decision", "tries", "next")
+    kinds = (object, "int64", "Int64", object, "int32", "Int64")
+    return pd.DataFrame({n: pd.array(c, k) if k == "Int64" else np.array(c, k) for n, c, k in zip(names, zip(*rows, strict=True), kinds, strict=True)})
 
 
 def decisions(events: DataFrame, tries: int = TRIES, wait: int = WAIT, longest: int = LONGEST, late: str = "0 seconds") -> DataFrame:
@@ -103,8 +105,8 @@ def decisions(events: DataFrame, tries: int = TRIES, wait: int = WAIT, longest:
     The session needs ``spark.sql.streaming.stateStore.providerClass`` set to ``STORE``.
     """
     importable(events.sparkSession)
-    rows = events.withWatermark("ts", late).select("path", "ts", F.unix_millis("ts").alias("at"), "event_id", "kind", "sha")
-    return rows.groupBy("path").transformWithStateInPandas(statefulProcessor=Quarantine(tries, wait, longest), outputStructType=DECISIONS, outputMode="Append", timeMode="EventTime")
+    rows = events.withWatermark("ts", late).select(F.pmod(F.xxhash64("path"), F.lit(GROUPS)).alias("group"), "path", "ts", F.unix_millis("ts").alias("at"), "event_id", "kind", "sha")
+    return rows.groupBy("group").applyInPandasWithState(Quarantine(tries, wait, longest), DECISIONS, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def listing(decided: DataFrame, shelf: str, most: int = LISTED) -> DataFrame:
