@@ -18,6 +18,10 @@ from corvane.runtime import importable
 DIGITS = 6
 #: Numbers in a block of queries that is broadcast (8 bytes each); larger batches are searched block by block.
 QUERY_NUMBERS = 4_000_000
+#: Distances that a task computes at once, and numbers of the vectors it measures again at once.
+CELLS = 1_000_000
+#: Rows that a task gives on at once.
+GIVEN = 65_536
 #: Tokens whose place a worker remembers.
 KNOWN_TOKENS = 200_000
 
@@ -42,14 +46,14 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, same: bool = True) -> Da
     scope = F.col("scope").cast("string") if scoped else F.lit("")
     vectors = vectors.select("id", "v", scope.alias("scope")).filter("scope is not null")
     found = None
-    for ids, q, scopes in _query_blocks(queries.select("query_id", F.col("q").cast("array<double>").alias("q"), scope.alias("scope"))):
+    for ids, q, scopes in _query_blocks(queries.select("query_id", F.col("q").cast("array<double>").alias("q"), scope.alias("scope")), k):
         part = _block(vectors, ids, q, scopes if scoped else None, k, same)
         found = part if found is None else found.unionByName(part)
     return top(found, k, descending=False)
 
 
-def _query_blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Ids, vectors and scopes of queries, in blocks of ``QUERY_NUMBERS`` numbers at most; an empty one if there are no queries."""
+def _query_blocks(queries: DataFrame, k: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids, vectors and scopes of queries, in blocks of ``QUERY_NUMBERS`` numbers, and as many neighbours, at most; an empty one if there are no queries."""
     held: list = []
 
     def block() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -59,7 +63,7 @@ def _query_blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray,
     some = False
     for r in queries.toLocalIterator():
         held.append(r)
-        if len(held) * len(r.q) >= QUERY_NUMBERS:
+        if len(held) * max(len(r.q), k) >= QUERY_NUMBERS:
             yield block()
             held, some = [], True
     if held or not some:
@@ -68,37 +72,51 @@ def _query_blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray,
 
 def _block(vectors: DataFrame, ids: np.ndarray, q: np.ndarray, scopes: np.ndarray | None, k: int, same: bool) -> DataFrame:
     shared = vectors.sparkSession.sparkContext.broadcast((ids, q, scopes))
-    rows = max(1, min(4_096, QUERY_NUMBERS // max(1, len(ids))))  # vectors in one product
+
+    def measured(x: np.ndarray, q: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Rounded distances of pairs of rows, a part at a time."""
+        step = max(1, CELLS // max(1, x.shape[1]))
+        return np.concatenate([np.round(((x[i[a : a + step]] - q[j[a : a + step]]) ** 2).sum(1), DIGITS) for a in range(0, len(i), step)])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q, scopes = shared.value
         if not len(ids):
             return
         norms = (q * q).sum(1)
-        limit = np.full(len(ids), np.inf)
-        line, found, scores = (np.zeros(0, t) for t in (np.int64, np.int64, np.float64))
+        # a query's best so far, in order; places that no row has taken are infinitely far
+        found, scores = np.full((len(ids), k), np.iinfo(np.int64).max), np.full((len(ids), k), np.inf)
         for batch in batches:
             every = np.asarray(batch.column("id"))
             vectors = np.asarray(batch.column("v").flatten(), np.float64).reshape(len(every), -1)
-            for at in range(0, len(every), rows):
-                own, x = every[at : at + rows], vectors[at : at + rows]
-                # one product gives all distances but for the last digits; what may be among the nearest is measured again
-                near = norms[:, None] + (x * x).sum(1) - 2 * q @ x.T
-                if scopes is not None:
-                    near[scopes[:, None] != np.array(batch.column("scope").slice(at, rows).to_pylist(), object)] = np.inf
-                if same:
-                    near[ids[:, None] == own] = np.inf
-                most = np.partition(near, k, axis=1)[:, k] if len(own) > k else np.full(len(ids), np.inf)
-                j, i = np.nonzero((near <= np.minimum(limit, most)[:, None] + 1e-5) & (near < np.inf))
-                d = x[i] - q[j]
-                line, found = np.concatenate([line, j]), np.concatenate([found, own[i]])
-                scores = np.concatenate([scores, np.round((d * d).sum(1), DIGITS)])
-                order = np.lexsort((found, scores, line))
-                line, found, scores = line[order], found[order], scores[order]
-                turn = np.arange(len(line)) - np.searchsorted(line, line)
-                limit[line[turn == k - 1]] = scores[turn == k - 1]
-                line, found, scores = (z[turn < k] for z in (line, found, scores))
-        yield pa.RecordBatch.from_arrays([pa.array(ids[line], pa.int64()), pa.array(found, pa.int64()), pa.array(scores, pa.float64())], names=["query_id", "id", "score"])
+            for at in range(0, len(every), 4_096):
+                own, x = every[at : at + 4_096], vectors[at : at + 4_096]
+                square, step = (x * x).sum(1), max(1, CELLS // len(own))
+                within = np.array(batch.column("scope").slice(at, 4_096).to_pylist(), object) if scopes is not None else None
+                for low in range(0, len(ids), step):
+                    some = slice(low, low + step)
+                    # one product gives all distances but for the last digits; what may be among the nearest is measured again
+                    near = norms[some, None] + square - 2 * q[some] @ x.T
+                    if within is not None:
+                        near[scopes[some, None] != within] = np.inf
+                    if same:
+                        near[ids[some, None] == own] = np.inf
+                    most = np.partition(near, k, axis=1)[:, k] if len(own) > k else np.inf
+                    j, i = np.nonzero((near <= np.minimum(scores[some, -1], most)[:, None] + 1e-5) & (near < np.inf))
+                    if not len(j):
+                        continue
+                    met, turn = np.unique(j, return_inverse=True)
+                    met += low
+                    line = np.concatenate([np.repeat(np.arange(len(met)), k), turn])
+                    all_found = np.concatenate([found[met].ravel(), own[i]])
+                    all_scores = np.concatenate([scores[met].ravel(), measured(x, q, i, j + low)])
+                    order = np.lexsort((all_found, all_scores, line))
+                    line = line[order]
+                    order = order[np.arange(len(line)) - np.searchsorted(line, line) < k]
+                    found[met], scores[met] = all_found[order].reshape(-1, k), all_scores[order].reshape(-1, k)
+        step = max(1, GIVEN // k)
+        for low in range(0, len(ids), step):
+            j, i = np.nonzero(scores[low : low + step] < np.inf)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[low + j], pa.int64()), pa.array(found[low + j, i], pa.int64()), pa.array(scores[low + j, i], pa.float64())], names=["query_id", "id", "score"])
 
     return vectors.select("id", F.col("v").cast("array<double>").alias("v"), "scope").filter("v is not null").mapInArrow(run, "query_id long, id long, score double")
 
