@@ -14,6 +14,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +29,8 @@ DIGITS = 6
 QUERY_CELLS = 8_000_000
 #: Hits that a task gathers before it keeps the best of them.
 GATHERED = 500_000
+#: Bytes of text whose terms a task holds at once; one longer record is taken alone.
+TEXT_BYTES = 1_000_000
 
 def tokenised(docs: DataFrame, unit: str, text: str, title: str | None = None, scope: Column | None = None) -> DataFrame:
     """(kb, id, tokens, dl): each record's tokens, the title's repeated by its weight. ``scope`` is what statistics are taken over."""
@@ -95,7 +98,7 @@ def bags(records: DataFrame) -> DataFrame:
     rest = [f for f in records.schema.fields if f.name not in ("text", "title")]
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in _parts(whole)):
             found = [(dl, list(bag), list(bag.values())) for _, bag, dl in _bags(batch)]
             new = [pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32())))]
             yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in rest], *new], names=[*[f.name for f in rest], "dl", "terms", "tfs"])
@@ -104,13 +107,24 @@ def bags(records: DataFrame) -> DataFrame:
     return records.mapInArrow(count, f"{kinds}, dl long, terms array<string>, tfs array<int>")
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch, each of ``TEXT_BYTES`` of text at most or of one record."""
+    ends = np.cumsum(sum(np.asarray(pc.binary_length(batch.column(c)).fill_null(0), np.int64) for c in ("text", "title")))
+    low = 0
+    while low < batch.num_rows:
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + TEXT_BYTES, "right")))
+        yield batch.slice(low, high - low)
+        low = high
+
+
 def _bags(batch: pa.RecordBatch) -> Iterator[tuple[str | None, Counter, int]]:
     """Scope, term counts and length of each record; a title counts ``TITLE_WEIGHT`` times."""
-    for kb, text, title in zip(*(batch.column(c).to_pylist() for c in ("kb", "text", "title")), strict=True):
-        bag = Counter(tokens_of(text))
-        for t in tokens_of(title):
-            bag[t] += TITLE_WEIGHT
-        yield kb, bag, sum(bag.values())
+    for part in _parts(batch):
+        for kb, text, title in zip(*(part.column(c).to_pylist() for c in ("kb", "text", "title")), strict=True):
+            bag = Counter(tokens_of(text))
+            for t in tokens_of(title):
+                bag[t] += TITLE_WEIGHT
+            yield kb, bag, sum(bag.values())
 
 
 def search(docs: DataFrame, unit: str, text: str, queries: DataFrame, query_id: str, query_text: str, k: int, scope: Column | None = None, title: str | None = None, most: int = QUERY_CELLS, whole: bool = False) -> DataFrame:
