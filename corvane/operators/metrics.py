@@ -10,19 +10,34 @@ from pyspark.sql import functions as F
 
 def beir(run: DataFrame, qrels: DataFrame) -> DataFrame:
     """Per query with a relevant judgment: ndcg_10, map_100, p_10, r_10, r_100; a repeated document counts at its first rank."""
+    levels = qrels.filter("relevance > 0").groupBy("query_id", "relevance").agg(F.count("*").alias("n"))
+    return scored(first_ranks(run).join(qrels, ["query_id", "id"], "left"), levels)
+
+
+def first_ranks(run: DataFrame) -> DataFrame:
+    """(query_id, id, rank) of a run without repeated documents; ranks close up."""
     first = run.groupBy("query_id", "id").agg(F.min("rank").alias("rank"))
+    return first.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
+
+
+def scored(judged: DataFrame, levels: DataFrame) -> DataFrame:
+    """``beir`` of ranked rows with their ``relevance`` (null: none), and of the number ``n`` of a query's judgments of each relevance above 0.
+
+    The best ranking has a level's judgments one after the other, so it is known from their numbers and judgments need not be sorted.
+    """
     by_rank = Window.partitionBy("query_id").orderBy("rank")
-    ranked = first.withColumn("rank", F.row_number().over(by_rank))
-    judged = ranked.join(qrels, ["query_id", "id"], "left").withColumn("relevance", F.coalesce("relevance", F.lit(0)))
+    judged = judged.withColumn("relevance", F.coalesce("relevance", F.lit(0)))
     hits = judged.withColumn("hits", F.sum((F.col("relevance") > 0).cast("int")).over(by_rank.rowsBetween(Window.unboundedPreceding, 0)))
-    gain = (F.pow(F.lit(2.0), "relevance") - 1) / F.log2(F.col("rank") + 1)
+    worth = F.pow(F.lit(2.0), "relevance") - 1
     rel = F.col("relevance") > 0
     got = hits.groupBy("query_id").agg(
-        F.sum(F.when(F.col("rank") <= 10, gain)).alias("dcg"), F.sum(F.when(rel & (F.col("rank") <= 100), F.col("hits") / F.col("rank"))).alias("ap"),
+        F.sum(F.when(F.col("rank") <= 10, worth / F.log2(F.col("rank") + 1))).alias("dcg"), F.sum(F.when(rel & (F.col("rank") <= 100), F.col("hits") / F.col("rank"))).alias("ap"),
         F.count_if(rel & (F.col("rank") <= 10)).alias("h10"), F.count_if(rel & (F.col("rank") <= 100)).alias("h100"),
     )
-    ideal_rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("relevance"), "id"))
-    ideal = qrels.filter("relevance > 0").withColumn("rank", ideal_rank).groupBy("query_id").agg(F.sum(F.when(F.col("rank") <= 10, gain)).alias("idcg"), F.count("*").alias("relevant"))
+    better = F.sum("n").over(Window.partitionBy("query_id").orderBy(F.desc("relevance")).rowsBetween(Window.unboundedPreceding, -1))
+    placed = levels.withColumn("better", F.coalesce(better, F.lit(0))).withColumn("last", F.least(F.lit(10), F.col("better") + F.col("n")))
+    gain = F.when(F.col("better") < 10, F.aggregate(F.sequence(F.col("better") + 1, "last"), F.lit(0.0), lambda s, place: s + worth / F.log2(place + 1)))
+    ideal = placed.groupBy("query_id").agg(F.sum(gain).alias("idcg"), F.sum("n").alias("relevant"))
     r6 = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 6)
     return ideal.join(got, "query_id", "left").select(
         "query_id", r6(F.col("dcg") / F.col("idcg")).alias("ndcg_10"), r6(F.col("ap") / F.col("relevant")).alias("map_100"), r6(F.col("h10") / 10.0).alias("p_10"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corvane.functions import text
 from corvane.operators import judgments, lexical, metrics
 from corvane.plans.corpus import frontmatter
-from corvane.plans.evaluation import CLUSTERED, QRELS, beir_sql, clustered, qrels
+from corvane.plans.evaluation import CLUSTERED, QRELS, _beir, beir_sql, clustered, judged
 from corvane.plans.retrieval import TOKENS, bm25_run, bm25_sql, dense_run, knn_sql
 from corvane.runtime import table
 
@@ -38,7 +38,7 @@ def jon04_postings_join(spark, sf):  # noqa: ANN001, ANN201
 
 @query(f"WITH {QRELS}, {knn_sql('r', 20)} SELECT query_id, rank, coalesce(relevance, 0) AS relevance FROM r LEFT JOIN qrels USING (query_id, id)")
 def jon05_run_with_judgments(spark, sf):  # noqa: ANN001, ANN201
-    return dense_run(spark, sf, 20).join(qrels(spark, sf), ["query_id", "id"], "left").select("query_id", "rank", F.coalesce("relevance", F.lit(0)).alias("relevance"))
+    return judged(spark, sf, dense_run(spark, sf, 20)).select("query_id", "rank", F.coalesce("relevance", F.lit(0)).alias("relevance"))
 
 
 _PATH = "source || '/' || lang || '/' || doc_id || '.md'"
@@ -97,7 +97,7 @@ def agg23_panel_calibration(spark, sf):  # noqa: ANN001, ANN201
 
 @query(f"WITH {QRELS}, {knn_sql('ra', 100)}, {knn_sql('rb', 100, 32)}, {beir_sql('ra', 'ma')}, {beir_sql('rb', 'mb')} SELECT 'full' AS model, round(avg(ndcg_10), 6) AS ndcg, round(avg(map_100), 6) AS map, round(avg(r_10), 6) AS recall FROM ma UNION ALL SELECT 'short', round(avg(ndcg_10), 6), round(avg(map_100), 6), round(avg(r_10), 6) FROM mb")
 def met10_models_side_by_side(spark, sf):  # noqa: ANN001, ANN201
-    one = lambda dims, name: metrics.beir(dense_run(spark, sf, 100, dims), qrels(spark, sf)).agg(F.lit(name).alias("model"), F.round(F.avg("ndcg_10"), 6).alias("ndcg"), F.round(F.avg("map_100"), 6).alias("map"), F.round(F.avg("r_10"), 6).alias("recall"))
+    one = lambda dims, name: _beir(spark, sf, dims).agg(F.lit(name).alias("model"), F.round(F.avg("ndcg_10"), 6).alias("ndcg"), F.round(F.avg("map_100"), 6).alias("map"), F.round(F.avg("r_10"), 6).alias("recall"))
     return one(64, "full").unionByName(one(32, "short"))
 
 
