@@ -107,6 +107,12 @@ def bags(records: DataFrame) -> DataFrame:
     return records.mapInArrow(count, f"{kinds}, dl long, terms array<string>, tfs array<int>")
 
 
+def postings(docs: DataFrame, unit: str, text: str, title: str | None = None, scope: Column | None = None) -> DataFrame:
+    """(kb, id, dl, term, tf) of each record by itself, its terms counted a part of the text at a time."""
+    rows = bags(_records(docs, unit, text, title, scope))
+    return rows.select("kb", "id", "dl", F.inline(F.arrays_zip("terms", "tfs"))).withColumnsRenamed({"terms": "term", "tfs": "tf"})
+
+
 def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Slices of a batch, each of ``TEXT_BYTES`` of text at most or of one record."""
     ends = np.cumsum(sum(np.asarray(pc.binary_length(batch.column(c)).fill_null(0), np.int64) for c in ("text", "title")))

@@ -14,6 +14,9 @@ from corvane.plans.evaluation import CLUSTERED, QRELS, _beir, beir_sql, clustere
 from corvane.plans.retrieval import TOKENS, bm25_run, bm25_sql, dense_run, knn_sql
 from corvane.runtime import table
 
+#: Asked terms that are sent to all records at most.
+SENT_TERMS = 500_000
+
 QUERIES, SQL = {}, {}
 
 
@@ -29,11 +32,14 @@ def query(sql: str | None = None):  # noqa: ANN201
 
 @query(f"WITH {bm25_sql()} SELECT qf.term, count(*) AS postings, sum(po.tf)::BIGINT AS occurrences FROM qf JOIN po USING (term) GROUP BY qf.term")
 def jon04_postings_join(spark, sf):  # noqa: ANN001, ANN201
-    """Inverted postings met by query terms; only asked terms are exploded."""
-    q = lexical.query_terms(table(spark, sf, "benchmark"), "item_id", "text")
-    d = lexical.tokenised(table(spark, sf, "documents"), "doc_id", "text").select("id", F.explode("tokens").alias("term")).join(q.select("term").distinct(), "term", "left_semi")
-    po = d.groupBy("id", "term").agg(F.count("*").alias("tf"))
-    return q.join(po, "term").groupBy("term").agg(F.count("*").alias("postings"), F.sum("tf").alias("occurrences"))
+    """Inverted postings met by query terms. Terms are counted where their records are, and those of one id and length add up; pairs of a posting with the
+    queries that ask for it are counted, not made. Only asked terms are exchanged, unless there are too many to be sent to the records."""
+    asked = lexical.postings(table(spark, sf, "benchmark"), "item_id", "text").select("id", "term").distinct().groupBy("term").agg(F.count("*").alias("queries"))
+    po = lexical.postings(table(spark, sf, "documents"), "doc_id", "text").drop("kb")
+    if asked.limit(SENT_TERMS + 1).count() <= SENT_TERMS:
+        po = po.join(F.broadcast(asked.select("term")), "term", "left_semi")
+    po = po.groupBy("id", "dl", "term").agg(F.sum("tf").alias("tf")).groupBy("term").agg(F.count("*").alias("postings"), F.sum("tf").alias("occurrences"))
+    return asked.join(po, "term").select("term", (F.col("queries") * F.col("postings")).alias("postings"), (F.col("queries") * F.col("occurrences")).alias("occurrences"))
 
 
 @query(f"WITH {QRELS}, {knn_sql('r', 20)} SELECT query_id, rank, coalesce(relevance, 0) AS relevance FROM r LEFT JOIN qrels USING (query_id, id)")
